@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from tallyloom.plans import packed
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for _m in (packed,):
+    QUERIES |= _m.QUERIES
+    SQL |= _m.SQL
