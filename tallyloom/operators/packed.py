@@ -244,9 +244,9 @@ _EDGE_SCHEMA = pa.schema(
 def _lattices(edges: DataFrame, alone: DataFrame, alone_shapes: DataFrame) -> DataFrame:
     """One row per distinct open run with its edges, their counts c and shape counts s.
 
-    A value's count leaves out what the run itself contributed in the round before:
-    else every rare run would be explained best by itself. Of shapes each distinct
-    run counts once.
+    Both counts leave out what the run itself contributed in the round before: else
+    every rare run would be explained best by itself. Of shapes each distinct run
+    counts once.
     """
     hopes = edges.groupBy("kind", "key").agg(F.sum(F.col("p") * F.col("n")).alias("hope"))
     shapes = edges.groupBy("kind", "shape").agg(F.sum("p").alias("hope_s")).join(alone_shapes, ["kind", "shape"], "left")
@@ -257,7 +257,7 @@ def _lattices(edges: DataFrame, alone: DataFrame, alone_shapes: DataFrame) -> Da
         edges.join(values, ["kind", "key"])
         .join(shapes, ["kind", "shape"])
         .groupBy("kind", "run")
-        .agg(F.first("n").alias("n"), F.collect_list(F.struct("i", "j", "value", "key", "shape", count.alias("c"), "s")).alias("edges"))
+        .agg(F.first("n").alias("n"), F.collect_list(F.struct("i", "j", "value", "key", "shape", count.alias("c"), F.greatest(F.lit(0.0), F.col("s") - F.col("p")).alias("s"))).alias("edges"))
     )
 
 
