@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tallyloom.llm.bpe import encode_corpus
+from tallyloom.llm.truncated import truncated, truncation_rates
 from tallyloom.session import table
 
 QUERIES: dict = {}
@@ -17,3 +20,13 @@ def query(f):
 @query
 def p8_ids(spark, d):
     return encode_corpus(table(spark, d, "documents"))
+
+
+@query
+def p7_found(spark, d):
+    return truncated(table(spark, d, "raw").select("_id", "source", "content", "links"), transcript=F.coalesce(F.col("source") == "meeting", F.lit(False)))
+
+
+@query
+def p7_rates(spark, d):
+    return truncation_rates(table(spark, d, "raw").select("_id", "source", "content", "links"), transcript=F.coalesce(F.col("source") == "meeting", F.lit(False)))
