@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 WHOLE_SHARE = 0.02
 #: The same for units in a script without blanks, which have fewer occurrences.
 WHOLE_SHARE_CJK = 0.13
+#: The same for the shapes of links.
+WHOLE_SHARE_LINK = 0.12
 #: Occurrences of a word pair inside longer units from which it is judged.
 LEAST_ON = 8
 #: Characters of the long key; shorter tails meet by all their characters.
@@ -113,7 +115,7 @@ def judge(counts: DataFrame) -> DataFrame:
     whole, longer, on, end = (F.col(c) for c in ("whole", "longer", "pair_on", "pair_end"))
     spaced = F.col("tail").rlike(r"\s")
     cjk = F.col("tail").rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー]$")
-    others = F.greatest(end - whole, F.lit(0))  # ends of other units: a tail is no evidence for itself
+    others = end - F.least(whole, F.lit(2))  # a tail, or its row ingested twice, is no evidence for itself
     by_pair = (on >= LEAST_ON) & (others < WHOLE_SHARE * (on + others))
     by_copy = (longer > 0) & (whole < F.when(cjk, WHOLE_SHARE_CJK).otherwise(WHOLE_SHARE) * (whole + longer))
     return counts.where(F.when(spaced, by_pair & ((longer > 0) | (whole < 3) | (whole < WHOLE_SHARE * on))).otherwise(by_copy))
@@ -135,16 +137,17 @@ def cut_texts(df: DataFrame, *, id_col: str, text_col: str, transcript: Column |
 
 
 def cut_links(df: DataFrame, *, id_col: str, links_col: str) -> DataFrame:
-    """Ids of the rows whose last link was cut off: a strict prefix of the shapes of whole links."""
+    """Ids of the rows whose last link was cut off: a strict prefix of the shapes of whole links, or a broken escape."""
     last = F.regexp_replace(F.try_element_at(links_col, F.lit(-1)), r"[\s,;|\"'<>]+$", "")
     last = F.regexp_extract(last, r"([^\s\"'<>|]+)$", 1)
     last = F.regexp_extract(last, r"((?:[A-Za-z][A-Za-z0-9+.\-]*://|[A-Za-z]+/)?(?:(?![,;][A-Za-z][A-Za-z0-9+.\-]*(?:://|/)).)*)$", 1)
     shape = F.translate(last, "0123456789abcdef", "x" * 16)
-    rows = df.where(F.size(links_col) > 0).select(F.col(id_col).alias("id"), shape.alias("tail")).where(F.col("tail") != "")
+    rows = df.where(F.size(links_col) > 0).select(F.col(id_col).alias("id"), shape.alias("tail"), last.rlike(r"%[0-9A-Fa-f]?$").alias("broken")).where(F.col("tail") != "")
+    sure, rows = rows.where("broken").select("id"), rows.where("not broken")
     tails = rows.groupBy("tail").agg(F.count("*").alias("whole"))
     longer = _prefix_counts(tails, tails.select(F.col("tail").alias("unit"), F.col("whole").alias("n")))
-    cut = tails.join(longer, "tail").where(F.col("whole") < WHOLE_SHARE * (F.col("whole") + F.col("longer")))
-    return rows.join(cut.select("tail"), "tail", "left_semi").select("id")
+    cut = tails.join(longer, "tail").where(F.col("whole") < WHOLE_SHARE_LINK * (F.col("whole") + F.col("longer")))
+    return sure.unionByName(rows.join(cut.select("tail"), "tail", "left_semi").select("id"))
 
 
 def truncated(df: DataFrame, *, id_col: str = "_id", text_col: str = "content", links_col: str = "links", transcript: Column | None = None) -> DataFrame:
