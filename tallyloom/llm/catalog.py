@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.llm.bpe import encode_corpus
-from tallyloom.llm.truncated import truncated, truncation_rates
+from tallyloom.llm.truncated import cut_texts, truncated, truncation_rates
+from tallyloom.llm.turns import speaker_turns
 from tallyloom.session import table
 
 QUERIES: dict = {}
@@ -30,3 +31,21 @@ def p7_found(spark, d):
 @query
 def p7_rates(spark, d):
     return truncation_rates(table(spark, d, "raw").select("_id", "source", "content", "links"), transcript=F.coalesce(F.col("source") == "meeting", F.lit(False)))
+
+
+def _whole_transcripts(spark, d):
+    """Meeting rows whose content is not cut; a cut is judged against the texts of all sources."""
+    raw = table(spark, d, "raw").select("_id", "source", "content", "name")
+    meeting = F.coalesce(F.col("source") == "meeting", F.lit(False))
+    cut = cut_texts(raw, id_col="_id", text_col="content", transcript=meeting, of=meeting)
+    return raw.where(meeting).join(cut.withColumnRenamed("id", "_id"), "_id", "left_anti")
+
+
+@query
+def p4_found(spark, d):
+    return speaker_turns(_whole_transcripts(spark, d), table(spark, d, "people")).select("_id", "turn", "speaker_no", "n_words")
+
+
+@query
+def p4_turns(spark, d):
+    return speaker_turns(_whole_transcripts(spark, d), table(spark, d, "people"))

@@ -121,19 +121,26 @@ def judge(counts: DataFrame) -> DataFrame:
     return counts.where(F.when(spaced, by_pair & ((longer > 0) | (whole < 3) | (whole < WHOLE_SHARE * on))).otherwise(by_copy))
 
 
-def cut_texts(df: DataFrame, *, id_col: str, text_col: str, transcript: Column | None = None) -> DataFrame:
-    """Ids of the rows whose text was cut off before its end."""
+def _or(c: Column | None, value: bool) -> Column:
+    return F.lit(value) if c is None else c
+
+
+def cut_texts(df: DataFrame, *, id_col: str, text_col: str, transcript: Column | None = None, of: Column | None = None) -> DataFrame:
+    """Ids of the rows whose text was cut off before its end.
+
+    ``of``: only these rows are judged, still against the texts of all rows.
+    """
     text = F.col(text_col)
-    rows = df.select(F.col(id_col).alias("id"), text.alias("text"), (transcript if transcript is not None else F.lit(False)).alias("spoken")).where(text.rlike(r"[^\s​　]"))
+    rows = df.select(F.col(id_col).alias("id"), text.alias("text"), _or(transcript, False).alias("spoken"), _or(of, True).alias("of")).where(text.rlike(r"[^\s​　]"))
     marked = F.col("text").rlike(CUT_MARK)
     json = F.col("text").rlike(r"^\s*\{\s*\"")
     open_json = json & ~F.col("text").rlike(r"\}\s*$")
     open_note = F.col("spoken") & F.col("text").rlike(OPEN_NOTE)
-    sure = rows.where(marked | open_json | open_note).select("id")
-    rest = rows.where(~marked & ~json & ~open_note).select("id", units(F.col("text"), F.col("spoken")).alias("u")).where(F.size("u") > 0)
-    rest = rest.select("id", F.try_element_at("u", F.lit(-1)).alias("tail"), F.slice("u", F.lit(1), F.greatest(F.size("u") - 1, F.lit(0))).alias("inner"))
+    sure = rows.where((marked | open_json | open_note) & F.col("of")).select("id")
+    rest = rows.where(~marked & ~json & ~open_note).select("id", "of", units(F.col("text"), F.col("spoken")).alias("u")).where(F.size("u") > 0)
+    rest = rest.select("id", "of", F.try_element_at("u", F.lit(-1)).alias("tail"), F.slice("u", F.lit(1), F.greatest(F.size("u") - 1, F.lit(0))).alias("inner"))
     cut = judge(cut_tails(rest.select("tail", "inner"))).select("tail")
-    return sure.unionByName(rest.select("id", "tail").join(cut, "tail", "left_semi").select("id"))
+    return sure.unionByName(rest.where("of").select("id", "tail").join(cut, "tail", "left_semi").select("id"))
 
 
 def cut_links(df: DataFrame, *, id_col: str, links_col: str) -> DataFrame:
