@@ -12,7 +12,7 @@ longer copy exists are judged by their last two words, joined in the same way wi
 the distinct word pairs of all units. A cut mark of the exporting system, a broken
 last character and an unclosed JSON record need no copy.
 
-Scale: units are counted with map-side combine before any join; every join is an
+Scale: the texts are read once; units are counted within each batch before any shuffle; every join is an
 equality join on distinct units, no group is collected, nothing comes to the driver.
 
 Defined cases: null and blank texts are not cut; a text that ends with sentence-final
@@ -23,9 +23,16 @@ row id; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.session import cut
+
 #: Share of whole units under which a last word pair (or a whole unit without blanks) is cut.
 WHOLE_SHARE = 0.02
 #: The same for units in a script without blanks, which have fewer occurrences.
@@ -40,22 +47,58 @@ KEY = 8
 # Marks that exporting systems leave where they cut, and a broken character.
 CUT_MARK = r"(?:（以降省略）|…?\s*\((?:rest omitted|truncated|message clipped)\)|\[truncated\]|\[\.\.\.\]|\x{FFFD})[\s​]*$"
 # A sound note, time or voice tag that a transcript opens and doesn't close.
-OPEN_NOTE = r"(?:\[[^\]\n]*|\([^)\n]*|(?<=[\s>:-])\*[^*\n]*|♪[^♪\n]*|\n<(?:v(?![^\n]*</v>\s*$)[^\n]*)?)$"
+OPEN_NOTE = r"(?:\[[^\]\n]*|\([^)\n]*|(?<=[\s>:-])\*[^*\n]*|(?:^|\n)[^♪\n]*(?:♪[^♪\n]*♪[^♪\n]*)*♪[^♪\n]*|\n<(?:v(?![^\n]*</v>\s*$)[^\n]*)?)$"
 _END = r"[.?!。？！\]}】»](?:</v>)?[\"'”)]*$"
-_FILLER = r"(?i)(?<![\p{L}])(?:u+h*m+|u+h+|e+r+m*|h+m+|m{2,})(?![\p{L}])[,.…]*\s?"
-_NOTE = r"[\[(*♪](?:[^\])*♪\n]*)[\])*♪]+\s?"
-
-
-def units(text: Column, transcript: Column) -> Column:
-    """Array of the units of a text, in order."""
-    t = F.regexp_replace(text, r"[\s​　]+$", "")
-    t = F.translate(t, "123456789", "000000000")
-    t = F.regexp_replace(t, r"(?m)^[ >|]+|@\p{Lu}[\p{L}\-]+(?: \p{Lu}[\p{L}\-]+)?|@\p{IsHan}+(?:[ 　]\p{IsHan}+)?", "")
-    spoken = F.regexp_replace(t, r"(?m)^(?:\[?00:00(?::00)?(?:\.000)?\]?[ \t]*)?(?:<v [^>\n]*>|(?:[^\s:：<\[(][^:：\n<]{0,40}?)(?:[:：][ \t]*| - ))(?![0\n])|</v>", "")
-    spoken = F.regexp_replace(F.regexp_replace(spoken, _NOTE, ""), _FILLER, "")
-    t = F.when(transcript, spoken).otherwise(t)
-    parts = F.split(t, r"(?<=[.?!])[ \t]+|(?<=。)\s*|\s*\n\s*")
-    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
+_FILLER = re.compile(r"(?i)(?<![^\W\d_])(?:u+h*m+|u+h+|e+r+m*|h+m+|m{2,})(?![^\W\d_])[,.…]*\s?")
+_NOTE = re.compile(r"[\[(*♪](?:[^\])*♪\n]*)[\])*♪]+\s?")
+_VOICE = re.compile(r"^(?:\[?00:00(?::00)?(?:\.000)?\]?[ \t]*)?(?:<v [^>\n]*>|(?:[^\s:：<\[(][^:：\n<]{0,40}?)(?:[:：][ \t]*| - ))(?![0\n])|</v>")
+_MENTION = re.compile(r"@[^\W\d_][^\W\d_]+(?:-[^\W\d_]+)?(?:[ 　](?:(?=[A-ZÀ-Þ])[^\W\d_]+(?:-[^\W\d_]+)?|[㐀-鿿]+))?")
+_DIGITS = str.maketrans("123456789", "0" * 9)
+_BLANKS = " \t\r\u200b\u3000\xa0"
+
+
+def units(text: str, spoken: bool) -> list[str]:
+    """The units of a text, in order."""
+    t = text.translate(_DIGITS)
+    if spoken:
+        t = _FILLER.sub("", _NOTE.sub("", t))
+    for a in (". ", "? ", "! "):
+        t = t.replace(a, a[0] + "\n")
+    out = []
+    for u in t.replace("。", "。\n").split("\n"):
+        u = u.lstrip(">|" + _BLANKS).rstrip(_BLANKS)
+        if u and spoken:
+            u = _VOICE.sub("", u).strip(_BLANKS)
+        if "@" in u:
+            u = _MENTION.sub("", u).strip(_BLANKS)
+        if u:
+            out.append(u)
+    return out
+
+
+def _count_units(rows: DataFrame) -> DataFrame:
+    """(id, spoken, of, text) to (id, of, unit, inner): a row for each last unit, with inner 0, and
+    for each distinct inner unit of a batch with its count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            inner: Counter[str] = Counter()
+            at, of, last = [], [], []
+            for i, (spoken, mine, text) in enumerate(zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True)):
+                if u := units(text, spoken):
+                    at.append(i)
+                    of.append(mine)
+                    last.append(u.pop())
+                    inner.update(u)
+            n = len(inner)
+            ids = pa.concat_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.nulls(n, b.column(0).type)])
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(of + [False] * n, pa.bool_()), pa.array(last + list(inner), pa.string()), pa.array([0] * len(at) + list(inner.values()), pa.int64())],
+                names=["id", "of", "unit", "inner"],
+            )
+
+    key = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {key}, of boolean, unit string, inner bigint")
 
 
 def _prefix_counts(tails: DataFrame, all_units: DataFrame) -> DataFrame:
@@ -93,14 +136,10 @@ def _pair_counts(tails: DataFrame, all_units: DataFrame) -> DataFrame:
     return t.join(found, ["prev", "part"]).select("tail", "pair_on", "pair_end")
 
 
-def cut_tails(texts: DataFrame) -> DataFrame:
-    """``texts``: (tail, inner array<string>), a row for each text; gives the distinct cut tails with their counts."""
-    tails = texts.groupBy("tail").agg(F.count("*").alias("as_tail"))
-    inner = texts.select(F.explode("inner").alias("unit")).groupBy("unit").agg(F.count("*").alias("n_inner"))
-    whole = inner.join(tails, inner["unit"] == tails["tail"], "full_outer").select(
-        F.coalesce("unit", "tail").alias("unit"), (F.coalesce("n_inner", F.lit(0)) + F.coalesce("as_tail", F.lit(0))).alias("n"), F.coalesce("as_tail", F.lit(0)).alias("as_tail")
-    )
-    open_tails = whole.where((F.col("as_tail") > 0) & ~F.col("unit").rlike(_END)).select(F.col("unit").alias("tail"), F.col("n").alias("whole"))
+def cut_tails(counted: DataFrame) -> DataFrame:
+    """The open last units of ``counted`` (unit, inner), distinct, with their evidence."""
+    whole = cut(counted.groupBy("unit").agg(F.sum(F.greatest("inner", F.lit(1))).alias("n"), F.max(F.col("inner") == 0).alias("last")))
+    open_tails = cut(whole.where(F.col("last") & ~F.col("unit").rlike(_END)).select(F.col("unit").alias("tail"), F.col("n").alias("whole")))
     longer = _prefix_counts(open_tails, whole.select("unit", "n"))
     pairs = _pair_counts(open_tails, whole.select("unit", "n"))
     return open_tails.join(longer, "tail", "left").join(pairs, "tail", "left").na.fill(0, ["longer", "pair_on", "pair_end"])
@@ -137,10 +176,10 @@ def cut_texts(df: DataFrame, *, id_col: str, text_col: str, transcript: Column |
     open_json = json & ~F.col("text").rlike(r"\}\s*$")
     open_note = F.col("spoken") & F.col("text").rlike(OPEN_NOTE)
     sure = rows.where((marked | open_json | open_note) & F.col("of")).select("id")
-    rest = rows.where(~marked & ~json & ~open_note).select("id", "of", units(F.col("text"), F.col("spoken")).alias("u")).where(F.size("u") > 0)
-    rest = rest.select("id", "of", F.try_element_at("u", F.lit(-1)).alias("tail"), F.slice("u", F.lit(1), F.greatest(F.size("u") - 1, F.lit(0))).alias("inner"))
-    cut = judge(cut_tails(rest.select("tail", "inner"))).select("tail")
-    return sure.unionByName(rest.where("of").select("id", "tail").join(cut, "tail", "left_semi").select("id"))
+    counted = cut(_count_units(rows.where(~marked & ~json & ~open_note).select("id", "spoken", "of", "text")))
+    tails = counted.where((F.col("inner") == 0) & F.col("of")).select("id", F.col("unit").alias("tail"))
+    found = judge(cut_tails(counted.select("unit", "inner"))).select("tail")
+    return sure.unionByName(tails.join(found, "tail", "left_semi").select("id"))
 
 
 def cut_links(df: DataFrame, *, id_col: str, links_col: str) -> DataFrame:
@@ -153,8 +192,8 @@ def cut_links(df: DataFrame, *, id_col: str, links_col: str) -> DataFrame:
     sure, rows = rows.where("broken").select("id"), rows.where("not broken")
     tails = rows.groupBy("tail").agg(F.count("*").alias("whole"))
     longer = _prefix_counts(tails, tails.select(F.col("tail").alias("unit"), F.col("whole").alias("n")))
-    cut = tails.join(longer, "tail").where(F.col("whole") < WHOLE_SHARE_LINK * (F.col("whole") + F.col("longer")))
-    return sure.unionByName(rows.join(cut.select("tail"), "tail", "left_semi").select("id"))
+    found = tails.join(longer, "tail").where(F.col("whole") < WHOLE_SHARE_LINK * (F.col("whole") + F.col("longer")))
+    return sure.unionByName(rows.join(found.select("tail"), "tail", "left_semi").select("id"))
 
 
 def truncated(df: DataFrame, *, id_col: str = "_id", text_col: str = "content", links_col: str = "links", transcript: Column | None = None) -> DataFrame:
@@ -166,6 +205,6 @@ def truncated(df: DataFrame, *, id_col: str = "_id", text_col: str = "content",
 
 def truncation_rates(df: DataFrame, *, id_col: str = "_id", source_col: str = "source", **kw) -> DataFrame:
     """Per source: rows, rows with a cut value and their share."""
-    cut = truncated(df, id_col=id_col, **kw).select(id_col).distinct().withColumn("cut", F.lit(1))
-    return df.select(id_col, source_col).join(cut, id_col, "left").groupBy(source_col).agg(F.count("*").alias("rows"), F.count("cut").alias("rows_cut"), (F.count("cut") / F.count("*")).alias("share"))
+    found = truncated(df, id_col=id_col, **kw).select(id_col).distinct().withColumn("cut", F.lit(1))
+    return df.select(id_col, source_col).join(found, id_col, "left").groupBy(source_col).agg(F.count("*").alias("rows"), F.count("cut").alias("rows_cut"), (F.count("cut") / F.count("*")).alias("share"))
 

@@ -48,6 +48,10 @@ _SOUND = re.compile(r"(?i)^[(\"']*(?:u+h*m+|u+h+|e+r+m*|e+h+m*|a+h*m+|h+m+|m{2,}
 _ROLE = re.compile(r"\s*[(\[（](?:[^)\]）]*)[)\]）]\s*")
 
 
+# Titles before names.
+TITLES = {"mr", "mrs", "ms", "mx", "dr", "prof"}
+
+
 def romaji(people: list[tuple[str, str]]) -> dict[str, str]:
     """Kanji parts of names to the parts of their addresses: surname first, ``given.surname@``."""
     out: dict[str, str] = {}
@@ -63,7 +67,7 @@ def label_key(label: str, kana: dict[str, str]) -> tuple[str, ...]:
     """Sorted parts of a label; parts of one letter stand for an initial."""
     text = _ROLE.sub(" ", label)
     text = re.sub(r"(?:様|さん|氏)$", "", text.strip())
-    parts = [p.strip(".").casefold() for p in re.split(r"[\s　,]+", text) if p.strip(".")]
+    parts = [q for p in re.split(r"[\s　,]+", text) if (q := p.strip(".").casefold()) and q not in TITLES]
     if len(parts) == 1 and parts[0] not in kana and re.fullmatch(r"[぀-鿿]{3,6}", parts[0]):
         for i in range(1, len(parts[0])):
             if parts[0][:i] in kana and parts[0][i:] in kana:
