@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm.bpe import encode_corpus
 from tallyloom.llm.truncated import cut_texts, truncated, truncation_rates
 from tallyloom.llm.turns import speaker_turns
+from tallyloom.llm.variants import attribute
 from tallyloom.session import table
 
 QUERIES: dict = {}
@@ -49,3 +50,9 @@ def p4_found(spark, d):
 @query
 def p4_turns(spark, d):
     return speaker_turns(_whole_transcripts(spark, d), table(spark, d, "people"))
+
+
+@query
+def p2_found(spark, d):
+    raw = table(spark, d, "raw").select("_id", "sender", "name", "to_addr", "cc_bcc", "parents", "project")
+    return attribute(raw, table(spark, d, "people"), fields={"name": "name", "sender": "address"}, address_cols=["sender", "to_addr", "cc_bcc"])
