@@ -41,8 +41,8 @@ WHOLE_SHARE_CJK = 0.13
 WHOLE_SHARE_LINK = 0.12
 #: Occurrences of a word pair inside longer units from which it is judged.
 LEAST_ON = 8
-#: Characters of the long key; shorter tails meet by all their characters.
-KEY = 8
+#: Bands of tail lengths; the lower end is the length of the key.
+LENGTHS = ((1, 7), (8, 19), (20, 39), (40, 0))
 
 # Marks that exporting systems leave where they cut, and a broken character.
 CUT_MARK = r"(?:（以降省略）|…?\s*\((?:rest omitted|truncated|message clipped)\)|\[truncated\]|\[\.\.\.\]|\x{FFFD})[\s​]*$"
@@ -102,15 +102,24 @@ def _count_units(rows: DataFrame) -> DataFrame:
 
 
 def _prefix_counts(tails: DataFrame, all_units: DataFrame) -> DataFrame:
-    """For each distinct tail the occurrences of units it is a strict prefix of: (tail, longer)."""
-    long_tails = tails.where(F.length("tail") >= KEY)
-    sizes = long_tails.select(F.substring("tail", 1, KEY).alias("key"), F.length("tail").alias("size")).groupBy("key").agg(F.collect_set("size").alias("sizes"))  # at most one entry for each length
-    u = all_units.withColumn("size_u", F.length("unit"))
-    long = u.where(F.col("size_u") > KEY).withColumn("key", F.substring("unit", 1, KEY))
-    met = long.join(sizes, "key").select("unit", "n", "size_u", F.explode("sizes").alias("size")).where(F.col("size_u") > F.col("size"))
-    short = u.select("unit", "n", "size_u", F.explode(F.sequence(F.lit(1), F.lit(KEY - 1))).alias("size")).where(F.col("size_u") > F.col("size"))
-    prefixes = met.unionByName(short).select(F.expr("substring(unit, 1, size)").alias("tail"), "n")
-    return prefixes.groupBy("tail").agg(F.sum("n").alias("longer")).join(tails.select("tail"), "tail", "left_semi")
+    """For each distinct tail the occurrences of units it is a strict prefix of: (tail, longer).
+
+    For each band of lengths the units are first counted by their beginning, one
+    character longer than the band; a beginning then learns by its key which lengths
+    occur and meets the tails by the prefixes of these lengths.
+    """
+    parts = []
+    for low, high in LENGTHS:
+        size = F.length("tail")
+        of_band = tails.where((size >= low) & ((size <= high) if high else F.lit(True)))
+        sizes = of_band.select(F.substring("tail", 1, low).alias("key"), size.alias("size")).groupBy("key").agg(F.collect_set("size").alias("sizes"))  # at most one entry for each length
+        heads = all_units.select(F.substring("unit", 1, high + 1).alias("head"), "n").groupBy("head").agg(F.sum("n").alias("n")) if high else all_units.select(F.col("unit").alias("head"), "n")
+        met = heads.where(F.length("head") > low).withColumn("key", F.substring("head", 1, low)).join(sizes, "key").select("head", "n", F.explode("sizes").alias("size"))
+        parts.append(met.where(F.length("head") > F.col("size")).select(F.expr("substring(head, 1, size)").alias("tail"), "n"))
+    prefixes = parts[0]
+    for p in parts[1:]:
+        prefixes = prefixes.unionByName(p)
+    return prefixes.groupBy("tail").agg(F.sum("n").alias("longer"))
 
 
 def _pair_counts(tails: DataFrame, all_units: DataFrame) -> DataFrame:
@@ -189,6 +198,7 @@ def cut_links(df: DataFrame, *, id_col: str, links_col: str) -> DataFrame:
     last = F.regexp_extract(last, r"((?:[A-Za-z][A-Za-z0-9+.\-]*://|[A-Za-z]+/)?(?:(?![,;][A-Za-z][A-Za-z0-9+.\-]*(?:://|/)).)*)$", 1)
     shape = F.translate(last, "0123456789abcdef", "x" * 16)
     rows = df.where(F.size(links_col) > 0).select(F.col(id_col).alias("id"), shape.alias("tail"), last.rlike(r"%[0-9A-Fa-f]?$").alias("broken")).where(F.col("tail") != "")
+    rows = cut(rows)
     sure, rows = rows.where("broken").select("id"), rows.where("not broken")
     tails = rows.groupBy("tail").agg(F.count("*").alias("whole"))
     longer = _prefix_counts(tails, tails.select(F.col("tail").alias("unit"), F.col("whole").alias("n")))
