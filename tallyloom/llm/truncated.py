@@ -45,9 +45,9 @@ LEAST_ON = 8
 LENGTHS = ((1, 7), (8, 19), (20, 39), (40, 0))
 
 # Marks that exporting systems leave where they cut, and a broken character.
-CUT_MARK = r"(?:（以降省略）|…?\s*\((?:rest omitted|truncated|message clipped)\)|\[truncated\]|\[\.\.\.\]|\x{FFFD})[\s​]*$"
+CUT_MARK = re.compile(r"(?:（以降省略）|…?\s*\((?:rest omitted|truncated|message clipped)\)|\[truncated\]|\[\.\.\.\]|\ufffd)[\s\u200b]*\Z")
 # A sound note, time or voice tag that a transcript opens and doesn't close.
-OPEN_NOTE = r"(?:\[[^\]\n]*|\([^)\n]*|(?<=[\s>:-])\*[^*\n]*|(?:^|\n)[^♪\n]*(?:♪[^♪\n]*♪[^♪\n]*)*♪[^♪\n]*|\n<(?:v(?![^\n]*</v>\s*$)[^\n]*)?)$"
+OPEN_NOTE = re.compile(r"(?:\[[^\]\n]*|\([^)\n]*|(?<=[\s>:-])\*[^*\n]*|(?:^|\n)[^♪\n]*(?:♪[^♪\n]*♪[^♪\n]*)*♪[^♪\n]*|\n<(?:v(?![^\n]*</v>\s*\Z)[^\n]*)?)\Z")
 _END = r"[.?!。？！\]}】»](?:</v>)?[\"'”)]*$"
 _FILLER = re.compile(r"(?i)(?<![^\W\d_])(?:u+h*m+|u+h+|e+r+m*|h+m+|m{2,})(?![^\W\d_])[,.…]*\s?")
 _NOTE = re.compile(r"[\[(*♪](?:[^\])*♪\n]*)[\])*♪]+\s?")
@@ -76,24 +76,38 @@ def units(text: str, spoken: bool) -> list[str]:
     return out
 
 
+def surely_cut(text: str, spoken: bool) -> bool | None:
+    """True for a cut that needs no copy, None for a whole record, else False."""
+    end = text[-80:]
+    if CUT_MARK.search(end) or (spoken and OPEN_NOTE.search(text[text.rfind("\n", 0, -1) :] if "\n" in text[:-1] else text)):
+        return True
+    if text[:1] in "{ \n" and text.lstrip().startswith('{"'):
+        return None if end.rstrip().endswith("}") else True
+    return False
+
+
 def _count_units(rows: DataFrame) -> DataFrame:
-    """(id, spoken, of, text) to (id, of, unit, inner): a row for each last unit, with inner 0, and
-    for each distinct inner unit of a batch with its count."""
+    """(id, spoken, of, text) to (id, of, unit, inner): a row for each last unit, with inner 0 (-1 where
+    the cut is sure), and for each distinct inner unit of a batch with its count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             inner: Counter[str] = Counter()
-            at, of, last = [], [], []
+            at, of, last, sure = [], [], [], []
             for i, (spoken, mine, text) in enumerate(zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True)):
-                if u := units(text, spoken):
+                cut_here = surely_cut(text, spoken)
+                if cut_here is None:
+                    continue
+                if u := [""] if cut_here else units(text, spoken):
                     at.append(i)
                     of.append(mine)
+                    sure.append(-1 if cut_here else 0)
                     last.append(u.pop())
                     inner.update(u)
             n = len(inner)
             ids = pa.concat_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.nulls(n, b.column(0).type)])
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(of + [False] * n, pa.bool_()), pa.array(last + list(inner), pa.string()), pa.array([0] * len(at) + list(inner.values()), pa.int64())],
+                [ids, pa.array(of + [False] * n, pa.bool_()), pa.array(last + list(inner), pa.string()), pa.array(sure + list(inner.values()), pa.int64())],
                 names=["id", "of", "unit", "inner"],
             )
 
@@ -179,15 +193,11 @@ def cut_texts(df: DataFrame, *, id_col: str, text_col: str, transcript: Column |
     ``of``: only these rows are judged, still against the texts of all rows.
     """
     text = F.col(text_col)
-    rows = df.select(F.col(id_col).alias("id"), text.alias("text"), _or(transcript, False).alias("spoken"), _or(of, True).alias("of")).where(text.rlike(r"[^\s​　]"))
-    marked = F.col("text").rlike(CUT_MARK)
-    json = F.col("text").rlike(r"^\s*\{\s*\"")
-    open_json = json & ~F.col("text").rlike(r"\}\s*$")
-    open_note = F.col("spoken") & F.col("text").rlike(OPEN_NOTE)
-    sure = rows.where((marked | open_json | open_note) & F.col("of")).select("id")
-    counted = cut(_count_units(rows.where(~marked & ~json & ~open_note).select("id", "spoken", "of", "text")))
+    rows = df.select(F.col(id_col).alias("id"), text.alias("text"), _or(transcript, False).alias("spoken"), _or(of, True).alias("of")).where(text != "")
+    counted = cut(_count_units(rows.select("id", "spoken", "of", "text")))
+    sure = counted.where((F.col("inner") == -1) & F.col("of")).select("id")
     tails = counted.where((F.col("inner") == 0) & F.col("of")).select("id", F.col("unit").alias("tail"))
-    found = judge(cut_tails(counted.select("unit", "inner"))).select("tail")
+    found = judge(cut_tails(counted.where("inner >= 0").select("unit", "inner"))).select("tail")
     return sure.unionByName(tails.join(found, "tail", "left_semi").select("id"))
 
 
