@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.llm.bpe import encode_corpus
+from tallyloom.llm.conversations import conversations
 from tallyloom.llm.truncated import cut_texts, truncated, truncation_rates
 from tallyloom.llm.turns import speaker_turns
 from tallyloom.llm.variants import attribute
@@ -56,3 +57,9 @@ def p4_turns(spark, d):
 def p2_found(spark, d):
     raw = table(spark, d, "raw").select("_id", "sender", "name", "to_addr", "cc_bcc", "parents", "project")
     return attribute(raw, table(spark, d, "people"), fields={"name": "name", "sender": "address"}, address_cols=["sender", "to_addr", "cc_bcc"])
+
+
+@query
+def p5_found(spark, d):
+    slack = table(spark, d, "raw").where(F.col("source") == "slack").select("_id", "dedup_key", "timestamp", "parents", "sender", "name", "content")
+    return conversations(slack, table(spark, d, "people"))
