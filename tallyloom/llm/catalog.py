@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.bpe import encode_corpus
 from tallyloom.llm.conversations import conversations
+from tallyloom.llm.newtext import new_lines
 from tallyloom.llm.truncated import cut_texts, truncated, truncation_rates
 from tallyloom.llm.turns import speaker_turns
 from tallyloom.llm.variants import attribute
@@ -63,3 +64,8 @@ def p2_found(spark, d):
 def p5_found(spark, d):
     slack = table(spark, d, "raw").where(F.col("source") == "slack").select("_id", "dedup_key", "timestamp", "parents", "sender", "name", "content")
     return conversations(slack, table(spark, d, "people"))
+
+
+@query
+def p6_found(spark, d):
+    return new_lines(table(spark, d, "raw").where(F.col("source") == "gmail").select("_id", "content")).select("_id", "line_no")
