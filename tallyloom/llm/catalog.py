@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm.bpe import encode_corpus
 from tallyloom.llm.conversations import conversations
 from tallyloom.llm.newtext import new_lines
+from tallyloom.llm.personal import find_personal, redact, surrogate_table
 from tallyloom.llm.truncated import cut_texts, truncated, truncation_rates
 from tallyloom.llm.turns import speaker_turns
 from tallyloom.llm.variants import attribute
@@ -69,3 +70,22 @@ def p5_found(spark, d):
 @query
 def p6_found(spark, d):
     return new_lines(table(spark, d, "raw").where(F.col("source") == "gmail").select("_id", "content")).select("_id", "line_no")
+
+
+def _texts(spark, d):
+    return table(spark, d, "raw").select("_id", "content", "subject", F.coalesce(F.col("source") == "meeting", F.lit(False)).alias("spoken"))
+
+
+@query
+def p1_found(spark, d):
+    return find_personal(_texts(spark, d), table(spark, d, "people"), transcript_col="spoken")
+
+
+@query
+def p1_redacted(spark, d):
+    return redact(_texts(spark, d), table(spark, d, "people"), transcript_col="spoken")
+
+
+@query
+def p1_surrogates(spark, d):
+    return surrogate_table(p1_found(spark, d), secret="tallyloom")
