@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.bpe import encode_corpus
 from tallyloom.llm.conversations import conversations
+from tallyloom.llm.leaks import find_leaks
 from tallyloom.llm.newtext import new_lines
 from tallyloom.llm.personal import find_personal, redact, surrogate_table
 from tallyloom.llm.truncated import cut_texts, truncated, truncation_rates
@@ -89,3 +90,14 @@ def p1_redacted(spark, d):
 @query
 def p1_surrogates(spark, d):
     return surrogate_table(p1_found(spark, d), secret="tallyloom")
+
+
+@query
+def p9_found(spark, d):
+    return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+@query
+def p9_items(spark, d):
+    """Leaked items with the number of documents that hold them."""
+    return p9_found(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"))
