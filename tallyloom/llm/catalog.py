@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm.bpe import encode_corpus
 from tallyloom.llm.conversations import conversations
 from tallyloom.llm.leaks import find_leaks
+from tallyloom.llm.levels import reading_levels
 from tallyloom.llm.newtext import new_lines
 from tallyloom.llm.personal import find_personal, redact, surrogate_table
 from tallyloom.llm.truncated import cut_texts, truncated, truncation_rates
@@ -101,3 +102,8 @@ def p9_found(spark, d):
 def p9_items(spark, d):
     """Leaked items with the number of documents that hold them."""
     return p9_found(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"))
+
+
+@query
+def p10_found(spark, d):
+    return reading_levels(table(spark, d, "documents"), table(spark, d, "level_samples"))
