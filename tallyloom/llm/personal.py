@@ -47,6 +47,7 @@ _NUMBER = re.compile(
     r"(?P<phone>\+\d{1,3}(?:[ .\-/]?\(0\))?(?:[ .\-/]?\d{1,8}){2,5}(?!\d)|(?<![\d\-/.])00\d{1,3}(?:[ \-]\d{1,8}){2,5}(?![\d\-])|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d\-/.,])0(?:\d{1,4}/\d{6,9}|\d{1,2} \d{3,4} \d{4}|\d{3} \d{3} \d{3,4}|\d{1,4}-\d{2,4}-\d{4})(?![\d\-]))"
     r"|(?P<id_number>(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])|(?<![A-Za-z])[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D](?![A-Za-z0-9])|(?<![A-Za-z0-9])[A-Z]{2}\d{7}(?!\d)|(?<![\d\-])\d{2}-\d{4}-\d{6}(?![\d\-])|(?<![\d ,.\-])\d{4} \d{4} \d{4}(?! ?\d)|(?<![\d,.\-])(?<!\d )\d{4} \d{4} \d{4}(?! ?\d)|(?<![\d\-])\d{12}(?!\d))"
 )
+_DIGITS = re.compile(r"\d(?:[ ()./\-]{0,3}\d){5,}")
 _SUFFIX = r"(?:Street|St\.|St|Road|Rd\.|Rd|Lane|Ln\.|Avenue|Ave\.|Ave|Way|Close|Drive|Court|Crescent|Terrace|Square|Place|Boulevard|Blvd\.?)"
 _STREET = re.compile(
     r"(?<![\w\-/.,])\d{1,4}[a-z]? (?:(?:North|South|East|West|Old|New|Upper|Lower|Great|Little) )?[A-Z][\w'\-]+(?: [A-Z][\w'\-]+)? " + _SUFFIX + r"(?!\w)"
@@ -58,8 +59,6 @@ _STREET_HINT = ("Street", "St.", " St", "Road", "Rd", "Lane", "Avenue", "Ave", "
 _W = "[A-Za-zÀ-ÖØ-öø-ÿĀ-ž'’\\-]"
 _CAPS = re.compile(rf"(?<![A-Za-z0-9_@./\-À-ÿ])@?[A-ZÀ-ÖØ-Þ]{_W}*\.?(?:[ \u3000]{{1,2}}[A-ZÀ-ÖØ-Þ]{_W}*\.?)*|@[A-ZÀ-ÖØ-Þ]{_W}*(?: [A-ZÀ-ÖØ-Þ]{_W}*)?")
 _TITLE = re.compile(rf"(?<!\w)(?:Mr|Mrs|Ms|Mx|Dr|Prof)\.? ([A-ZÀ-ÖØ-Þ]{_W}+(?: [A-ZÀ-ÖØ-Þ]{_W}+)?)")
-_BEFORE = re.compile(rf"(?:spoke with|can reach|[Aa]sk|[Oo]wner:|\bnames|[Dd]ear|\bHi|Hello|Good morning|Good afternoon|From:|To:|signed by|written by) ([A-ZÀ-ÖØ-Þ]{_W}+ [A-ZÀ-ÖØ-Þ]{_W}+)(?=\s*(?:[,<.\n]|-|about\b|at\b|of\b|on\b|by\b|before\b|last\b|next\b|this\b|yesterday|after\b|$))")
-_AFTER = re.compile(rf"(?<![\w@])([A-ZÀ-ÖØ-Þ]{_W}+ [A-ZÀ-ÖØ-Þ]{_W}+) (?:signed for it|wrote on \d)")
 _LABELS = re.compile(r"^(?:\[?(?:\d+:)?\d\d:\d\d(?:[.,]\d+)?\]?[ \t]+([^:：\n]{1,60}?)(?:[:：]| - )|<v ([^>\n]+)>|(.{1,60}?) \((?:\d+:)?\d\d:\d\d\)$|([^:：<>\n]{1,60}?)[:：])", re.M)
 _NO_SURNAME = {"the", "i", "a", "an", "is", "it", "we", "you", "they", "he", "she", "please", "could", "can", "did", "are", "in", "on", "at", "to", "and", "or", "of", "for", "my", "her", "his", "our", "about", "let", "ltd", "inc", "llc", "gmbh"}
 
@@ -152,11 +151,6 @@ class Finder:
                 first, _, second = m[1].partition(" ")
                 whole = second and (fold(first) in given or fold(second) in surname)
                 yield m.start(1), m.start(1) + len(m[1] if whole else first)
-        for p in (_BEFORE, _AFTER):
-            for m in p.finditer(text):
-                first, second = map(fold, m[1].split(" "))
-                if first not in TITLES and not _LEGAL_FORMS.search(text[m.start(1) : m.end(1) + 20].split("\n")[0]) and first in given:
-                    yield m.span(1)
         if self.kanji and not text.isascii():
             for m in self.kanji.finditer(text):
                 yield m.span()
@@ -176,7 +170,12 @@ class Finder:
             spans += [(m.start(), m.end(), "email") for m in _EMAIL.finditer(text)]
         if " at " in text or "at]" in text or "at)" in text or "＠" in text or " dot " in text:
             spans += [(m.start(), m.end(), "email") for m in _EMAIL_WORDS.finditer(text)]
-        spans += [(m.start(), m.end(), m.lastgroup) for m in _NUMBER.finditer(text)]
+        at = 0
+        for d in _DIGITS.finditer(text):
+            # a number begins a few characters before its digits at most
+            for m in _NUMBER.finditer(text, max(at, d.start() - 6), min(len(text), d.end() + 6)):
+                spans.append((m.start(), m.end(), m.lastgroup))
+                at = m.end()
         if any(h in text for h in _STREET_HINT):
             spans += [(m.start(), m.end(), "address") for m in _STREET.finditer(text)]
         spans += [(a, b, "name") for a, b in self.names(text, transcript)]
