@@ -21,12 +21,15 @@ LEGAL_FORMS = r"(?i)株式会社|有限会社|合同会社|\(株\)|\(有\)|㈱|
 HONORIFICS = r"(?:様|さん|氏|殿|御中)$|^(?i:mr|mrs|ms|mx|dr)\.?\s+"
 
 
-@F.pandas_udf("string")
-def nfkc(s: pd.Series) -> pd.Series:
-    """Compatibility composition; null stays null."""
+def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+def nfkc(c: Column) -> Column:
+    """Compatibility composition; null stays null."""
+    return F.pandas_udf(_nfkc, "string")(c)
+
+
 def squash(c: Column) -> Column:
     """Without any white space."""
     return F.regexp_replace(c, r"[\s\u3000]+", "")
