@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -118,21 +119,26 @@ def similarity(a: str | None, b: str | None) -> float:
     return 0.0 if not a or not b else SequenceMatcher(None, a, b).ratio()
 
 
-def fuzzy_match(left: DataFrame, right: DataFrame, *, left_col: str, right_col: str, cutoff: float = 0.8, size: int = 3) -> DataFrame:
+def fuzzy_match(left: DataFrame, right: DataFrame, *, left_col: str, right_col: str, cutoff: float = 0.8) -> DataFrame:
     """Distinct left texts with the right ones at least ``cutoff`` similar: ``(left, right, ratio,
     n_right)``; one right text is a match, several are open.
 
-    Blocking that loses nothing: a pair of ratio r shares M = r * (len a + len b) / 2
-    characters in blocks, so its lengths lie within a factor r / (2 - r), and with blocks
-    of fewer than ``size`` characters alone M can't be reached unless the texts are short.
-    Pairs are therefore met on a shared gram (texts over twice ``size`` long) or on equal
-    sets of lengths (short ones), then verified.
+    Blocking that loses nothing: texts of together L characters and ratio r have at most
+    (1 - r) L + 1 equal blocks that make up r L / 2 characters, so one block has ``size``
+    characters or more as long as (size - 1) ((1 - r) L + 1) < r L / 2. The largest such
+    ``size`` gives the grams of the equality join; pairs too short for the bound join on
+    one key of their own. Every pair met is verified.
     """
+    size = max(1, math.ceil(1 + cutoff / (2 * (1 - cutoff))) - 1) if cutoff < 1 else 8
+    short = math.floor((size - 1) / (cutoff / 2 - (size - 1) * (1 - cutoff)))
     low = cutoff / (2 - cutoff)
-    a = left.select(F.col(left_col).alias("a")).where(F.length(left_col) > 0).distinct()
-    b = right.select(F.col(right_col).alias("b")).where(F.length(right_col) > 0).distinct()
-    ga = a.select("a", F.explode(F.when(F.length("a") > 2 * size, grams(F.col("a"), size)).otherwise(F.array(F.lit("")))).alias("g"))
-    gb = b.select("b", F.explode(F.array_union(grams(F.col("b"), size), F.when(F.length("b") <= 4 * size, F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))).alias("g"))
+    none = F.array().cast("array<string>")
+
+    def keys(c: str) -> Column:
+        return F.explode(F.array_union(grams(F.col(c), size), F.when(F.length(c) <= short, F.array(F.lit(""))).otherwise(none)))
+
+    ga = left.select(F.col(left_col).alias("a")).where(F.length(left_col) > 0).distinct().select("a", keys("a").alias("g"))
+    gb = right.select(F.col(right_col).alias("b")).where(F.length(right_col) > 0).distinct().select("b", keys("b").alias("g"))
     near = (F.length("a") >= low * F.length("b")) & (F.length("b") >= low * F.length("a"))
     pairs = ga.join(gb, "g").where(near).select("a", "b").distinct()
 
