@@ -110,7 +110,8 @@ def bars(events: DataFrame, key: str, time: str, kind: str, start: str, end: str
 
 
 def changes_summary(df: DataFrame, key: str, now: str, before: str, top: int = 3) -> DataFrame:
-    """Difference and rate (null on a zero base) by size of change; ``rank_up`` among the increases."""
+    """Difference and rate (null on a zero base) of each key; ``rank_up`` numbers the largest increases."""
     d = df.withColumn("diff", F.col(now) - F.col(before)).withColumn("rate", F.try_divide(F.col("diff"), F.col(before)))
-    up = F.when(F.col("diff") > 0, F.row_number().over(Window.partitionBy(F.col("diff") > 0).orderBy(F.desc("diff"), key)))
-    return d.withColumn("rank_up", F.when(up <= top, up)).orderBy(F.desc(F.abs("diff")), key)
+    best = d.where("diff > 0").orderBy(F.desc("diff"), key).limit(top)
+    best = best.select(key, F.row_number().over(Window.orderBy(F.desc("diff"), key)).alias("rank_up"))  # at most ``top`` rows
+    return d.join(F.broadcast(best), key, "left")

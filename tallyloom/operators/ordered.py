@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.session import cut
+
 
 def look_ahead_sum(df: DataFrame, *, by: str, order: str, amount: str, most: int = 13, least: int = 2, tolerance: int = 3) -> DataFrame:
     """``n_parts``: how many of the rows after a row make up its amount; null if none do.
@@ -120,7 +122,20 @@ def numbered(df: DataFrame, *, by: str, order: str, out: str = "line_no") -> Dat
     return df.withColumn(out, F.row_number().over(Window.partitionBy(by).orderBy(order)))
 
 
+def global_rank(df: DataFrame, order: list[str], out: str = "rank") -> DataFrame:
+    """Rows numbered from 1 in a total order, without one task that sees them all.
+
+    Ranges are sorted apart; the number of rows before each range comes from a table of one
+    row per partition. ``order`` must be a total order for a defined result.
+    """
+    parts = cut(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("_m", F.monotonically_increasing_id())
+    parts = parts.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = parts.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return parts.join(F.broadcast(offsets), "_p").withColumn(out, F.col("_before") + F.col("_i") + 1).drop("_m", "_p", "_i", "_before")
+
+
 def group_sequence(df: DataFrame, *, group: str, order: str) -> DataFrame:
-    """Groups numbered by their first row: ``(group, seq)``; first rows are numbered, not all rows."""
+    """Groups numbered by their first row: ``(group, seq)``."""
     firsts = df.groupBy(group).agg(F.min(order).alias("_o"))
-    return firsts.select(group, F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("_o", group)).alias("seq"))
+    return global_rank(firsts, ["_o", group], "seq").drop("_o")
