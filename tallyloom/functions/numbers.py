@@ -63,7 +63,7 @@ def overlap(low: Column, high: Column, low2: Column, high2: Column) -> Column:
 def bin_label(value: Column, edges: list[float], labels: list[str]) -> Column:
     """Label of the half-open bin; null outside."""
     out = F.lit(None).cast("string")
-    for low, high, label in zip(edges, edges[1:], labels, strict=True):
+    for low, high, label in zip(edges[:-1], edges[1:], labels, strict=True):
         out = F.when((value >= low) & (value < high), F.lit(label)).otherwise(out)
     return out
 

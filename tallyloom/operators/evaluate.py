@@ -16,9 +16,8 @@ def bag_overlap(truth: DataFrame, pred: DataFrame, *, by: list[str], fields: lis
     The intersection of bags as the sum of the lesser counts: no row is paired.
     """
     keys = [*by, *fields]
-    t, p = bag_counts(truth, keys, "t"), bag_counts(pred, keys, "p")
-    on = [t[k].eqNullSafe(p[k]) for k in keys]
-    j = t.join(p, on, "full_outer").select(*(F.coalesce(t[k], p[k]).alias(k) for k in by), F.coalesce("t", F.lit(0)).alias("t"), F.coalesce("p", F.lit(0)).alias("p"))
+    both = bag_counts(truth, keys, "t").withColumn("p", F.lit(0)).unionByName(bag_counts(pred, keys, "p").withColumn("t", F.lit(0)))
+    j = both.groupBy(*keys).agg(F.sum("t").alias("t"), F.sum("p").alias("p"))
     return j.groupBy(*by).agg(F.sum("t").alias("n_truth"), F.sum("p").alias("n_pred"), F.sum(F.least("t", "p")).alias("n_hit"))
 
 

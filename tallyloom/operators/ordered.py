@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,20 +28,25 @@ def look_ahead_sum(df: DataFrame, *, by: str, order: str, amount: str, most: int
 def automaton(df: DataFrame, *, by: str, order: str, step: Callable[[object, dict], tuple[object, object]], start: object, out: str, out_type: str = "int") -> DataFrame:
     """Rows of a group in order through a state machine: ``step(state, row) -> (state, output)``.
 
-    For groupings no window can express. A group is one file or document, of bounded
-    length; it is the unit of work.
+    For groupings no window can express. Groups are sorted within their partition and
+    streamed through in Arrow batches, so only the state is held, never a group.
     """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        state, outputs = start, []
-        for row in pdf.to_dict("records"):
-            state, value = step(state, row)
-            outputs.append(value)
-        return pdf.assign(**{out: outputs})
-
-    return df.groupBy(by).applyInPandas(run, f"{fields}, `{out}` {out_type}")
+    at = df.columns.index(by)
+    types = {"int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, last, begun = start, None, False
+        for b in batches:
+            outputs = []
+            for key, row in zip(b.column(at).to_pylist(), b.to_pylist(), strict=True):
+                if not begun or key != last:
+                    state, last, begun = start, key, True
+                state, value = step(state, row)
+                outputs.append(value)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(outputs, types[out_type])], names=[*b.schema.names, out])
+
+    return df.repartition(by).sortWithinPartitions(by, order).mapInArrow(run, f"{fields}, `{out}` {out_type}")
 
 
 def drop_subtotals(df: DataFrame, *, by: str, order: str, amount: str, flag: str = "is_subtotal") -> DataFrame:

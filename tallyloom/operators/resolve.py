@@ -19,10 +19,10 @@ def resolve_people(queries: DataFrame, people: DataFrame, *, query: str) -> Data
 
     Spellings are exploded once and met by equality.
     """
-    s = people.select("email", F.explode(F.array_distinct(F.array_compact(F.concat(F.array("name", "email"), F.coalesce("aliases", F.array().cast("array<string>")))))).alias("k"))
-    s = s.select("email", F.lower(F.trim("k")).alias("k")).distinct()
-    q = queries.select(query).where(F.col(query).isNotNull()).distinct().withColumn("k", F.lower(F.trim(query)))
-    hit = status(q.join(s, "k"), query, "email")
+    s = people.select("email", F.explode(F.array_distinct(F.array_compact(F.concat(F.array("name", "email"), F.coalesce("aliases", F.array().cast("array<string>")))))).alias("_k"))
+    s = s.select("email", F.lower(F.trim("_k")).alias("_k")).distinct()
+    q = queries.select(query).where(F.col(query).isNotNull()).distinct().withColumn("_k", F.lower(F.trim(query)))
+    hit = status(q.join(s, "_k"), query, "email")
     return q.select(query).join(hit, query, "left").withColumn("status", F.coalesce("status", F.lit("none")))
 
 
@@ -31,19 +31,19 @@ def by_all_tokens(queries: DataFrame, people: DataFrame, *, query: str) -> DataF
 
     Parts are met by equality and counted: no pair is tested that shares no part.
     """
-    q = queries.select(query).distinct().withColumn("parts", F.array_distinct(name_tokens(F.col(query))))
-    p = people.select("email", F.explode(F.array_distinct(name_tokens(F.col("name")))).alias("t"))
-    hits = q.select(query, F.size("parts").alias("need"), F.explode("parts").alias("t")).join(p, "t").groupBy(query, "need", "email").agg(F.count("*").alias("n")).where("n = need")
+    q = queries.select(query).distinct().withColumn("_parts", F.array_distinct(name_tokens(F.col(query))))
+    p = people.select("email", F.explode(F.array_distinct(name_tokens(F.col("name")))).alias("_t"))
+    hits = q.select(query, F.size("_parts").alias("_need"), F.explode("_parts").alias("_t")).join(p, "_t").groupBy(query, "_need", "email").agg(F.count("*").alias("n")).where("n = _need")
     return status(hits, query, "email").where("status = 'one'").select(query, "email")
 
 
 def resolve_company(queries: DataFrame, people: DataFrame, *, query: str) -> DataFrame:
     """Company by exact domain or by the first label of a domain that the query holds or is held by."""
-    c = people.where(F.col("company").isNotNull()).select(F.lower("company").alias("company")).distinct().withColumn("label", F.split_part("company", F.lit("."), F.lit(1)))
-    q = queries.select(query).distinct().withColumn("k", F.lower(F.trim(query)))
-    exact = q.join(c, F.col("k") == F.col("company")).select(query, "company")
-    words = q.select(query, F.explode(F.array_distinct(F.concat(F.split("k", r"[^a-z0-9-]+"), F.array("k")))).alias("w"))
-    near = words.join(c, F.col("w") == F.col("label")).select(query, "company").join(exact.select(query), query, "left_anti")
+    c = people.where(F.col("company").isNotNull()).select(F.lower("company").alias("company")).distinct().withColumn("_label", F.split_part("company", F.lit("."), F.lit(1)))
+    q = queries.select(query).distinct().withColumn("_k", F.lower(F.trim(query)))
+    exact = q.join(c, F.col("_k") == F.col("company")).select(query, "company")
+    words = q.select(query, F.explode(F.array_distinct(F.concat(F.split("_k", r"[^a-z0-9-]+"), F.array("_k")))).alias("_w"))
+    near = words.join(c, F.col("_w") == F.col("_label")).select(query, "company").join(exact.select(query), query, "left_anti")
     hit = status(exact.unionByName(near).distinct(), query, "company")
     return q.select(query).join(hit, query, "left").withColumn("status", F.coalesce("status", F.lit("none")))
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import packed
+from tallyloom.plans import commerce, packed, records
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _m in (packed,):
-    QUERIES |= _m.QUERIES
-    SQL |= _m.SQL
+for _m in (commerce.R, packed.R, records.R):
+    QUERIES |= _m.queries
+    SQL |= _m.sql
