@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import commerce, packed, records
+from tallyloom.plans import commerce, packed, records, sheets, streams
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _m in (commerce.R, packed.R, records.R):
+for _m in (commerce.R, packed.R, records.R, sheets.R, streams.R):
     QUERIES |= _m.queries
     SQL |= _m.sql

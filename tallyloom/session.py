@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +36,13 @@ def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     if len(rows) > limit:
         raise ValueError(f"{what} has more than {limit} rows; it can't be held on the driver")
     return rows
+
+
+def workdir(spark: SparkSession, name: str) -> str:
+    """A fresh folder that all executors share, for tables an operator writes and reads again.
+
+    It lies in ``spark.checkpoint.dir``; only where that is unset (tests on one machine) in
+    a temporary folder.
+    """
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tallyloom-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

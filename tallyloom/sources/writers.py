@@ -31,7 +31,8 @@ def swap(df: DataFrame, path: str) -> None:
 def upsert_table(new: DataFrame, path: str, keys: list[str], order: str) -> None:
     """Keeps the latest row of each key in a Parquet table."""
     spark = new.sparkSession
-    swap(latest_wins(spark.read.parquet(path), new, keys, order) if _exists(spark, path) else new, path)
+    old = spark.read.parquet(path) if _exists(spark, path) else new.limit(0)
+    swap(latest_wins(old, new, keys, order), path)
 
 
 def replace_in_table(new: DataFrame, path: str, keys: list[str]) -> None:

@@ -16,15 +16,25 @@ from pyspark.sql.types import StructType
 from tallyloom.sources.writers import upsert_table
 
 
-def file_stream(spark: SparkSession, path: str, schema: StructType, *, files_per_batch: int | None = 2, time_col: str | None = None) -> DataFrame:
+def file_stream(spark: SparkSession, path: str, schema: StructType, *, files_per_batch: int | None = 2, time_col: str | None = None, only: str | None = None) -> DataFrame:
     """Parquet files as a stream, a few files a batch; ``time_col`` becomes a zoned timestamp."""
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if only:
+        reader = reader.option("pathGlobFilter", only)
     df = reader.parquet(path)
     return df.withColumn(time_col, F.col(time_col).cast("timestamp")) if time_col else df
 
 
+def table_stream(spark: SparkSession, folder: str, name: str, schema: StructType, **kw) -> DataFrame:
+    """One Parquet table of a data directory as a stream, be it a file or a folder of files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    is_file = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile()
+    df = file_stream(spark, folder if is_file else f"{folder}/{name}.parquet", schema, only=f"{name}.parquet" if is_file else None, **kw)
+    return df
+
+
 def once(stream: DataFrame, keys: list[str], time_col: str, lateness: str = "1 hour") -> DataFrame:
     """Each key once within the lateness; state older than that is dropped."""
     return stream.withWatermark(time_col, lateness).dropDuplicatesWithinWatermark(keys)
