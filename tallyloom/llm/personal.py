@@ -60,6 +60,9 @@ _W = "[A-Za-zÀ-ÖØ-öø-ÿĀ-ž'’\\-]"
 _CAPS = re.compile(rf"(?<![A-Za-z0-9_@./\-À-ÿ])@?[A-ZÀ-ÖØ-Þ]{_W}*\.?(?:[ \u3000]{{1,2}}[A-ZÀ-ÖØ-Þ]{_W}*\.?)*|@[A-ZÀ-ÖØ-Þ]{_W}*(?: [A-ZÀ-ÖØ-Þ]{_W}*)?")
 _TITLE = re.compile(rf"(?<!\w)(?:Mr|Mrs|Ms|Mx|Dr|Prof)\.? ([A-ZÀ-ÖØ-Þ]{_W}+(?: [A-ZÀ-ÖØ-Þ]{_W}+)?)")
 _LABELS = re.compile(r"^(?:\[?(?:\d+:)?\d\d:\d\d(?:[.,]\d+)?\]?[ \t]+([^:：\n]{1,60}?)(?:[:：]| - )|<v ([^>\n]+)>|(.{1,60}?) \((?:\d+:)?\d\d:\d\d\)$|([^:：<>\n]{1,60}?)[:：])", re.M)
+_STREET_WORD = re.compile(_SUFFIX + r"$")
+# Words that stand before a name at the beginning of a sentence or line.
+_BEFORE_NAMES = {"ask", "hi", "hello", "hey", "dear", "morning", "afternoon", "evening", "with", "from", "by", "cc", "thanks", "regards", "cheers", "owner", "contact", "re", "fwd", "aw"}
 _NO_SURNAME = {"the", "i", "a", "an", "is", "it", "we", "you", "they", "he", "she", "please", "could", "can", "did", "are", "in", "on", "at", "to", "and", "or", "of", "for", "my", "her", "his", "our", "about", "let", "ltd", "inc", "llc", "gmbh"}
 
 
@@ -95,6 +98,15 @@ class Finder:
         else:
             self.kanji = None
 
+    def _in_a_place(self, tokens: list[tuple[int, str]], k: int) -> bool:
+        """Whether a surname alone is part of another name: "Oak Hill", "Stone Road"."""
+        if k + 1 < len(tokens) and (_STREET_WORD.match(tokens[k + 1][1]) or fold(tokens[k + 1][1]) in self.given):
+            return fold(tokens[k + 1][1]) not in self.given
+        if k == 0:
+            return False
+        before = fold(tokens[k - 1][1])
+        return before not in self.parts and before not in TITLES and before not in _BEFORE_NAMES and before not in _NO_SURNAME
+
     def names(self, text: str, transcript: bool) -> Iterator[tuple[int, int]]:
         given, surname = self.given, self.surname
         for m in _CAPS.finditer(text):
@@ -128,6 +140,9 @@ class Finder:
                     yield start, end - 1
                     k += 1
                     continue
+                if not known_given and self._in_a_place(tokens, k):
+                    k += 1
+                    continue
                 if k + 1 < n:
                     start2, word2 = tokens[k + 1]
                     f2 = fold(word2)
