@@ -100,7 +100,11 @@ def fold_across(df: DataFrame, keys: list[str], *, order: Column, arrays: list[s
     """One row per key: scalars of the first row, arrays of all rows joined in order."""
     d = df.withColumn("_o", order)
     first = F.min(F.struct("_o", *scalars))
-    joined = [F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_o", F.col(a)))), lambda x, a=a: x[a])).alias(a) for a in arrays]
+
+    def in_order(a: str) -> Column:
+        return F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_o", F.col(a)))), lambda x: x[a])).alias(a)
+
+    joined = [in_order(a) for a in arrays]
     return d.groupBy(*keys).agg(first.alias("_f"), *joined, F.count("*").alias("n_folded")).select(*keys, *(F.col(f"_f.{s}").alias(s) for s in scalars), *arrays, "n_folded")
 
 
