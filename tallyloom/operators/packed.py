@@ -43,7 +43,7 @@ SHAPE_PRIOR, LONGER = 0.05, 0.01
 ROUNDS = 3
 
 # Legal forms of organisations.
-LEGAL = {"ltd", "limited", "inc", "incorporated", "llc", "l.l.c", "gmbh", "k.k", "kk", "corp", "co", "plc", "ag", "s.a"}
+LEGAL = {"ltd", "limited", "inc", "incorporated", "llc", "l.l.c", "gmbh", "k.k", "kk", "corp", "co", "plc", "ag", "s.a", "株式会社", "有限会社"}
 
 _QUOTED = r"\"[^\"]*\"|(?<![^\s;,|/、／&])'[^'\n]*'(?![^\s;,|/、／&])|<[^<>]*>"
 _CUT = {
@@ -54,6 +54,7 @@ _CUT = {
 _HARD = {"name": re.compile(r"[;|、／/\n\t]|,\s*,"), "address": re.compile(r"[;|、\n\t]|,\s*,"), "link": re.compile(r"[\s|]|[,;]{2}")}
 #: What a cell must hold for more than one atom; the rest never reaches Python.
 _OPEN = {"name": r"[;,|、／/\n\t]|\s(&|and)\s", "address": r"[;,|、\n\t]|@.*\s.*@", "link": r"[\s,;|]"}
+_WHOLE_QUOTE = re.compile(r"\"[^\"]*\"|'[^'\n]*'")
 _ADDRESS = re.compile(r"[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+")
 _HEAD = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*(?:://|/)")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
@@ -83,6 +84,8 @@ def atoms(cell: str | None, kind: str) -> list[list[str]]:
             break
         at = m.end()
         hard = _HARD[kind].search(m[1]) or not run
+        if not hard and (_WHOLE_QUOTE.fullmatch(run[-1]) or cell[at : at + 1] in "\"'"):
+            hard = kind == "name"  # a quoted span is a value of its own
         if not hard and kind == "address":
             hard = "@" in run[-1]  # an entry is complete with its address
         if not hard and kind == "link" and _HEAD.match(cell[at : at + 40].lstrip("\"'<")):
