@@ -55,7 +55,7 @@ NICKNAMES = {
 }
 _HONORIFIC = re.compile(r"\s*(?:様|さん|氏|先生|殿|君|ちゃん)$")
 _WORDY = {"gesellschaft", "mbh", "kabushiki", "kaisha", "l.l.c", "company", "corporation"}
-_LEGAL_FORMS = re.compile(r"(?i)[\s,]*\b(?:limited|ltd|incorporated|inc|l\.?l\.?c|gesellschaft mbh|gmbh|k\.?k|kabushiki kaisha|corporation|corp|co|plc|ag|s\.a)\b\.?(?=\s|$)")
+_LEGAL_FORMS = re.compile(r"(?i)[\s,]*\b(?:limited|ltd|incorporated|inc|l\.?l\.?c|gesellschaft mbh|gmbh|k\.?k|kabushiki kaisha|corporation|corp|co|plc|ag|s\.a|株式会社|有限会社)\b\.?(?=\s|$)")
 
 
 def fold(text: str) -> str:
