@@ -44,8 +44,8 @@ _EMAIL_WORDS = re.compile(
     r"(?<![A-Za-z0-9._%+\-@])[a-z0-9_%+\-]+(?:(?:\.| ?[\[(]dot[\])] ?| dot )[a-z0-9_%+\-]+)*(?:@| ?\[at\] ?| ?\(at\) ?|＠| at )[a-z][a-z0-9\-]*(?:(?:\.| ?[\[(]dot[\])] ?| dot )[a-z][a-z0-9\-]*)*(?:\.| ?[\[(]dot[\])] ?| dot )[a-z]{2,}(?![A-Za-z0-9]| ?\[at\]| ?\(at\)| ?@| at [a-z0-9\-]+(?:\.| dot )[a-z])"
 )
 _NUMBER = re.compile(
-    r"(?P<phone>\+\d{1,3}(?:[ .\-/]?\(0\))?(?:[ .\-/]?\d{1,8}){2,5}(?!\d)|(?<![\d\-/.])00\d{1,3}(?:[ \-]\d{1,8}){2,5}(?![\d\-])|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d\-/.,])0(?:\d{1,4}/\d{6,9}|\d{1,2} \d{3,4} \d{4}|\d{3} \d{3} \d{3,4}|\d{1,4}-\d{2,4}-\d{4})(?![\d\-]))"
-    r"|(?P<id_number>(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])|(?<![A-Za-z])[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D](?![A-Za-z0-9])|(?<![A-Za-z0-9])[A-Z]{2}\d{7}(?!\d)|(?<![\d\-])\d{2}-\d{4}-\d{6}(?![\d\-])|(?<![\d ,.\-])\d{4} \d{4} \d{4}(?! ?\d)|(?<![\d,.\-])(?<!\d )\d{4} \d{4} \d{4}(?! ?\d)|(?<![\d\-])\d{12}(?!\d))"
+    r"(?P<phone>\+\d{1,3}(?:[ .\-/]?\(0\))?(?:[ .\-/]?\d{1,8}){2,5}(?!\d)|(?<![\d\-/.])(?!\d{4} \d{4} \d{4}(?!\d))00\d{1,3}(?:[ \-]\d{1,8}){2,5}(?![\d\-])|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d\-/.,])0(?:\d{1,4}/\d{6,9}|\d{1,2} \d{3,4} \d{4}|\d{3} \d{3} \d{3,4}|\d{1,4}-\d{2,4}-\d{4})(?![\d\-]))"
+    r"|(?P<id_number>(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])|(?<![A-Za-z])[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D](?![A-Za-z0-9])|(?<![A-Za-z0-9])[A-Z]{2}\d{7}(?!\d)|(?<![\d\-])\d{2}-\d{4}-\d{6}(?![\d\-])|(?<![\d ,.\-])\d{4} \d{4} \d{4}(?! ?\d)|(?<![\d,.\-])(?<!\d )\d{4} \d{4} \d{4}(?! ?\d)|(?<![\d\-])(?<!\bref )\d{12}(?!\d))"
 )
 _DIGITS = re.compile(r"\d(?:[ ()./\-]{0,3}\d){5,}")
 _SUFFIX = r"(?:Street|St\.|St|Road|Rd\.|Rd|Lane|Ln\.|Avenue|Ave\.|Ave|Way|Close|Drive|Court|Crescent|Terrace|Square|Place|Boulevard|Blvd\.?)"
