@@ -107,3 +107,17 @@ def p9_items(spark, d):
 @query
 def p10_found(spark, d):
     return reading_levels(table(spark, d, "documents"), table(spark, d, "level_samples"))
+
+
+SQL["p5_found"] = """
+with s as (select *, row_number() over (partition by coalesce(dedup_key, '#' || _id) order by _id) rn from raw where source = 'slack'),
+m as (select _id, epoch_us("timestamp") ts, coalesce(trim(parents), '') = '' as first_row, content,
+ case when coalesce(trim(parents), '') = '' then epoch_us("timestamp") when regexp_matches(parents, '^[0-9]+[.][0-9]+$') then (parents::decimal(20,6) * 1000000)::bigint
+  else epoch_us(try_cast(regexp_replace(replace(parents, 'Z', '+00:00'), '([+-][0-9][0-9])([0-9][0-9])$', '\\1:\\2') as timestamptz)) end as conv,
+ lower(coalesce(nullif(regexp_extract(sender, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+([.][A-Za-z0-9_-]+)+', 0), ''), (select min(email) from people p where p.name = trim(s.name)), s.name, '')) who,
+ coalesce(regexp_replace(content, '[\\s\u200b\u3000\ufeff\u00a0]', '', 'g'), '') <> '' as visible from s where rn = 1),
+n as (select *, who in (select lower(email) from people where email is not null) person from m where conv is not null),
+h as (select conv, min(_id) head from n where first_row group by 1),
+k as (select h.conv, h.head, f.who opener from h join n f on f._id = h.head where f.visible and not exists (select 1 from n x where x.conv = h.conv and (x.ts is null or x.ts < f.ts)) and exists (select 1 from n x where x.conv = h.conv and x.visible and x.person and x.who <> f.who))
+select head conv_id, (row_number() over (partition by n.conv order by ts, _id))::int turn, _id, case when who = opener then 'opener' when person then 'replier' else 'machine' end as role from n join k on n.conv = k.conv where visible
+"""
