@@ -72,3 +72,14 @@ def forced(value: Column, matrix: Column, pattern: str = r"\(([^)]+)\)") -> Colu
     """The matrix value, unless it names an alternative in brackets that ``value`` equals."""
     alternative = F.regexp_extract(matrix, pattern, 1)
     return F.when((alternative != "") & (value == alternative), value).otherwise(F.trim(F.regexp_replace(matrix, pattern, "")))
+
+
+def valid_format(c: Column, kind: str) -> Column:
+    """Whether a text is a date or an amount as people write them; null is not."""
+    patterns = {"date": r"^\d{4}[-/.年]\d{1,2}[-/.月]\d{1,2}日?$", "amount": r"^[-△▲]?[¥￥]?\d{1,3}(?:,?\d{3})*(?:\.\d+)?円?$"}
+    return F.coalesce(F.trim(c).rlike(patterns[kind]), F.lit(False))
+
+
+def checked(c: Column, ok: Column, message: str) -> Column:
+    """The value, or an error that stops the job where ``ok`` is false."""
+    return F.when(ok, c).otherwise(F.raise_error(F.lit(message)).cast("string"))

@@ -77,3 +77,13 @@ def reduced_price(value: Column, limit: int = 10_000) -> Column:
     """A value above the limit divided by it until it is not above, in closed form."""
     n = F.when(value > limit, F.ceil(F.log(value / limit) / F.log(F.lit(float(limit))))).otherwise(0)
     return value / F.pow(F.lit(float(limit)), n)
+
+
+def best_band(low: Column, high: Column, bands: list[tuple[str, float, float]]) -> Column:
+    """Name of the band that an interval overlaps most, the first on ties; null without overlap."""
+    widths = [(name, overlap(low, high, F.lit(a), F.lit(b))) for name, a, b in bands]
+    most = F.greatest(*(w for _, w in widths)) if len(widths) > 1 else widths[0][1]
+    out = F.lit(None).cast("string")
+    for name, w in reversed(widths):
+        out = F.when((w == most) & (w > 0), F.lit(name)).otherwise(out)
+    return out

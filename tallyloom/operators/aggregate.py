@@ -119,3 +119,25 @@ def changes_summary(df: DataFrame, key: str, now: str, before: str, top: int = 3
     best = d.where("diff > 0").orderBy(F.desc("diff"), key).limit(top)
     best = best.select(key, F.row_number().over(Window.orderBy(F.desc("diff"), key)).alias("rank_up"))  # at most ``top`` rows
     return d.join(F.broadcast(best), key, "left")
+
+
+def mode_of_main(df: DataFrame, *, main: str, value: str, order: str) -> DataFrame:
+    """All rows of the most frequent ``main`` take its most frequent ``value``; ties to the first seen."""
+    top = majority(df.withColumn("_g", F.lit(1)), ["_g"], main, order).select(F.col(main))
+    best = majority(df.join(F.broadcast(top), main, "left_semi"), [main], value, order).select(main, F.col(value).alias("_best"))
+    return df.join(F.broadcast(best), main, "left").withColumn(value, F.coalesce("_best", value)).drop("_best")
+
+
+def require_present(df: DataFrame, column: str, values: list) -> DataFrame:
+    """One row: the required values that a column lacks, and whether all are there."""
+    need = F.array(*map(F.lit, values))
+    found = df.where(F.col(column).isin(*values)).agg(F.collect_set(column).alias("_f"))
+    return found.select(F.array_sort(F.array_except(need, "_f")).alias("missing")).withColumn("ok", F.size("missing") == 0)
+
+
+def adopted(candidates: DataFrame, *, by: str, amount: str, sums: list[str], tolerance: int = 3) -> DataFrame:
+    """Name of the first candidate sum within the tolerance of the amount, in order of priority; else the last."""
+    choice = F.lit(sums[-1])
+    for s in reversed(sums[:-1]):
+        choice = F.when(F.coalesce(F.abs(F.col(s) - F.col(amount)) <= tolerance, F.lit(False)), F.lit(s)).otherwise(choice)
+    return candidates.withColumn("adopted", choice)

@@ -205,3 +205,28 @@ def compare_runs(runs: DataFrame, *, run: str, keys: list[str], fields: list[str
     n_runs = runs.select(run).distinct().agg(F.count("*").alias("all_runs"))
     cell = long.groupBy(*keys, "ordinal", "field").agg(F.count_distinct(F.coalesce("value", F.lit("\x00"))).alias("n_values"), F.count_distinct(run).alias("n_runs"))
     return cell.join(F.broadcast(n_runs)).where((F.col("n_values") > 1) | (F.col("n_runs") < F.col("all_runs"))).drop("all_runs")
+
+
+def pair_equal_groups(left: DataFrame, right: DataFrame, *, keys: list[str], left_id: str, right_id: str, value: str) -> DataFrame:
+    """Groups of equal size on both sides, paired by their value where no value occurs twice in a group."""
+    size = lambda d: d.groupBy(*keys).agg(F.count("*").alias("_n"), F.count_distinct(value).alias("_v"))
+    a, b = size(left), size(right)
+    good = a.join(b, [*keys, "_n", "_v"]).where("_n = _v").select(*keys)
+    w = Window.partitionBy(*keys).orderBy(value)
+    ra = left.join(good, keys, "left_semi").withColumn("_rn", F.row_number().over(w))
+    rb = right.join(good, keys, "left_semi").withColumn("_rn", F.row_number().over(w))
+    return ra.select(left_id, *keys, "_rn").join(rb.select(right_id, *keys, "_rn"), [*keys, "_rn"]).select(left_id, right_id)
+
+
+def truncated_totals(covers: DataFrame, blocks: DataFrame, *, cover: str, block: str, total: str, amount: str, unit: int = 1000) -> DataFrame:
+    """Covers matched to blocks whose sum cut to the unit is their total; each block is used once, in order."""
+    b = blocks.groupBy(block).agg(F.sum(amount).alias("_s")).select(block, (F.floor(F.col("_s") / unit) * unit).cast("bigint").alias(total))
+    c = covers.select(cover, F.col(total).cast("bigint").alias(total))
+    p = bag_pairs(c, b, [total], [cover], [block])
+    return p.select(f"a.{cover}", f"b.{block}", total)
+
+
+def owned(docs: DataFrame, lines: DataFrame, *, doc: str, first_page: str, own_first: str, own_last: str) -> tuple[DataFrame, DataFrame]:
+    """Documents that start in their own page range, and the lines that belong to them."""
+    kept = docs.where((F.col(first_page) >= F.col(own_first)) & (F.col(first_page) <= F.col(own_last)))
+    return kept, lines.join(kept.select(doc), doc, "left_semi")

@@ -71,7 +71,7 @@ def project_cascade(rows: DataFrame, projects: DataFrame, domain_map: DataFrame,
     dom = mail_project(rows, domain_map, id_col=id_col, headers=headers, own_domains=[own_domain]).where(F.col("domain") != own_domain).select(id_col, F.col("project").alias("dom"))
     inside = F.size(F.array_except(domains_in_order(*map(F.col, headers)), F.array(F.lit(own_domain)))) == 0
     j = rows.select(id_col, (inside & (F.size(domains_in_order(*map(F.col, headers))) > 0)).alias("inside")).join(exact, id_col, "left").join(words, id_col, "left").join(dom, id_col, "left")
-    how = F.when(F.col("exact").isNotNull(), "topic").when(F.col("word").isNotNull(), "word").when(F.col("dom").isNotNull(), "domain").when("inside", "unclassified").otherwise("open")
+    how = F.when(F.col("exact").isNotNull(), "topic").when(F.col("word").isNotNull(), "word").when(F.col("dom").isNotNull(), "domain").when(F.col("inside"), "unclassified").otherwise("open")
     return j.select(id_col, F.coalesce("exact", "word", "dom").alias("project"), how.alias("how"))
 
 

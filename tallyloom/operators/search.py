@@ -83,3 +83,30 @@ def canonical_pool(df: DataFrame, *, key: Column, query_col: str, body_col: str,
     """One row per canonical key: distinct queries that found it and its longest body; best ``top``."""
     merged = df.groupBy(key.alias("key")).agg(F.count_distinct(query_col).alias("n_queries"), F.max(F.struct(F.length(body_col).alias("len"), F.col(body_col).alias("body"))).alias("b"))
     return merged.select("key", "n_queries", F.col("b.body").alias("body"), F.col("b.len").alias("body_len")).orderBy(F.desc("n_queries"), F.desc("body_len"), "key").limit(top)
+
+
+def replace_mentions(df: DataFrame, users: DataFrame, *, id_col: str, text_col: str, user_id: str, user_name: str, pattern: str = r"<@([A-Z0-9]+)>") -> DataFrame:
+    """Mentions by id become ``@name``; ids without a user stay. One equality join on the ids that occur."""
+    marked = df.select(id_col, text_col, F.regexp_extract_all(text_col, F.lit(pattern), 1).alias("_ids"))
+    hit = marked.select(id_col, F.explode(F.array_distinct("_ids")).alias("_u")).join(users.select(F.col(user_id).alias("_u"), F.col(user_name).alias("_n")).dropDuplicates(["_u"]), "_u")
+    maps = hit.groupBy(id_col).agg(F.collect_list(F.struct("_u", "_n")).alias("_m"))
+    out = df.join(maps, id_col, "left")
+    empty = F.array().cast("array<struct<_u:string,_n:string>>")
+    text = F.aggregate(F.coalesce("_m", empty), F.col(text_col), lambda t, m: F.replace(t, F.concat(F.lit("<@"), m["_u"], F.lit(">")), F.concat(F.lit("@"), m["_n"])))
+    return out.withColumn(text_col, text).drop("_m")
+
+
+def capped_cascade(df: DataFrame, reasons: list[tuple[str, Column]], *, group: str, order: list[Column], per_group: int, total: int) -> DataFrame:
+    """Every row with ``reason``: the first condition that drops it, over_group beyond the cap of
+    its group, over_total beyond the total; null for the rows kept.
+
+    Ranks are taken among the rows still in; the total is a top-n, not a global window.
+    """
+    from tallyloom.functions.choices import first_reason
+
+    d = df.withColumn("reason", first_reason(reasons))
+    rn = F.row_number().over(Window.partitionBy(group, F.col("reason").isNull()).orderBy(*order))
+    d = d.withColumn("reason", F.when(F.col("reason").isNull() & (rn > per_group), "over_group").otherwise(F.col("reason")))
+    top = d.where(F.col("reason").isNull()).orderBy(*order).limit(total).select(*[c for c in df.columns]).withColumn("_top", F.lit(True))
+    keep = top.select(*df.columns[:1], "_top")
+    return d.join(keep, df.columns[0], "left").withColumn("reason", F.when(F.col("reason").isNull() & F.col("_top").isNull(), "over_total").otherwise(F.col("reason"))).drop("_top")

@@ -209,3 +209,49 @@ def test_judge(spark):
     assert got == {1: ("match", "a"), 2: ("no_match", None), 3: ("no_match", None)}
     whole, again = judge.with_required(judge.judged(d, judge.never, "decision string, choice string", key="id"), ["choice"])
     assert whole.count() == 0 and again.count() == 3
+
+
+def _pages(unit, token, size):
+    from tallyloom.sources.paged import PayloadTooLarge
+
+    if size > unit["most"]:
+        raise PayloadTooLarge
+    at = int(token or 0)
+    rows = [{"unit": unit["name"], "n": i} for i in range(at, min(at + size, unit["total"]))]
+    return rows, str(at + size) if at + size < unit["total"] else None
+
+
+def test_paged_source(spark):
+    from tallyloom.sources import paged
+
+    units = spark.createDataFrame([("a", 230, 30), ("b", 0, 100), ("c", 5, 100)], "name string, total int, most int")
+    got = paged.read_paged(units, _pages, "unit string, n int")
+    assert {r["unit"]: r["count"] for r in got.groupBy("unit").count().collect()} == {"a": 230, "c": 5} and got.distinct().count() == 235
+    with pytest.raises(paged.PayloadTooLarge):
+        list(paged.pages({"name": "x", "total": 9, "most": 3}, _pages, 100, 5))
+    tries, waits = [], []
+
+    def flaky():
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError
+        return "ok"
+
+    assert paged.with_retry(flaky, sleep=waits.append) == "ok" and len(waits) == 2 and waits[0] < waits[1] * 2
+
+
+def test_capped_cascade_and_bands(spark):
+    from tallyloom.operators import search
+
+    d = spark.createDataFrame([(i, i % 2, i) for i in range(10)], "id int, g int, v int")
+    got = {r["id"]: r["reason"] for r in search.capped_cascade(d, [("low", F.col("v") < 2)], group="g", order=[F.desc("v")], per_group=3, total=4).collect()}
+    assert got == {0: "low", 1: "low", 2: "over_group", 3: "over_group", 4: "over_total", 5: "over_total", 6: None, 7: None, 8: None, 9: None}
+    b = lambda a, c: one(spark, lambda x, y: numbers.best_band(x, y, [("a", 0, 10), ("b", 10, 30)]), a, c, types=["double"] * 2)
+    assert b(0.0, 20.0) == "a" and b(9.0, 20.0) == "b" and b(40.0, 50.0) is None
+
+
+def test_header_search_and_references(spark):
+    cells = spark.createDataFrame([("s", 1, 1, "t"), ("s", 2, 1, "k"), ("s", 2, 3, "v"), ("s", 3, 1, "a"), ("s", 3, 3, "1"), ("x", 9, 1, "k"), ("x", 9, 2, "v")], "sheet string, row int, col int, value string")
+    assert [tuple(r) for r in readers.sheet_table(cells, sheet="sheet", labels=["k", "v"]).collect()] == [("s", 3, "a", "1")]
+    refs = spark.createDataFrame([("s", "A1", "7"), ("s", "A2", "=A1"), ("s", "A3", "=$A$2"), ("s", "A4", "=A4")], "sheet string, ref string, value string")
+    assert {r["ref"]: r["value"] for r in readers.resolve_references(refs, sheet="sheet").collect()} == {"A1": "7", "A2": "7", "A3": "7", "A4": None}
