@@ -211,19 +211,16 @@ def test_judge(spark):
     assert whole.count() == 0 and again.count() == 3
 
 
-def _pages(unit, token, size):
-    from tallyloom.sources.paged import PayloadTooLarge
-
-    if size > unit["most"]:
-        raise PayloadTooLarge
-    at = int(token or 0)
-    rows = [{"unit": unit["name"], "n": i} for i in range(at, min(at + size, unit["total"]))]
-    return rows, str(at + size) if at + size < unit["total"] else None
-
-
 def test_paged_source(spark):
     from tallyloom.sources import paged
 
+    def _pages(unit, token, size):
+        if size > unit["most"]:
+            raise paged.PayloadTooLarge
+        at = int(token or 0)
+        rows = [{"unit": unit["name"], "n": i} for i in range(at, min(at + size, unit["total"]))]
+        return rows, str(at + size) if at + size < unit["total"] else None
+
     units = spark.createDataFrame([("a", 230, 30), ("b", 0, 100), ("c", 5, 100)], "name string, total int, most int")
     got = paged.read_paged(units, _pages, "unit string, n int")
     assert {r["unit"]: r["count"] for r in got.groupBy("unit").count().collect()} == {"a": 230, "c": 5} and got.distinct().count() == 235
