@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from tallyloom.session import bounded_rows
 
 
 def by_class(df: DataFrame, keys: list[str], class_col: str, amount: str, classes: dict[str, list[str]]) -> DataFrame:
@@ -30,11 +36,16 @@ def subtotals_of_rounded(df: DataFrame, region: str, branch: str, amount: str, *
     return r.select(level.alias("level"), region, branch, "value")
 
 
-def zero_filled(df: DataFrame, dims: list[DataFrame], value: str) -> DataFrame:
-    """Every combination of small dimensions (each one column), absent ones with 0."""
-    grid = dims[0].distinct()
-    for d in dims[1:]:
-        grid = grid.join(F.broadcast(d.distinct()))  # dimension tables of a few rows
+def zero_filled(df: DataFrame, dims: list[DataFrame], value: str, limit: int = 100_000) -> DataFrame:
+    """Every combination of small dimensions (each one column), absent ones with 0.
+
+    The members of the dimensions are few (checked), so the grid is made of them directly.
+    """
+    members = [[r[0] for r in bounded_rows(d.distinct(), limit, "a dimension")] for d in dims]
+    if math.prod(map(len, members)) > limit:
+        raise ValueError(f"the grid has more than {limit} cells")
+    schema = StructType([d.schema.fields[0] for d in dims])
+    grid = df.sparkSession.createDataFrame(list(itertools.product(*members)), schema)
     return grid.join(df, grid.columns, "left").withColumn(value, F.coalesce(value, F.lit(0)))
 
 

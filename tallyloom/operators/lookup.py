@@ -44,8 +44,8 @@ def missing_codes(df: DataFrame, masters: dict[str, DataFrame]) -> DataFrame:
 def unseen_pairs(df: DataFrame, history: DataFrame, a: str, b: str) -> DataFrame:
     """Distinct pairs that the history never had; silent where the history is empty."""
     seen = history.select(a, b).distinct()
-    some = seen.limit(1).select(F.lit(True).alias("_some"))
-    return df.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct().join(seen, [a, b], "left_anti").join(F.broadcast(some), F.lit(True), "left_semi")
+    new = df.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct()
+    return new.limit(0) if history.isEmpty() else new.join(seen, [a, b], "left_anti")
 
 
 def first_row_lookup(df: DataFrame, dim: DataFrame, *, on: str, order: str, values: dict[str, object]) -> DataFrame:

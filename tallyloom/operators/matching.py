@@ -56,16 +56,28 @@ def candidates(left: DataFrame, right: DataFrame, *, on: list[str], left_id: str
     """Right rows for each left row: same key and a date within the window, or without any such
     row the nearest dates of the same key; ``top`` of them, ``stage`` strict or fallback.
 
-    The window is part of the ranking, so one join and one group limit do both stages.
+    Both stages are the nearest rows by date, so no group is paired: right rows are numbered
+    by date, a left row learns its place among them as-of its date, and joins the ``top``
+    numbers before and after it by equality. Rows without a date are no candidates and
+    have none; equal gaps go to the smaller id.
     """
-    j = left.join(right, on)
-    gap = F.abs(F.datediff(F.col(left_date), F.col(right_date)))
-    j = j.withColumn("gap", gap).withColumn("near", F.coalesce(gap <= days, F.lit(False)))
-    w = Window.partitionBy(left_id).orderBy(F.desc("near"), F.asc_nulls_last("gap"), right_id)
-    j = j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
-    any_near = F.max("near").over(Window.partitionBy(left_id))
-    j = j.withColumn("any_near", any_near).where(F.col("near") | ~F.col("any_near"))
-    return j.select(left_id, right_id, "gap", F.when(F.col("near"), "strict").otherwise("fallback").alias("stage"), "rank")
+    l_ = left.where(F.col(left_date).isNotNull()).select(left_id, *on, F.col(left_date).cast("date").alias("_d"))
+    r_ = right.where(F.col(right_date).isNotNull()).select(right_id, *on, F.col(right_date).cast("date").alias("_d"))
+    both = l_.select(left_id, *on, "_d", F.lit(1).alias("_left")).unionByName(r_.select(*on, "_d", F.lit(0).alias("_left")), allowMissingColumns=True)
+    place = F.sum(1 - F.col("_left")).over(Window.partitionBy(*on).orderBy("_d", "_left").rowsBetween(Window.unboundedPreceding, 0))
+    placed = both.withColumn("_at", place).where("_left = 1").select(left_id, *on, "_d", "_at")
+    number = lambda *o: F.row_number().over(Window.partitionBy(*on).orderBy("_d", *o)).cast("bigint")
+    before = placed.withColumn("_rn", F.explode(F.sequence(F.greatest(F.col("_at") - top + 1, F.lit(1)), F.greatest(F.col("_at"), F.lit(1))))).where("_rn <= _at")
+    after = placed.withColumn("_rn", F.explode(F.sequence(F.col("_at") + 1, F.col("_at") + top)))
+    # rows of one date: the smaller id is the nearer one on both sides
+    near = before.join(r_.withColumn("_rn", number(F.desc(right_id))).withColumnRenamed("_d", "_e"), [*on, "_rn"])
+    near = near.unionByName(after.join(r_.withColumn("_rn", number(F.asc(right_id))).withColumnRenamed("_d", "_e"), [*on, "_rn"]))
+    near = near.withColumn("gap", F.abs(F.datediff("_d", "_e")))
+    w = Window.partitionBy(left_id).orderBy("gap", right_id)
+    ranked = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    strict = F.min("gap").over(Window.partitionBy(left_id)) <= days
+    ranked = ranked.withColumn("_strict", strict).where(~F.col("_strict") | (F.col("gap") <= days))
+    return ranked.select(left_id, right_id, "gap", F.when(F.col("_strict"), "strict").otherwise("fallback").alias("stage"), "rank")
 
 
 def unique_on(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -99,9 +111,9 @@ def match_report(left: DataFrame, right: DataFrame, matched: DataFrame, *, left_
 def choose_by_overlap(keys: DataFrame, sheets: DataFrame, *, key: str, sheet: str, least: float = 0.5, margin: float = 0.25) -> DataFrame:
     """Share of the keys that each sheet holds; ``chosen`` if it is enough and well ahead of the second."""
     k = keys.select(key).distinct()
-    total = k.agg(F.count("*").alias("n_keys"))
+    n_keys = k.count()
     hits = sheets.select(sheet, key).distinct().join(k, key).groupBy(sheet).agg(F.count("*").alias("hits"))
-    rate = hits.join(F.broadcast(total)).withColumn("rate", F.try_divide(F.col("hits").cast("double"), F.col("n_keys")))
+    rate = hits.withColumn("rate", F.try_divide(F.col("hits").cast("double"), F.lit(n_keys)))
     w = Window.partitionBy(F.lit(1)).orderBy(F.desc("rate"), sheet)  # one row per sheet
     ranked = rate.withColumn("rank", F.row_number().over(w)).withColumn("second", F.coalesce(F.lead("rate").over(w), F.lit(0.0)))
     return ranked.select(sheet, "hits", "rate", ((F.col("rank") == 1) & (F.col("rate") >= least) & (F.col("rate") - F.col("second") >= margin)).alias("chosen"))
@@ -202,9 +214,9 @@ def compare_runs(runs: DataFrame, *, run: str, keys: list[str], fields: list[str
     w = Window.partitionBy(run, *keys).orderBy(order)
     r = runs.withColumn("ordinal", F.row_number().over(w))
     long = r.unpivot([run, *keys, "ordinal"], [F.col(f).cast("string").alias(f) for f in fields], "field", "value")
-    n_runs = runs.select(run).distinct().agg(F.count("*").alias("all_runs"))
+    n_runs = runs.select(run).distinct().count()
     cell = long.groupBy(*keys, "ordinal", "field").agg(F.count_distinct(F.coalesce("value", F.lit("\x00"))).alias("n_values"), F.count_distinct(run).alias("n_runs"))
-    return cell.join(F.broadcast(n_runs)).where((F.col("n_values") > 1) | (F.col("n_runs") < F.col("all_runs"))).drop("all_runs")
+    return cell.where((F.col("n_values") > 1) | (F.col("n_runs") < n_runs))
 
 
 def pair_equal_groups(left: DataFrame, right: DataFrame, *, keys: list[str], left_id: str, right_id: str, value: str) -> DataFrame:

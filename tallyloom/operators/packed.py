@@ -367,7 +367,7 @@ def _values(entries: DataFrame) -> DataFrame:
     found = F.regexp_extract_all("entry", F.lit(f"({address})"), 1)
     # the address in its first spelling where it is written twice
     first = F.filter(found, lambda x, i: F.expr("true") if i is None else (F.array_position(F.transform(found, F.lower), F.lower(x)) == i + 1))
-    trimmed = F.regexp_replace("entry", r"^[\s]+|[\s]+$", "")
+    trimmed = F.regexp_replace("entry", r"^[\s\u3000\u00a0]+|[\s\u3000\u00a0]+$", "")
     quoted = F.regexp_replace(trimmed, r"^(?:\"\s*([^\"]*?)\s*\"|'\s*(.*?)\s*'|<\s*([^<>]*?)\s*>)$", "$1$2$3")
     quoted = F.regexp_replace(quoted, r"^(?:\"\s*([^\"]*?)\s*\"|<\s*([^<>]*?)\s*>)$", "$1$2")
     value = F.when((F.col("kind") == "address") & (F.size(found) > 0), first).otherwise(F.array(quoted))

@@ -14,8 +14,8 @@ def newest(df: DataFrame, n: int, *, time_col: str = "timestamp", id_col: str =
 def with_truncation(df: DataFrame, n: int, **kw) -> DataFrame:
     """``newest`` with the flag ``truncated``: whether there were more than ``n`` rows."""
     top = newest(df, n + 1, **kw)
-    more = top.agg((F.count("*") > n).alias("truncated"))
-    return newest(top, n, **kw).crossJoin(F.broadcast(more))  # one row
+    rows = Window.partitionBy(F.lit(1))  # at most n + 1 rows
+    return newest(top.withColumn("truncated", F.count("*").over(rows) > n), n, **kw)
 
 
 def newest_per(df: DataFrame, by: str, caps: int | dict[str, int], *, time_col: str = "timestamp", id_col: str = "_id") -> DataFrame:

@@ -408,6 +408,6 @@ def account_history(spark, d):
 select vec_id, label, round(list_dot_product(embedding::float[], (select embedding::float[] from embeddings order by vec_id limit 1))::double, 3) score from embeddings order by score desc, vec_id limit 20""")
 def vector_top(spark, d):
     e = table(spark, d, "embeddings")
-    q = e.orderBy("vec_id").limit(1).select(F.col("embedding").alias("q"))
-    dot = F.aggregate(F.zip_with("embedding", "q", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, b: a + b)
-    return e.join(F.broadcast(q)).select("vec_id", "label", F.round(dot, 3).alias("score")).orderBy(F.desc("score"), "vec_id").limit(20)
+    q = F.array(*(F.lit(float(x)) for x in e.orderBy("vec_id").first()["embedding"]))
+    dot = F.aggregate(F.zip_with("embedding", q, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, b: a + b)
+    return e.select("vec_id", "label", F.round(dot, 3).alias("score")).orderBy(F.desc("score"), "vec_id").limit(20)
