@@ -32,7 +32,7 @@ from tallyloom.llm.variants import PEOPLE_LIMIT, candidate_table
 from tallyloom.session import bounded_rows, cut
 
 HOUR_US = 3_600_000_000
-VISIBLE = r"[^\p{Z}\p{C}\s]"
+VISIBLE = r"[^\p{Z}\p{Cc}\p{Cf}\s]"
 
 
 def micros(text: Column) -> Column:

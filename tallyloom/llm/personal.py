@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.turns import _ROLE, TITLES, romaji
 from tallyloom.llm.variants import _LEGAL_FORMS, PEOPLE_LIMIT
-from tallyloom.session import bounded_rows
+from tallyloom.session import bounded_rows, cut
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 
@@ -321,7 +321,7 @@ def surrogate_table(found: DataFrame, secret: str, rounds: int = 3) -> DataFrame
             k, v, s = (b.column(i).to_pylist() for i in range(3))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([surrogate(secret, *x) for x in zip(k, v, s, strict=True)], pa.string())], names=["kind", "value", "salt", "surrogate"])
 
-    values = found.select("kind", "value").distinct()
+    values = cut(found.select("kind", "value").distinct())
     table = values.withColumn("salt", F.lit(0)).mapInArrow(run, "kind string, value string, salt int, surrogate string")
     for _ in range(rounds):
         rank = F.dense_rank().over(Window.partitionBy("kind", "surrogate").orderBy(F.lower("value"))) - 1
