@@ -31,6 +31,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Distinct pre-tokens kept between batches; above it the cache is emptied, which
 #: costs time but never changes a result.
 CACHE_WORDS = 300_000
+#: Longer pre-tokens are encoded each time.
+CACHE_LENGTH = 64
 
 
 class PairIndexEncoder:
@@ -109,7 +111,11 @@ class PairIndexEncoder:
             cache.clear()
         split = [self.words(t) if t else [] for t in texts]
         new = list({w for ws in split for w in ws if w not in cache})
-        cache.update(zip(new, self.encode_words(new), strict=True))
+        ids = dict(zip(new, self.encode_words(new), strict=True))
+        long = {w: x for w, x in ids.items() if len(w) > CACHE_LENGTH}
+        cache.update((w, x) for w, x in ids.items() if len(w) <= CACHE_LENGTH)
+        if long:
+            return [[i for w in ws for i in (cache[w] if w in cache else long[w])] for ws in split]
         return [[i for w in ws for i in cache[w]] for ws in split]
 
 

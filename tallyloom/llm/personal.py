@@ -39,7 +39,7 @@ from tallyloom.session import bounded_rows, cut
 KINDS = ("email", "phone", "id_number", "address", "name")
 
 # Forms of addresses, numbers and streets.
-_EMAIL = re.compile(r"[A-Za-z0-9_%+\-]+(?:\.[A-Za-z0-9_%+\-]+)*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}")
+_EMAIL = re.compile(r"(?<![A-Za-z0-9_%+\-])[A-Za-z0-9_%+\-]+(?:\.[A-Za-z0-9_%+\-]+)*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}")
 _EMAIL_WORDS = re.compile(
     r"(?<![A-Za-z0-9._%+\-@])[a-z0-9_%+\-]+(?:(?:\.| ?[\[(]dot[\])] ?| dot )[a-z0-9_%+\-]+)*(?:@| ?\[at\] ?| ?\(at\) ?|＠| at )[a-z][a-z0-9\-]*(?:(?:\.| ?[\[(]dot[\])] ?| dot )[a-z][a-z0-9\-]*)*(?:\.| ?[\[(]dot[\])] ?| dot )[a-z]{2,}(?![A-Za-z0-9]| ?\[at\]| ?\(at\)| ?@| at [a-z0-9\-]+(?:\.| dot )[a-z])"
 )

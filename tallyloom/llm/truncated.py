@@ -50,7 +50,7 @@ CUT_MARK = re.compile(r"(?:（以降省略）|…?\s*\((?:rest omitted|truncated
 OPEN_NOTE = re.compile(r"(?:\[[^\]\n]*|\([^)\n]*|(?<=[\s>:-])\*[^*\n]*|(?:^|\n)[^♪\n]*(?:♪[^♪\n]*♪[^♪\n]*)*♪[^♪\n]*|\n<(?:v(?![^\n]*</v>\s*\Z)[^\n]*)?)\Z")
 _END = r"[.?!。？！\]}】»](?:</v>)?[\"'”)]*$"
 _FILLER = re.compile(r"(?i)(?<![^\W\d_])(?:u+h*m+|u+h+|e+r+m*|h+m+|m{2,})(?![^\W\d_])[,.…]*\s?")
-_NOTE = re.compile(r"[\[(*♪](?:[^\])*♪\n]*)[\])*♪]+\s?")
+_NOTE = re.compile(r"[\[(*♪][^\[\]()*♪\n]*[\])*♪]+\s?")
 _VOICE = re.compile(r"^(?:\[?00:00(?::00)?(?:\.000)?\]?[ \t]*)?(?:<v [^>\n]*>|(?:[^\s:：<\[(][^:：\n<]{0,40}?)(?:[:：][ \t]*| - ))(?![0\n])|</v>")
 _MENTION = re.compile(r"@[^\W\d_][^\W\d_]+(?:-[^\W\d_]+)?(?:[ 　](?:(?=[A-ZÀ-Þ])[^\W\d_]+(?:-[^\W\d_]+)?|[㐀-鿿]+))?")
 _DIGITS = str.maketrans("123456789", "0" * 9)

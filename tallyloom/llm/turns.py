@@ -45,7 +45,7 @@ _VOICE = re.compile(r"^<v\s+([^>]+)>(.*?)(?:</v>)?$")
 _LABEL = re.compile(r"^([^:：<>\n]{1,60}?)\s*[:：]\s*(.*)$")
 _NOTE = re.compile(r"\(\([^()\n]*\)\)|\[[^\[\]\n]*\]|\([^()\n]*\)|(?<!\S)\*[^*\n]+\*|[♪♫][^♪♫\n]*[♪♫]|[♪♫]")
 _SOUND = re.compile(r"(?i)^[(\"']*(?:u+h*m+|u+h+|e+r+m*|e+h+m*|a+h*m+|h+m+|m{2,}|えーと|えっと|あのー|うーん)[-,.!?…;:)\"']*$")
-_ROLE = re.compile(r"\s*[(\[（](?:[^)\]）]*)[)\]）]\s*")
+_ROLE = re.compile(r"\s*[(\[（][^()\[\]（）]*[)\]）]\s*")
 
 
 # Titles before names.

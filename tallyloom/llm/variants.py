@@ -94,6 +94,7 @@ class Channel:
         self.labels: dict[str, str] = {}
         self.names = {p["name"] for p in people if p["name"]}
         kana = romaji([(p["name"], p["email"]) for p in people])
+        self.longest = 0
         for p in people:
             if p["name"] and p["email"]:
                 self.labels[p["email"]] = (p["company"] or p["email"].split("@")[-1]).split(".")[0].casefold()
@@ -104,6 +105,7 @@ class Channel:
         if not f:
             return
         self.forms[f][email] = max(ll, self.forms[f].get(email, -99.0))
+        self.longest = max(self.longest, len(f))
         if typo:
             for d in deletes(f):
                 self.typos[d].add((f, email))
@@ -167,11 +169,11 @@ class Channel:
             found = {e: x for e, x in found.items() if self.labels.get(e, "") == key} or ({} if key in set(self.labels.values()) else found)
         return [(e, x + extra) for e, x in found.items()]
 
-    def _look_up(self, f: str, parts: bool = True) -> dict[str, float]:
+    def _look_up(self, f: str) -> dict[str, float]:
         if f in self.forms:
             return dict(self.forms[f])
         out: dict[str, float] = {}
-        if len(f) >= 5:
+        if 5 <= len(f) <= self.longest + 1:
             for d in deletes(f):
                 for form, email in self.typos.get(d, ()):
                     if one_edit(f, form):

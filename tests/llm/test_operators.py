@@ -278,3 +278,27 @@ def test_reading_levels_rows(spark):
     d = spark.createDataFrame([(1, easy, "de"), (2, hard, None), (3, "Der Hund und die Katze sind nicht in dem Haus. " * 10, "en"), (4, "too short", "en"), (5, None, None), (6, "", "en"), (7, "漢字 " * 60, "en"), (2, hard, None)], "doc_id bigint, text string, level string")
     assert sorted(tuple(r) for r in levels.reading_levels(d, s).collect()) == [(1, 1), (2, 2), (2, 2)]
     assert levels.reading_levels(d.limit(0), s).count() == 0
+
+
+# very long texts
+
+
+def test_very_long_texts(people):
+    import time
+
+    finder = personal._finder(people)
+    ch = variants.Channel([r.asDict() for r in people.collect()])
+    ix = leaks.Index([(1, ITEM)])
+    e = bpe.PairIndexEncoder()
+    for text in ("a" * 300_000 + " a@b.example", "Anna Hill " * 30_000, "1234567 " * 30_000, "Which account holds the remaining " * 5_000, "(" * 50_000 + "x", "> " * 100_000, "A, " * 50_000):
+        start = time.time()
+        finder.find(text, True)
+        ch.candidates(text)
+        ix.leaks(text)
+        newtext.labels(text.split("\n"))
+        turns.turns(text, text, {"anna"}, {})
+        truncated.units(text, True)
+        truncated.surely_cut(text, True)
+        e.encode_batch([text])
+        levels.is_english(text, levels.words(text))
+        assert time.time() - start < 20, text[:20]
