@@ -9,6 +9,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.operators.matching import contains_pairs
+
 NUMERIC = {"<=", ">=", "<", ">"}
 
 
@@ -110,7 +112,13 @@ def leave_one_out(df: DataFrame, spec: dict[str, tuple[str, Any]]) -> DataFrame:
 
 
 def excluded(df: DataFrame, name_col: str, needles: DataFrame, needle_col: str) -> DataFrame:
-    """Rows whose name neither holds a needle nor is held by one (a short list, broadcast by size)."""
-    n = F.lower(F.col(f"_n.{needle_col}"))
-    c = F.lower(F.col(f"_d.{name_col}"))
-    return df.alias("_d").join(needles.alias("_n"), c.contains(n) | n.contains(c), "left_anti")
+    """Rows whose name neither holds a needle nor is held by one, case ignored; null names stay.
+
+    Containment is decided once for each distinct name, by equality on grams.
+    """
+    names = df.select(F.lower(F.col(name_col)).alias("_t")).distinct()
+    list_ = needles.select(F.lower(F.col(needle_col)).alias("_n")).distinct()
+    holds = contains_pairs(names, list_, text="_t", needle="_n").select("_t")
+    held = contains_pairs(list_, names, text="_n", needle="_t").select("_t")
+    hit = holds.unionByName(held).distinct()
+    return df.join(hit, F.lower(F.col(name_col)) == F.col("_t"), "left_anti")
