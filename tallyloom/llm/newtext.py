@@ -4,8 +4,10 @@ Method: a sequence model labels the lines of a mail as new, quoted, unmarked his
 signature or notice. Each line gives evidence by its prefix, punctuation, form and
 length, by its position and by its neighbours; transitions between labels carry what
 mails look like (unmarked history runs to the end, a signature is seldom followed by
-new text unless a quotation lies between). A Viterbi search finds the best labels of
-the whole mail.
+new text unless a quotation lies between). Unmarked history begins at a separator or at
+a block of header lines (From, then Sent, To or Subject). A Viterbi search finds the best
+labels of the whole mail. History that opens a mail is answered below it: it ends with
+its last marked quotation, and the lines after that are labelled as a mail of their own.
 
 Scale: one row is one mail; no shuffle.
 
@@ -44,6 +46,8 @@ _RULE = re.compile(r"^\s*(?:-{2,}|={3,}|\*{3,}|_{3,}|~{3,}|[―—–─]{3,}|#{
 _LONG_RULE = re.compile(r"^_{20,}\s*$")
 _SPLIT = re.compile(r"(?i)^\s*-{3,}\s*(?:original message|forwarded message|ursprüngliche nachricht|weitergeleitete nachricht|元のメッセージ|転送されたメッセージ)\s*-{3,}\s*$|^begin forwarded message:")
 _HEADER = re.compile(r"(?i)^\s*(?:from|sent|date|to|cc|subject|von|gesendet|datum|an|betreff|差出人|送信日時|日時|宛先|件名)\s*[:：]\s*\S")
+_FROM = re.compile(r"(?i)^\s*(?:from|von|差出人)\s*[:：]\s*\S")
+_HEADER_WORDS = ("sent:", "date:", "to:", "cc:", "subject:", "gesendet:", "datum:", "an:", "betreff:", "送信日時:", "日時:", "宛先:", "件名:")
 _INTRO = re.compile(
     r"(?i)^.{0,120}(?:\bwrote|\bschrieb|a écrit)\b[^.?!]{0,60}:\s*$|^.{2,60}\bwrote on \d{4}-\d\d-\d\d[^.]*:\s*$|^\s*\d{4}年\d{1,2}月\d{1,2}日.*(?:[:：]|のメール)\s*$|^on .{0,60}\d{4}.{0,60}<[^>]+>\s*$"
 )
@@ -110,13 +114,16 @@ def kinds(lines: list[str]) -> list[str]:
             k = "device"
         elif _NOTICE.search(text):
             k = "notice"
-        elif _HEADER.match(text):
+        elif _FROM.match(text) and _continues_header(after, i + 1 == last):
+            # the lines of a block whose separator stands above belong to that separator
+            k = "header" if out and out[-1] == "split" else "split"
+        elif _HEADER.match(text) and not (_is_prose(text) and (not out or out[-1] not in ("split", "header")) and not _HEADER.match(after)):
             k = "header"
         elif i == last and len(text) >= 3 and _begins_formula(text):
             k = "closing" if text[0] != "-" else "split"
         elif _GREETING.match(text) or (i == first and _NAME_COMMA.match(text)):
             k = "greeting"
-        elif _SENTENCE.search(text) or len(text.split()) > 6 or len(_LOWER.findall(text)) > 2 or (len(text) > 25 and "、" in text):
+        elif _is_prose(text) or len(text.split()) > 6 or (len(text) > 25 and "、" in text):
             k = "text"
         elif _CONTACT.match(text):
             k = "contact"
@@ -130,6 +137,16 @@ def kinds(lines: list[str]) -> list[str]:
     return out
 
 
+def _is_prose(text: str) -> bool:
+    return bool(_SENTENCE.search(text)) or len(_LOWER.findall(text)) > 2
+
+
+def _continues_header(after: str, cut: bool) -> bool:
+    """Whether the line after a From line is a header line, or the beginning of one where the mail is cut."""
+    t = after.rstrip("�").casefold().replace("：", ":")
+    return bool(_HEADER.match(after)) or (bool(t) and any(t == w or (cut and w.startswith(t)) for w in _HEADER_WORDS))
+
+
 def _begins_formula(text: str) -> bool:
     t = text.rstrip("�").casefold()
     return any(len(t) < len(c) and c.startswith(t) for c in CLOSINGS) or (len(t) >= 6 and any(n.startswith(t) for n in _NOTICES))
@@ -138,6 +155,14 @@ def _begins_formula(text: str) -> bool:
 def labels(lines: list[str]) -> list[str]:
     """Label of each line; "" for blank ones."""
     ks = kinds(lines)
+    opening = next((k for k in ks if k != "blank"), "")
+    marked = max((i for i, k in enumerate(ks) if k == "quoted"), default=-1)
+    if opening == "split" and marked >= 0:
+        return _best_labels(ks[: marked + 1]) + _best_labels(ks[marked + 1 :])
+    return _best_labels(ks)
+
+
+def _best_labels(ks: list[str]) -> list[str]:
     best: tuple[float, ...] = (0.0, 0.0, _NO, -2.0, -2.0)
     back: list[tuple[int, ...]] = []
     seen = {}

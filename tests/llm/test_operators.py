@@ -185,6 +185,28 @@ def test_conversation_numbering_over_hours(spark, people):
 # mails
 
 
+HEADER_MAIL = "Row 5 is right.\n\nCheers,\nBob\n\n{}\n\nHello Bob,\n\nThe old text is here.\nFrom: Canterbridge, to: Dunmoor, that is the old route.\n\nMany thanks,\nAnna"
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        # a block of header lines opens history as a separator does
+        (HEADER_MAIL.format("From: Anna Hill\nSent: Saturday, January 06, 2024 08:06 PM\nTo: Bob\nSubject: Open points"), [1]),
+        (HEADER_MAIL.format("Von: Anna Hill\nGesendet: Samstag, 6. Januar 2024 20:06\nAn: Bob\nBetreff: Offene Punkte"), [1]),
+        (HEADER_MAIL.format("差出人: 葛西 拓真\n送信日時: 2024年1月6日 20:06\n宛先: Bob\n件名: 会議"), [1]),
+        ("Row 5 is right.\n\nFrom: Anna Hill\nSen", [1]),
+        # a lone sentence does not, and is the sender's own
+        ("Row 5 is right.\nFrom: Canterbridge, to: Dunmoor, that is the route of the voucher.\nRow 31 has no vendor.", [1, 2, 3]),
+        # history that opens the mail is answered below its last marked quotation
+        ("From: Anna Hill\nSent: 3 May 2024\nTo: Bob\nSubject: Row\n\nThe old text is here.\n\nBest regards,\nAnna\n\nOn Mon, 5 Jan 2024 at 10:00, Bob <b@x.example> wrote:\n> older text.\n\nHello Anna,\nThe answer is here.\n\nRegards,\nBob", [14, 15]),
+        ("---------- Forwarded message ---------\nFrom: Anna Hill\nDate: 3 May 2024\nSubject: Row\n\nThe old text is here.\n\n> older text.\n\nThe answer is here.", [10]),
+    ],
+)
+def test_header_blocks(text, want):
+    assert [i for i, x in enumerate(newtext.labels(text.split("\n")), 1) if x == "new"] == want
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
     [
