@@ -241,7 +241,20 @@ with t as (select event_id, user_id, event_type, ts, value from events), d as (s
 g as (select user_id % 3 tb, dd, bool_or(v is not null) a from d group by 1, 2), p as (select tb, dd, last_value(case when a then dd end ignore nulls) over (partition by tb order by dd rows between unbounded preceding and 1 preceding) pd from g)
 select d.user_id, strftime(d.dd, '%Y-%m-%d') as day, strftime(p.pd, '%Y-%m-%d') prev, (d.v - o.v)::double diff from d join p on d.user_id % 3 = p.tb and d.dd = p.dd left join d o on o.user_id = d.user_id and o.dd = p.pd""")
 def prev_nonnull_compare(spark, d):
-    e = table(spark, d, "events").where("user_id % 10 = 0").groupBy("user_id", F.col("ts").cast("date").alias("dd")).agg(F.sum(F.col("value").cast("decimal(18,3)")).alias("v")).withColumn("tb", F.col("user_id") % 3)
+    return _against_last_filled(table(spark, d, "events").where("user_id % 10 = 0"))
+
+
+@query("""
+with t as (select event_id, user_id, event_type, ts, value from events), d as (select user_id, ts::date dd, sum(value::decimal(18,3)) v from t group by 1, 2), days as (select distinct user_id % 3 tb, dd from (select user_id, ts::date dd from t)),
+g as (select user_id % 3 tb, dd, bool_or(v is not null) a from d group by 1, 2), p as (select tb, dd, last_value(case when a then dd end ignore nulls) over (partition by tb order by dd rows between unbounded preceding and 1 preceding) pd from g)
+select d.user_id, strftime(d.dd, '%Y-%m-%d') as day, strftime(p.pd, '%Y-%m-%d') prev, (d.v - o.v)::double diff from d join p on d.user_id % 3 = p.tb and d.dd = p.dd left join d o on o.user_id = d.user_id and o.dd = p.pd""")
+def prev_nonnull_compare_all(spark, d):
+    """Every user's days."""
+    return _against_last_filled(table(spark, d, "events"))
+
+
+def _against_last_filled(events):
+    e = events.groupBy("user_id", F.col("ts").cast("date").alias("dd")).agg(F.sum(F.col("value").cast("decimal(18,3)")).alias("v")).withColumn("tb", F.col("user_id") % 3)
     r = panel.against_last_filled(e, table="tb", period="dd", row="user_id", value="v")
     return r.select("user_id", F.col("dd").cast("string").alias("day"), F.col("prev").cast("string").alias("prev"), F.col("diff").cast("double").alias("diff"))
 

@@ -56,7 +56,19 @@ def stream_sliding(spark, d):
 with o as (select user_id, epoch_us(ts) t, case when epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts) < 1800000000 then 0 else 1 end b from events where user_id % 5 = 0), g as (select *, sum(b) over (partition by user_id order by t rows unbounded preceding) g from o)
 select user_id, min(t)::bigint start_us, count(*) n from g group by user_id, g""")
 def stream_sessions(spark, d):
-    w = ingest.sessions(_events(spark, d).where("user_id % 5 = 0"), "ts", "30 minutes", ["user_id"], "400 days")
+    return _sessions(spark, _events(spark, d).where("user_id % 5 = 0"))
+
+
+@query("""
+with o as (select user_id, epoch_us(ts) t, case when epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts) < 1800000000 then 0 else 1 end b from events), g as (select *, sum(b) over (partition by user_id order by t rows unbounded preceding) g from o)
+select user_id, min(t)::bigint start_us, count(*) n from g group by user_id, g""")
+def stream_sessions_all(spark, d):
+    """Sessions of every user."""
+    return _sessions(spark, _events(spark, d))
+
+
+def _sessions(spark, events):
+    w = ingest.sessions(events, "ts", "30 minutes", ["user_id"], "400 days")
     out = w.select("user_id", F.unix_micros("session_window.start").alias("start_us"), "n")
     return _collected(spark, out, "sessions", "complete")
 

@@ -49,3 +49,9 @@ def test_sql(spark, db, name):
     order = [columns.index(c) for c in df.columns]
     want = sorted(repr(tuple(plain(x[i]) for i in order)) for x in r.fetchall())
     assert sorted(repr(tuple(plain(x) for x in row)) for row in df.collect()) == want
+
+
+def test_whole_event_queries_hold_every_user(spark, db):
+    users = {x[0] for x in db.execute("select distinct user_id from events").fetchall()}
+    for name in ("stream_sessions_all", "prev_nonnull_compare_all"):
+        assert {r["user_id"] for r in entry.queries()[name](spark, str(DATA)).select("user_id").distinct().collect()} == users
