@@ -88,6 +88,12 @@ def p1_redacted(spark, d):
     return redact(_texts(spark, d), table(spark, d, "people"), transcript_col="spoken")
 
 
+@query
+def p1_surrogate_text(spark, d):
+    """Texts rewritten with surrogates."""
+    return redact(_texts(spark, d), table(spark, d, "people"), transcript_col="spoken", secret="tallyloom")
+
+
 @query
 def p1_surrogates(spark, d):
     return surrogate_table(p1_found(spark, d), secret="tallyloom")

@@ -9,11 +9,15 @@ each value into another of its type: digits into digits and letters into letters
 same places, names part by part into pronounceable names of the same script, case and
 gender ending, streets into streets with the same form. The same part always gets the
 same surrogate, so "Ms Hill", "Anna Hill" and "Anna" still belong together
-(coreference). Distinct values that meet in one surrogate are found by a grouping over
-all values and told apart by further rounds of the hash (distinctness).
+(coreference). Distinct parts of names, and distinct values of other kinds, that meet in
+one surrogate are found by a grouping over all of them and told apart by further rounds
+of the hash until none meet (distinctness); the salts found are joined back to the
+places in the texts. Initials go round a keyed circle of letters and can't meet.
 
-Scale: one pass over the texts without shuffle; the table of people is small (checked)
-and goes with the tasks. Only distinct values are grouped for the collision check.
+Scale: texts are searched once, without shuffle; the table of people is small (checked)
+and goes with the tasks. Only distinct values are grouped for the collision check. For
+surrogates the texts and places are written and read again, and only places whose salt
+is not 0 are joined to their rows.
 
 Defined cases: null and empty fields have no value and stay as they are; where matches
 overlap the longer one stands; equal values of one field and kind are reported once;
@@ -29,12 +33,12 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.turns import _ROLE, TITLES, romaji
 from tallyloom.llm.variants import _LEGAL_FORMS, PEOPLE_LIMIT
-from tallyloom.session import bounded_rows, cut
+from tallyloom.session import bounded_rows, cut, workdir
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 
@@ -243,7 +247,12 @@ def find_personal(df: DataFrame, people: DataFrame, *, id_col: str = "_id", fiel
 
 # Syllables of surrogate names: a rule, not a list of names.
 _ONSETS, _VOWELS, _CODAS = "bdfgklmnprstvz", "aeiou", ["", "n", "r", "l", "s"]
-_STREETS = ("Alder", "Birch", "Cedar", "Elm", "Hazel", "Linden", "Maple", "Rowan")
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_CAPITALS_MARKED = "".join(c for c in map(chr, range(0xC0, 0x17F)) if c.isupper() and c.lower().upper() == c and len(c.lower()) == 1)
+_STREET_NAME = re.compile(
+    r"((?<!\w)(?:Am|An der|An den|Im|In der|Auf dem|Zum|Zur|Unter den|Hinter dem) (?:[A-ZÄÖÜ][\w\-]+ )?)[A-ZÄÖÜ][a-zäöüß\-]+"
+    r"|[A-ZÄÖÜ][\w'\-]+(?= " + _SUFFIX + r")|[A-ZÄÖÜ][a-zäöüß\-]*?(?=straße|strasse|weg|gasse|platz|allee|ufer|ring|damm|markt)"
+)
 _KANJI_SURNAME, _KANJI_GIVEN = "青赤白石川木山田野原森林池島浜沢", "一二三子夫美明正和春夏秋冬幸光雪"
 
 
@@ -251,10 +260,12 @@ def _digest(secret: str, kind: str, text: str, salt: int) -> bytes:
     return hashlib.blake2b(f"{kind}\x1f{text}\x1f{salt}".encode(), key=secret.encode()[:64], digest_size=32).digest()
 
 
-def _word(d: bytes, like: str) -> str:
-    """A pronounceable word with the case and the ending class (as a token of gender) of ``like``."""
+def _word(d: bytes, like: str, salt: int = 0) -> str:
+    """A pronounceable word with the case and the ending class (as a token of gender) of ``like``;
+    longer after every eight salts, so that there is always room for one more.
+    """
     out = []
-    for k in range(2 + (len(like) > 5)):
+    for k in range(min(2 + (len(like) > 5) + salt // 8, 10)):
         out.append(_ONSETS[d[3 * k] % 14] + _VOWELS[d[3 * k + 1] % 5] + _CODAS[d[3 * k + 2] % 5])
     word = "".join(out)
     if like[-1:].lower() in "aeiy":
@@ -265,26 +276,64 @@ def _word(d: bytes, like: str) -> str:
     return word.upper() if like.isupper() and len(like) > 1 else word if like.islower() else word.capitalize()
 
 
-def _name_part(secret: str, part: str, salt: int, given: bool) -> str:
-    if len(part.rstrip(".")) == 1:
-        return chr(65 + _digest(secret, "initial", part[0].casefold(), salt)[0] % 26) + part[1:]
-    d = _digest(secret, "name", fold(part), salt)
-    if re.search(r"[㐀-鿿]", part):
-        pool = _KANJI_GIVEN if given else _KANJI_SURNAME
-        return "".join(pool[d[k] % len(pool)] for k in range(max(1, len(part))))
-    return _word(d, part)
+def _initial(secret: str, letter: str) -> str:
+    """The letter after ``letter`` on a keyed circle of its alphabet: no two letters meet and none stays."""
+    alphabet = _CAPITALS if letter.isascii() else _CAPITALS_MARKED
+    order = sorted(alphabet, key=lambda c: _digest(secret, "initial", c, 0))
+    return order[(order.index(letter.upper()) + 1) % len(order)]
+
+
+def _units(kind: str, value: str) -> list[tuple[int, int, str, str]]:
+    """``(start, end, kind, key)`` of what is replaced as one: the parts of a name, else the whole value.
+
+    Spellings with one key are one unit and get one salt.
+    """
+    if kind != "name":
+        return [(0, len(value), kind, value.casefold() if kind == "email" else value if kind == "address" else re.sub(r"\W", "", value))]
+    out = []
+    for m in re.finditer(r"[^ \u3000]+", value):
+        one = m[0].rstrip(".")
+        if len(one) == 1 and one.upper() in _CAPITALS + _CAPITALS_MARKED:
+            unit = "initial"
+        else:
+            unit = "given" if m.start() and re.search(r"[㐀-鿿]", m[0]) else "name"
+        out.append((m.start(), m.end(), unit, fold(m[0])))
+    return out
+
+
+def _unit_surrogate(secret: str, unit: str, piece: str, salt: int) -> str:
+    if unit == "initial":
+        return _initial(secret, piece[0]) + piece[1:]
+    if unit not in ("name", "given"):
+        return _format_surrogate(secret, unit, piece, salt)
+    d = _digest(secret, "name", fold(piece), salt)
+    if re.search(r"[㐀-鿿]", piece):
+        pool = _KANJI_GIVEN if unit == "given" else _KANJI_SURNAME
+        if salt >= 8:
+            return "".join(chr(0x4E00 + int.from_bytes(d[2 * (k % 16) : 2 * (k % 16) + 2], "big") % 20000) for k in range(len(piece)))
+        return "".join(pool[d[k % 32] % len(pool)] for k in range(len(piece)))
+    return _word(d, piece, salt)
 
 
 def surrogate(secret: str, kind: str, value: str, salt: int = 0) -> str:
     """Another value of the same type, script and format; always the same for the same value."""
-    if kind == "name":
-        parts = re.split(r"([ \u3000]+)", value)
-        return "".join(p if k % 2 else _name_part(secret, p, salt, k > 0) for k, p in enumerate(parts))
+    return _with_salts(secret, kind, value, [salt] * len(_units(kind, value)))
+
+
+def _with_salts(secret: str, kind: str, value: str, salts: list[int]) -> str:
+    out, at = [], 0
+    for (start, end, unit, _), salt in zip(_units(kind, value), salts, strict=True):
+        out += [value[at:start], _unit_surrogate(secret, unit, value[start:end], salt)]
+        at = end
+    return "".join([*out, value[at:]])
+
+
+def _format_surrogate(secret: str, kind: str, value: str, salt: int) -> str:
     if kind == "email":
         d = _digest(secret, kind, value.casefold(), salt)
         m = re.match(r"(.+?)(@| ?\[at\] ?| ?\(at\) ?|＠| at )", value)
         local = m[1] if m else value
-        new = re.sub(r"[A-Za-z0-9]+", lambda w: w[0] if w[0] == "dot" else _word(_digest(secret, "local", w[0].casefold() + d.hex()[:8], salt), w[0]).lower(), local)
+        new = re.sub(r"[A-Za-z0-9]+", lambda w: w[0] if w[0] == "dot" else _word(_digest(secret, "local", w[0].casefold() + d.hex()[:8], salt), w[0], salt).lower(), local)
         return new + (m[2] if m else "@") + ("mail dot example" if " dot " in value[len(local) :] else "mail.example")
     if kind == "address":
         d = _digest(secret, kind, value, salt)
@@ -292,7 +341,7 @@ def surrogate(secret: str, kind: str, value: str, salt: int = 0) -> str:
         number = re.sub(r"\d", lambda _: str(1 + next(digits, 0) % 9), value)
         if re.search(r"[㐀-鿿]", value):
             return re.sub(r"^[㐀-鿿]+(?=[市区])", lambda m: "".join(_KANJI_SURNAME[x % 16] for x in d[: len(m[0])]), number)
-        return re.sub(r"[A-ZÄÖÜ][\w'\-]+(?= (?:" + _SUFFIX[3:-1] + r"))|[A-ZÄÖÜ][a-zäöüß]*?(?=straße|strasse|weg|gasse|platz|allee)", _STREETS[d[0] % 8], number, count=1)
+        return _STREET_NAME.sub(lambda m: (m[1] or "") + _word(d, m[0][len(m[1] or "") :], salt), number, count=1)
     # numbers keep punctuation, the country code and a leading zero
     d = _digest(secret, kind, re.sub(r"\W", "", value), salt)
     at = 0
@@ -309,42 +358,132 @@ def surrogate(secret: str, kind: str, value: str, salt: int = 0) -> str:
     return "".join(out)
 
 
-def surrogate_table(found: DataFrame, secret: str, rounds: int = 3) -> DataFrame:
+_SPANS = "array<struct<field: int, start: int, end: int, kind: string, value: string>>"
+_ARROW_SPANS = pa.list_(pa.struct([("field", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
+_PIECES = "kind string, key string, piece string"
+
+
+def _salts(pieces: DataFrame, secret: str, rounds: int) -> DataFrame:
+    """``(kind, key, salt)`` of the units of :data:`_PIECES` that need a salt above 0, so that no two
+    units of a kind have one surrogate and none has that of a real unit.
+
+    Rounds go on until nothing collides; if ``rounds`` do not suffice that is an error.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k, p, s = (b.column(i).to_pylist() for i in (0, 2, 3))
+            made = [_units("name" if x in ("name", "given", "initial") else x, _unit_surrogate(secret, x, *y))[0][3] for x, *y in zip(k, p, s, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], names=["kind", "key", "piece", "salt", "made"])
+
+    table = cut(pieces.distinct().withColumn("salt", F.lit(0)))
+    real = cut(table.select("kind", F.col("key").alias("made")).where("kind <> 'initial'").distinct())
+    for _ in range(rounds):
+        made = cut(table.mapInArrow(run, f"{_PIECES}, salt int, made string"))
+        kept = made.groupBy("kind", "made").agg(F.min("key").alias("kept"), F.max("key").alias("last")).where("kept <> last").drop("last")
+        lost = made.join(kept, ["kind", "made"]).where("key <> kept").select("kind", "key")
+        lost = cut(lost.unionByName(made.join(real, ["kind", "made"], "left_semi").select("kind", "key")).distinct().withColumn("up", F.lit(1)))
+        if lost.isEmpty():
+            return made.where("salt > 0").select("kind", "key", "salt").distinct()
+        table = made.join(lost, ["kind", "key"], "left").select("kind", "key", "piece", (F.col("salt") + F.coalesce("up", F.lit(0))).cast("int").alias("salt"))
+    raise ValueError(f"surrogates still collide after {rounds} rounds")
+
+
+def _resolved(rows: DataFrame, secret: str, rounds: int) -> DataFrame:
+    """``rows`` (``_row``, ``_spans``, others) with ``_salts``, the map of "span:unit" to the salts above 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for row, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for n, x in enumerate(spans):
+                    for u, (start, end, unit, key) in enumerate(_units(x["kind"], x["value"])):
+                        for c, v in zip(out, (row, f"{n}:{u}", unit, key, x["value"][start:end]), strict=True):
+                            c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(c, pa.string()) for c in out[1:])], names=["_row", "at", "kind", "key", "piece"])
+
+    units = rows.select("_row", "_spans").where(F.size("_spans") > 0).mapInArrow(run, f"_row bigint, at string, {_PIECES}")
+    salts = _salts(units.select("kind", "key", "piece"), secret, rounds)
+    hit = units.join(salts, ["kind", "key"]).groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("at", "salt"))).alias("_salts"))
+    return rows.join(hit, "_row", "left")
+
+
+def _span_surrogate(secret: str, n: int, kind: str, value: str, salts: dict[str, int]) -> str:
+    return _with_salts(secret, kind, value, [salts.get(f"{n}:{u}", 0) for u in range(len(_units(kind, value)))])
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` numbered by ``_row``, written and read again, so that texts are searched once."""
+    out = workdir(df.sparkSession, name)
+    df.withColumn("_row", F.monotonically_increasing_id()).write.parquet(out)
+    return df.sparkSession.read.parquet(out)
+
+
+def surrogate_table(found: DataFrame, secret: str, rounds: int = 200) -> DataFrame:
     """``(kind, value, surrogate)`` of the distinct values, without two values in one surrogate.
 
-    Values that collide, with each other or with a real value of the kind, are hashed
-    again with the next salt; spellings of one value (case aside) may share it.
+    Units (parts of names, whole values of other kinds) that collide, with each other or
+    with a real unit of the kind, are hashed again with the next salt until none does; a
+    part has one surrogate in all names. Spellings of one value (case aside) may share it.
     """
+    span = F.struct(F.lit(0).alias("field"), F.lit(0).alias("start"), F.length("value").alias("end"), "kind", "value")
+    rows = _resolved(_stored(found.select("kind", "value").distinct().select("kind", "value", F.array(span).alias("_spans")), "surrogates"), secret, rounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             k, v, s = (b.column(i).to_pylist() for i in range(3))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([surrogate(secret, *x) for x in zip(k, v, s, strict=True)], pa.string())], names=["kind", "value", "salt", "surrogate"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_span_surrogate(secret, 0, x, y, dict(z or ())) for x, y, z in zip(k, v, s, strict=True)], pa.string())], names=["kind", "value", "surrogate"])
 
-    values = cut(found.select("kind", "value").distinct())
-    table = values.withColumn("salt", F.lit(0)).mapInArrow(run, "kind string, value string, salt int, surrogate string")
-    for _ in range(rounds):
-        rank = F.dense_rank().over(Window.partitionBy("kind", "surrogate").orderBy(F.lower("value"))) - 1
-        real = values.select("kind", F.col("value").alias("surrogate"), F.lit(1).alias("real"))
-        salted = table.join(real, ["kind", "surrogate"], "left").select("kind", "value", (F.col("salt") + rank + F.coalesce("real", F.lit(0))).cast("int").alias("salt"))
-        table = salted.mapInArrow(run, "kind string, value string, salt int, surrogate string")
-    return table.select("kind", "value", "surrogate")
+    return rows.select("kind", "value", "_salts").mapInArrow(run, "kind string, value string, surrogate string")
+
+
+def _with_surrogates(df: DataFrame, finder: Finder, secret: str, rounds: int, id_col: str, fields: tuple[str, ...], spoken: Column) -> DataFrame:
+    key = df.schema[id_col].dataType.simpleString()
+    texts = ", ".join(f"`{f}` string" for f in fields)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spoken = b.column(1).to_pylist()
+            spans: list[list] = [[] for _ in spoken]
+            for f in range(len(fields)):
+                for i, text in enumerate(b.column(2 + f).to_pylist()):
+                    if text:
+                        spans[i] += [{"field": f, "start": s, "end": e, "kind": k, "value": text[s:e]} for s, e, k in finder.find(text, bool(spoken[i]) and f == 0)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(spans, _ARROW_SPANS)], names=[id_col, *fields, "_spans"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans, salts = b.column(1 + len(fields)).to_pylist(), b.column(2 + len(fields)).to_pylist()
+            cols = [c.to_pylist() for c in b.columns[1 : 1 + len(fields)]]
+            for i, found in enumerate(spans):
+                chosen = dict(salts[i] or ())
+                for n in range(len(found) - 1, -1, -1):  # from the end, so that places stay
+                    x = found[n]
+                    text = cols[x["field"]][i]
+                    cols[x["field"]][i] = text[: x["start"]] + _span_surrogate(secret, n, x["kind"], x["value"], chosen) + text[x["end"] :]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.string()) for c in cols)], names=[id_col, *fields])
+
+    rows = _stored(df.select(id_col, spoken.alias("_spoken"), *fields).mapInArrow(find, f"`{id_col}` {key}, {texts}, _spans {_SPANS}"), "redact")
+    return _resolved(rows, secret, rounds).select(id_col, *fields, "_spans", "_salts").mapInArrow(write, f"`{id_col}` {key}, {texts}")
 
 
-def redact(df: DataFrame, people: DataFrame, *, id_col: str = "_id", fields: tuple[str, ...] = ("content", "subject"), transcript_col: str | None = None, secret: str | None = None) -> DataFrame:
+def redact(df: DataFrame, people: DataFrame, *, id_col: str = "_id", fields: tuple[str, ...] = ("content", "subject"), transcript_col: str | None = None, secret: str | None = None, rounds: int = 200) -> DataFrame:
     """``(id_col, *fields)`` with each value replaced and everything else unchanged.
 
     Without ``secret`` by a placeholder of its kind, such as ``[EMAIL]``; with it by its
-    surrogate.
+    surrogate, whose collisions over all the values of ``df`` are resolved as in
+    :func:`surrogate_table`.
     """
     finder = _finder(people)
+    if secret is not None:
+        return _with_surrogates(df, finder, secret, rounds, id_col, fields, F.col(transcript_col) if transcript_col else F.lit(False))
 
     def replace(text: str | None, spoken: bool) -> str | None:
         if not text:
             return text
         out, at = [], 0
         for s, e, k in finder.find(text, spoken):
-            out += [text[at:s], f"[{k.upper()}]" if secret is None else surrogate(secret, k, text[s:e])]
+            out += [text[at:s], f"[{k.upper()}]"]
             at = e
         return "".join([*out, text[at:]])
 

@@ -85,6 +85,29 @@ def test_redaction_and_surrogates(spark, people):
     assert personal.find_personal(df.limit(0), people).count() == 0
 
 
+def test_surrogates_in_text_do_not_collide(spark, people):
+    values = [f"{n} {w} {form}" for n in range(1, 10) for w in ("Beacon", "Quarry", "Pewter", "Millrace", "Stone", "Foundry", "Harbour", "Copper", "Orchard", "Mill", "Chapel", "Garden") for form in ("Road", "Lane")]
+    df = spark.createDataFrame([(i, f"We met at {v} today.", None) for i, v in enumerate(values)], "_id bigint, content string, subject string")
+    texts = [r["content"] for r in personal.redact(df, people, secret="k").collect()]
+    assert len(set(texts)) == len(values) and all(re.fullmatch(r"We met at \d [A-Z][a-z]+ (?:Road|Lane) today\.", t) for t in texts)
+    assert not set(texts) & {f"We met at {v} today." for v in values}
+    found = personal.find_personal(df, people)
+    table = {r["value"]: r["surrogate"] for r in personal.surrogate_table(found, "k").collect()}
+    assert sorted(texts) == sorted(f"We met at {table[v]} today." for v in values)
+
+
+def test_surrogate_parts_of_names(spark):
+    kanji = "林森原堀関辻菅東西南北谷畑岡堺島浜沢石川木山"
+    names = [f"{c}. Hill" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"] + [f"{k} 沙織" for k in kanji] + ["Anna Hill", "Anna", "Hill"]
+    rows = spark.createDataFrame([("name", n) for n in names], "kind string, value string")
+    t = {r["value"]: r["surrogate"] for r in personal.surrogate_table(rows, "k").collect()}
+    assert len(set(t.values())) == len(names)
+    assert t["Anna Hill"] == f"{t['Anna']} {t['Hill']}" and {t[f"{c}. Hill"].split(" ")[1] for c in "AZ"} == {t["Hill"]}
+    assert len({t[f"{k} 沙織"].split(" ")[1] for k in kanji}) == 1 and not {t[f"{k} 沙織"][0] for k in kanji} & set(kanji)
+    with pytest.raises(ValueError, match="collide"):
+        personal.surrogate_table(rows, "k", rounds=1)
+
+
 def test_surrogate_keeps_form():
     for kind, value in (("phone", "+44 (0)20 7946 0246"), ("id_number", "QQ 27 78 01 D"), ("phone", "03-0479-9135")):
         s = personal.surrogate("k", kind, value)
