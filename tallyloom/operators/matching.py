@@ -65,10 +65,11 @@ def candidates(left: DataFrame, right: DataFrame, *, on: list[str], left_id: str
     r_ = right.where(F.col(right_date).isNotNull()).select(right_id, *on, F.col(right_date).cast("date").alias("_d"))
     both = l_.select(left_id, *on, "_d", F.lit(1).alias("_left")).unionByName(r_.select(*on, "_d", F.lit(0).alias("_left")), allowMissingColumns=True)
     place = F.sum(1 - F.col("_left")).over(Window.partitionBy(*on).orderBy("_d", "_left").rowsBetween(Window.unboundedPreceding, 0))
-    placed = both.withColumn("_at", place).where("_left = 1").select(left_id, *on, "_d", "_at")
+    size = F.sum(1 - F.col("_left")).over(Window.partitionBy(*on))
+    placed = both.withColumn("_at", place).withColumn("_size", size).where("_left = 1").select(left_id, *on, "_d", "_at", "_size")
     number = lambda *o: F.row_number().over(Window.partitionBy(*on).orderBy("_d", *o)).cast("bigint")
     before = placed.withColumn("_rn", F.explode(F.sequence(F.greatest(F.col("_at") - top + 1, F.lit(1)), F.greatest(F.col("_at"), F.lit(1))))).where("_rn <= _at")
-    after = placed.withColumn("_rn", F.explode(F.sequence(F.col("_at") + 1, F.col("_at") + top)))
+    after = placed.withColumn("_rn", F.explode(F.sequence(F.least(F.col("_at") + 1, F.col("_size")), F.least(F.col("_at") + top, F.col("_size"))))).where("_rn > _at")
     # rows of one date: the smaller id is the nearer one on both sides
     near = before.join(r_.withColumn("_rn", number(F.desc(right_id))).withColumnRenamed("_d", "_e"), [*on, "_rn"])
     near = near.unionByName(after.join(r_.withColumn("_rn", number(F.asc(right_id))).withColumnRenamed("_d", "_e"), [*on, "_rn"]))

@@ -234,10 +234,20 @@ j as (select line, c.o_orderkey cand, abs(date_diff('day', c.od, s)) gap from l
 r as (select *, gap <= 60 near, row_number() over (partition by line order by (gap <= 60) desc, gap, cand) rk, max(gap <= 60) over (partition by line) any_near from j)
 select line, cand, gap::int gap, case when near then 'strict' else 'fallback' end stage, rk::int as rank from r where rk <= 5 and (near or not any_near)""")
 def candidate_join(spark, d):
+    return _candidates(spark, d, table(spark, d, "lineitem").where("l_quantity >= 45"), top=5)
+
+
+@query()
+def candidate_join_all(spark, d):
+    """Every line, thirty candidates each."""
+    return _candidates(spark, d, table(spark, d, "lineitem"), top=30)
+
+
+def _candidates(spark, d, lines, top):
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("od"))
-    li = table(spark, d, "lineitem").where("l_quantity >= 45").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), F.col("l_orderkey").alias("o_orderkey"), F.col("l_shipdate").cast("date").alias("s"))
+    li = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), F.col("l_orderkey").alias("o_orderkey"), F.col("l_shipdate").cast("date").alias("s"))
     left = li.join(o.select("o_orderkey", "o_custkey"), "o_orderkey").select("line", "s", "o_custkey")
-    return matching.candidates(left, o.withColumnRenamed("o_orderkey", "cand"), on=["o_custkey"], left_id="line", right_id="cand", left_date="s", right_date="od", days=60, top=5)
+    return matching.candidates(left, o.withColumnRenamed("o_orderkey", "cand"), on=["o_custkey"], left_id="line", right_id="cand", left_date="s", right_date="od", days=60, top=top)
 
 
 @query("select c_custkey k, 'no order' side from customer where c_custkey not in (select o_custkey from orders) union all select distinct o_custkey, 'no customer' from orders where o_custkey not in (select c_custkey from customer)")
@@ -251,8 +261,18 @@ def orphan_report(spark, d):
 with a as (select o_orderkey, round(o_totalprice)::bigint v from orders where o_orderstatus = 'P'), b as (select l_orderkey * 10 + l_linenumber line, round(l_extendedprice)::bigint w from lineitem where l_quantity = 50)
 select o_orderkey, line, v - w diff from a join b on abs(v - w) <= 3""")
 def tolerance_join(spark, d):
-    a = table(spark, d, "orders").where("o_orderstatus = 'P'").select("o_orderkey", F.round("o_totalprice").cast("bigint").alias("v"))
-    b = table(spark, d, "lineitem").where("l_quantity = 50").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), F.round("l_extendedprice").cast("bigint").alias("w"))
+    return _near_amounts(table(spark, d, "orders").where("o_orderstatus = 'P'"), table(spark, d, "lineitem").where("l_quantity = 50"))
+
+
+@query()
+def tolerance_join_all(spark, d):
+    """Every order and every line."""
+    return _near_amounts(table(spark, d, "orders"), table(spark, d, "lineitem"))
+
+
+def _near_amounts(orders, lines):
+    a = orders.select("o_orderkey", F.round("o_totalprice").cast("bigint").alias("v"))
+    b = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), F.round("l_extendedprice").cast("bigint").alias("w"))
     return matching.near_amounts(a, b, left_id="o_orderkey", right_id="line", left_amount="v", right_amount="w", tolerance=3)
 
 

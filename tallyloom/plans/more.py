@@ -94,6 +94,14 @@ def equal_groups(spark, d):
     return matching.pair_equal_groups(a, b, keys=["k"], left_id="l", right_id="r", value="v")
 
 
+@query()
+def equal_groups_all(spark, d):
+    """Every part, in groups of brand, type and size, paired by price."""
+    p = table(spark, d, "part")
+    side = lambda n, c: p.where(F.col("p_partkey") % 2 == n).select("p_brand", "p_type", "p_size", F.col("p_partkey").alias(c), F.col("p_retailprice").alias("v"))
+    return matching.pair_equal_groups(side(0, "l"), side(1, "r"), keys=["p_brand", "p_type", "p_size"], left_id="l", right_id="r", value="v")
+
+
 @query("""
 with b as (select o_custkey, (floor(sum(o_totalprice::decimal(18,2)) / 1000) * 1000)::bigint t from orders group by 1), c as (select l_orderkey cover, (floor(sum(l_extendedprice::decimal(18,2)) / 1000) * 1000)::bigint t from lineitem group by 1)
 select cover, o_custkey, t total from (select *, row_number() over (partition by t order by cover) rn from c) x join (select *, row_number() over (partition by t order by o_custkey) rn from b) y using (t, rn)""")
