@@ -116,7 +116,8 @@ def _count_units(rows: DataFrame) -> DataFrame:
 
 
 def _prefix_counts(tails: DataFrame, all_units: DataFrame) -> DataFrame:
-    """For each distinct tail the occurrences of units it is a strict prefix of: (tail, longer).
+    """For each distinct tail the occurrences of units it is a strict prefix of: (tail, longer, inside),
+    ``inside`` those that go on within the tail's last word.
 
     For each band of lengths the units are first counted by their beginning, one
     character longer than the band; a beginning then learns by its key which lengths
@@ -129,11 +130,12 @@ def _prefix_counts(tails: DataFrame, all_units: DataFrame) -> DataFrame:
         sizes = of_band.select(F.substring("tail", 1, low).alias("key"), size.alias("size")).groupBy("key").agg(F.collect_set("size").alias("sizes"))  # at most one entry for each length
         heads = all_units.select(F.substring("unit", 1, high + 1).alias("head"), "n").groupBy("head").agg(F.sum("n").alias("n")) if high else all_units.select(F.col("unit").alias("head"), "n")
         met = heads.where(F.length("head") > low).withColumn("key", F.substring("head", 1, low)).join(sizes, "key").select("head", "n", F.explode("sizes").alias("size"))
-        parts.append(met.where(F.length("head") > F.col("size")).select(F.expr("substring(head, 1, size)").alias("tail"), "n"))
+        within = F.expr("substring(head, size, 2)").rlike(r"^[\p{L}\p{M}]{2}$")
+        parts.append(met.where(F.length("head") > F.col("size")).select(F.expr("substring(head, 1, size)").alias("tail"), "n", F.when(within, F.col("n")).otherwise(0).alias("inside")))
     prefixes = parts[0]
     for p in parts[1:]:
         prefixes = prefixes.unionByName(p)
-    return prefixes.groupBy("tail").agg(F.sum("n").alias("longer"))
+    return prefixes.groupBy("tail").agg(F.sum("n").alias("longer"), F.sum("inside").alias("inside"))
 
 
 def _pair_counts(tails: DataFrame, all_units: DataFrame) -> DataFrame:
@@ -165,22 +167,24 @@ def cut_tails(counted: DataFrame) -> DataFrame:
     open_tails = cut(whole.where(F.col("last") & ~F.col("unit").rlike(_END)).select(F.col("unit").alias("tail"), F.col("n").alias("whole")))
     longer = _prefix_counts(open_tails, whole.select("unit", "n"))
     pairs = _pair_counts(open_tails, whole.select("unit", "n"))
-    return open_tails.join(longer, "tail", "left").join(pairs, "tail", "left").na.fill(0, ["longer", "pair_on", "pair_end"])
+    return open_tails.join(longer, "tail", "left").join(pairs, "tail", "left").na.fill(0, ["longer", "inside", "pair_on", "pair_end"])
 
 
 def judge(counts: DataFrame) -> DataFrame:
     """Distinct tails that are cut.
 
     A cut tail goes on elsewhere (a longer copy, or its last two words inside longer
-    units) and is hardly ever a whole end.
+    units) and is hardly ever a whole end. A copy that goes on within the last word is
+    enough, however rare the word is; else the word pair must occur often enough.
     """
-    whole, longer, on, end = (F.col(c) for c in ("whole", "longer", "pair_on", "pair_end"))
+    whole, longer, inside, on, end = (F.col(c) for c in ("whole", "longer", "inside", "pair_on", "pair_end"))
     spaced = F.col("tail").rlike(r"\s")
     cjk = F.col("tail").rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー]$")
     others = end - F.least(whole, F.lit(2))  # a tail, or its row ingested twice, is no evidence for itself
     by_pair = (on >= LEAST_ON) & (others < WHOLE_SHARE * (on + others))
     by_copy = (longer > 0) & (whole < F.when(cjk, WHOLE_SHARE_CJK).otherwise(WHOLE_SHARE) * (whole + longer))
-    return counts.where(F.when(spaced, by_pair & ((longer > 0) | (whole < 3) | (whole < WHOLE_SHARE * on))).otherwise(by_copy))
+    by_word = (inside > 0) & ((whole < 3) | (whole < WHOLE_SHARE * (whole + inside))) & ((others <= 0) | (others < WHOLE_SHARE * (on + others))) & ~cjk
+    return counts.where(F.when(spaced, by_word | (by_pair & ((longer > 0) | (whole < 3) | (whole < WHOLE_SHARE * on)))).otherwise(by_copy))
 
 
 def _or(c: Column | None, value: bool) -> Column:

@@ -271,6 +271,12 @@ def test_truncated(spark):
     assert rates == {"odd": (11, 6), "whole": (60, 0)}
 
 
+def test_truncated_inside_a_rare_word(spark):
+    texts = ["Subject: AW: Northfield lease", "Subject: AW: Northfie", "It is fixed, please reload", "It is fixed, please reload the page.", "See the north fence", "See the north fences there.", "Nothing beside the north fence"]
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "_id bigint, content string, links array<string>")
+    assert {r["_id"] for r in truncated.truncated(df).collect()} == {1}
+
+
 def test_prefix_counts_equal_brute_force(spark):
     rng = random.Random(5)
     units = list({"".join(rng.choices("ab ", k=rng.randrange(1, 50))) for _ in range(300)})
