@@ -40,21 +40,22 @@ def p7_rates(spark, d):
 
 
 def _whole_transcripts(spark, d):
-    """Meeting rows whose content is not cut; a cut is judged against the texts of all sources."""
+    """All meeting rows, and those whose content is not cut; a cut is judged against the texts of all sources."""
     raw = table(spark, d, "raw").select("_id", "source", "content", "name")
     meeting = F.coalesce(F.col("source") == "meeting", F.lit(False))
     cut = cut_texts(raw, id_col="_id", text_col="content", transcript=meeting, of=meeting)
-    return raw.where(meeting).join(cut.withColumnRenamed("id", "_id"), "_id", "left_anti")
+    return raw.where(meeting), raw.where(meeting).join(cut.withColumnRenamed("id", "_id"), "_id", "left_anti")
 
 
 @query
 def p4_found(spark, d):
-    return speaker_turns(_whole_transcripts(spark, d), table(spark, d, "people")).select("_id", "turn", "speaker_no", "n_words")
+    return p4_turns(spark, d).select("_id", "turn", "speaker_no", "n_words")
 
 
 @query
 def p4_turns(spark, d):
-    return speaker_turns(_whole_transcripts(spark, d), table(spark, d, "people"))
+    all_, whole = _whole_transcripts(spark, d)
+    return speaker_turns(whole, table(spark, d, "people"), sample=all_)
 
 
 @query

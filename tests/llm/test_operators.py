@@ -166,6 +166,79 @@ def test_turns_ambiguous_label():
     assert [(n, w) for n, _, w in got] == [(1, ["a", "b"]), (2, ["c", "d"])]
 
 
+def _transcripts(rng, n):
+    names = [("anna", "hill"), ("robert", "stone"), ("berta", "stone"), ("carl", "weber"), ("dora", "lind")]
+    for _ in range(n):
+        people, lines, at, who, last = rng.sample(names, 3), [], 0.0, [], None
+        for _ in range(12):
+            s = rng.choice([p for p in people if p != last]) if last is None or rng.random() < 0.6 else last
+            at += rng.uniform(1, 3) if s == last else rng.uniform(5, 12)
+            lines.append((at, s, ["word"]))
+            who.append(s)
+            last = s
+        yield people, lines, who
+
+
+def test_fitted_turns_beat_label_forwarding():
+    rng = random.Random(4)
+    clock = lambda s: f"{int(s) // 60:02d}:{int(s) % 60:02d}"
+    sure = ["\n".join(f"00:{clock(at)} {' '.join(s).title()}: text" for at, s, _ in lines) for _, lines, _ in _transcripts(rng, 120)]
+    known = {"anna", "hill", "robert", "stone", "berta", "carl", "weber", "dora", "lind"}
+    # some labels of the sample are short, so that shortened ones are learnt
+    sample = [(t if i % 4 else t.replace("Carl Weber", "Carl"), None) for i, t in enumerate(sure)]
+    weights = turns.fit(turns.examples(sample, known, {})).tolist()
+    model = forward = total = 0
+    for people, lines, who in _transcripts(rng, 200):
+        full = {tuple(sorted(p)) for p in people}
+        rows = []
+        for k, (at, s, w) in enumerate(lines):
+            key = tuple(sorted(s))
+            rows.append((at, key if k < 6 else (s[1],), w))  # "Stone" may be either of two
+        speakers, kinds = turns.fits([k for _, k, _ in rows], sorted(full))
+        got = [speakers[x] for x in turns.segment(kinds, turns.borders(rows), weights)]
+        plain, last = [], None
+        for _, k, _ in rows:
+            fit = [s for s in speakers if turns._fits(k, s)]
+            last = fit[0] if len(fit) == 1 or last not in fit else last
+            plain.append(last)
+        true = [tuple(sorted(s)) for s in who]
+        total += len(true)
+        model += sum(a == b for a, b in zip(got, true, strict=True))
+        forward += sum(a == b for a, b in zip(plain, true, strict=True))
+    assert model > forward and model > 0.95 * total
+
+
+def test_every_transcript_is_searched(monkeypatch):
+    calls = []
+    real = turns.segment
+    monkeypatch.setattr(turns, "segment", lambda *a: calls.append(1) or real(*a))
+    turns.turns("[00:00:01] Anna Hill: a\n[00:00:02] Robert Stone: b", None, {"anna", "hill", "robert", "stone"}, {})
+    assert calls
+
+
+def test_segments_equal_brute_force():
+    import itertools
+
+    rng = random.Random(8)
+    for _ in range(30):
+        n, m = rng.randrange(1, 9), rng.randrange(1, 4)
+        kinds = [[rng.randrange(5) for _ in range(m)] for _ in range(n)]
+        at = [(1, *(rng.random() < 0.5 for _ in range(5))) for _ in range(n)]
+        w = [rng.uniform(-2, 2) for _ in turns.START]
+
+        def score(path, kinds=kinds, at=at, w=w):
+            total, run = 0.0, 0
+            for t, s in enumerate(path):
+                total += w[kinds[t][s]]
+                if t and path[t - 1] != s:
+                    total += sum(x for x, f in zip(w[5:11], at[t], strict=True) if f) + w[11 + min(run, turns.SPAN) - 1]
+                    run = 0
+                run += 1
+            return total + w[11 + min(run, turns.SPAN) - 1]
+
+        assert score(turns.segment(kinds, at, w)) == pytest.approx(max(map(score, itertools.product(range(m), repeat=n))))
+
+
 def test_speaker_turns_odd_rows(spark, people):
     df = spark.createDataFrame([(1, None, None, "x"), (2, "", "", None), (3, "[00:00:01] Anna: hi\n" * 2, None, "y")], "_id bigint, content string, name string, turn string")
     assert [tuple(r)[:5] for r in turns.speaker_turns(df, people).collect()] == [(3, 1, 1, "anna", 2)]
