@@ -16,8 +16,8 @@ in one key; the participants of the row and the table of people give the spellin
 
 Scale: one row is one transcript; no shuffle but the anti-join with cut rows. The
 table of people is small (checked) and goes with the tasks. The weights are fitted on
-the driver on :data:`SAMPLE` transcripts at most, those of the smallest hash of their
-id; every transcript is decoded.
+the driver on :data:`SAMPLE` transcripts at most, the first of the table; every
+transcript is decoded.
 
 Defined cases: null, empty and cue-less texts give no turn; cues of equal time keep
 their order in the text; a first cue without label has an unknown speaker; repeated
@@ -396,7 +396,7 @@ def speaker_turns(transcripts: DataFrame, people: DataFrame, *, id_col: str = "_
     rows = bounded_rows(people.select("name", "email"), PEOPLE_LIMIT, "people")
     kana = romaji([(r["name"], r["email"]) for r in rows])
     known = {p for r in rows if r["name"] for p in label_key(r["name"], kana)}
-    chosen = (transcripts if sample is None else sample).where(F.col(text_col) != "").orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE).select(text_col, name_col).collect()  # SAMPLE rows
+    chosen = (transcripts if sample is None else sample).where(F.col(text_col) != "").select(text_col, name_col).limit(SAMPLE).collect()
     weights = fit(examples([(r[0], r[1]) for r in chosen], known, kana)).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
