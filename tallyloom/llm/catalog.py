@@ -72,7 +72,7 @@ def p5_found(spark, d):
 
 @query
 def p6_found(spark, d):
-    return new_lines(table(spark, d, "raw").where(F.col("source") == "gmail").select("_id", "content")).select("_id", "line_no")
+    return new_lines(table(spark, d, "raw").where(F.col("source") == "gmail").select("_id", "content", "parents", "sender", "timestamp")).select("_id", "line_no")
 
 
 def _texts(spark, d):

@@ -7,6 +7,7 @@ import random
 import re
 from datetime import UTC, datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -322,11 +323,33 @@ def test_new_lines(text, want):
 
 
 def test_new_lines_odd_rows(spark):
-    df = spark.createDataFrame([(1, None, 1), (2, "", 2), (3, "Long text. " * 20000, 3)], "_id bigint, content string, line_no int")
+    df = spark.createDataFrame([(1, None, 1), (2, "", 2), (3, "Long text. " * 20000, 3)], "_id bigint, content string, line_no int").withColumn("parents", F.lit(None).cast("string")).withColumn("sender", F.lit("a")).withColumn("timestamp", F.lit(None).cast("timestamp"))
     assert [(r["_id"], r["line_no"]) for r in newtext.new_lines(df).collect()] == [(3, 1)]
+    assert [(r["_id"], r["line_no"]) for r in newtext.new_lines(df, thread_col=None).collect()] == [(3, 1)]
     assert newtext.new_lines(df.limit(0)).count() == 0
 
 
+def test_the_thread_proves_unmarked_history(spark):
+    old = "The February voucher of the Dunmoor branch is still open."
+    rows = [
+        (1, f"{old}\nPlease ask the leasing team again.", "t", "Anna <anna@x.example>", T0), (2, f"It was closed on Monday.\n{old}\nPlease ask the leasing team again.", "t", "bob@x.example", T0 + timedelta(hours=1)),
+        (3, old, "u", "bob@x.example", T0 + timedelta(hours=2)), (4, old, "t", "anna@x.example", T0 + timedelta(hours=3)), (5, old, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "_id bigint, content string, parents string, sender string, timestamp timestamp").withColumn("line", F.lit("clash"))
+    got = {}
+    for r in newtext.new_lines(df).collect():
+        got.setdefault(r["_id"], set()).add(r["line_no"])
+    # text of an earlier mail of the thread by another sender is not new; the sender's own, another thread's and threadless text is
+    assert got == {1: {1, 2}, 2: {1}, 3: {1}, 4: {1}, 5: {1}}
+
+
+def test_fitting_lines_learns_from_the_sample():
+    mails = [("Hi Bob,\n\nThe total is right.\n\nZdravim,\nAnna\nT 020 7946 0842", [])] * 30
+    model = newtext.self_trained(mails)
+    assert [i for i, x in enumerate(model.labels(mails[0][0].split("\n")), 1) if x == "new"][:2] == [1, 3]
+    assert np.abs(model.weights - newtext.LineModel().weights).max() > 0.1
+
+
 # cut texts
 
 
