@@ -405,6 +405,36 @@ def test_leaks(spark):
     assert _leaks(spark, texts[:0] or [None]) == set()
 
 
+PLAIN = "The lessee must keep every stair and corridor free of stored goods, must report any leak to the caretaker at once, and may not change locks without written consent from Oakmere."
+
+
+def test_items_without_figures():
+    ix = leaks.Index([(1, PLAIN), (2, "The tenant of Dunmoor may not keep dogs in Graywater. The tenant must pay in advance. The keys of the cellar lie with the caretaker of Silverton.")])
+    found = lambda t: [i for i, _ in ix.leaks(t)]
+    assert found(f"Before it. {PLAIN} After it.") == [1] and found(PLAIN.upper().replace(",", "")) == [1]
+    assert found(PLAIN.replace("stored", "heaped")) == [1]  # one changed word
+    assert found("The lessee must pay at once and may not change locks.") == []
+    # the same sentences with other names
+    assert found("The tenant of Oakmere may not keep dogs in Silverton. The keys of the cellar lie with the caretaker of Dunmoor.") == []
+
+
+def test_other_figures_are_no_leak():
+    item = "Vehicle 862202 has 1,166 entered for security patrol, yet the receipt from Moss End in Sorrel Hill states 4,195."
+    ix = leaks.Index([(1, item)])
+    assert [i for i, _ in ix.leaks(item)] == [1]
+    assert ix.leaks(item.replace("862202", "477127").replace("1,166", "25,298").replace("4,195", "59616")) == []
+
+
+def test_chain_equals_brute_force():
+    import itertools
+
+    rng = random.Random(2)
+    for _ in range(60):
+        hits = [(rng.randrange(5), rng.randrange(9), rng.randrange(1, 6)) for _ in range(rng.randrange(9))]
+        want = max((sum(h[2] for h in c) for k in range(len(hits) + 1) for c in itertools.combinations(sorted(hits), k) if all(a[0] < b[0] and a[1] < b[1] for a, b in zip(c, c[1:], strict=False))), default=0)
+        assert leaks.Index._chain(hits) == want
+
+
 # reading level
 
 
