@@ -6,10 +6,12 @@ text. Rarity has two sides: how rare a word is in the corpus (counted over all
 documents), and how demanding the graded texts are that use it. The second is
 cross-fitted, so that no graded text sees its own level.
 
-Scale: words are counted by (document, word) within each batch before the shuffle; only
-the counts of the words that occur in graded texts (a fixed vocabulary, checked) come to
-the driver, with one total. The model is fitted there on the graded texts and goes with
-the tasks; the documents are scored in one pass.
+Scale: words are counted in the JVM with map-side combine. Only words that make up at
+least one in :data:`RAREST` of all words come to the driver, so there can be no more than
+that many of them; a word below that share is as rare as the share, in every document
+alike. The model is fitted on the driver on the graded texts (checked) and goes with the
+tasks; the documents are scored in one pass, whose features are computed for a batch at
+a time.
 
 Defined cases: null and empty texts, texts of fewer than 40 blank-separated words and
 texts that are not mainly English have no row, whatever their language tag says; words
@@ -30,9 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.session import bounded_rows
+from tallyloom.session import bounded_rows, cut
 
-SAMPLE_LIMIT, WORD_LIMIT = 20_000, 200_000
+SAMPLE_LIMIT = 20_000
+#: A word is told from rarer ones down to a share of one in so many words; as many words at most have it.
+RAREST = 200_000
 LEAST_WORDS = 40
 #: Strength of the L2 penalty; folds of the cross-fitting; weight of the mean in a word's grade.
 PENALTY, FOLDS, SHRINK = 0.02, 10, 1.0
@@ -41,11 +45,13 @@ PENALTY, FOLDS, SHRINK = 0.02, 10, 1.0
 ENGLISH = set("the of and to in a is was for it that on with as by at from this which be had are were or an not we i has have they no after before all out over under into".split())
 GERMAN = set("der die das und ist nicht ein eine wird werden für auf mit von den dem des im zu über wir noch seit bitte sie an".split())
 OTHER = set("le la les des et est une dans pour que qui el los las una por con del il che di per non".split())
+GERMAN_ONLY, OTHER_ONLY = GERMAN - ENGLISH, OTHER - ENGLISH - GERMAN
 CONNECTIVES = set(
     "although because while whereas despite notwithstanding therefore however moreover furthermore nevertheless consequently thereby insofar inasmuch albeit irrespective provided assuming pending once unless until since though if when which who whose that".split()
 )
 SUBORDINATE = set("which who whose that although because while whereas insofar inasmuch albeit unless if when once provided assuming notwithstanding despite".split())
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
+_SENTENCES = re.compile(r"[.?!;]+(?:\s|$)|\n")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 
 
@@ -53,17 +59,18 @@ def words(text: str) -> list[str]:
     t = unicodedata.normalize("NFKC", text).translate({0x200B: None, 0xFEFF: None, 0xAD: None})
     if "<" in t:
         t = _TAG.sub(" ", t)
-    return [w.casefold() for w in _WORD.findall(t)]
+    return _WORD.findall(t.casefold())
 
 
-def is_english(text: str, ws: list[str]) -> bool:
+def is_english(text: str, ws: list[str], kinds: Counter[str] | None = None) -> bool:
     """Whether a text of enough words is mainly English."""
-    if len(text.split()) < LEAST_WORDS or not ws:
+    if not ws or len(text.split()) < LEAST_WORDS:
         return False
-    letters = sum(map(len, ws))
-    latin = sum(len(w) for w in ws if w.isascii())
-    n = Counter("e" if w in ENGLISH else "g" if w in GERMAN else "o" if w in OTHER else "" for w in ws)
-    return latin > 0.6 * letters and n["e"] > n["g"] + n["o"] and n["e"] >= 0.05 * len(ws)
+    joined = "".join(ws)
+    latin = len(joined) if joined.isascii() else sum(len(w) for w in ws if w.isascii())
+    get = (Counter(ws) if kinds is None else kinds).__getitem__
+    english, german, other = sum(map(get, ENGLISH)), sum(map(get, GERMAN_ONLY)), sum(map(get, OTHER_ONLY))
+    return latin > 0.6 * len(joined) and english > german + other and english >= 0.05 * len(ws)
 
 
 class Grades:
@@ -81,32 +88,72 @@ class Grades:
             by_length[min(len(w), 16)].append(g)
         self.by_length = {k: sum(v) / len(v) for k, v in by_length.items()}
         self.mean = mean
-        self.rarity = {w: -math.log((counts.get(w, 0) + 1) / (total + 1)) for w in self.grade}
-        self.rarest = math.log(total + 1)
-
-    def features(self, ws: list[str], text: str) -> list[float]:
-        n = len(ws)
-        g = [self.grade.get(w) or self.by_length.get(min(len(w), 16), self.mean) for w in ws]
-        content = [x for x, w in zip(g, ws, strict=True) if w not in ENGLISH] or g
-        length = [len(w) for w in ws]
-        kinds = Counter(ws)
-        at = np.quantile(content, (0.25, 0.5, 0.75))
-        sentences = max(1, len(re.findall(r"[.?!;]+(?:\s|$)|\n", text)))
-        return [
-            sum(content) / len(content),
-            *at,
-            *(sum(lo <= x < hi for x in content) / len(content) for lo, hi in ((0, 1.7), (1.7, 2.4), (2.4, 3.2), (3.2, 4.0), (4.0, 4.5), (4.5, 9))),
-            sum(length) / n,
-            sum(x >= 8 for x in length) / n,
-            sum(x >= 11 for x in length) / n,
-            len(kinds) / n**0.8,
-            sum(v == 1 for v in kinds.values()) / n**0.8,
-            sum(self.rarity.get(w, self.rarest) for w in ws) / n,
-            100 * sum(kinds[w] for w in CONNECTIVES) / n,
-            100 * (sum(kinds[w] for w in SUBORDINATE) + text.count(",")) / n,
-            math.log(n),
-            math.log(n / sentences),
-        ]
+        # one row for each word that is told from others: grade, rarity, and what it counts for
+        self.rarest = math.log(RAREST)
+        named = sorted(self.grade.keys() | counts.keys() | ENGLISH | CONNECTIVES | SUBORDINATE)
+        self.row = {w: i for i, w in enumerate(named)}
+        grade = [self.grade.get(w) or self._by_length(len(w)) for w in named]
+        rarity = [min(self.rarest, -math.log(max(counts.get(w, 0), 1e-9) / max(total, 1))) for w in named]
+        self.table = np.array([grade, rarity, [w not in ENGLISH for w in named], [w in CONNECTIVES for w in named], [w in SUBORDINATE for w in named]], float).T
+        self.lengths = np.array([self._by_length(k) for k in range(17)])
+
+    def _by_length(self, size: int) -> float:
+        return self.by_length.get(min(size, 16), self.mean)
+
+    def features(self, texts: list[tuple[list[str], str]], kinds: list[Counter[str]] | None = None) -> np.ndarray:
+        """One row for each (words, text); every text has a word."""
+        sizes = np.array([len(ws) for ws, _ in texts])
+        flat = [w for ws, _ in texts for w in ws]
+        row, length = self.row, np.fromiter(map(len, flat), np.int64, len(flat))
+        at = np.fromiter((row.get(w, -1) for w in flat), np.int64, len(flat))
+        known = at >= 0
+        values = self.table[at]
+        grade = np.where(known, values[:, 0], self.lengths[np.minimum(length, 16)])
+        rarity = np.where(known, values[:, 1], self.rarest)
+        content = ~known | (values[:, 2] > 0)
+        doc = np.repeat(np.arange(len(texts)), sizes)
+        n_docs = len(texts)
+        # texts of function words only: all their words are content
+        content |= (np.bincount(doc, content, n_docs) == 0)[doc]
+        c_doc, c_grade = doc[content], grade[content]
+        c_n = np.bincount(c_doc, minlength=n_docs)
+        order = np.lexsort((c_grade, c_doc))
+        ranked, starts = c_grade[order], np.concatenate([[0], np.cumsum(c_n)[:-1]])
+
+        def mean(x: np.ndarray) -> np.ndarray:
+            return np.bincount(doc, x, n_docs) / sizes
+
+        def quantile(q: float) -> np.ndarray:
+            place = q * (c_n - 1)
+            low = np.floor(place).astype(np.int64)
+            a, b = ranked[starts + low], ranked[starts + np.minimum(low + 1, c_n - 1)]
+            return a + (b - a) * (place - low)
+
+        def share(lo: float, hi: float) -> np.ndarray:
+            return np.bincount(c_doc, (lo <= c_grade) & (c_grade < hi), n_docs) / c_n
+
+        kinds = kinds or [Counter(ws) for ws, _ in texts]
+        sentences = np.array([max(1, len(_SENTENCES.findall(t))) for _, t in texts])
+        commas = np.array([t.count(",") for _, t in texts])
+        connective, subordinate = np.where(known, values[:, 3], 0), np.where(known, values[:, 4], 0)
+        return np.stack(
+            [
+                np.bincount(c_doc, c_grade, n_docs) / c_n,
+                *map(quantile, (0.25, 0.5, 0.75)),
+                *(share(lo, hi) for lo, hi in ((0, 1.7), (1.7, 2.4), (2.4, 3.2), (3.2, 4.0), (4.0, 4.5), (4.5, 9))),
+                mean(length),
+                mean(length >= 8),
+                mean(length >= 11),
+                np.array([len(k) for k in kinds]) / sizes**0.8,
+                np.array([sum(v == 1 for v in k.values()) for k in kinds]) / sizes**0.8,
+                mean(rarity),
+                100 * mean(connective),
+                100 * (mean(subordinate) + commas / sizes),
+                np.log(sizes),
+                np.log(sizes / sentences),
+            ],
+            axis=1,
+        )
 
 
 class OrdinalRegression:
@@ -146,51 +193,34 @@ class LevelModel:
     """Grades of words and the regression, fitted on graded texts."""
 
     def __init__(self, samples: list[tuple[str, int]], counts: dict[str, int], total: int):
-        graded = [(words(t), int(lv), t) for t, lv in samples]
-        x = np.zeros((0, 0))
+        graded = [(ws, int(lv), t) for t, lv in samples if (ws := words(t))]
         rows: list = [None] * len(graded)
         for f in range(FOLDS):
-            g = Grades([(ws, lv) for k, (ws, lv, _) in enumerate(graded) if k % FOLDS != f], counts, total)
-            for k, (ws, _, t) in enumerate(graded):
-                if k % FOLDS == f:
-                    rows[k] = g.features(ws, t)
+            held = [k for k in range(len(graded)) if k % FOLDS == f]
+            if held:
+                g = Grades([(ws, lv) for k, (ws, lv, _) in enumerate(graded) if k % FOLDS != f], counts, total)
+                for k, x in zip(held, g.features([(graded[k][0], graded[k][2]) for k in held]), strict=True):
+                    rows[k] = x
         x = np.array(rows)
         y = np.array([lv for _, lv, _ in graded])
         self.regression = OrdinalRegression().fit(x, y, int(y.max()))
         self.grades = Grades([(ws, lv) for ws, lv, _ in graded], counts, total)
 
-    def levels(self, texts: list[tuple[list[str], str]]) -> list[int]:
-        if not texts:
-            return []
-        return [int(v) for v in self.regression.predict(np.array([self.grades.features(ws, t) for ws, t in texts]))]
+    def levels(self, texts: list[tuple[list[str], str]], kinds: list[Counter[str]] | None = None) -> list[int]:
+        return self.regression.predict(self.grades.features(texts, kinds)).tolist() if texts else []
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``(word, n)`` over all documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            c: Counter[str] = Counter()
-            for t in b.column(0).to_pylist():
-                if t:
-                    c.update(words(t))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
-
-    return docs.select(text_col).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    text = F.lower(F.regexp_replace(F.regexp_replace(text_col, "[\u200b\ufeff\u00ad]", ""), _TAG.pattern, " "))
+    return docs.select(F.explode(F.regexp_extract_all(text, F.lit(r"(\p{L}+(?:['’-]\p{L}+)*)"), 1)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def fit(docs: DataFrame, samples: DataFrame, text_col: str = "text") -> LevelModel:
     rows = [(r["text"], r["level"]) for r in bounded_rows(samples.select("sample_id", "text", "level").orderBy("sample_id"), SAMPLE_LIMIT, "graded texts") if r["text"] and r["level"] is not None]
-    spark = docs.sparkSession
-    vocabulary = sorted({w for t, _ in rows for w in words(t)})
-    if len(vocabulary) > WORD_LIMIT:
-        raise ValueError("the graded texts have too many different words")
-    known = F.broadcast(spark.createDataFrame([(w,) for w in vocabulary], "word string"))
-    counted = word_counts(docs, text_col).join(known.withColumn("known", F.lit(True)), "word", "left")
-    counted = counted.groupBy(F.when(F.col("known"), F.col("word")).alias("word")).agg(F.sum("n").alias("n"))
-    counts = {r["word"]: r["n"] for r in counted.collect()}  # at most the vocabulary and one total
-    total = sum(counts.values())
-    counts.pop(None, None)
+    counted = cut(word_counts(docs, text_col))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    counts = {r["word"]: r["n"] for r in counted.where(F.col("n") * RAREST >= total).collect()}  # RAREST words at most
     return LevelModel(rows, counts, total)
 
 
@@ -200,12 +230,13 @@ def reading_levels(docs: DataFrame, samples: DataFrame, *, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, texts = [], []
+            at, texts, kinds = [], [], []
             for k, t in enumerate(b.column(1).to_pylist()):
-                if t and is_english(t, ws := words(t)):
+                if t and is_english(t, ws := words(t), seen := Counter(ws)):
                     at.append(k)
                     texts.append((ws, t))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(model.levels(texts), pa.int32())], names=[id_col, "level"])
+                    kinds.append(seen)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(model.levels(texts, kinds), pa.int32())], names=[id_col, "level"])
 
     key = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {key}, level int")
