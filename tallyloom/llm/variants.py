@@ -1,19 +1,24 @@
 """Variant spellings of names: each attached to the person or organisation it means.
 
-Method: noisy-channel attribution. The names of the table of people are the candidate
-canonical forms, ranked by how often they are written in the column. A spelling is
-explained by a channel: change of case or width, honorific or title, company in
+Method: noisy-channel attribution. The spellings of the column are counted; those that
+are names of the table of people are the canonical forms, ranked by how often they are
+written, and that count is the prior of whom they mean. A spelling is explained by a
+channel from a canonical form: change of case or width, honorific or title, company in
 brackets, reordered parts, initials, account handles, nicknames, romanisation, legal
-form or branch of an organisation, and typing errors (one edit, transpositions
-included). The posterior of a candidate is its frequency, overall and in the project
-of the row, times the likelihood of the channel, times what the row and its thread
-tell (an address or a full name of the candidate). A spelling goes to its maximum
-posterior; one that no channel explains means nobody of the table.
-
-Scale: the table of people is small (checked) and goes with the tasks. The channel is
-scored once for each distinct spelling; only spellings with rivals meet the evidence
-of their rows, by equality joins on (row, address), (thread, address) and
-(project, address). Frequencies are counted with map-side combine.
+form, branch or abbreviated words of an organisation, and typing errors (one edit,
+transpositions included). The probability of each of these changes, the share of values
+that mean nobody of the table, and the priors are learned from the column by expectation
+and maximisation over all candidates of all distinct spellings. The posterior of a
+candidate is its prior times the likelihood of its changes, times what the row, its
+thread and its project tell (an address or a full name of the candidate). A spelling
+goes to its maximum posterior; nobody competes with the probability of the letters.
+
+Scale: forms of people and analyses of distinct spellings meet by equality joins, typing
+errors by joins on the keys with one sign deleted; no index goes with the tasks but the
+romanisation of name parts and the company labels (people are checked to be few).
+Frequencies are counted with map-side combine; only spellings with rivals meet the
+evidence of their rows, by equality joins on (row, address), (thread, address) and
+(project, address). The driver gets one count for each kind of change.
 
 Defined cases: null, empty and blank values have no row; a value with an address is
 left out; equal spellings may mean different people in different rows; ties go to the
@@ -25,7 +30,6 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,12 +42,15 @@ from tallyloom.session import bounded_rows, cut
 
 PEOPLE_LIMIT = 50_000
 
-#: Log likelihoods of the channels.
-CHANNEL = {"case": -1.0, "order": -1.5, "title": -1.5, "initial": -2.5, "handle": -2.5, "nick": -2.0, "roman": -1.5, "typo": -3.5, "legal": -1.5, "part": -3.5}
+#: Kinds of changes; their probabilities before they are learned, and expectations added to the counts of each.
+CHANGES = ("case", "alias", "order", "title", "company", "initial", "handle", "nick", "roman", "typo", "legal", "branch", "short", "part")
+START, SMOOTH, ROUNDS = 0.07, 1.0, 3
+#: Log probability of a sign of a spelling that means nobody; of the place and sign of a typing error for each sign.
+SIGN, NOBODY = math.log(1 / 30), 0.05
 #: Evidence of the row, the thread and the project, as added log odds.
 IN_ROW, IN_THREAD, PROJECT_WEIGHT = 9.0, 3.0, 1.0
-#: Rivals this much less likely than the best channel are dropped.
-MARGIN = 4.0
+#: Signs from which a key is looked up with a typing error.
+LEAST_TYPO = 5
 
 # Short forms of given names, and honorifics.
 NICKNAMES = {
@@ -69,10 +76,6 @@ def tidy(text: str) -> str:
     return " ".join(t.split())
 
 
-def deletes(s: str) -> set[str]:
-    return {s} | {s[:i] + s[i + 1 :] for i in range(len(s))}
-
-
 def one_edit(a: str, b: str) -> bool:
     """Damerau-Levenshtein distance of at most one."""
     if a == b:
@@ -85,163 +88,219 @@ def one_edit(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i:] if len(a) > len(b) else a[i:] == b[i + 1 :]
 
 
-class Channel:
-    """Scores spellings against the people."""
+def label(company: str | None, email: str) -> str:
+    """What stands in brackets for the company of an address."""
+    return fold((company or email.split("@")[-1]).split(".")[0])
 
-    def __init__(self, people: list[dict]):
-        self.forms: dict[str, dict[str, float]] = defaultdict(dict)
-        self.typos: dict[str, set[tuple[str, str]]] = defaultdict(set)
-        self.labels: dict[str, str] = {}
-        self.names = {p["name"] for p in people if p["name"]}
-        kana = romaji([(p["name"], p["email"]) for p in people])
-        self.longest = 0
-        for p in people:
-            if p["name"] and p["email"]:
-                self.labels[p["email"]] = (p["company"] or p["email"].split("@")[-1]).split(".")[0].casefold()
-                self._person(p, kana)
 
-    def _add(self, form: str, email: str, ll: float, typo: bool = False) -> None:
-        f = fold(tidy(form))
-        if not f:
-            return
-        self.forms[f][email] = max(ll, self.forms[f].get(email, -99.0))
-        self.longest = max(self.longest, len(f))
-        if typo:
-            for d in deletes(f):
-                self.typos[d].add((f, email))
-
-    def _person(self, p: dict, kana: dict[str, str]) -> None:
-        name, email = tidy(p["name"]), p["email"]
-        parts = name.split(" ")
-        self._add(name, email, CHANNEL["case"], typo=True)
-        for a in p["aliases"] or []:
-            if a and a != p["name"]:
-                self._add(a, email, CHANNEL["initial"])
-        if _LEGAL_FORMS.search(name) or any(w.casefold().strip(".") in LEGAL for w in parts):
-            bare = _LEGAL_FORMS.sub("", name).strip()
-            self._add(bare, email, CHANNEL["legal"], typo=True)
-            return
-        if len(parts) != 2:
-            return
-        if re.search(r"[぀-鿿]", name):
-            sur, giv = parts
-            self._add(sur + giv, email, CHANNEL["case"])
-            if sur not in kana or giv not in kana:
-                return
-            given, surname = kana[giv], kana[sur]
-            self._add(sur, email, CHANNEL["part"])
-            self._add(giv, email, CHANNEL["part"])
-            roman = CHANNEL["roman"]
-        else:
-            given, surname = parts
-            roman = 0.0
-        full = [given, *NICKNAMES.get(fold(given), "").split()]
-        for k, g in enumerate(full):
-            nick = CHANNEL["nick"] if k else 0.0
-            self._add(f"{g} {surname}", email, roman + nick + CHANNEL["case"], typo=True)
-            for form in (f"{surname} {g}", f"{surname}, {g}"):
-                self._add(form, email, roman + nick + CHANNEL["order"], typo=True)
-            i = g[:1]
-            for form in (f"{i}. {surname}", f"{i} {surname}", f"{surname} {i}.", f"{surname} {i}", f"{surname}, {i}.", f"{g} {surname[:1]}.", f"{g} {surname[:1]}"):
-                self._add(form, email, roman + nick + CHANNEL["initial"])
-            a, s = fold(g), fold(surname)
-            for form in (a[:1] + s, f"{a}.{s[:1]}", f"{a}.{s}", f"{s}.{a[:1]}", f"{a[:1]}.{s}", f"{a}{s[:1]}", f"{a}_{s}", f"{s}{a[:1]}"):
-                self._add(form, email, roman + nick + CHANNEL["handle"])
-            self._add(g, email, roman + nick + CHANNEL["part"])
-        self._add(surname, email, roman + CHANNEL["part"])
-        self._add(email.split("@")[0], email, CHANNEL["handle"])
-
-    def candidates(self, value: str) -> list[tuple[str, float]]:
-        """(email, log likelihood) of the people whom a spelling may mean."""
-        text, company, extra = tidy(value), None, 0.0
-        if m := re.fullmatch(r"(.+?)\s*[(\[（]([^()\[\]（）]+)[)\]）]", text):
-            text, company, extra = m[1], m[2].casefold(), CHANNEL["title"]
-        if (t := _HONORIFIC.sub("", text)) != text:
-            text, extra = t, extra + CHANNEL["title"]
-        first, _, rest = text.partition(" ")
-        if rest and first.strip(".").casefold() in TITLES:
-            text, extra = rest, extra + CHANNEL["title"]
-        found = self._look_up(fold(text))
-        if not found:
-            found = {e: x + CHANNEL["title"] for e, x in self._organisation(text).items()}
-        if company:
-            key = fold(company)
-            found = {e: x for e, x in found.items() if self.labels.get(e, "") == key} or ({} if key in set(self.labels.values()) else found)
-        return [(e, x + extra) for e, x in found.items()]
-
-    def _look_up(self, f: str) -> dict[str, float]:
-        if f in self.forms:
-            return dict(self.forms[f])
-        out: dict[str, float] = {}
-        if 5 <= len(f) <= self.longest + 1:
-            for d in deletes(f):
-                for form, email in self.typos.get(d, ()):
-                    if one_edit(f, form):
-                        out[email] = max(out.get(email, -99.0), CHANNEL["typo"] + self.forms[form][email])
+def forms(name: str | None, email: str | None, aliases: list[str] | None, kana: dict[str, str]) -> dict[str, tuple[tuple[str, ...], bool]]:
+    """Keys under which a row of the people may be written: changes made, and whether typing errors are sought."""
+    out: dict[str, tuple[tuple[str, ...], bool]] = {}
+    if not name or not email:
         return out
 
-    def _organisation(self, text: str) -> dict[str, float]:
-        """Legal form dropped or spelled out, branch named, parts reordered or cut short."""
-        branch = re.sub(r"\s+[-–]\s+[^-–]+$", "", text)
-        bare = _LEGAL_FORMS.sub("", branch).strip(" ,")
-        tries = [branch, bare]
-        if m := re.fullmatch(r"(.+?),\s*(.+)", bare):
-            tries.append(f"{m[2]} {m[1]}")
-        for t in tries:
-            if found := self._look_up(fold(t)):
-                return found
+    def add(form: str, *changes: str, typo: bool = False) -> None:
+        f = fold(tidy(form))
+        if f and (f not in out or len(changes) < len(out[f][0])):
+            out[f] = (changes, typo or (f in out and out[f][1]))
+
+    whole = tidy(name)
+    parts = whole.split(" ")
+    add(whole, "case", typo=True)
+    for a in aliases or []:
+        if a and a != name:
+            add(a, "alias")
+    if _LEGAL_FORMS.search(whole) or any(w.casefold().strip(".") in LEGAL for w in parts):
+        bare = _LEGAL_FORMS.sub("", whole).strip()
+        add(bare, "legal", typo=True)
         words = fold(bare).split()
-        if any(w.endswith(".") for w in words):
-            out = {}
-            for form, people in self.forms.items():
-                full = form.split()
-                at, good = 0, bool(full) and len(words) <= len(full)
-                for w in words:
-                    k = next((k for k in range(at, len(full)) if (full[k].startswith(w[:-1]) if w.endswith(".") else full[k] == w)), None)
-                    if k is None:
-                        good = False
-                        break
-                    at = k + 1
-                if good and len(words) >= 2 and full[0] == words[0]:
-                    out |= {e: CHANNEL["part"] + x for e, x in people.items()}
+        for w in words[1:]:
+            out.setdefault(f"{_SHORT}{words[0]}|{w[0]}", (("short",), False))
+        return out
+    if len(parts) != 2:
+        return out
+    roman: tuple[str, ...] = ()
+    if re.search(r"[぀-鿿]", whole):
+        sur, giv = parts
+        add(sur + giv, "case")
+        if sur not in kana or giv not in kana:
             return out
-        return {}
-
-
-def candidate_table(values: DataFrame, people: list[dict], prior: dict[str, float]) -> DataFrame:
-    """Distinct spellings to (value, email, score): channel likelihood plus log frequency."""
-    channel = Channel(people)
+        given, surname = kana[giv], kana[sur]
+        add(sur, "part")
+        add(giv, "part")
+        roman = ("roman",)
+    else:
+        given, surname = parts
+    for k, g in enumerate([given, *NICKNAMES.get(fold(given), "").split()]):
+        by = (*roman, "nick") if k else roman
+        add(f"{g} {surname}", *(by or ("case",)), typo=True)
+        for form in (f"{surname} {g}", f"{surname}, {g}"):
+            add(form, *by, "order", typo=True)
+        i = g[:1]
+        for form in (f"{i}. {surname}", f"{i} {surname}", f"{surname} {i}.", f"{surname} {i}", f"{surname}, {i}.", f"{g} {surname[:1]}.", f"{g} {surname[:1]}"):
+            add(form, *by, "initial")
+        a, s = fold(g), fold(surname)
+        for form in (a[:1] + s, f"{a}.{s[:1]}", f"{a}.{s}", f"{s}.{a[:1]}", f"{a[:1]}.{s}", f"{a}{s[:1]}", f"{a}_{s}", f"{s}{a[:1]}"):
+            add(form, *by, "handle")
+        add(g, *by, "part")
+    add(surname, *roman, "part")
+    add(email.split("@")[0], "handle")
+    return out
+
+
+#: Marks keys of organisations with abbreviated words: first word and a letter of a later one.
+_SHORT = "\x1f"
+
+
+def analyses(value: str, labels: set[str]) -> list[tuple[str, tuple[str, ...], str | None, str]]:
+    """(key, changes taken back, company, text) under which a spelling is looked up."""
+    text, company, extra = tidy(value), None, []
+    if m := re.fullmatch(r"(.+?)\s*[(\[（]([^()\[\]（）]+)[)\]）]", text):
+        text, company = m[1], fold(m[2])
+        extra.append("company")
+    if (t := _HONORIFIC.sub("", text)) != text:
+        text = t
+        extra.append("title")
+    first, _, rest = text.partition(" ")
+    if rest and first.strip(".").casefold() in TITLES:
+        text = rest
+        extra.append("title")
+    company = company if company in labels else None
+    branch = re.sub(r"\s+[-–]\s+[^-–]+$", "", text)
+    bare = _LEGAL_FORMS.sub("", branch).strip(" ,")
+    found: dict[str, tuple[str, ...]] = {}
+    for t, changes in ((text, ()), (branch, ("branch",)), (bare, ("branch",) if bare == branch != text else ("legal",) if branch == text else ("branch", "legal"))):
+        found.setdefault(fold(t), changes)
+    if m := re.fullmatch(r"(.+?),\s*(.+)", bare):
+        found.setdefault(fold(f"{m[2]} {m[1]}"), ("order",))
+    out = [(k, (*extra, *changes), company, k) for k, changes in found.items() if k]
+    words = fold(bare).split()
+    if len(words) >= 2 and any(w.endswith(".") for w in words):
+        out.append((f"{_SHORT}{words[0]}|{words[1][0]}", tuple(extra), company, " ".join(words)))
+    return out
+
+
+def _form_table(people: DataFrame, kana: dict[str, str]) -> DataFrame:
+    """``(key, email, f_changes, typo, label, full)`` of every form; ``full`` the bare name of an organisation."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for v in b.column(0).to_pylist():
-                found = channel.candidates(v)
-                if found:
-                    top = max(x for _, x in found)
-                    out += [{"value": v, "email": e, "score": x + prior.get(e, 0.0)} for e, x in found if x >= top - MARGIN]
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("value", pa.string()), ("email", pa.string()), ("score", pa.float64())]))
+            out: tuple[list, ...] = ([], [], [], [], [], [])
+            for name, email, aliases, company in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for k, (changes, typo) in forms(name, email, aliases, kana).items():
+                    for c, v in zip(out, (k, email, list(changes), typo, label(company, email), fold(_LEGAL_FORMS.sub("", tidy(name)).strip()) if k[0] == _SHORT else None), strict=True):
+                        c.append(v)
+            types = (pa.string(), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["key", "email", "f_changes", "typo", "label", "full"])
 
-    return values.mapInArrow(run, "value string, email string, score double")
+    return people.select("name", "email", "aliases", "company").mapInArrow(run, "key string, email string, f_changes array<string>, typo boolean, label string, full string")
 
 
-def attribute(df: DataFrame, people: DataFrame, *, id_col: str = "_id", fields: dict[str, str], address_cols: list[str], thread_col: str = "parents", group_col: str = "project") -> DataFrame:
-    """``(id_col, field, pos, email)`` of each value that means somebody in another spelling."""
-    persons = [r.asDict() for r in bounded_rows(people.select("name", "email", "aliases", "company"), PEOPLE_LIMIT, "people")]
-    by_name = {p["name"]: p["email"] for p in persons if p["name"] and p["email"]}
+def _analysis_table(spellings: DataFrame, labels: set[str]) -> DataFrame:
+    """Distinct (value, n) to ``(value, n, signs, key, a_changes, company, text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, out = [], ([], [], [], [], [])
+            for i, v in enumerate(b.column(0).to_pylist()):
+                signs = len(tidy(v))
+                for key, changes, company, text in analyses(v, labels):
+                    at.append(i)
+                    for c, x in zip(out, (signs, key, list(changes), company, text), strict=True):
+                        c.append(x)
+            types = (pa.int32(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string())
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=["value", "n", "signs", "key", "a_changes", "company", "text"])
+
+    return spellings.select("value", "n").mapInArrow(run, "value string, n bigint, signs int, key string, a_changes array<string>, company string, text string")
+
+
+def _deleted(df: DataFrame) -> DataFrame:
+    """Each key as it is (``at`` 0) and with the sign at ``at`` deleted (``gone``)."""
+    at = F.explode(F.sequence(F.lit(0), F.length("key")))
+    d = df.withColumn("at", at)
+    rest = F.when(F.col("at") == 0, F.col("key")).otherwise(F.concat(F.expr("substring(key, 1, at - 1)"), F.expr("substring(key, at + 1)")))
+    return d.withColumn("d", F.xxhash64(rest)).withColumn("gone", F.expr("substring(key, at, 1)"))
+
+
+def candidate_table(spellings: DataFrame, people: DataFrame, kana: dict[str, str], labels: set[str]) -> DataFrame:
+    """``(value, n, signs, email, changes)``: whom each distinct spelling may mean, and by which changes."""
+    form = cut(_form_table(people, kana))
+    look = cut(_analysis_table(spellings, labels))
+    fits = F.col("company").isNull() | (F.col("company") == F.col("label"))
+    short = F.col("key").startswith(_SHORT)
+    # the words of an abbreviated organisation follow those of the full name in order, each a beginning where it ends in a dot
+    words = F.regexp_replace(F.regexp_replace("text", r"([^\w\s.])", r"\\$1"), r"\.(?=\s|$)", r"\\S*")
+    pattern = F.concat(F.lit("^"), F.regexp_replace(words, r"\s+", r"(?: \\S+)* "), F.lit(r"(?: \S+)*$"))
+    met = look.join(form, "key").where(fits & (~short | F.coalesce(F.call_function("rlike", F.col("full"), pattern), F.lit(False))))
+    met = met.select("value", "n", "signs", "email", F.concat("a_changes", "f_changes").alias("changes"))
+    typed = lambda d: d.where((F.length("key") >= LEAST_TYPO) & ~short)
+    a = _deleted(typed(look)).withColumnsRenamed({"key": "a_key", "at": "a_at", "gone": "a_gone"})
+    b = _deleted(typed(form).where("typo")).select("d", "email", "f_changes", "label", F.col("key").alias("b_key"), F.col("at").alias("b_at"), F.col("gone").alias("b_gone"))
+    # one sign changed at one place, left out or added, or two neighbours exchanged
+    edit = (F.col("a_key") != F.col("b_key")) & ((F.col("a_at") == F.col("b_at")) | (F.col("a_at") * F.col("b_at") == 0) | ((F.abs(F.col("a_at") - F.col("b_at")) == 1) & (F.col("a_gone") == F.col("b_gone"))))
+    errors = a.join(b, "d").where(edit & fits).select("value", "n", "signs", "email", F.concat("a_changes", "f_changes", F.array(F.lit("typo"))).alias("changes"))
+    # of several ways from one person the shortest stands
+    way = F.min(F.struct(F.size("changes").alias("k"), "changes"))
+    return met.unionByName(errors.distinct()).groupBy("value", "n", "signs", "email").agg(way.alias("w")).select("value", "n", "signs", "email", F.col("w.changes").alias("changes"))
+
+
+def _scored(cands: DataFrame, prior: DataFrame, p: dict[str, float], total: float) -> DataFrame:
+    """Candidates with ``score``, the log of prior times likelihood, and ``nobody``, that of no candidate."""
+    likelihood = F.lit(0.0)
+    for c in CHANGES:
+        cost = F.lit(math.log(p[c]))
+        if c == "typo":  # which of its places, and which sign
+            cost = cost - F.log(F.greatest(F.col("signs"), F.lit(1)) * 30.0)
+        likelihood = likelihood + F.when(F.array_contains("changes", c), cost).otherwise(0.0)
+    c = cands.join(prior, "email", "left")
+    return c.withColumn("score", F.log((F.coalesce("c", F.lit(0.0)) + SMOOTH) / total) + likelihood).withColumn("nobody", F.lit(math.log(p["nobody"])) + F.col("signs") * SIGN)
+
+
+def learn(cands: DataFrame, known: DataFrame, values: int) -> tuple[DataFrame, dict[str, float], float]:
+    """Priors (email, c) and probabilities of the changes by expectation and maximisation.
+
+    ``known``: (email, c) of the spellings that are the name itself; ``values``: number of
+    all values. Equal spellings are weighed by their number.
+    """
+    p = dict.fromkeys(CHANGES, START) | {"nobody": NOBODY}
+    prior = known
+    of = Window.partitionBy("value")
+    for _ in range(ROUNDS):
+        s = _scored(cands, prior, p, values + 1.0)
+        top = F.greatest(F.max("score").over(of), F.col("nobody"))
+        share = F.exp(F.col("score") - F.col("top")) / (F.sum(F.exp(F.col("score") - F.col("top"))).over(of) + F.exp(F.col("nobody") - F.col("top")))
+        post = cut(s.withColumn("top", top).select("email", "changes", (share * F.col("n")).alias("w")))
+        n = {r["change"]: r["w"] for r in post.select(F.explode(F.concat("changes", F.array(F.lit("all")))).alias("change"), "w").groupBy("change").agg(F.sum("w").alias("w")).collect()}  # one row a change
+        meant = n.get("all", 0.0)
+        p = {c: (n.get(c, 0.0) + SMOOTH * START) / (meant + SMOOTH) for c in CHANGES}
+        p["nobody"] = min(0.9, max(1e-4, (values - meant + SMOOTH * NOBODY) / (values + SMOOTH)))
+        prior = cut(known.select("email", "c").unionByName(post.select("email", F.col("w").alias("c"))).groupBy("email").agg(F.sum("c").alias("c")))
+    return prior, p, values + 1.0
+
+
+def attribute(df: DataFrame, people: DataFrame, *, id_col: str = "_id", fields: dict[str, str], address_cols: list[str], thread_col: str = "parents", group_col: str = "project", use_prior: bool = True) -> DataFrame:
+    """``(id_col, field, pos, email)`` of each value that means somebody in another spelling.
+
+    ``use_prior``: False takes every candidate for equally frequent (to measure the prior).
+    """
+    persons = [r.asDict() for r in bounded_rows(people.select("name", "email", "company"), PEOPLE_LIMIT, "people")]
+    kana = romaji([(p["name"], p["email"]) for p in persons])
+    labels = {label(p["company"], p["email"]) for p in persons if p["name"] and p["email"]}
     emails = people.select(F.lower("email").alias("lower"), F.col("email").alias("email")).where(F.col("email").isNotNull()).distinct()
     values = cut(all_values(df, id_col=id_col, fields=fields).drop("entry").where(~F.col("value").contains("@")))
-    exact = people.select(F.col("name").alias("value"), "email").where(F.col("value").isNotNull()).dropDuplicates(["value"])
-    known = values.join(F.broadcast(exact), "value")
-    # a name of the table written often is a likelier meaning; as many rows as people
-    counts = {r["email"]: r["n"] for r in known.groupBy("email").agg(F.count("*").alias("n")).collect()}
-    total = sum(counts.values()) + len(by_name)
-    prior = {p["email"]: math.log((counts.get(p["email"], 0) + 1) / total) for p in persons if p["email"]}
-    other = values.join(F.broadcast(exact.select("value")), "value", "left_anti")
-    cands = cut(candidate_table(other.select("value").distinct(), persons, prior))
+    exact = people.select(F.col("name").alias("value"), "email").where(F.col("value").isNotNull() & F.col("email").isNotNull()).groupBy("value").agg(F.min("email").alias("email"))
+    spellings = cut(values.groupBy("value").agg(F.count("*").alias("n")).join(exact, "value", "left"))
+    counted = spellings.agg(F.sum("n"), F.sum(F.when(F.col("email").isNotNull(), F.col("n")))).first()
+    known_n = spellings.where(F.col("email").isNotNull()).groupBy("email").agg(F.sum("n").cast("double").alias("c"))
+    cands = cut(candidate_table(spellings.where(F.col("email").isNull()), people, kana, labels))
+    prior, p, total = learn(cands, known_n, counted[0] or 0)
+    cands = cut(_scored(cands, prior if use_prior else prior.withColumn("c", F.lit(0.0)), p, total).select("value", "email", "score", "nobody"))
+    known = values.join(exact, "value")
     rivals = cands.groupBy("value").agg(F.count("*").alias("rivals"))
-    sure = other.join(cands.join(rivals.where("rivals = 1"), "value"), "value").select(id_col, "field", "pos", "email")
-    open_ = cut(other.join(rivals.where("rivals > 1").select("value"), "value", "left_semi").join(df.select(id_col, F.col(thread_col).alias("thread"), F.col(group_col).alias("grp")), id_col))
+    one = cands.join(rivals.where("rivals = 1").select("value"), "value", "left_semi").where("score > nobody")
+    sure = values.join(one, "value").select(id_col, "field", "pos", "email")
+    open_ = cut(values.join(rivals.where("rivals > 1").select("value"), "value", "left_semi").join(df.select(id_col, F.col(thread_col).alias("thread"), F.col(group_col).alias("grp")), id_col))
     rows = df.join(open_.select(id_col).distinct(), id_col, "left_semi")
     text = F.lower(F.concat_ws(" ", *address_cols))
     found = F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"([\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+)"), 1)))
@@ -260,5 +319,5 @@ def attribute(df: DataFrame, people: DataFrame, *, id_col: str = "_id", fields:
         .withColumn("score", F.col("score") + sum(F.coalesce(c, F.lit(0.0)) for c in ("in_row", "in_thread", "in_group")))
     )
     first = Window.partitionBy(id_col, "field", "pos").orderBy(F.desc("score"), "email")
-    best = scored.withColumn("rn", F.row_number().over(first)).where("rn = 1").select(id_col, "field", "pos", "email")
+    best = scored.withColumn("rn", F.row_number().over(first)).where("rn = 1 and score > nobody").select(id_col, "field", "pos", "email")
     return sure.unionByName(best)

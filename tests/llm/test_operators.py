@@ -121,18 +121,54 @@ def test_surrogate_keeps_form():
 # names
 
 
-def test_variant_channels(people):
-    ch = variants.Channel([r.asDict() for r in people.collect()])
-    best = lambda v: max(ch.candidates(v), key=lambda x: x[1], default=(None, 0))[0]
-    for v, e in {
+RAW = "_id bigint, sender string, name string, to_addr string, cc_bcc string, parents string, project string"
+KW = {"fields": {"name": "name", "sender": "address"}, "address_cols": ["sender", "to_addr", "cc_bcc"]}
+
+
+def _names(spark, values):
+    return spark.createDataFrame([(i, None, v, None, None, None, None) for i, v in enumerate(values)], RAW)
+
+
+def test_variant_channels(spark, people):
+    want = {
         "anna hill": "anna.hill@north.example", "Hill, Anna": "anna.hill@north.example", "Dr. Anna Hill": "anna.hill@north.example", "Ana Hill": "anna.hill@north.example", "A. Hill": "anna.hill@north.example", "ahill": "anna.hill@north.example", "Bob Stone": "rstone@south.example",
         "Stone, Berta (North)": "stone.b@north.example", "田辺沙織さん": "saori.tanabe@south.example", "TANABE Saori": "saori.tanabe@south.example", "Lakeside Lift & Boiler Works Limited": "lift@lake.example", "Lift & Boiler Works, Lakeside Ltd": "lift@lake.example", "Lakeside Lift. Ltd": "lift@lake.example",
-    }.items():
-        assert best(v) == e, v
-    assert best("Anna Qvist") is None and best("Intake Bot") is None
+    }
+    values = [*want, "Anna Qvist", "Intake Bot", "Anna Hill", "x" * 300]
+    got = {r["_id"]: r["email"] for r in variants.attribute(_names(spark, [f'"{v}"' for v in values]), people, **KW).collect()}
+    assert {v: got.get(i) for i, v in enumerate(values)} == want | {"Anna Qvist": None, "Intake Bot": None, "Anna Hill": None, "x" * 300: None}
     assert variants.one_edit("abc", "acb") and variants.one_edit("abc", "abcd") and not variants.one_edit("abc", "cba")
 
 
+def test_typing_errors_equal_brute_force(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abc", k=rng.randrange(5, 8))) for _ in range(80)]
+    df = spark.createDataFrame([(w,) for w in set(words)], "key string")
+    a = variants._deleted(df).withColumnsRenamed({"key": "a", "at": "i", "gone": "x"})
+    b = variants._deleted(df).withColumnsRenamed({"key": "b", "at": "j", "gone": "y"})
+    edit = (F.col("a") != F.col("b")) & ((F.col("i") == F.col("j")) | (F.col("i") * F.col("j") == 0) | ((F.abs(F.col("i") - F.col("j")) == 1) & (F.col("x") == F.col("y"))))
+    got = {(r["a"], r["b"]) for r in a.join(b, "d").where(edit).select("a", "b").collect()}
+    assert got == {(x, y) for x in set(words) for y in set(words) if x != y and variants.one_edit(x, y)}
+
+
+def test_prior_decides_between_equal_channels(spark):
+    two = spark.createDataFrame([("Anna Hill", "anna@n.example", None, None), ("Anna Hull", "hull@n.example", None, None)], PEOPLE)
+    df = _names(spark, ["Anna Hull"] * 9 + ["Anna Hill", "Anna Hell"])
+    assert [r["email"] for r in variants.attribute(df, two, **KW).collect()] == ["hull@n.example"]
+    assert [r["email"] for r in variants.attribute(df, two, use_prior=False, **KW).collect()] == ["anna@n.example"]
+
+
+def test_channel_is_learned_from_the_column(spark, people):
+    df = _names(spark, ["Hill, Anna"] * 30 + ["Anna Hil"])
+    persons = [r.asDict() for r in people.collect()]
+    kana = turns.romaji([(p["name"], p["email"]) for p in persons])
+    spellings = spark.createDataFrame([("Hill, Anna", 30), ("Anna Hil", 1), ("Intake Bot", 5)], "value string, n bigint")
+    cands = variants.candidate_table(spellings, people, kana, set())
+    _, p, _ = variants.learn(cands, spark.createDataFrame([("anna.hill@north.example", 3.0)], "email string, c double"), 39)
+    assert p["order"] > 0.9 > 0.1 > p["typo"] > p["nick"] and 0.1 < p["nobody"] < 0.25
+    assert variants.attribute(df, people, **KW).count() == 31
+
+
 def test_attribution_uses_the_row(spark, people):
     rows = [
         (1, "rstone@south.example", "Stone", None, None, None, "p"), (2, "stone.b@north.example", "Stone", None, None, None, "p"), (3, None, "Anna Hill", None, None, "", None), (4, "Anna  Hill", "Anna Hil; Robert Stone", None, None, "t", "p"),
@@ -464,13 +500,12 @@ def test_very_long_texts(people):
     import time
 
     finder = personal._finder(people)
-    ch = variants.Channel([r.asDict() for r in people.collect()])
     ix = leaks.Index([(1, ITEM)])
     e = bpe.PairIndexEncoder()
     for text in ("a" * 300_000 + " a@b.example", "Anna Hill " * 30_000, "1234567 " * 30_000, "Which account holds the remaining " * 5_000, "(" * 50_000 + "x", "> " * 100_000, "A, " * 50_000):
         start = time.time()
         finder.find(text, True)
-        ch.candidates(text)
+        variants.analyses(text, set())
         ix.leaks(text)
         newtext.labels(text.split("\n"))
         turns.turns(text, text, {"anna"}, {})
