@@ -11,7 +11,8 @@ of expectation and maximisation. The most probable path through each distinct
 lattice gives the values.
 
 Scale: cells are cut in the executors, equal runs are counted with map-side combine
-before anything else, and only distinct open runs enter the lattice joins. Nothing
+before anything else, and only distinct open runs enter the lattice joins, in which
+16-byte digests stand for runs, values and shapes. Nothing
 but the number of values of each field (one row a field) comes to the driver. A run
 that fills a third of all rows is one row of the lattice tables; the join back lets
 AQE broadcast the small side or split the hot key.
@@ -24,6 +25,7 @@ count once, a null id stays null. Other columns are ignored, whatever their name
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -34,8 +36,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.session import cut
 
-#: Atoms that one value may span at most.
-MAX_JOIN = 3
+#: Atoms that one value may span within a longer run; a whole run may be one value of any number of atoms.
+MAX_JOIN = 12
 #: Typical probability of a word, for values never seen.
 WORD = 0.01
 #: Count every shape has from the start; less for each atom beyond the second.
@@ -43,7 +45,7 @@ SHAPE_PRIOR, LONGER = 0.05, 0.01
 ROUNDS = 3
 
 # Legal forms of organisations.
-LEGAL = {"ltd", "limited", "inc", "incorporated", "llc", "l.l.c", "gmbh", "k.k", "kk", "corp", "co", "plc", "ag", "s.a", "株式会社", "有限会社"}
+LEGAL = {"ltd", "limited", "inc", "incorporated", "llc", "l.l.c", "llp", "lp", "gmbh", "k.k", "kk", "corp", "co", "plc", "ag", "s.a", "株式会社", "有限会社"}
 
 _QUOTED = r"\"[^\"]*\"|(?<![^\s;,|/、／&])'[^'\n]*'(?![^\s;,|/、／&])|<[^<>]*>"
 _CUT = {
@@ -117,7 +119,7 @@ def shape(value: str, kind: str) -> str:
         return ("u:" + m[0]) if m else "x"
     v = _ADDRESS.sub("@", value).strip("\"' ")
     out = []
-    for w in re.findall(r"[^\s,&]+|[,&]", v)[:9]:
+    for w in re.findall(r"[^\s,&]+|[,&]", v):
         c = w.strip(".\"'<>")
         if w in ",&@" or c == "@":
             out.append(c or w)
@@ -141,10 +143,27 @@ def key(value: str) -> str:
     return " ".join(bare(value).casefold().split())
 
 
-def spans(run: list[str]) -> list[tuple[int, int, str]]:
-    """All candidate values of a run: (first atom, end atom, text)."""
+def digest(text: str) -> bytes:
+    """Stands for a text of any length in the joins."""
+    return hashlib.blake2b(text.encode(errors="surrogatepass"), digest_size=16).digest()
+
+
+def spans(run: list[str]) -> list[tuple[int, int]]:
+    """All candidate values of a run: (first atom, end atom)."""
     n = (len(run) + 1) // 2
-    return [(i, j, "".join(run[2 * i : 2 * j - 1])) for i in range(n) for j in range(i + 1, min(n, i + MAX_JOIN) + 1)]
+    return [(i, j) for i in range(n) for j in range(i + 1, min(n, i + MAX_JOIN) + 1)] + ([(0, n)] if n > MAX_JOIN else [])
+
+
+def span_text(run: list[str], i: int, j: int) -> str:
+    return "".join(run[2 * i : 2 * j - 1])
+
+
+def _log_sum(x: float, log_y: float) -> float:
+    """Log of ``x`` plus the number of which ``log_y`` is the log."""
+    if x <= 0:
+        return log_y
+    hi, lo = max(math.log(x), log_y), min(math.log(x), log_y)
+    return hi + math.log1p(math.exp(lo - hi))
 
 
 def _score(edges: list[dict], total: tuple[float, float]) -> dict[int, list[tuple[int, float, dict]]]:
@@ -152,14 +171,16 @@ def _score(edges: list[dict], total: tuple[float, float]) -> dict[int, list[tupl
     by_end: dict[int, list[tuple[int, float, dict]]] = {}
     n, once = total
     for e in edges:
-        words = len(e["shape"].replace(",", "").replace("&", "").split())
-        p = math.log(((e["c"] or 0.0) + once * ((e["s"] or 0.0) + SHAPE_PRIOR * LONGER ** max(0, e["j"] - e["i"] - 2)) / (n + 1) * WORD**words) / (n + once))
+        words = e["words"]
+        # in logarithms, since a whole run may be a value of thousands of words
+        form = _log_sum(e["s"] or 0.0, math.log(SHAPE_PRIOR) + math.log(LONGER) * max(0, e["j"] - e["i"] - 2))
+        p = _log_sum(e["c"] or 0.0, math.log(once) + form - math.log(n + 1) + math.log(WORD) * words) - math.log(n + once)
         by_end.setdefault(e["j"], []).append((e["i"], p, e))
     return by_end
 
 
-def best_path(edges: list[dict], total: tuple[float, float]) -> list[str]:
-    """Viterbi: texts of the most probable segmentation; ties go to fewer values."""
+def best_path(edges: list[dict], total: tuple[float, float]) -> list[tuple[int, int]]:
+    """Viterbi: (first atom, end atom) of the most probable segmentation; ties go to fewer values."""
     by_end = _score(edges, total)
     n = max(by_end)
     best: list[tuple[float, int]] = [(0.0, 0)]
@@ -170,7 +191,7 @@ def best_path(edges: list[dict], total: tuple[float, float]) -> list[str]:
         back.append(e)
     out, j = [], n
     while j:
-        out.append(back[j]["value"])
+        out.append((back[j]["i"], j))
         j = back[j]["i"]
     return out[::-1]
 
@@ -208,64 +229,85 @@ def _parse(cells: DataFrame) -> DataFrame:
 
 
 def _with_shape(values: DataFrame) -> DataFrame:
-    """Distinct values (kind, value, n) to (kind, key, shape, n)."""
+    """Distinct values (kind, value, n) to (kind, key, shape, n); ``key`` and ``shape`` are digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kinds, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([key(t) for t in texts]), pa.array([shape(t, k) for k, t in zip(kinds, texts, strict=True)]), b.column(2)],
+                [b.column(0), pa.array([digest(key(t)) for t in texts], pa.binary()), pa.array([digest(shape(t, k)) for k, t in zip(kinds, texts, strict=True)], pa.binary()), b.column(2)],
                 names=["kind", "key", "shape", "n"],
             )
 
-    return values.mapInArrow(run, "kind string, key string, shape string, n double")
+    return values.mapInArrow(run, "kind string, key binary, shape binary, n double")
+
 
+_EDGE = "kind string, run binary, n double, i int, j int, key binary, shape binary, words int, p double"
+_EDGE_NAMES = [c.split(" ")[0] for c in _EDGE.split(", ")]
+_EDGE_TYPES = [pa.string(), pa.binary(), pa.float64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.float64()]
 
-_EDGE = "kind string, run string, n double, i int, j int, value string, key string, shape string, p double"
+
+def _edge_batch(columns: tuple[list, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _EDGE_TYPES, strict=True)], names=_EDGE_NAMES)
 
 
 def _edges(runs: DataFrame) -> DataFrame:
-    """Distinct open runs (kind, run, n) to their candidate values, each with posterior 0."""
+    """Distinct open runs (kind, run, text, n) to their candidate values, each with posterior 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [
-                {"kind": k, "run": r, "n": n, "i": i, "j": j, "value": v, "key": key(v), "shape": shape(v, k), "p": 0.0}
-                for k, r, n in zip(*(c.to_pylist() for c in b.columns), strict=True)
-                for i, j, v in spans(r.split(_SEP))
-            ]
-            yield pa.RecordBatch.from_pylist(out, schema=_EDGE_SCHEMA)
-
-    return runs.mapInArrow(run, _EDGE)
-
-
-_EDGE_SCHEMA = pa.schema(
-    [("kind", pa.string()), ("run", pa.string()), ("n", pa.float64()), ("i", pa.int32()), ("j", pa.int32()), ("value", pa.string()), ("key", pa.string()), ("shape", pa.string()), ("p", pa.float64())]
-)
+            out: tuple[list, ...] = tuple([] for _ in _EDGE_NAMES)
+            for k, r, text, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                run_ = text.split(_SEP)
+                for i, j in spans(run_):
+                    v = span_text(run_, i, j)
+                    form = shape(v, k)
+                    for c, x in zip(out, (k, r, n, i, j, digest(key(v)), digest(form), len(form.replace(",", "").replace("&", "").split()), 0.0), strict=True):
+                        c.append(x)
+                if len(out[0]) > 50_000:
+                    yield _edge_batch(out)
+                    out = tuple([] for _ in _EDGE_NAMES)
+            yield _edge_batch(out)
+
+    return runs.select("kind", "run", "text", "n").mapInArrow(run, _EDGE)
 
 
 def _lattices(edges: DataFrame, alone: DataFrame, alone_shapes: DataFrame) -> DataFrame:
     """One row per distinct open run with its edges, their counts c and shape counts s.
 
-    Both counts leave out what the run itself contributed in the round before: else
-    every rare run would be explained best by itself. Of shapes each distinct run
-    counts once.
+    Of shapes each distinct run counts once. :func:`left_out` takes off both what the
+    run itself contributed.
     """
     hopes = edges.groupBy("kind", "key").agg(F.sum(F.col("p") * F.col("n")).alias("hope"))
     shapes = edges.groupBy("kind", "shape").agg(F.sum("p").alias("hope_s")).join(alone_shapes, ["kind", "shape"], "left")
     shapes = shapes.select("kind", "shape", (F.col("hope_s") + F.coalesce("n", F.lit(0.0))).alias("s"))
     values = hopes.join(alone.select("kind", "key", F.col("n").alias("c0")), ["kind", "key"], "left")
-    count = F.greatest(F.lit(0.0), F.coalesce("c0", F.lit(0.0)) + F.col("hope") - F.col("p") * F.col("n"))
     return (
         edges.join(values, ["kind", "key"])
         .join(shapes, ["kind", "shape"])
         .groupBy("kind", "run")
-        .agg(F.first("n").alias("n"), F.collect_list(F.struct("i", "j", "value", "key", "shape", count.alias("c"), F.greatest(F.lit(0.0), F.col("s") - F.col("p")).alias("s"))).alias("edges"))
+        .agg(F.first("n").alias("n"), F.collect_list(F.struct("i", "j", "key", "shape", "words", "p", (F.coalesce("c0", F.lit(0.0)) + F.col("hope")).alias("c"), "s")).alias("edges"))
     )
 
 
+def left_out(edges: list[dict], n: float) -> list[dict]:
+    """Edges without what their run contributed to their counts in the round before: else every
+    rare run would be explained best by itself."""
+    own_key: dict[bytes, float] = {}
+    own_shape: dict[bytes, float] = {}
+    for e in edges:
+        own_key[e["key"]] = own_key.get(e["key"], 0.0) + e["p"]
+        own_shape[e["shape"]] = own_shape.get(e["shape"], 0.0) + e["p"]
+    for e in edges:
+        e["c"] = max(0.0, e["c"] - own_key[e["key"]] * n)
+        e["s"] = max(0.0, e["s"] - own_shape[e["shape"]])
+        # what is left of sums that cancel is no count
+        e["c"], e["s"] = (x if x > 1e-9 else 0.0 for x in (e["c"], e["s"]))
+    return edges
+
+
 def segment_runs(open_runs: DataFrame, alone: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Distinct open runs (kind, run, n) to (kind, run, parts array<string>).
+    """Distinct open runs (kind, run, text, n) to (run, parts array<string>); ``run`` is a digest of kind and text.
 
     ``alone``: values that stand alone, (kind, key, shape, n).
     """
@@ -278,24 +320,25 @@ def segment_runs(open_runs: DataFrame, alone: DataFrame, rounds: int = ROUNDS) -
 
     def e_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
+            out: tuple[list, ...] = tuple([] for _ in _EDGE_NAMES)
             for r in b.to_pylist():
-                for e, p in zip(r["edges"], expected(r["edges"], totals.get(r["kind"], (0.0, 1.0))), strict=True):
-                    out.append({"kind": r["kind"], "run": r["run"], "n": r["n"], "p": p} | {k: e[k] for k in ("i", "j", "value", "key", "shape")})
-            yield pa.RecordBatch.from_pylist(out, schema=_EDGE_SCHEMA)
+                for e, p in zip(r["edges"], expected(left_out(r["edges"], r["n"]), totals.get(r["kind"], (0.0, 1.0))), strict=True):
+                    for c, x in zip(out, (r["kind"], r["run"], r["n"], e["i"], e["j"], e["key"], e["shape"], e["words"], p), strict=True):
+                        c.append(x)
+            yield _edge_batch(out)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = b.to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r["kind"] for r in rows], pa.string()), pa.array([r["run"] for r in rows], pa.string()),
-                 pa.array([best_path(r["edges"], totals.get(r["kind"], (0.0, 1.0))) for r in rows], pa.list_(pa.string()))],
-                names=["kind", "run", "parts"],
-            )
+            parts = []
+            for r in b.to_pylist():
+                run = r["text"].split(_SEP)
+                parts.append([span_text(run, i, j) for i, j in best_path(left_out(r["edges"], r["n"]), totals.get(r["kind"], (0.0, 1.0)))])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(parts, pa.list_(pa.string()))], names=["run", "parts"])
 
     for _ in range(rounds):
         edges = cut(_lattices(edges, alone, shapes).mapInArrow(e_step, _EDGE))
-    return _lattices(edges, alone, shapes).mapInArrow(decode, "kind string, run string, parts array<string>")
+    paths = _lattices(edges, alone, shapes).join(open_runs.select("run", "text"), "run")
+    return paths.select("run", "kind", "edges", "text", "n").mapInArrow(decode, "run binary, parts array<string>")
 
 
 def _cells(df: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame:
@@ -329,6 +372,7 @@ def all_values(df: DataFrame, *, id_col: str, fields: dict[str, str], only_packe
     parsed = cut(_parse(packed))
     runs = parsed.select("rid", "kind", F.posexplode("runs").alias("at", "run"))
     has_open = F.instr("run", _SEP) > 0
+    digested = F.unhex(F.md5(F.concat_ws(_SEP, "kind", "run")))
     distinct_runs = runs.groupBy("kind", "run").agg(F.count("*").cast("double").alias("n"))
     plain = cells.where(~is_open & ~((F.col("kind") == "address") & F.col("cell").contains("@")))
     # a link is rarely written twice: only its head is counted, as the shape
@@ -336,9 +380,9 @@ def all_values(df: DataFrame, *, id_col: str, fields: dict[str, str], only_packe
     alone = plain.groupBy("kind", value.alias("run")).agg(F.count("*").cast("double").alias("n"))
     short = F.when(F.col("kind") == "link", F.regexp_extract("run", r"^\W*([A-Za-z][A-Za-z0-9+.\-]*(://|/))?", 0)).otherwise(F.col("run"))
     alone = _with_shape(alone.unionByName(distinct_runs.where(~has_open)).groupBy("kind", short.alias("run")).agg(F.sum("n").alias("n")))
-    parts = segment_runs(distinct_runs.where(has_open), alone)
+    parts = segment_runs(distinct_runs.where(has_open).select("kind", digested.alias("run"), F.col("run").alias("text"), "n"), alone)
     closed = runs.where(~has_open).select("rid", "kind", "at", F.array("run").alias("parts"))
-    opened = runs.where(has_open).join(parts, ["kind", "run"], "left").select("rid", "kind", "at", F.coalesce("parts", F.array("run")).alias("parts"))
+    opened = runs.where(has_open).withColumn("text", F.col("run")).withColumn("run", digested).join(parts, "run", "left").withColumn("run", F.col("text")).select("rid", "kind", "at", F.coalesce("parts", F.array("run")).alias("parts"))
     packed_values = closed.unionByName(opened).select("rid", "kind", "at", F.posexplode("parts").alias("sub", "entry"))
     back = F.split("rid", "\x1f")
     id_type = df.schema[id_col].dataType

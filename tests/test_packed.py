@@ -63,13 +63,30 @@ def _paths(n):
 
 def test_viterbi_and_posteriors_equal_brute_force():
     run = ["A B", ", ", "C", ", ", "D E", " & ", "F"]
-    edges = [{"i": i, "j": j, "value": v, "key": packed.key(v), "shape": packed.shape(v, "name"), "c": float(len(v) % 4), "s": float((i + j) % 3)} for i, j, v in packed.spans(run)]
+    value = {(i, j): packed.span_text(run, i, j) for i, j in packed.spans(run)}
+    edges = [{"i": i, "j": j, "words": len(packed.shape(v, "name").replace(",", "").replace("&", "").split()), "c": float(len(v) % 4), "s": float((i + j) % 3)} for (i, j), v in value.items()]
     total = (50.0, 5.0)
     p = {(e["i"], e["j"]): math.exp(x) for by in packed._score(edges, total).values() for i, x, e in by}
     weight = {tuple(path): math.prod(p[s] for s in path) for path in _paths(4)}
     best = max(weight, key=lambda k: (weight[k], -len(k)))
-    text = {(e["i"], e["j"]): e["value"] for e in edges}
-    assert packed.best_path(edges, total) == [text[s] for s in best]
+    assert packed.best_path(edges, total) == list(best)
     z = sum(weight.values())
     for e, x in zip(edges, packed.expected(edges, total), strict=True):
         assert math.isclose(x, sum(w for k, w in weight.items() if (e["i"], e["j"]) in k) / z, rel_tol=1e-9)
+
+
+def test_a_value_of_many_atoms(spark):
+    firm = "Adams, Baker, Cole & Dunn LLP"
+    rows = [(i, None, f'"{firm}"; Anna Hill', None, None) for i in range(10)] + [(100, None, f"{firm}, Robert Stone", None, None), (101, None, firm, None, None)]
+    got = {}
+    for r in packed.packed_values(spark.createDataFrame(_learn() + rows, SCHEMA), id_col="_id", fields={"name": "name"}).where("_id in (1, 100, 101)").orderBy("_id", "pos").collect():
+        got.setdefault(r["_id"], []).append(r["value"])
+    assert got == {1: [firm, "Anna Hill"], 100: [firm, "Robert Stone"]}
+    assert (0, 30) in packed.spans(["A", ", "] * 30) and (3, 3 + packed.MAX_JOIN) in packed.spans(["A", ", "] * 30)
+
+
+def test_long_open_runs(spark):
+    names = [f"Anna{chr(65 + i % 26)} Hill{chr(65 + i // 26)}" for i in range(400)]
+    df = spark.createDataFrame([*_learn(), (1, None, ", ".join(names), None, None), (2, None, "&".join(["x"] * 9000), None, None)], SCHEMA)
+    got = [r["value"] for r in packed.packed_values(df, id_col="_id", fields={"name": "name"}).where("_id < 10").orderBy("pos").collect()]
+    assert got == names
