@@ -39,10 +39,10 @@ WHOLE_SHARE = 0.02
 WHOLE_SHARE_CJK = 0.13
 #: The same for the shapes of links.
 WHOLE_SHARE_LINK = 0.12
-#: Occurrences of a word pair inside longer units from which it is judged.
-LEAST_ON = 8
+#: Ends of units for each word pair, from which the share of ends of a pair is estimated (a unit has some six words).
+ENDS_EXPECTED = 0.16
 #: Bands of tail lengths; the lower end is the length of the key.
-LENGTHS = ((1, 7), (8, 19), (20, 39), (40, 0))
+LENGTHS = ((1, 7), (8, 19), (20, 39), (40, 99), (100, 0))
 
 # Marks that exporting systems leave where they cut, and a broken character.
 CUT_MARK = re.compile(r"(?:（以降省略）|…?\s*\((?:rest omitted|truncated|message clipped)\)|\[truncated\]|\[\.\.\.\]|\ufffd)[\s\u200b]*\Z")
@@ -148,15 +148,12 @@ def _pair_counts(tails: DataFrame, all_units: DataFrame) -> DataFrame:
     pairs = pairs.groupBy("prev", "last").agg(n(F.col("ends")).alias("end"), n(~F.col("ends")).alias("on"))
     tw = F.split("tail", r"[\s　]+")
     t = tails.select("tail", F.when(F.size(tw) > 1, F.get(tw, F.size(tw) - 2)).otherwise("^").alias("prev"), F.try_element_at(tw, F.lit(-1)).alias("part"))
-    lookup = t.select("prev", "part").distinct()
-    found = (
-        pairs.join(lookup, "prev")
-        .where(F.col("last").startswith(F.col("part")))
-        .groupBy("prev", "part")
-        .agg(
-            F.sum(F.when(F.col("last") == F.col("part"), F.col("on")).otherwise(F.col("on") + F.col("end"))).alias("pair_on"),
-            F.sum(F.when(F.col("last") == F.col("part"), F.col("end")).otherwise(0)).alias("pair_end"),
-        )
+    # a pair learns by its first word which lengths of the second matter, and meets them by equality on both
+    sizes = t.select("prev", F.length("part").alias("size")).groupBy("prev").agg(F.collect_set("size").alias("sizes"))  # at most one entry for each length of a word
+    met = pairs.join(sizes, "prev").select("prev", "last", "on", "end", F.explode("sizes").alias("size")).where(F.length("last") >= F.col("size"))
+    same = F.length("last") == F.col("size")
+    found = met.groupBy("prev", F.expr("substring(last, 1, size)").alias("part")).agg(
+        F.sum(F.when(same, F.col("on")).otherwise(F.col("on") + F.col("end"))).alias("pair_on"), F.sum(F.when(same, F.col("end")).otherwise(0)).alias("pair_end")
     )
     return t.join(found, ["prev", "part"]).select("tail", "pair_on", "pair_end")
 
@@ -175,13 +172,15 @@ def judge(counts: DataFrame) -> DataFrame:
 
     A cut tail goes on elsewhere (a longer copy, or its last two words inside longer
     units) and is hardly ever a whole end. A copy that goes on within the last word is
-    enough, however rare the word is; else the word pair must occur often enough.
+    enough, however rare the word is; else the share of ends among the occurrences of the
+    pair must be small. The share is estimated from :data:`ENDS_EXPECTED` ends of one
+    occurrence before any is seen, so a pair seen a few times only proves nothing.
     """
     whole, longer, inside, on, end = (F.col(c) for c in ("whole", "longer", "inside", "pair_on", "pair_end"))
     spaced = F.col("tail").rlike(r"\s")
     cjk = F.col("tail").rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー]$")
     others = end - F.least(whole, F.lit(2))  # a tail, or its row ingested twice, is no evidence for itself
-    by_pair = (on >= LEAST_ON) & (others < WHOLE_SHARE * (on + others))
+    by_pair = F.greatest(others, F.lit(0)) + ENDS_EXPECTED < WHOLE_SHARE * (on + F.greatest(others, F.lit(0)) + 1)
     by_copy = (longer > 0) & (whole < F.when(cjk, WHOLE_SHARE_CJK).otherwise(WHOLE_SHARE) * (whole + longer))
     by_word = (inside > 0) & ((whole < 3) | (whole < WHOLE_SHARE * (whole + inside))) & ((others <= 0) | (others < WHOLE_SHARE * (on + others))) & ~cjk
     return counts.where(F.when(spaced, by_word | (by_pair & ((longer > 0) | (whole < 3) | (whole < WHOLE_SHARE * on)))).otherwise(by_copy))

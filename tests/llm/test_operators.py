@@ -419,6 +419,27 @@ def test_prefix_counts_equal_brute_force(spark):
         assert got.get(t, 0) == sum(1 + len(x) % 3 for x in units if x.startswith(t) and len(x) > len(t))
 
 
+def test_pair_counts_equal_brute_force(spark):
+    rng = random.Random(9)
+    unit = lambda: " ".join("".join(rng.choices("ab", k=rng.randrange(1, 5))) for _ in range(rng.randrange(1, 6)))
+    units = list({unit() for _ in range(200)})
+    tails = list({u[: rng.randrange(1, len(u) + 1)].strip() for u in rng.sample(units, 90)} - {""})
+    n = {u: 1 + len(u) % 3 for u in units}
+    got = {r["tail"]: (r["pair_on"], r["pair_end"]) for r in truncated._pair_counts(spark.createDataFrame([(t,) for t in tails], "tail string"), spark.createDataFrame(list(n.items()), "unit string, n bigint")).collect()}
+    for t in tails:
+        w = ["^", *t.split()]
+        on = end = 0
+        for u in units:
+            x = ["^", *u.split()]
+            for k in range(1, len(x)):
+                if x[k - 1] == w[-2] and x[k].startswith(w[-1]):
+                    if x[k] == w[-1] and k == len(x) - 1:
+                        end += n[u]
+                    else:
+                        on += n[u]
+        assert got.get(t, (0, 0)) == (on, end), t
+
+
 # leaks
 
 ITEM = "Answer from the record only. Vendor 939525 charged software licence and security patrol on one sheet dated March 19. A borrower with 26 outlets reports equity of 326, debt of 366 and a margin of 58.1%. A refund of 1960 reached Dunmoor in September, whereas the notice promised 10,705. Which account holds the remaining 534?"
