@@ -6,8 +6,9 @@ mentions, greetings, mail headers and speaker labels, in Latin and Japanese scri
 
 Method of replacement: surrogate generation. A keyed hash (BLAKE2 with a secret) turns
 each value into another of its type: digits into digits and letters into letters at the
-same places, names part by part into pronounceable names of the same script, case and
-gender ending, streets into streets with the same form. The same part always gets the
+same places, names part by part into pronounceable names of the same script and case, given
+names into names that end as names of their gender do where it is known (lists of common
+given names; the last sign of Japanese ones; others are neutral), streets into streets with the same form. The same part always gets the
 same surrogate, so "Ms Hill", "Anna Hill" and "Anna" still belong together
 (coreference). Distinct parts of names, and distinct values of other kinds, that meet in
 one surrogate are found by a grouping over all of them and told apart by further rounds
@@ -52,14 +53,22 @@ _NUMBER = re.compile(
     r"|(?P<id_number>(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])|(?<![A-Za-z])[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D](?![A-Za-z0-9])|(?<![A-Za-z0-9])[A-Z]{2}\d{7}(?!\d)|(?<![\d\-])\d{2}-\d{4}-\d{6}(?![\d\-])|(?<![\d ,.\-])\d{4} \d{4} \d{4}(?! ?\d)|(?<![\d,.\-])(?<!\d )\d{4} \d{4} \d{4}(?! ?\d)|(?<![\d\-])(?<!\bref )\d{12}(?!\d))"
 )
 _DIGITS = re.compile(r"\d(?:[ ()./\-]{0,3}\d){5,}")
-_SUFFIX = r"(?:Street|St\.|St|Road|Rd\.|Rd|Lane|Ln\.|Avenue|Ave\.|Ave|Way|Close|Drive|Court|Crescent|Terrace|Square|Place|Boulevard|Blvd\.?)"
-_STREET = re.compile(
-    r"(?<![\w\-/.,])\d{1,4}[a-z]? (?:(?:North|South|East|West|Old|New|Upper|Lower|Great|Little) )?[A-Z][\w'\-]+(?: [A-Z][\w'\-]+)? " + _SUFFIX + r"(?!\w)"
-    r"|(?<!\w)(?:(?:North|South|East|West|Old|New|Upper|Lower) )?[A-Z][\w'\-]+ (?:Street|Road|Lane|Avenue|Way|Close|Drive|Court) \d{1,4}[a-z]?(?![\w\-])"
-    r"|(?<!\w)(?:(?:Am|An der|An den|Im|In der|Auf dem|Zum|Zur|Unter den|Hinter dem) (?:[A-ZÄÖÜ][\w\-]+ )?[A-ZÄÖÜ][a-zäöüß\-]+|[A-ZÄÖÜ][a-zäöüß\-]*(?:straße|strasse|weg|gasse|platz|allee|ufer|ring|damm|markt)) \d{1,4}[a-z]?(?![\w\-.])"
-    r"|[㐀-鿿]{1,6}[市区][㐀-鿿々ヶケノァ-ヺー]{1,10}\d+(?:[-－−]\d+){1,3}"
+_STREETS = ("Street", "St.", "St", "Road", "Rd.", "Rd", "Lane", "Ln.", "Avenue", "Ave.", "Ave", "Way", "Close", "Drive", "Court", "Crescent", "Terrace", "Square", "Place", "Boulevard", "Blvd.", "Blvd")
+_NUMBERED_AFTER = ("Street", "Road", "Lane", "Avenue", "Way", "Close", "Drive", "Court")
+_STRASSEN = ("straße", "strasse", "weg", "gasse", "platz", "allee", "ufer", "ring", "damm", "markt")
+_LAGEN = ("Am", "An der", "An den", "Im", "In der", "Auf dem", "Zum", "Zur", "Unter den", "Hinter dem")
+_DIRECTIONS = "(?:(?:North|South|East|West|Old|New|Upper|Lower|Great|Little) )?"
+_SUFFIX = "(?:" + "|".join(map(re.escape, _STREETS)) + ")"
+_LAGE = "(?:" + "|".join(_LAGEN) + ")"
+_STRASSE = "(?:" + "|".join(_STRASSEN) + ")"
+#: Forms of addresses, each with what a text must hold to be searched for it: every match of the form holds it.
+_ADDRESSES = (
+    (re.compile(" (?:" + "|".join(sorted({w.rstrip(".") for w in _STREETS})) + r")(?!\w)"), re.compile(r"(?<![\w\-/.,])\d{1,4}[a-z]? " + _DIRECTIONS + r"[A-Z][\w'\-]+(?: [A-Z][\w'\-]+)? " + _SUFFIX + r"(?!\w)")),
+    (re.compile(" (?:" + "|".join(_NUMBERED_AFTER) + r") \d"), re.compile(r"(?<!\w)" + _DIRECTIONS + r"[A-Z][\w'\-]+ (?:" + "|".join(_NUMBERED_AFTER) + r") \d{1,4}[a-z]?(?![\w\-])")),
+    (re.compile(_STRASSE + r" \d"), re.compile(r"(?<!\w)[A-ZÄÖÜ][a-zäöüß\-]*" + _STRASSE + r" \d{1,4}[a-z]?(?![\w\-.])")),
+    (re.compile(r"(?<!\w)" + _LAGE + " [A-ZÄÖÜ]"), re.compile(r"(?<!\w)" + _LAGE + r" (?:[A-ZÄÖÜ][\w\-]+ )?[A-ZÄÖÜ][a-zäöüß\-]+ \d{1,4}[a-z]?(?![\w\-.])")),
+    (re.compile("[市区]"), re.compile(r"[㐀-鿿]{1,6}[市区][㐀-鿿々ヶケノァ-ヺー]{1,10}\d+(?:[-－−]\d+){1,3}")),
 )
-_STREET_HINT = ("Street", "St.", " St", "Road", "Rd", "Lane", "Avenue", "Ave", " Way", "Close", "Drive", "Court", "straße", "strasse", "weg ", "gasse", "platz", "allee", "Am ", "市", "区", "Terrace", "Square", "Place", "Crescent")
 _W = "[A-Za-zÀ-ÖØ-öø-ÿĀ-ž'’\\-]"
 _CAPS = re.compile(rf"(?<![A-Za-z0-9_@./\-À-ÿ])@?[A-ZÀ-ÖØ-Þ]{_W}*\.?(?:[ \u3000]{{1,2}}[A-ZÀ-ÖØ-Þ]{_W}*\.?)*|@[A-ZÀ-ÖØ-Þ]{_W}*(?: [A-ZÀ-ÖØ-Þ]{_W}*)?")
 _TITLE = re.compile(rf"(?<!\w)(?:Mr|Mrs|Ms|Mx|Dr|Prof)\.? ([A-ZÀ-ÖØ-Þ]{_W}+(?: [A-ZÀ-ÖØ-Þ]{_W}+)?)")
@@ -187,7 +196,7 @@ class Finder:
         spans: list[tuple[int, int, str]] = []
         if "@" in text:
             spans += [(m.start(), m.end(), "email") for m in _EMAIL.finditer(text)]
-        if " at " in text or "at]" in text or "at)" in text or "＠" in text or " dot " in text:
+        if " at " in text or "at]" in text or "at)" in text or "＠" in text or " dot " in text or "dot]" in text or "dot)" in text:
             spans += [(m.start(), m.end(), "email") for m in _EMAIL_WORDS.finditer(text)]
         at = 0
         for d in _DIGITS.finditer(text):
@@ -195,8 +204,9 @@ class Finder:
             for m in _NUMBER.finditer(text, max(at, d.start() - 6), min(len(text), d.end() + 6)):
                 spans.append((m.start(), m.end(), m.lastgroup))
                 at = m.end()
-        if any(h in text for h in _STREET_HINT):
-            spans += [(m.start(), m.end(), "address") for m in _STREET.finditer(text)]
+        for gate, form in _ADDRESSES:
+            if gate.search(text):
+                spans += [(m.start(), m.end(), "address") for m in form.finditer(text)]
         spans += [(a, b, "name") for a, b in self.names(text, transcript)]
         if len(spans) < 2:
             return spans
@@ -250,9 +260,20 @@ _ONSETS, _VOWELS, _CODAS = "bdfgklmnprstvz", "aeiou", ["", "n", "r", "l", "s"]
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _CAPITALS_MARKED = "".join(c for c in map(chr, range(0xC0, 0x17F)) if c.isupper() and c.lower().upper() == c and len(c.lower()) == 1)
 _STREET_NAME = re.compile(
-    r"((?<!\w)(?:Am|An der|An den|Im|In der|Auf dem|Zum|Zur|Unter den|Hinter dem) (?:[A-ZÄÖÜ][\w\-]+ )?)[A-ZÄÖÜ][a-zäöüß\-]+"
-    r"|[A-ZÄÖÜ][\w'\-]+(?= " + _SUFFIX + r")|[A-ZÄÖÜ][a-zäöüß\-]*?(?=straße|strasse|weg|gasse|platz|allee|ufer|ring|damm|markt)"
+    r"((?<!\w)" + _LAGE + r" (?:[A-ZÄÖÜ][\w\-]+ )?)[A-ZÄÖÜ][a-zäöüß\-]+"
+    r"|[A-ZÄÖÜ][\w'\-]+(?= " + _SUFFIX + r")|[A-ZÄÖÜ][a-zäöüß\-]*?(?=" + _STRASSE + ")"
 )
+# Given names whose gender is commonly known, with common short forms; other names are neutral.
+FEMALE = set(
+    "abigail agnes alexandra alice amara anna anne barbara beatrice bianca camille carla caroline catherine charlotte christine clara claudia deborah delia diana dorothy eleanor elena elizabeth emily emma estelle eva farah florence greta hannah helen helene ilse ines irene iris jane jennifer johanna judith julia karen katherine kerstin laura linnea louise lucy margaret maria marta martha mary milena nadia nora olga olivia paloma pamela patricia paula priya rachel rebecca rosalind ruth sandra sara sarah selma sofia susan tamsin teresa vera victoria ximena yara "
+    "liz beth kate kathy jen jenny maggie meg patty trish sue susie becky debbie vicky abby sandy".split()
+)
+MALE = set(
+    "adam alexander andrew anthony anton basil benjamin carl cedric charles christopher daniel dario david dmitri edward emeka erik ewan felix florian frank frederick george gregory gustav henry hugo ivan jack jacob james john jonas jonathan jorge joseph karim kofi lawrence leopold luca lucas marco mark martin matthew michael nicholas oliver oskar otto paul peter philip raymond richard robert samuel simon stefan stephen steven theodore thomas timothy tomasz ulrich victor walter wendel william yusuf zoltan "
+    "rob bob bobby rick rich dick will bill billy mike mick nick tom tommy chris dan danny ben sam joe joey ted ned matt greg tony jim jimmy dave steve tim jon chuck ray ron".split()
+)
+_ENDINGS = {"f": ("ina", "ella", "etta", "isa", "ika", "ora", "anna", "elia"), "m": ("ard", "ulf", "ander", "emar", "win", "etto", "is", "ek")}
+_KANJI_ENDINGS = {"f": "子美香奈織恵里", "m": "郎夫男太樹平真"}
 _KANJI_SURNAME, _KANJI_GIVEN = "青赤白石川木山田野原森林池島浜沢", "一二三子夫美明正和春夏秋冬幸光雪"
 
 
@@ -260,17 +281,24 @@ def _digest(secret: str, kind: str, text: str, salt: int) -> bytes:
     return hashlib.blake2b(f"{kind}\x1f{text}\x1f{salt}".encode(), key=secret.encode()[:64], digest_size=32).digest()
 
 
-def _word(d: bytes, like: str, salt: int = 0) -> str:
-    """A pronounceable word with the case and the ending class (as a token of gender) of ``like``;
+def gender(name: str) -> str:
+    """f, m or "" for a given name, by the lists and by the last sign of Japanese names."""
+    f = fold(name)
+    if re.search(r"[㐀-鿿]", f):
+        return next((g for g, signs in _KANJI_ENDINGS.items() if f[-1] in signs), "") if len(f) > 1 else ""
+    return "f" if f in FEMALE else "m" if f in MALE else ""
+
+
+def _word(d: bytes, like: str, salt: int = 0, kind: str = "") -> str:
+    """A pronounceable word with the case of ``like``, ending like names of the gender ``kind``;
     longer after every eight salts, so that there is always room for one more.
     """
     out = []
     for k in range(min(2 + (len(like) > 5) + salt // 8, 10)):
         out.append(_ONSETS[d[3 * k] % 14] + _VOWELS[d[3 * k + 1] % 5] + _CODAS[d[3 * k + 2] % 5])
     word = "".join(out)
-    if like[-1:].lower() in "aeiy":
-        word = word.rstrip("nrls") if word[-1] in "nrls" else word
-        word = word[:-1] + "a"
+    if kind:
+        word = re.sub(r"[aeiou][nrls]?$", "", word) + _ENDINGS[kind][d[20] % len(_ENDINGS[kind])]
     elif word[-1] in "aeiou":
         word += "nrls"[d[20] % 4]
     return word.upper() if like.isupper() and len(like) > 1 else word if like.islower() else word.capitalize()
@@ -311,8 +339,10 @@ def _unit_surrogate(secret: str, unit: str, piece: str, salt: int) -> str:
         pool = _KANJI_GIVEN if unit == "given" else _KANJI_SURNAME
         if salt >= 8:
             return "".join(chr(0x4E00 + int.from_bytes(d[2 * (k % 16) : 2 * (k % 16) + 2], "big") % 20000) for k in range(len(piece)))
-        return "".join(pool[d[k % 32] % len(pool)] for k in range(len(piece)))
-    return _word(d, piece, salt)
+        made = "".join(pool[d[k % 32] % len(pool)] for k in range(len(piece)))
+        kind = gender(piece) if unit == "given" else ""
+        return made[:-1] + _KANJI_ENDINGS[kind][d[31] % 7] if kind else made
+    return _word(d, piece, salt, gender(piece))
 
 
 def surrogate(secret: str, kind: str, value: str, salt: int = 0) -> str:

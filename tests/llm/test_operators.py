@@ -115,7 +115,17 @@ def test_surrogate_keeps_form():
         assert re.sub(r"[A-Z]", "A", re.sub(r"\d", "0", s)) == re.sub(r"[A-Z]", "A", re.sub(r"\d", "0", value)) and s != value
     assert personal.surrogate("k", "phone", "+44 (0)20 7946 0246").startswith("+44")
     assert personal.surrogate("k", "name", "HILL").isupper() and re.fullmatch(r"[㐀-鿿]+ [㐀-鿿]+", personal.surrogate("k", "name", "田辺 沙織"))
-    assert personal.surrogate("k", "name", "Anna")[-1] == "a"
+    ends = lambda n, g: personal.surrogate("k", "name", n).casefold().endswith(personal._ENDINGS[g])
+    assert all(ends(n, "f") for n in ("Anna", "Hannah", "INES", "Sue")) and all(ends(n, "m") for n in ("Luca", "Robert", "Bob")) and personal.gender("Hill") == ""
+    assert personal.surrogate("k", "name", "田辺 美咲 子")[-1] and personal.gender("花子") == "f" and personal.surrogate("k", "name", "田辺 花子")[-1] in personal._KANJI_ENDINGS["f"]
+
+
+def test_address_and_email_forms_alone(people):
+    finder = personal._finder(people)
+    for text in ("12 Sunset Boulevard", "4 Oak Ln.", "7 Sunset Blvd", "Kaiserdamm 12", "Rheinufer 7", "Nordring 3", "Altmarkt 1", "Im Grund 5", "Zum Anger 9", "Zur Mühle 4", "An der Brücke 8", "Unter den Linden 77", "Hinter dem Tor 2", "Old Mill Road 12", "港見区緑ヶ丘1-1-12"):
+        assert [(text[s:e], k) for s, e, k in finder.find(text)] == [(text, "address")], text
+    for text in ("anna@firm[dot]com", "anna@firm (dot) com", "anna at firm dot com"):
+        assert [(text[s:e], k) for s, e, k in finder.find(text)] == [(text, "email")], text
 
 
 # names
