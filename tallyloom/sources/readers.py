@@ -62,11 +62,11 @@ def read_csv_bytes(spark: SparkSession, paths: str | list[str], columns: list[st
 def unreadable(spark: SparkSession, paths: str | list[str], required: list[str], encodings: tuple[str, ...] = ENCODINGS) -> DataFrame:
     """Paths of files that no encoding makes into a table with the required columns."""
 
-    @F.udf("boolean")
-    def bad(raw: bytes) -> bool:
-        return decode(bytes(raw), required, encodings) is None
+    def bad(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.select(["path"]).filter(pa.array([decode(bytes(raw), required, encodings) is None for raw in b.column(1).to_pylist()], pa.bool_()))
 
-    return spark.read.format("binaryFile").load(paths).where(bad("content")).select("path")
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(bad, "path string")
 
 
 def newest_file(spark: SparkSession, folder: str, pattern: str) -> DataFrame:

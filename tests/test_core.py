@@ -252,3 +252,55 @@ def test_header_search_and_references(spark):
     assert [tuple(r) for r in readers.sheet_table(cells, sheet="sheet", labels=["k", "v"]).collect()] == [("s", 3, "a", "1")]
     refs = spark.createDataFrame([("s", "A1", "7"), ("s", "A2", "=A1"), ("s", "A3", "=$A$2"), ("s", "A4", "=A4")], "sheet string, ref string, value string")
     assert {r["ref"]: r["value"] for r in readers.resolve_references(refs, sheet="sheet").collect()} == {"A1": "7", "A2": "7", "A3": "7", "A4": None}
+
+
+def test_swap_survives_a_crash_at_every_point(spark, tmp_path):
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = lambda p: jvm.org.apache.hadoop.fs.Path(str(p))
+    old = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, v string, t int")
+    new = spark.createDataFrame([(2, "c", 2), (3, "d", 2)], "k int, v string, t int")
+    want = {(1, "a"), (2, "c"), (3, "d")}
+    for point in range(5):
+        p = str(tmp_path / f"t{point}")
+        fs = path(p).getFileSystem(conf)
+        writers.upsert_table(old, p, ["k"], "t")
+        merged = writers.latest_wins(spark.read.parquet(p), new, ["k"], "t")
+        if point == 1:  # while the new table is written
+            merged.write.parquet(p + ".new")
+            fs.delete(path(p + ".new/_SUCCESS"), False)
+        if point >= 2:
+            merged.write.parquet(p + ".new")
+        if point >= 3:  # between the renames
+            fs.rename(path(p), path(p + ".old"))
+            assert writers.read_table(spark, p).count() == 2
+        if point == 4:  # before the old table is dropped
+            fs.rename(path(p + ".new"), path(p))
+        writers.upsert_table(new, p, ["k"], "t")
+        assert {(r["k"], r["v"]) for r in writers.read_table(spark, p).collect()} == want
+        assert not fs.exists(path(p + ".old")) and not fs.exists(path(p + ".new"))
+
+
+def test_verified_append_and_resumable_export(spark, tmp_path):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None)], "k int, v string")
+    p = str(tmp_path / "appended")
+    assert writers.append_verified(a, p) == 3 and writers.append_verified(a.limit(1), p) == 1 and spark.read.parquet(p).count() == 4
+    u = str(tmp_path / "units")
+    assert writers.export_units(a, u, "k") == 2 and writers.export_units(a.withColumn("v", F.lit("y")), u, "k") == 0
+    assert writers.export_units(a.unionByName(spark.createDataFrame([(3, "z")], "k int, v string")), u, "k") == 1
+    assert sorted(r["v"] or "" for r in spark.read.parquet(u).collect()) == ["", "x", "x", "z"]
+    with pytest.raises(ValueError, match="v: 1 rows"):
+        writers.encoded(spark.createDataFrame([("x",), ("漢",)], "v string"), ["v"], "ascii")
+    assert writers.encoded(a, ["v"], "ascii") is a
+
+
+def test_scratch_deletes_what_was_cut(spark):
+    import os
+
+    from tallyloom import session
+
+    with session.scratch(spark):
+        df = session.cut(spark.range(5))
+        assert df.count() == 5 and session.cut(df.limit(0)).count() == 0
+        files = [f.removeprefix("file:").removeprefix("//") for f in df.inputFiles()]
+        assert all(map(os.path.exists, files))
+    assert not any(map(os.path.exists, files))
