@@ -61,13 +61,13 @@ _DIRECTIONS = "(?:(?:North|South|East|West|Old|New|Upper|Lower|Great|Little) )?"
 _SUFFIX = "(?:" + "|".join(map(re.escape, _STREETS)) + ")"
 _LAGE = "(?:" + "|".join(_LAGEN) + ")"
 _STRASSE = "(?:" + "|".join(_STRASSEN) + ")"
-#: Forms of addresses, each with what a text must hold to be searched for it: every match of the form holds it.
+#: Forms of addresses, each with pieces of which every match of the form holds one.
 _ADDRESSES = (
-    (re.compile(" (?:" + "|".join(sorted({w.rstrip(".") for w in _STREETS})) + r")(?!\w)"), re.compile(r"(?<![\w\-/.,])\d{1,4}[a-z]? " + _DIRECTIONS + r"[A-Z][\w'\-]+(?: [A-Z][\w'\-]+)? " + _SUFFIX + r"(?!\w)")),
-    (re.compile(" (?:" + "|".join(_NUMBERED_AFTER) + r") \d"), re.compile(r"(?<!\w)" + _DIRECTIONS + r"[A-Z][\w'\-]+ (?:" + "|".join(_NUMBERED_AFTER) + r") \d{1,4}[a-z]?(?![\w\-])")),
-    (re.compile(_STRASSE + r" \d"), re.compile(r"(?<!\w)[A-ZÄÖÜ][a-zäöüß\-]*" + _STRASSE + r" \d{1,4}[a-z]?(?![\w\-.])")),
-    (re.compile(r"(?<!\w)" + _LAGE + " [A-ZÄÖÜ]"), re.compile(r"(?<!\w)" + _LAGE + r" (?:[A-ZÄÖÜ][\w\-]+ )?[A-ZÄÖÜ][a-zäöüß\-]+ \d{1,4}[a-z]?(?![\w\-.])")),
-    (re.compile("[市区]"), re.compile(r"[㐀-鿿]{1,6}[市区][㐀-鿿々ヶケノァ-ヺー]{1,10}\d+(?:[-－−]\d+){1,3}")),
+    (tuple(dict.fromkeys(" " + w.rstrip(".") for w in _STREETS)), re.compile(r"(?<![\w\-/.,])\d{1,4}[a-z]? " + _DIRECTIONS + r"[A-Z][\w'\-]+(?: [A-Z][\w'\-]+)? " + _SUFFIX + r"(?!\w)")),
+    (tuple(f" {w} " for w in _NUMBERED_AFTER), re.compile(r"(?<!\w)" + _DIRECTIONS + r"[A-Z][\w'\-]+ (?:" + "|".join(_NUMBERED_AFTER) + r") \d{1,4}[a-z]?(?![\w\-])")),
+    (tuple(f"{w} " for w in _STRASSEN), re.compile(r"(?<!\w)[A-ZÄÖÜ][a-zäöüß\-]*" + _STRASSE + r" \d{1,4}[a-z]?(?![\w\-.])")),
+    (tuple(f"{w} " for w in _LAGEN), re.compile(r"(?<!\w)" + _LAGE + r" (?:[A-ZÄÖÜ][\w\-]+ )?[A-ZÄÖÜ][a-zäöüß\-]+ \d{1,4}[a-z]?(?![\w\-.])")),
+    (("市", "区"), re.compile(r"[㐀-鿿]{1,6}[市区][㐀-鿿々ヶケノァ-ヺー]{1,10}\d+(?:[-－−]\d+){1,3}")),
 )
 _W = "[A-Za-zÀ-ÖØ-öø-ÿĀ-ž'’\\-]"
 _CAPS = re.compile(rf"(?<![A-Za-z0-9_@./\-À-ÿ])@?[A-ZÀ-ÖØ-Þ]{_W}*\.?(?:[ \u3000]{{1,2}}[A-ZÀ-ÖØ-Þ]{_W}*\.?)*|@[A-ZÀ-ÖØ-Þ]{_W}*(?: [A-ZÀ-ÖØ-Þ]{_W}*)?")
@@ -204,8 +204,8 @@ class Finder:
             for m in _NUMBER.finditer(text, max(at, d.start() - 6), min(len(text), d.end() + 6)):
                 spans.append((m.start(), m.end(), m.lastgroup))
                 at = m.end()
-        for gate, form in _ADDRESSES:
-            if gate.search(text):
+        for pieces, form in _ADDRESSES:
+            if any(p in text for p in pieces):
                 spans += [(m.start(), m.end(), "address") for m in form.finditer(text)]
         spans += [(a, b, "name") for a, b in self.names(text, transcript)]
         if len(spans) < 2:
