@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.session import cut
+
 
 def code_lookup(df: DataFrame, rules: DataFrame, *, code_col: str, stages: list[str], sep: str = "-") -> DataFrame:
     """Segments of a code, each looked up under its stage: a column per stage.
@@ -90,17 +92,30 @@ def in_file_order(df: DataFrame, path_col: str, last: str) -> Column:
     return F.struct(F.col(path_col).contains(last), F.col(path_col))
 
 
-def ancestors(nodes: DataFrame, *, node: str, parent: str, depth: int = 16) -> DataFrame:
-    """``(node, ancestor, level)`` by repeated equality joins; stops when nothing is new.
+def ancestors(nodes: DataFrame, *, node: str, parent: str, excluded: DataFrame | None = None) -> DataFrame:
+    """``(node, ancestor, level)`` for every ancestor, however far; a node is never its own, so cycles end.
 
-    ``depth`` guards against cycles; a node is never its own ancestor.
+    The length of the paths known doubles each round (known paths joined end to end), so a
+    chain of n parents takes log n rounds; a round that finds no new pair is the last.
+    ``excluded``: nodes (one column) at which a path stops: they are ancestors, but nothing above them is.
     """
-    edges = nodes.select(F.col(node).alias("_n"), F.col(parent).alias("_p")).where("_p is not null and _p <> _n").distinct()
-    frontier = edges.select(F.col("_n").alias("node"), F.col("_p").alias("ancestor"), F.lit(1).alias("level"))
-    out = frontier
-    for level in range(2, depth + 1):
-        frontier = frontier.join(edges, F.col("ancestor") == F.col("_n")).select("node", F.col("_p").alias("ancestor"), F.lit(level).alias("level")).where("node <> ancestor").distinct()
-        if level % 4 == 0 and frontier.isEmpty():
+    edges = nodes.select(F.col(node).alias("node"), F.col(parent).alias("ancestor")).where("ancestor is not null and ancestor <> node").distinct()
+    if excluded is not None:
+        edges = edges.join(excluded.select(F.col(excluded.columns[0]).alias("node")).distinct(), "node", "left_anti")
+    known = cut(edges.withColumn("level", F.lit(1)))
+    n = known.count()
+    while n:
+        ahead = known.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_a"), F.col("level").alias("_l"))
+        longer = known.join(ahead, "ancestor").where("node <> _a").select("node", F.col("_a").alias("ancestor"), (F.col("level") + F.col("_l")).alias("level"))
+        known = cut(known.unionByName(longer).groupBy("node", "ancestor").agg(F.min("level").alias("level")))
+        before, n = n, known.count()
+        if n == before:
             break
-        out = out.unionByName(frontier)
-    return out.groupBy("node", "ancestor").agg(F.min("level").alias("level"))
+    return known
+
+
+def in_two_pools(df: DataFrame, first: DataFrame, second: DataFrame, *, key: str, value: str, names: tuple[str, str] = ("first", "second")) -> DataFrame:
+    """``df`` with the value of its key and the pool it is from; the first pool goes before the second."""
+    pool = first.select(key, value, F.lit(0).alias("_p")).unionByName(second.select(key, value, F.lit(1).alias("_p"))).where(F.col(key).isNotNull())
+    best = pool.groupBy(key).agg(F.min(F.struct("_p", value)).alias("_b"))
+    return df.join(best, key, "left").withColumn(value, F.col(f"_b.{value}")).withColumn("pool", F.when(F.col("_b._p") == 0, names[0]).when(F.col("_b._p") == 1, names[1])).drop("_b")

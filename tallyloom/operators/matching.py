@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from tallyloom.session import cut
 
 
 def grams(c: Column, size: int) -> Column:
@@ -20,15 +22,19 @@ def grams(c: Column, size: int) -> Column:
 def contains_pairs(texts: DataFrame, needles: DataFrame, *, text: str, needle: str, size: int = 3) -> DataFrame:
     """Distinct (text, needle) pairs in which the text holds the needle, without a nested loop.
 
-    Every needle has one key, its rarest-looking gram in place: the first ``size``
-    characters; texts have all their grams. The equality join on the gram is verified.
-    Needles shorter than ``size`` join on all their characters.
+    Every needle has one key: of its grams of ``size`` characters the one that the fewest
+    texts hold (counted first); texts have all their grams. The equality join on the gram
+    is verified. Needles shorter than ``size`` join on all their characters. A needle with
+    a gram that no text holds meets nothing.
     """
     t = texts.select(F.col(text).alias("_t")).where(F.length("_t") > 0).distinct()
-    n = needles.select(F.col(needle).alias("_n")).where(F.length("_n") > 0).distinct().withColumn("_size", F.least(F.length("_n"), F.lit(size)))
-    n = n.withColumn("_g", F.expr("substring(_n, 1, _size)"))
-    g = t.select("_t", F.explode(F.array_union(grams(F.col("_t"), size), F.flatten(F.array(*(grams(F.col("_t"), k) for k in range(1, size)))))).alias("_g"))
-    return g.join(n, "_g").where(F.col("_t").contains(F.col("_n"))).select(F.col("_t").alias(text), F.col("_n").alias(needle))
+    n = needles.select(F.col(needle).alias("_n")).where(F.length("_n") > 0).distinct()
+    all_sizes = F.array_union(grams(F.col("_t"), size), F.flatten(F.array(*(grams(F.col("_t"), k) for k in range(1, size))))) if size > 1 else grams(F.col("_t"), 1)
+    g = t.select("_t", F.explode(all_sizes).alias("_g"))
+    held = g.groupBy("_g").agg(F.count("*").alias("_df"))
+    own = n.select("_n", F.explode(F.when(F.length("_n") < size, F.array("_n")).otherwise(grams(F.col("_n"), size))).alias("_g"))
+    rarest = own.join(held, "_g", "left").groupBy("_n").agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("_df"), "_g")).alias("_k")).where("_k._df > 0").select("_n", F.col("_k._g").alias("_g"))
+    return g.join(rarest, "_g").where(F.col("_t").contains(F.col("_n"))).select(F.col("_t").alias(text), F.col("_n").alias(needle))
 
 
 def resolve_alias(df: DataFrame, aliases: DataFrame, *, key: str, alias: str, code: str, evidence: str, least: int = 3) -> DataFrame:
@@ -132,28 +138,35 @@ def similarity(a: str | None, b: str | None) -> float:
     return 0.0 if not a or not b else SequenceMatcher(None, a, b).ratio()
 
 
+def _signs(c: Column) -> Column:
+    """Characters of a text with their number among equal ones, so that a bag is a set."""
+    chars = F.filter(F.split(c, ""), lambda x: x != "")
+    return F.transform(chars, lambda x, i: F.concat(x, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
+
+
 def fuzzy_match(left: DataFrame, right: DataFrame, *, left_col: str, right_col: str, cutoff: float = 0.8) -> DataFrame:
     """Distinct left texts with the right ones at least ``cutoff`` similar: ``(left, right, ratio,
     n_right)``; one right text is a match, several are open.
 
-    Blocking that loses nothing: texts of together L characters and ratio r have at most
-    (1 - r) L + 1 equal blocks that make up r L / 2 characters, so one block has ``size``
-    characters or more as long as (size - 1) ((1 - r) L + 1) < r L / 2. The largest such
-    ``size`` gives the grams of the equality join; pairs too short for the bound join on
-    one key of their own. Every pair met is verified.
+    Prefix filtering that loses nothing: texts of lengths x and y and ratio r share at least
+    r (x + y) / 2 characters, and y is at least r x / (2 - r), so they share r x / (2 - r) of the
+    x characters. With all characters ordered by rarity (counted over both sides), two such
+    texts share one among the first x - ceil(r x / (2 - r)) + 1 of each. These are the keys of the
+    equality join; lengths and the whole bags are compared before a pair is verified.
     """
-    size = max(1, math.ceil(1 + cutoff / (2 * (1 - cutoff))) - 1) if cutoff < 1 else 8
-    short = math.floor((size - 1) / (cutoff / 2 - (size - 1) * (1 - cutoff)))
-    low = cutoff / (2 - cutoff)
-    none = F.array().cast("array<string>")
+    least = cutoff / (2 - cutoff)
+    texts = lambda d, c: d.select(F.col(c).alias("t")).where(F.length("t") > 0).distinct().select("t", _signs(F.col("t")).alias("s"))
+    ta, tb = texts(left, left_col), texts(right, right_col)
+    rarity = ta.unionByName(tb).select(F.explode("s").alias("g")).groupBy("g").agg(F.count("*").alias("n"))
 
-    def keys(c: str) -> Column:
-        return F.explode(F.array_union(grams(F.col(c), size), F.when(F.length(c) <= short, F.array(F.lit(""))).otherwise(none)))
+    def keyed(d: DataFrame, name: str) -> DataFrame:
+        order = d.select("t", F.explode("s").alias("g")).join(rarity, "g").groupBy("t").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("o"))
+        first = F.slice("o", F.lit(1), F.greatest(F.lit(1), F.size("o") - F.ceil(least * F.size("o") - 1e-9).cast("int") + 1))
+        return order.select(F.col("t").alias(name), F.transform("o", lambda x: x["g"]).alias(f"s_{name}"), F.explode(first).alias("k")).select(name, f"s_{name}", F.col("k.g").alias("g"))
 
-    ga = left.select(F.col(left_col).alias("a")).where(F.length(left_col) > 0).distinct().select("a", keys("a").alias("g"))
-    gb = right.select(F.col(right_col).alias("b")).where(F.length(right_col) > 0).distinct().select("b", keys("b").alias("g"))
-    near = (F.length("a") >= low * F.length("b")) & (F.length("b") >= low * F.length("a"))
-    pairs = ga.join(gb, "g").where(near).select("a", "b").distinct()
+    both = F.size("s_a") + F.size("s_b")
+    near = (F.size("s_a") >= least * F.size("s_b")) & (F.size("s_b") >= least * F.size("s_a")) & (2 * F.size(F.array_intersect("s_a", "s_b")) >= cutoff * both - 1e-9)
+    pairs = keyed(ta, "a").join(keyed(tb, "b"), "g").where(near).select("a", "b").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -165,24 +178,113 @@ def fuzzy_match(left: DataFrame, right: DataFrame, *, left_col: str, right_col:
     return hit.join(n, "a").select(F.col("a").alias(left_col), F.col("b").alias(right_col), "ratio", "n_right")
 
 
-def greedy_assign(pairs: DataFrame, *, by: str, left: str, right: str, score: str) -> DataFrame:
+def closest_match(left: DataFrame, right: DataFrame, *, left_col: str, right_col: str, cutoff: float = 0.5) -> DataFrame:
+    """The most similar right text of each left text, ties to the greater text: ``(left, right, ratio)``."""
+    f = fuzzy_match(left.select(F.col(left_col).alias("_l")), right.select(F.col(right_col).alias("_r")), left_col="_l", right_col="_r", cutoff=cutoff)
+    return f.groupBy("_l").agg(F.max(F.struct("ratio", "_r")).alias("m")).select(F.col("_l").alias(left_col), F.col("m._r").alias(right_col), "m.ratio")
+
+
+#: Pairs of a group that one task streams through in order; larger groups go on in rounds.
+FIT = 1_000_000
+
+
+def greedy_assign(pairs: DataFrame, *, by: str, left: str, right: str, score: str, rounds: int = 3, fit: int = FIT) -> DataFrame:
     """Greedy one-to-one assignment within each group by descending score, ties to larger ids.
 
     Rounds of mutual best pairs give the same result as the sequential greedy choice, in
-    parallel for all groups; a group is never collected.
+    parallel for all groups, and take off most pairs. After ``rounds`` of them groups of at
+    most ``fit`` pairs are sorted and streamed through one pass, which holds only the ids
+    assigned; larger groups go on in rounds.
     """
-    from tallyloom.session import cut
-
+    schema = pairs.select(by, left, right, score).schema
     rest = cut(pairs.select(by, left, right, score).where(F.col(score).isNotNull()))
-    out = None
+    parts = []
+
+    def best(of: str) -> DataFrame:
+        return rest.groupBy(by, of).agg(F.max(F.struct(score, left, right)).alias("m")).select(by, "m.*")
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: object = None
+        used_l: set = set()
+        used_r: set = set()
+        started = False
+        for b in batches:
+            keep = []
+            for i, (g, x, y) in enumerate(zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)):
+                if not started or g != group:
+                    group, used_l, used_r, started = g, set(), set(), True
+                if x not in used_l and y not in used_r:
+                    used_l.add(x)
+                    used_r.add(y)
+                    keep.append(i)
+            yield b.take(pa.array(keep, pa.int64()))
+
+    done = 0
     while True:
-        best_l = rest.groupBy(by, left).agg(F.max(F.struct(score, left, right)).alias("m")).select(by, "m.*")
-        best_r = rest.groupBy(by, right).agg(F.max(F.struct(score, left, right)).alias("m")).select(by, "m.*")
-        chosen = cut(best_l.join(best_r, [by, score, left, right]).select(by, left, right, score))
+        chosen = cut(best(left).join(best(right), [by, score, left, right]).select(by, left, right, score))
         if chosen.isEmpty():
-            return out if out is not None else chosen
-        out = chosen if out is None else out.unionByName(chosen)
+            break
+        parts.append(chosen)
         rest = cut(rest.join(chosen.select(by, left), [by, left], "left_anti").join(chosen.select(by, right), [by, right], "left_anti"))
+        done += 1
+        if done >= rounds:
+            small = rest.groupBy(by).agg(F.count("*").alias("_n")).where(F.col("_n") <= fit).select(by)
+            ready = rest.join(small, by, "left_semi").select(by, left, right, score).repartition(by).sortWithinPartitions(by, F.desc(score), F.desc(left), F.desc(right))
+            parts.append(cut(ready.mapInArrow(stream, schema)))
+            rest = cut(rest.join(small, by, "left_anti"))
+    out = parts[0] if parts else rest
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def vendor_candidates(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, name: str, date: str, days: int, top: int = 30) -> DataFrame:
+    """Right rows that a left row may stand for: ``(left_id, right_id, gap, stage)``.
+
+    Stage vendor: the normalised names hold one another, and the dates are within ``days`` or
+    one is missing; all such rows. Left rows without any go to stage fallback: rows of any
+    name within ``days``, both dates given, by day gap, then similarity of the names, then
+    id; ``top`` of them.
+
+    Names meet once for each distinct pair, dates by buckets of ``days``, so nothing is
+    compared outside neighbouring buckets. The fallback looks only as far in days as it
+    takes to have ``top`` rows, and compares distinct names, each with its ``top`` least ids.
+    """
+    d = F.col(date).cast("date")
+    l_ = left.select(F.col(left_id).alias("_l"), F.col(name).alias("_ln"), d.alias("_ld"))
+    r_ = right.select(F.col(right_id).alias("_r"), F.col(name).alias("_rn"), d.alias("_rd"))
+    names_l, names_r = l_.select("_ln").distinct(), r_.select("_rn").distinct()
+    pairs = contains_pairs(names_l, names_r, text="_ln", needle="_rn").unionByName(contains_pairs(names_r, names_l, text="_rn", needle="_ln").select("_ln", "_rn")).distinct()
+    named = l_.join(pairs, "_ln")
+    width = days + 1
+    bucket = lambda c: F.floor(F.unix_date(c) / width)
+    dated = named.where("_ld is not null").withColumn("_b", bucket(F.col("_ld")))
+    near = r_.where("_rd is not null").withColumn("_b", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda o: bucket(F.col("_rd")) + o)))
+    within = F.abs(F.datediff("_ld", "_rd"))
+    hits = dated.join(near, ["_rn", "_b"]).where(within <= days).select("_l", "_r", within.alias("gap"))
+    open_ = named.where("_ld is null").join(r_, "_rn").select("_l", "_r", F.lit(None).cast("int").alias("gap"))
+    open_ = open_.unionByName(dated.drop("_b").join(r_.where("_rd is null"), "_rn").select("_l", "_r", F.lit(None).cast("int").alias("gap")))
+    vendor = cut(hits.unionByName(open_))
+    rest = cut(l_.where("_ld is not null").join(vendor.select("_l"), "_l", "left_anti"))
+    # how many days it takes to have enough rows, for each date of the left side
+    per_day = r_.where("_rd is not null").groupBy("_rd").agg(F.count("*").alias("_c"))
+    around = rest.select("_ld").distinct().withColumn("_o", F.explode(F.sequence(F.lit(-days), F.lit(days)))).withColumn("_rd", F.expr("date_add(_ld, _o)")).join(per_day, "_rd").withColumn("gap", F.abs("_o"))
+    so_far = F.sum("_c").over(Window.partitionBy("_ld").orderBy("gap").rangeBetween(Window.unboundedPreceding, -1))
+    wanted = around.withColumn("_before", F.coalesce(so_far, F.lit(0))).where(F.col("_before") < top).select("_ld", "_rd", "gap")  # 2 days + 1 rows a date
+    least = F.slice(F.array_sort(F.collect_list("_r")), 1, top)
+    by_name = r_.where("_rd is not null").withColumn("_rn", F.coalesce("_rn", F.lit(""))).withColumn("_k", F.row_number().over(Window.partitionBy("_rd", "_rn").orderBy("_r"))).where(F.col("_k") <= top).groupBy("_rd", "_rn").agg(least.alias("_ids"))
+    meet = rest.select(F.coalesce("_ln", F.lit("")).alias("_ln"), "_ld").distinct().join(wanted, "_ld").join(by_name, "_rd")
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.append_column("sim", pa.array([similarity(x, y) for x, y in zip(b.column(0).to_pylist(), b.column(4).to_pylist(), strict=True)], pa.float64()))
+
+    shape = meet.select("_ln", "_ld", "_rd", "gap", "_rn", "_ids")
+    scored = shape.mapInArrow(alike, StructType([*shape.schema.fields, StructField("sim", DoubleType())])).select("_ln", "_ld", "gap", "sim", F.explode("_ids").alias("_r"))
+    w = Window.partitionBy("_ln", "_ld").orderBy("gap", F.desc("sim"), "_r")
+    best = scored.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= top)
+    fallback = rest.withColumn("_ln", F.coalesce("_ln", F.lit(""))).join(best, ["_ln", "_ld"]).select("_l", "_r", "gap", F.lit("fallback").alias("stage"))
+    return vendor.withColumn("stage", F.lit("vendor")).unionByName(fallback).select(F.col("_l").alias(left_id), F.col("_r").alias(right_id), "gap", "stage")
 
 
 def sum_within(left: DataFrame, right: DataFrame, *, on: str, total: str, amount: str, tolerance: int) -> DataFrame:

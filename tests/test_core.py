@@ -304,3 +304,86 @@ def test_scratch_deletes_what_was_cut(spark):
         files = [f.removeprefix("file:").removeprefix("//") for f in df.inputFiles()]
         assert all(map(os.path.exists, files))
     assert not any(map(os.path.exists, files))
+
+
+def test_ancestors_of_any_depth(spark):
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(40)] + [("x", "n3"), ("y", "y"), ("z", None)]
+    n = spark.createDataFrame(chain, "n string, p string")
+    got = {(r["node"], r["ancestor"]): r["level"] for r in lookup.ancestors(n, node="n", parent="p").collect()}
+    assert got == {(f"n{i}", f"n{j}"): j - i for i in range(40) for j in range(i + 1, 41)} | {("x", f"n{j}"): j - 2 for j in range(3, 41)}
+    stop = spark.createDataFrame([("n5",)], "f string")
+    got = {(r["node"], r["ancestor"]) for r in lookup.ancestors(n, node="n", parent="p", excluded=stop).collect()}
+    assert ("n0", "n5") in got and ("n0", "n6") not in got and ("n5", "n6") not in got and ("n6", "n40") in got
+    assert lookup.ancestors(n.limit(0), node="n", parent="p").count() == 0
+
+
+def test_two_pools(spark):
+    df, a, b = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "k string"), spark.createDataFrame([("a", 2), ("a", 1), (None, 9)], "k string, v int"), spark.createDataFrame([("a", 0), ("b", 3)], "k string, v int")
+    assert {tuple(r) for r in lookup.in_two_pools(df, a, b, key="k", value="v").collect()} == {("a", 1, "first"), ("b", 3, "second"), ("c", None, None), (None, None, None)}
+
+
+def test_similarity_join_equals_brute_force(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("aab cd", k=rng.randrange(1, 12))).strip() or "a"
+    a, b = list({word() for _ in range(60)}), list({word() for _ in range(60)})
+    da, db = spark.createDataFrame([(x,) for x in a], "a string"), spark.createDataFrame([(x,) for x in b], "b string")
+    for cutoff in (0.5, 0.8):
+        got = {(r["a"], r["b"]) for r in matching.fuzzy_match(da, db, left_col="a", right_col="b", cutoff=cutoff).collect()}
+        assert got == {(x, y) for x in a for y in b if matching.similarity(x, y) >= cutoff}
+    near = {r["a"]: r["b"] for r in matching.closest_match(da, db, left_col="a", right_col="b").collect()}
+    for x in a:
+        best = max(((matching.similarity(x, y), y) for y in b), default=None)
+        assert near.get(x) == (best[1] if best[0] >= 0.5 else None)
+
+
+def test_containment_equals_nested_loop_on_shared_beginnings(spark):
+    rng = random.Random(13)
+    texts = ["株式会社" + "".join(rng.choices("北南東西", k=rng.randrange(1, 5))) for _ in range(50)] + ["ab", "a", None, ""]
+    needles = ["株式会社" + "".join(rng.choices("北南東西", k=rng.randrange(0, 3))) for _ in range(30)] + ["a", "北", "会社", None]
+    got = {tuple(r) for r in matching.contains_pairs(spark.createDataFrame([(t,) for t in texts], "t string"), spark.createDataFrame([(n,) for n in needles], "n string"), text="t", needle="n").collect()}
+    assert got == {(t, n) for t in texts if t for n in needles if n and n in t}
+
+
+def test_greedy_choice_streams_after_its_rounds(spark):
+    chain = [("g", f"l{i}", f"r{i + d}", 1000.0 - 2 * i - d) for i in range(60) for d in (0, 1)]
+    rng = random.Random(14)
+    pairs = chain + [("h", f"l{rng.randrange(20)}", f"r{rng.randrange(20)}", float(rng.randrange(30))) for _ in range(200)]
+    pairs = list({p[:3]: p for p in pairs}.values())
+
+    def greedy(rows):
+        ul, ur, out = set(), set(), set()
+        for g, x, y, s in sorted(rows, key=lambda p: (p[3], p[1], p[2]), reverse=True):
+            if (g, x) not in ul and (g, y) not in ur:
+                ul.add((g, x))
+                ur.add((g, y))
+                out.add((g, x, y))
+        return out
+
+    df = spark.createDataFrame(pairs, "g string, l string, r string, s double")
+    for fit in (matching.FIT, 0):
+        small = df if fit else df.where("g = 'h'")
+        got = {(r["g"], r["l"], r["r"]) for r in matching.greedy_assign(small, by="g", left="l", right="r", score="s", rounds=2, fit=fit).collect()}
+        assert got == greedy(p for p in pairs if fit or p[0] == "h")
+    assert matching.greedy_assign(df.limit(0), by="g", left="l", right="r", score="s").count() == 0
+
+
+def test_vendor_candidates_equal_brute_force(spark):
+    from datetime import timedelta
+
+    rng = random.Random(15)
+    names = ["north gas", "north gas east", "south gas", "west", "", None, "midori", "hikari gas"]
+    day = lambda: None if rng.random() < 0.2 else date(2024, 1, 1) + timedelta(days=rng.randrange(60))
+    left = [(f"l{i:02d}", rng.choice([*names, "nobody", "gas n"]), day()) for i in range(40)]
+    right = [(f"r{i:02d}", rng.choice(names), day()) for i in range(50)]
+    want = set()
+    for i, n, d in left:
+        gap = lambda e, d=d: None if d is None or e is None else abs((d - e).days)
+        hit = [(j, gap(e), "vendor") for j, m, e in right if n and m and (n in m or m in n) and (gap(e) is None or gap(e) <= 10)]
+        if not hit and d is not None:
+            near = sorted((gap(e), -matching.similarity(n, m), j) for j, m, e in right if gap(e) is not None and gap(e) <= 10)[:4]
+            hit = [(j, g, "fallback") for g, _, j in near]
+        want |= {(i, *h) for h in hit}
+    got = matching.vendor_candidates(
+        spark.createDataFrame(left, "l string, n string, d date"), spark.createDataFrame(right, "r string, n string, d date"), left_id="l", right_id="r", name="n", date="d", days=10, top=4
+    )
+    assert {tuple(r) for r in got.collect()} == want
