@@ -83,3 +83,34 @@ def valid_format(c: Column, kind: str) -> Column:
 def checked(c: Column, ok: Column, message: str) -> Column:
     """The value, or an error that stops the job where ``ok`` is false."""
     return F.when(ok, c).otherwise(F.raise_error(F.lit(message)).cast("string"))
+
+
+def aliased(source: Column, fields: dict[str, tuple[list[str], str]]) -> list[Column]:
+    """Typed columns of a map of texts: each field by the first of its keys that has a value.
+
+    ``fields``: name to (keys, type). The type is guaranteed: what can't be read as it is
+    null, ``array<string>`` is split at commas and lines and never null.
+    """
+    out = []
+    for name, (keys, kind) in fields.items():
+        c = F.coalesce(*(F.nullif(F.trim(F.try_element_at(source, F.lit(k))), F.lit("")) for k in keys))
+        if kind == "array<string>":
+            items = F.filter(F.transform(F.split(c, r"[,、\n]"), F.trim), lambda x: x != "")
+            c = F.coalesce(items, F.array().cast(kind))
+        elif kind != "string":
+            c = F.regexp_replace(c, r"[,¥￥円\s]", "").try_cast(kind) if kind not in ("boolean", "date") else c.try_cast(kind)
+        out.append(c.alias(name))
+    return out
+
+
+def search_phrases(parts: list[list[Column]], most: int) -> Column:
+    """Phrases of the parts joined by a blank, null and blank parts left out, each once, at most ``most``."""
+    phrases = F.array(*(F.nullif(F.trim(F.concat_ws(" ", *(F.nullif(F.trim(p), F.lit("")) for p in ps))), F.lit("")) for ps in parts))
+    return F.slice(F.array_distinct(F.array_compact(phrases)), 1, most)
+
+
+def upload_action(size: Column, known_size: Column, name: Column, stamp: Column) -> Column:
+    """``struct(action, name)`` of an upload against the file of its name: new, same (equal size), or a version with the date in its name."""
+    from tallyloom.functions.text import versioned_name
+
+    return F.when(known_size.isNull(), F.struct(F.lit("new").alias("action"), name.alias("name"))).when(size == known_size, F.struct(F.lit("same").alias("action"), name.alias("name"))).otherwise(F.struct(F.lit("version").alias("action"), versioned_name(name, stamp).alias("name")))

@@ -30,6 +30,29 @@ def nfkc(c: Column) -> Column:
     return F.pandas_udf(_nfkc, "string")(c)
 
 
+def fold(text: str) -> str:
+    """Compatibility composition and case folding of a Python text."""
+    return unicodedata.normalize("NFKC", text).casefold()
+
+
+def _fold(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else fold(x))
+
+
+def match_key(c: Column) -> Column:
+    """The key on which texts are searched: NFKC and case folding, so that width and case don't matter.
+
+    An Arrow-batched UDF; tables that are searched often keep it as a column of their own.
+    """
+    return F.pandas_udf(_fold, "string")(c)
+
+
+def clean_participant(c: Column) -> Column:
+    """A participant's name without bracketed remarks and honorifics."""
+    bare = F.regexp_replace(c, r"[(（\[][^)）\]]*[)）\]]", "")
+    return F.trim(F.regexp_replace(F.trim(bare), HONORIFICS, ""))
+
+
 def squash(c: Column) -> Column:
     """Without any white space."""
     return F.regexp_replace(c, r"[\s\u3000]+", "")

@@ -152,3 +152,52 @@ def adopted(candidates: DataFrame, *, by: str, amount: str, sums: list[str], tol
     for s in reversed(sums[:-1]):
         choice = F.when(F.coalesce(F.abs(F.col(s) - F.col(amount)) <= tolerance, F.lit(False)), F.lit(s)).otherwise(choice)
     return candidates.withColumn("adopted", choice)
+
+
+def majority_page(df: DataFrame, keys: list[str], value: str, page: str) -> DataFrame:
+    """:func:`majority` with ``page``, the first page on which the adopted value stands."""
+    best = majority(df, keys, value, page)
+    pages = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.min(page).alias("page"))
+    return best.join(pages, [*keys, value])
+
+
+def conflicts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Every known value, with its number, of the groups that hold more than one: ``(keys, value, n)``."""
+    c = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    several = c.groupBy(*keys).agg(F.count("*").alias("_k")).where("_k > 1").drop("_k")
+    return c.join(several, keys, "left_semi")
+
+
+def best_page(wanted: DataFrame, coords: DataFrame, adopted: DataFrame, citations: DataFrame, *, source: str = "source", item: str = "item", value: str = "value", page: str = "page", order: str = "ord") -> DataFrame:
+    """The page (from 1) that shows each wanted (source, item, value), through five fall-backs: ``page`` and ``how``.
+
+    adopted: the adopted page (from 0) has a place with the value; value: the least page with one;
+    item: the least page with a place of the item; unplaced: the adopted page all the same; cited:
+    the page of the first citation of the source, or else of the first of all; none: 0.
+    """
+    k = [source, item]
+    a = adopted.groupBy(*k).agg(F.min(page).alias("_a"))
+    by_item = coords.groupBy(*k).agg(F.min(page).alias("_any"))
+    by_value = coords.where(F.col(value).isNotNull()).groupBy(*k, value).agg(F.min(page).alias("_exact"))
+    on = coords.join(a, k).where(F.col(page) == F.col("_a")).select(*k, value).distinct().withColumn("_on", F.lit(True))
+    own = citations.groupBy(source).agg(F.min_by(page, order).alias("_cite"))
+    first = citations.agg(F.min_by(page, order).alias("_first"))  # one row
+    j = wanted.join(a, k, "left").join(on, [*k, value], "left").join(by_value, [*k, value], "left").join(by_item, k, "left").join(own, source, "left").join(F.broadcast(first))
+    how = F.when(F.col("_on"), "adopted").when(F.col("_exact").isNotNull(), "value").when(F.col("_any").isNotNull(), "item").when(F.col("_a").isNotNull(), "unplaced").when(F.coalesce("_cite", "_first").isNotNull(), "cited").otherwise("none")
+    at = F.when(F.col("_on"), F.col("_a") + 1).otherwise(F.coalesce(F.col("_exact") + 1, F.col("_any") + 1, F.col("_a") + 1, F.col("_cite"), F.col("_first"), F.lit(0)))
+    return j.select(*k, value, at.cast("int").alias("page"), how.alias("how"))
+
+
+def merged_summaries(df: DataFrame, keys: list[str], *, order: str, lists: list[str], texts: list[str], sep: str = "\n") -> DataFrame:
+    """Summaries of the batches of a key as one: lists joined in order without repeats, texts joined in order without blanks.
+
+    A key has as many rows as it had batches, which bounds what one row holds.
+    """
+    out = []
+    for c in lists:
+        rows = F.array_sort(F.collect_list(F.struct(order, F.coalesce(F.col(c), F.array().cast("array<string>")).alias("v"))))
+        out.append(F.array_distinct(F.flatten(F.transform(rows, lambda x: x["v"]))).alias(c))
+    for c in texts:
+        rows = F.array_sort(F.collect_list(F.when(F.trim(c) != "", F.struct(order, F.col(c).alias("v")))))
+        out.append(F.array_join(F.transform(rows, lambda x: x["v"]), sep).alias(c))
+    return df.groupBy(*keys).agg(F.count("*").alias("n_batches"), *out)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -55,3 +55,43 @@ def changed_groups(a: DataFrame, b: DataFrame, group: str, member: str) -> DataF
     sets = lambda d: d.groupBy(group).agg(F.array_sort(F.collect_set(member)).alias("members")).select("members")
     sa, sb = sets(a), sets(b)
     return sa.exceptAll(sb).withColumn("side", F.lit("a")).unionByName(sb.exceptAll(sa).withColumn("side", F.lit("b")))
+
+
+def line_accuracy(truth: DataFrame, pred: DataFrame, *, keys: list[str], fields: list[str], truth_order: str, pred_order: str, review: str) -> tuple[DataFrame, DataFrame]:
+    """Predicted lines against true ones: one row of counts, and how often each set of fields is wrong.
+
+    The n-th line of a key meets the n-th of the same key. A prediction is a hit if all
+    ``fields`` are equal (null counting as empty), wrong if not, and has no counterpart if the key
+    has no line left; true lines left over are counted. Lines without ``review`` text are confirmed
+    automatically; ``auto_error_rate`` is their share that is wrong or without counterpart.
+    """
+    number = lambda d, o: d.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(o)))
+    side = lambda d, n: d.select(*keys, "_n", F.struct(*(F.trim(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f) for f in fields)).alias(n))
+    t = side(number(truth, truth_order), "_t")
+    p = side(number(pred, pred_order), "_p").withColumn("_here", F.lit(True))
+    auto = number(pred, pred_order).select(*keys, "_n", (F.trim(F.coalesce(F.col(review).cast("string"), F.lit(""))) == "").alias("_auto"))
+    j = p.join(auto, [*keys, "_n"]).join(t, [*keys, "_n"], "full_outer")
+    wrong = F.array_compact(F.array(*(F.when(F.col(f"_t.{f}") != F.col(f"_p.{f}"), F.lit(f)) for f in fields)))
+    both = F.col("_here") & F.col("_t").isNotNull()
+    j = j.withColumn("_case", F.when(F.col("_here").isNull(), "left").when(F.col("_t").isNull(), "none").when(F.size(wrong) > 0, "wrong").otherwise("hit")).withColumn("_wrong", F.when(both, F.array_join(wrong, ",")))
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("bigint")
+    case, auto_ = F.col("_case"), F.coalesce(F.col("_auto"), F.lit(False))
+    row = j.agg(
+        n(case == "hit").alias("n_hit"), n(case == "wrong").alias("n_wrong"), n(case == "none").alias("n_none"), n(case == "left").alias("n_truth_left"),
+        n(auto_).alias("n_auto"), n(auto_ & (case == "wrong")).alias("n_auto_wrong"), n(auto_ & (case == "none")).alias("n_auto_none"),
+    ).na.fill(0)
+    row = row.withColumn("auto_error_rate", F.try_divide((F.col("n_auto_wrong") + F.col("n_auto_none")).cast("double"), F.col("n_auto").cast("double")))
+    return row, j.where(case == "wrong").groupBy(F.col("_wrong").alias("fields")).agg(F.count("*").alias("n"))
+
+
+def extraction_score(records: DataFrame, covers: DataFrame, truth: DataFrame, *, by: str, keys: list[str], amount: str, total: str, ok: str, unit: int = 1000) -> DataFrame:
+    """Per label: records, failed checks, records that are in the truth (as bags), and whether the sum of
+    the records is within (n - 1) units of the covers' total, as n amounts cut to the unit may be.
+
+    ``(by, n, n_failed, n_found, diff, within)``; n counts the covers in the tolerance.
+    """
+    r = records.groupBy(by).agg(F.count("*").alias("n"), F.sum(F.when(~F.col(ok), 1).otherwise(0)).cast("bigint").alias("n_failed"), F.sum(amount).alias("_s"))
+    found = bag_overlap(truth, records, by=[by], fields=keys).select(by, F.col("n_hit").alias("n_found"))
+    c = covers.groupBy(by).agg(F.sum(total).alias("_t"), F.count("*").alias("_c"))
+    j = r.join(found, by, "left").join(c, by, "left").withColumn("diff", F.col("_s") - F.col("_t"))
+    return j.select(by, "n", "n_failed", F.coalesce("n_found", F.lit(0)).alias("n_found"), "diff", (F.abs("diff") <= F.greatest(F.col("_c") - 1, F.lit(0)) * unit).alias("within"))

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tallyloom.session import cut
+
 Judge = Callable[[list[dict]], list[dict]]
 
 
@@ -57,3 +59,53 @@ def with_required(answers: DataFrame, required: list[str]) -> tuple[DataFrame, D
     for c in required:
         whole = whole & F.col(c).isNotNull()
     return answers.where(whole), answers.where(~whole)
+
+
+def judged_or(df: DataFrame, first: Judge, second: Judge, schema: str, *, key: str, required: list[str]) -> DataFrame:
+    """Answers of the first judge, and of the second where the first gave not all that is required; ``by`` tells which.
+
+    What neither answers in full stands as the second gave it.
+    """
+    answers = cut(judged(df, first, schema, key=key))
+    whole, again = with_required(answers, required)
+    asked = df.join(again.select(key), key, "left_semi")
+    return whole.withColumn("by", F.lit("first")).unionByName(judged(asked, second, schema, key=key).withColumn("by", F.lit("second")))
+
+
+def page_rows(pages: DataFrame, reader: Callable[[dict], list[dict]], schema: str, *, key: str) -> DataFrame:
+    """``(key, row_no, *schema)``: the rows that a reader finds on each page, numbered from 1; a page may have none."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import IntegerType, StructField
+
+    out = StructType([pages.schema[key], StructField("row_no", IntegerType()), *StructType.fromDDL(schema).fields])
+    types = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [{key: p[key], "row_no": n} | r for p in b.to_pylist() for n, r in enumerate(reader(p), 1)]
+            yield pa.RecordBatch.from_pylist([{c: r.get(c) for c in types.names} for r in rows], schema=types)
+
+    return pages.mapInArrow(run, out)
+
+
+def rechecked(answers: DataFrame, machine: DataFrame, ok: DataFrame, *, by: str) -> DataFrame:
+    """Answers of the groups whose machine check holds (``ok``: by, ok), the machine's own rows for the others; ``by_judge`` tells which."""
+    good = ok.where("ok").select(by)
+    kept = answers.join(good, by, "left_semi").withColumn("by_judge", F.lit(True))
+    return kept.unionByName(machine.join(good, by, "left_anti").withColumn("by_judge", F.lit(False)), allowMissingColumns=True)
+
+
+def classified(df: DataFrame, judge: Judge, labels: list[str], *, key: str, fallback: str) -> DataFrame:
+    """``(key, label, valid)``: the judge's label, or the fallback where it is none of the labels."""
+    a = judged(df, judge, "label string", key=key)
+    valid = F.coalesce(F.col("label").isin(*labels), F.lit(False))
+    return a.select(key, F.when(valid, F.col("label")).otherwise(fallback).alias("label"), valid.alias("valid"))
+
+
+def keyword_classifier(text: str, rules: list[tuple[str, str]]) -> Judge:
+    """The stand-in that labels a text by the first needle it holds, case ignored."""
+
+    def judge(rows: list[dict]) -> list[dict]:
+        return [{"label": next((v for n, v in rules if n.casefold() in (r.get(text) or "").casefold()), None)} for r in rows]
+
+    return judge

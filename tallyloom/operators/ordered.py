@@ -133,7 +133,8 @@ def global_rank(df: DataFrame, order: list[str], out: str = "rank") -> DataFrame
     Ranges are sorted apart; the number of rows before each range comes from a table of one
     row per partition. ``order`` must be a total order for a defined result.
     """
-    parts = cut(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("_m", F.monotonically_increasing_id())
+    # numbered in the order of the ranges before they are written
+    parts = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
     parts = parts.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offsets = parts.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

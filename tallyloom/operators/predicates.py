@@ -9,7 +9,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators.matching import contains_pairs
+from tallyloom.functions.text import fold, match_key, squash
+from tallyloom.operators.matching import closest_match, contains_pairs
 
 NUMERIC = {"<=", ">=", "<", ">"}
 
@@ -50,21 +51,29 @@ def source_filter(source: str | None = None, projects: list[str] | None = None,
     return all_of(conditions)
 
 
-def keyword_match(fields: list[str], keywords: list[str]) -> Column:
-    """Any keyword in the fields, case ignored; no keyword matches all."""
-    if not keywords:
+def keyword_match(fields: list[str], keywords: list[str], *, normalised: bool = False) -> Column:
+    """Any keyword in the fields, case and width ignored; no keyword, or blank ones only, matches all.
+
+    ``normalised``: the fields hold :func:`tallyloom.functions.text.match_key` already.
+    """
+    wanted = [fold(k) for k in keywords or [] if k and k.strip()]
+    if not wanted:
         return F.lit(True)
-    hay = F.lower(F.concat_ws(" \n", *fields))
-    return any_of([hay.contains(k.lower()) for k in keywords])
+    hay = F.concat_ws(" \n", *fields)
+    hay = hay if normalised else match_key(hay)
+    return any_of([hay.contains(k) for k in wanted])
 
 
-def person_match(address_fields: list[str], name_fields: list[str], address: str | None, spellings: list[str]) -> Column:
-    """The address in an address field, or a spelling of two or more signs in a name field."""
+def person_match(address_fields: list[str], name_fields: list[str], address: str | None, spellings: list[str], *, normalised: bool = False) -> Column:
+    """The address in an address field, or a spelling of two or more signs in a name field, case and width ignored."""
+    key = (lambda c: c) if normalised else match_key
     conditions = []
-    if address:
-        conditions.append(F.lower(F.concat_ws(" ", *address_fields)).contains(address.lower()))
-    hay = F.lower(F.concat_ws(" \n", *name_fields))
-    conditions += [hay.contains(s.lower()) for s in spellings if len(s) >= 2]
+    if address and address.strip():
+        conditions.append(key(F.concat_ws(" \n", *address_fields)).contains(fold(address.strip())))
+    wanted = [fold(s) for s in spellings if s and len(s) >= 2]
+    if wanted:
+        hay = key(F.concat_ws(" \n", *name_fields))
+        conditions += [hay.contains(w) for w in wanted]
     return any_of(conditions) if conditions else F.lit(True)
 
 
@@ -111,14 +120,27 @@ def leave_one_out(df: DataFrame, spec: dict[str, tuple[str, Any]]) -> DataFrame:
     return row.select(F.explode(F.array(*(F.struct(F.lit(n).alias("filter"), F.coalesce(f"_{i}", F.lit(0)).alias("n_without")) for i, n in enumerate(names)))).alias("r")).select("r.*")
 
 
-def excluded(df: DataFrame, name_col: str, needles: DataFrame, needle_col: str) -> DataFrame:
-    """Rows whose name neither holds a needle nor is held by one, case ignored; null names stay.
+def exclusion_hits(df: DataFrame, name_col: str, needles: DataFrame, needle_col: str, *, cutoff: float = 0.8) -> DataFrame:
+    """What each needle excludes: ``(needle, name, how)``; ``name`` is the key of the names, without width, case and blanks.
 
-    Containment is decided once for each distinct name, by equality on grams.
+    ``how``: holds (the name holds the needle), held (the needle holds the name), close (no
+    name does either: the one most similar from ``cutoff`` on, ties to the greater), or
+    unmatched with a null name. Containment is decided once for each distinct name.
     """
-    names = df.select(F.lower(F.col(name_col)).alias("_t")).distinct()
-    list_ = needles.select(F.lower(F.col(needle_col)).alias("_n")).distinct()
-    holds = contains_pairs(names, list_, text="_t", needle="_n").select("_t")
-    held = contains_pairs(list_, names, text="_n", needle="_t").select("_t")
-    hit = holds.unionByName(held).distinct()
-    return df.join(hit, F.lower(F.col(name_col)) == F.col("_t"), "left_anti")
+    key = lambda c: squash(match_key(F.col(c)))
+    names = df.select(key(name_col).alias("_t")).where(F.length("_t") > 0).distinct()
+    list_ = needles.select(F.col(needle_col).alias("needle"), key(needle_col).alias("_n")).where(F.length("_n") > 0).distinct()
+    keys = list_.select("_n").distinct()
+    holds = contains_pairs(names, keys, text="_t", needle="_n").withColumn("how", F.lit("holds"))
+    held = contains_pairs(keys, names, text="_n", needle="_t").where("_t <> _n").withColumn("how", F.lit("held"))
+    sure = holds.unionByName(held)
+    left = keys.join(sure.select("_n"), "_n", "left_anti")
+    close = closest_match(left, names, left_col="_n", right_col="_t", cutoff=cutoff).select("_t", "_n", F.lit("close").alias("how"))
+    found = sure.unionByName(close)
+    return list_.join(found, "_n", "left").select("needle", F.col("_t").alias("name"), F.coalesce("how", F.lit("unmatched")).alias("how"))
+
+
+def excluded(df: DataFrame, name_col: str, needles: DataFrame, needle_col: str, *, cutoff: float = 0.8) -> DataFrame:
+    """Rows whose name no needle excludes (see :func:`exclusion_hits`); null names stay."""
+    hit = exclusion_hits(df, name_col, needles, needle_col, cutoff=cutoff).where("name is not null").select(F.col("name").alias("_t")).distinct()
+    return df.withColumn("_k", squash(match_key(F.col(name_col)))).join(hit, F.col("_k") == F.col("_t"), "left_anti").drop("_k")

@@ -110,3 +110,31 @@ def capped_cascade(df: DataFrame, reasons: list[tuple[str, Column]], *, group: s
     top = d.where(F.col("reason").isNull()).orderBy(*order).limit(total).select(*[c for c in df.columns]).withColumn("_top", F.lit(True))
     keep = top.select(*df.columns[:1], "_top")
     return d.join(keep, df.columns[0], "left").withColumn("reason", F.when(F.col("reason").isNull() & F.col("_top").isNull(), "over_total").otherwise(F.col("reason"))).drop("_top")
+
+
+def replan(df: DataFrame, *, group: str, most: int = 300) -> DataFrame:
+    """One row: number of rows, number of distinct groups, and why to ask again: none, many or null."""
+    r = df.agg(F.count("*").alias("n"), F.count_distinct(group).alias("n_groups"))
+    return r.withColumn("reason", F.when(F.col("n") == 0, "none").when(F.col("n") > most, "many"))
+
+
+def first_seeds(seeds: DataFrame, key: str, order: list[Column], most: int = 10) -> DataFrame:
+    """The first distinct keys of the seeds in their order, at most ``most``: what :func:`expand_threads` is asked for."""
+    best = seeds.where(F.col(key).isNotNull() & (F.col(key) != "")).groupBy(key).agg(F.min(F.struct(*order)).alias("_o"))
+    return best.orderBy("_o", key).limit(most).select(key)
+
+
+def sources_or_warning(readers: dict[str, object]) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """Frames of the sources that can be read, and a warning for each that can't: a failing source is as good as empty.
+
+    Each reader is called and its first row read, so that a failure shows here.
+    """
+    good, warnings = {}, {}
+    for name, reader in readers.items():
+        try:
+            df = reader()
+            df.limit(1).collect()
+            good[name] = df
+        except Exception as e:  # whatever a source raises is its warning
+            warnings[name] = f"{type(e).__name__}: {str(e)[:200]}"
+    return good, warnings

@@ -227,18 +227,8 @@ def staged_match(spark, d):
     return matching.match_report(c, s, m, left_id="c_custkey", right_id="s_suppkey")
 
 
-@query("""
-with l as (select l_orderkey * 10 + l_linenumber line, l_orderkey, l_shipdate::date s from lineitem where l_quantity >= 45), o as (select o_orderkey, o_custkey, o_orderdate::date od from orders),
-b as (select o_orderkey, o_custkey, od from o),
-j as (select line, c.o_orderkey cand, abs(date_diff('day', c.od, s)) gap from l join o on l_orderkey = o.o_orderkey join b c on c.o_custkey = o.o_custkey),
-r as (select *, gap <= 60 near, row_number() over (partition by line order by (gap <= 60) desc, gap, cand) rk, max(gap <= 60) over (partition by line) any_near from j)
-select line, cand, gap::int gap, case when near then 'strict' else 'fallback' end stage, rk::int as rank from r where rk <= 5 and (near or not any_near)""")
-def candidate_join(spark, d):
-    return _candidates(spark, d, table(spark, d, "lineitem").where("l_quantity >= 45"), top=5)
-
-
 @query()
-def candidate_join_all(spark, d):
+def candidate_join(spark, d):
     """Every line, thirty candidates each."""
     return _candidates(spark, d, table(spark, d, "lineitem"), top=30)
 
@@ -257,15 +247,8 @@ def orphan_report(spark, d):
     return a.unionByName(o.join(c, c["c_custkey"] == o["o_custkey"], "left_anti").select(F.col("o_custkey").alias("k"), F.lit("no customer").alias("side")).distinct())
 
 
-@query("""
-with a as (select o_orderkey, round(o_totalprice)::bigint v from orders where o_orderstatus = 'P'), b as (select l_orderkey * 10 + l_linenumber line, round(l_extendedprice)::bigint w from lineitem where l_quantity = 50)
-select o_orderkey, line, v - w diff from a join b on abs(v - w) <= 3""")
-def tolerance_join(spark, d):
-    return _near_amounts(table(spark, d, "orders").where("o_orderstatus = 'P'"), table(spark, d, "lineitem").where("l_quantity = 50"))
-
-
 @query()
-def tolerance_join_all(spark, d):
+def tolerance_join(spark, d):
     """Every order and every line."""
     return _near_amounts(table(spark, d, "orders"), table(spark, d, "lineitem"))
 
@@ -427,11 +410,11 @@ def compare_runs(spark, d):
 
 
 @query("""
-with k as (select distinct l_partkey % 40 k from lineitem where l_quantity > 49), s as (select distinct p_brand, p_partkey % 40 k from part), h as (select p_brand, count(*) hits from s where k in (select k from k) group by 1), r as (select *, hits::double / (select count(*) from k) rate from h),
+with k as (select distinct l_partkey % 40 k from lineitem), s as (select distinct p_brand, p_partkey % 40 k from part), h as (select p_brand, count(*) hits from s where k in (select k from k) group by 1), r as (select *, hits::double / (select count(*) from k) rate from h),
 w as (select *, row_number() over (order by rate desc, p_brand) rk, coalesce(lead(rate) over (order by rate desc, p_brand), 0) nx from r)
 select p_brand, hits, round(rate, 9) rate, rk = 1 and rate >= 0.5 and rate - nx >= 0.25 chosen from w""")
 def sheet_choice(spark, d):
-    k = table(spark, d, "lineitem").where("l_quantity > 49").select((F.col("l_partkey") % 40).alias("k"))
+    k = table(spark, d, "lineitem").select((F.col("l_partkey") % 40).alias("k"))
     s = table(spark, d, "part").select("p_brand", (F.col("p_partkey") % 40).alias("k"))
     return matching.choose_by_overlap(k, s, key="k", sheet="p_brand").withColumn("rate", F.round("rate", 9))
 
@@ -477,9 +460,9 @@ def cell_differences(spark, d):
 
 @query("""
 select "within", "over", "unknown", greatest(0, 50 - "within") refill, case when "within" >= 50 then 'ok' when "within" + "unknown" >= 50 then 'check' else 'refill' end verdict from (
- select count(*) filter (where pr <= 1000) "within", count(*) filter (where pr > 1000) "over", count(*) filter (where pr is null) "unknown" from (select case when p_size % 9 = 0 then null else p_retailprice end pr from part where p_size > 25))""")
+ select count(*) filter (where pr <= 1000) "within", count(*) filter (where pr > 1000) "over", count(*) filter (where pr is null) "unknown" from (select case when p_size % 9 = 0 then null else p_retailprice end pr from part))""")
 def budget_verdict(spark, d):
-    p = table(spark, d, "part").where("p_size > 25").select(F.when(F.col("p_size") % 9 != 0, F.col("p_retailprice")).alias("pr"))
+    p = table(spark, d, "part").select(F.when(F.col("p_size") % 9 != 0, F.col("p_retailprice")).alias("pr"))
     return score.budget_verdict(p, price="pr", budget=1000, wanted=50)
 
 
@@ -555,7 +538,7 @@ def _fuzzy(p):
 
 @query()
 def greedy_assign(spark, d):
-    li = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("g"), F.col("l_suppkey").alias("l"), (F.col("l_partkey") % 200).alias("r")).agg(F.count("*").alias("score"))
+    li = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("g"), F.col("l_suppkey").alias("l"), F.col("l_partkey").alias("r")).agg(F.count("*").alias("score"))
     return matching.greedy_assign(li, by="g", left="l", right="r", score="score")
 
 

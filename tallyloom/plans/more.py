@@ -83,19 +83,8 @@ def mode_of_main(spark, d):
     return aggregate.mode_of_main(table(spark, d, "orders"), main="o_orderpriority", value="o_orderstatus", order="o_orderkey").select("o_orderkey", "o_orderstatus")
 
 
-@query("""
-with a as (select p_brand k, p_partkey l, p_size v from part where p_partkey % 2 = 0 and p_size < 4), b as (select p_brand k, p_partkey r, p_size v from part where p_partkey % 2 = 1 and p_size < 4),
-ga as (select k, count(*) n, count(distinct v) d from a group by 1), gb as (select k, count(*) n, count(distinct v) d from b group by 1), g as (select k from ga join gb using (k, n, d) where n = d)
-select l, r from (select *, row_number() over (partition by k order by v) rn from a where k in (select k from g)) x join (select *, row_number() over (partition by k order by v) rn from b where k in (select k from g)) y using (k, rn)""")
-def equal_groups(spark, d):
-    p = table(spark, d, "part").where("p_size < 4")
-    a = p.where("p_partkey % 2 = 0").select(F.col("p_brand").alias("k"), F.col("p_partkey").alias("l"), F.col("p_size").alias("v"))
-    b = p.where("p_partkey % 2 = 1").select(F.col("p_brand").alias("k"), F.col("p_partkey").alias("r"), F.col("p_size").alias("v"))
-    return matching.pair_equal_groups(a, b, keys=["k"], left_id="l", right_id="r", value="v")
-
-
 @query()
-def equal_groups_all(spark, d):
+def equal_groups(spark, d):
     """Every part, in groups of brand, type and size, paired by price."""
     p = table(spark, d, "part")
     side = lambda n, c: p.where(F.col("p_partkey") % 2 == n).select("p_brand", "p_type", "p_size", F.col("p_partkey").alias(c), F.col("p_retailprice").alias("v"))
@@ -150,9 +139,9 @@ def top_concerns(spark, d):
 
 
 @query("""
-select p_partkey, price from (select p_partkey, case when p_size % 9 = 0 then null else p_retailprice end price from part where p_size > 40) order by price is null, price desc, p_partkey limit 60""")
+select p_partkey, price from (select p_partkey, case when p_size % 9 = 0 then null else p_retailprice end price from part) order by price is null, price desc, p_partkey limit 60""")
 def unknown_price_last(spark, d):
-    p = table(spark, d, "part").where("p_size > 40").select("p_partkey", F.when(F.col("p_size") % 9 != 0, F.col("p_retailprice")).alias("price"))
+    p = table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 9 != 0, F.col("p_retailprice")).alias("price"))
     return p.orderBy(*score.unknown_last("price", ascending=False), "p_partkey").limit(60)
 
 

@@ -59,15 +59,33 @@ def pages(unit: dict, fetch: Fetch, size: int = 100, floor: int = 5, sleep: Call
         token = token_next
 
 
-def read_paged(units: DataFrame, fetch: Fetch, schema: str, *, size: int = 100, floor: int = 5) -> DataFrame:
-    """All rows of all units, with the schema given; a page is one Arrow batch, so no unit is held whole."""
+def descending(pages_: Iterator[list[dict]], time: str, since: object | None = None, most: int | None = None) -> Iterator[list[dict]]:
+    """Pages that come newest first, as far as the first row before ``since`` or to ``most`` rows."""
+    left = most
+    for rows in pages_:
+        kept = rows if since is None else [r for r in rows if r.get(time) is not None and r[time] >= since]
+        if left is not None:
+            kept = kept[:left]
+            left -= len(kept)
+        yield kept
+        if left == 0 or len(kept) < len(rows):
+            return
+
+
+def read_paged(units: DataFrame, fetch: Fetch, schema: str, *, size: int = 100, floor: int = 5, time: str | None = None, since: object | None = None, most: int | None = None) -> DataFrame:
+    """All rows of all units, with the schema given; a page is one Arrow batch, so no unit is held whole.
+
+    ``time`` with ``since`` or ``most``: the service gives the newest first, and each unit is read
+    only as far as that (:func:`descending`).
+    """
     out = StructType.fromDDL(schema)
     types = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for unit in b.to_pylist():
-                for rows in pages(unit, fetch, size, floor):
+                read = pages(unit, fetch, size, floor)
+                for rows in descending(read, time, since, most) if time else read:
                     yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in types.names} for r in rows], schema=types)
 
     return units.mapInArrow(run, out)

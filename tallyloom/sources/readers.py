@@ -161,3 +161,44 @@ def users_named(users: DataFrame, *, id_col: str, names: list[str], deleted: str
 def last_listed(df: DataFrame, key: Column, value: str, order: str) -> DataFrame:
     """Listing to ``(key, value)``; the last entry of a key wins."""
     return df.groupBy(key.alias("key")).agg(F.max_by(value, order).alias(value))
+
+
+def fixed_sheet(cells: DataFrame, *, sheet: str, header: int, first: int, columns: dict[str, str], derived: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """Rows of a sheet whose header stands in a fixed row and whose data begin at another, a column for each label.
+
+    ``columns``: label to name. ``derived``: name to (minuend, subtrahend), filled where both
+    are numbers. Rows without any value are left out; blank header cells name nothing.
+    """
+    names = cells.where((F.col("row") == header) & F.trim("value").isin(*columns)).select(sheet, "col", F.trim("value").alias("label"))
+    body = cells.where((F.col("row") >= first) & (F.trim("value") != "")).join(names, [sheet, "col"])
+    wide = body.groupBy(sheet, "row").pivot("label", list(columns)).agg(F.first("value"))
+    out = wide.select(sheet, "row", *(F.col(f"`{label}`").alias(n) for label, n in columns.items()))
+    number = lambda c: F.regexp_replace(c, ",", "").try_cast("decimal(18,2)")
+    for name, (a, b) in (derived or {}).items():
+        out = out.withColumn(name, number(F.col(a)) - number(F.col(b)))
+    return out
+
+
+def file_kind(name: Column, content: Column) -> Column:
+    """Kind of a file by its first bytes, or else by its extension: pdf, zip, png, jpeg, gif, text or unknown."""
+    head = F.hex(F.substring(content, 1, 8))
+    by_bytes = F.when(head.startswith("25504446"), "pdf").when(head.startswith("504B0304"), "zip").when(head.startswith("89504E47"), "png").when(head.startswith("FFD8FF"), "jpeg").when(head.startswith("47494638"), "gif")
+    ext = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]{1,5})$", 1))
+    by_name = F.when(ext.isin("pdf", "png", "gif"), ext).when(ext.isin("jpg", "jpeg"), "jpeg").when(ext.isin("xlsx", "docx", "pptx", "zip"), "zip").when(ext.isin("txt", "csv", "md", "json"), "text")
+    return F.coalesce(by_bytes, by_name, F.lit("unknown"))
+
+
+def safe_names(df: DataFrame, name: str, *, order: str, out: str = "safe_name") -> DataFrame:
+    """File names without signs that file systems refuse, told apart by a number where two become equal."""
+    stem = F.regexp_replace(F.regexp_replace(F.trim(name), r"[\\\\/:*?\"<>|\s\x00-\x1f]+", "_"), r"^[._]+", "")
+    d = df.withColumn("_s", F.when(F.length(stem) > 0, stem).otherwise("file"))
+    n = F.row_number().over(Window.partitionBy(F.lower("_s")).orderBy(order))
+    ext = F.regexp_extract("_s", r"(\.[A-Za-z0-9]{1,5})$", 1)
+    numbered = F.concat(F.regexp_replace("_s", r"\.[A-Za-z0-9]{1,5}$", ""), F.lit("_"), n.cast("string"), ext)
+    return d.withColumn("_n", n).withColumn(out, F.when(F.col("_n") == 1, F.col("_s")).otherwise(numbered)).drop("_s", "_n")
+
+
+def staged(spark: SparkSession, path: str, schema: str, *, key: str, order: str) -> DataFrame:
+    """Records of an earlier stage kept as lines of JSON, the latest of each key."""
+    r = spark.read.schema(schema).json(path).where(F.col(key).isNotNull())
+    return r.groupBy(key).agg(F.max_by(F.struct(*[c for c in r.columns if c != key]), order).alias("_r")).select(key, "_r.*")

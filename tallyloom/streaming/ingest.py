@@ -82,3 +82,32 @@ def pending(df: DataFrame, marker_col: str, marker: str, order: str, most: int)
 def resume_point(saved: DataFrame, by: str, time_col: str) -> DataFrame:
     """Oldest saved time of each unit: where a backward sweep goes on."""
     return saved.groupBy(by).agg(F.min(time_col).alias("oldest"))
+
+
+def lookback(df: DataFrame, time_col: str, now: str, hours: int) -> DataFrame:
+    """Rows of the last hours before ``now``; longer than the period between runs, so that runs overlap and
+    what one left undone the next takes up. A key makes the overlap harmless (:func:`once`)."""
+    end = F.lit(now).cast("timestamp")
+    return df.where((F.col(time_col) > end - F.make_dt_interval(hours=F.lit(hours))) & (F.col(time_col) <= end))
+
+
+def run_for(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, seconds: float) -> bool:
+    """What is there, batch by batch, until it is done or the time is up; whether it was done.
+
+    The batch that runs when the time is up is given up and runs again in the next call.
+    """
+    q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    done = q.awaitTermination(int(max(1, seconds)))
+    if not done:
+        q.stop()
+    return bool(done)
+
+
+def sweep(units: DataFrame, state: DataFrame, *, unit: str, order: str) -> DataFrame:
+    """Units of a backward sweep that no state row calls done, newest first; ``resume_from`` is the oldest time saved of a unit begun.
+
+    ``state``: (unit, done, oldest), the latest row of a unit counts by ``oldest``, then ``done``.
+    """
+    s = state.groupBy(unit).agg(F.max("done").alias("_done"), F.min("oldest").alias("resume_from"))
+    j = units.join(s, unit, "left").where(~F.coalesce("_done", F.lit(False))).drop("_done")
+    return j.orderBy(F.desc(order), unit)

@@ -53,17 +53,17 @@ def test_sql(spark, db, name):
 
 def test_whole_event_queries_hold_every_user(spark, db):
     users = {x[0] for x in db.execute("select distinct user_id from events").fetchall()}
-    for name in ("stream_sessions_all", "prev_nonnull_compare_all"):
+    for name in ("stream_sessions", "prev_nonnull_compare"):
         assert {r["user_id"] for r in entry.queries()[name](spark, str(DATA)).select("user_id").distinct().collect()} == users
 
 
 BRUTE = {
-    "candidate_join_all": """
+    "candidate_join": """
 with l as (select l_orderkey * 10 + l_linenumber line, o_custkey, l_shipdate::date s from lineitem join orders on l_orderkey = o_orderkey),
 j as (select line, o_orderkey cand, abs(date_diff('day', o_orderdate::date, s))::int gap from l join orders using (o_custkey)),
 r as (select *, min(gap) over (partition by line) <= 60 strict, row_number() over (partition by line order by gap, cand) rk from j)
 select line, cand, gap, case when strict then 'strict' else 'fallback' end stage, rk::int as rank from r where rk <= 30 and (gap <= 60 or not strict)""",
-    "tolerance_join_all": """
+    "tolerance_join": """
 select o_orderkey, l_orderkey * 10 + l_linenumber line, round(o_totalprice)::bigint - round(l_extendedprice)::bigint diff from orders join lineitem on abs(round(o_totalprice)::bigint - round(l_extendedprice)::bigint) <= 3""",
 }
 
@@ -84,4 +84,4 @@ def test_whole_equal_groups_brute_force(spark):
         groups.setdefault((b, c, z), ([], []))[k % 2].append((v, k))
     pairs = [list(zip(sorted(a), sorted(b), strict=True)) for a, b in groups.values() if len(a) == len(b) == len({v for v, _ in a}) == len({v for v, _ in b})]
     want = sorted((a[1], b[1]) for g in pairs for a, b in g)
-    assert want and sorted((r["l"], r["r"]) for r in entry.queries()["equal_groups_all"](spark, str(folder)).collect()) == want
+    assert want and sorted((r["l"], r["r"]) for r in entry.queries()["equal_groups"](spark, str(folder)).collect()) == want
