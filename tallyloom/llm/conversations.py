@@ -14,7 +14,8 @@ the messages between, so it runs as an aggregate with map-side combine.
 Scale: the texts are reduced to "visible or not" before the first shuffle. One
 conversation may hold a third of all rows: turns are numbered within hours of a
 conversation, with the number of turns before each hour from a table of counts, so no
-task sees a whole conversation. The table of people is small (checked).
+task sees a whole conversation. The table of people is small (checked); it meets the senders
+by equality joins.
 
 Defined cases: of rows with one ``dedup_key`` the smallest id stands, rows with a null
 key are kept apart; ties in time are broken by id; messages without visible text (null,
@@ -28,8 +29,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.variants import PEOPLE_LIMIT, candidate_table
-from tallyloom.session import bounded_rows, cut
+from tallyloom.llm.variants import likeliest
+from tallyloom.session import cut
 
 HOUR_US = 3_600_000_000
 VISIBLE = r"[^\p{Z}\p{Cc}\p{Cf}\s]"
@@ -44,7 +45,6 @@ def micros(text: Column) -> Column:
 
 def messages(rows: DataFrame, people: DataFrame) -> DataFrame:
     """Rows to ``(id, key, ts, first, who, person, visible)``, ingested twice or not at all once."""
-    persons = [r.asDict() for r in bounded_rows(people.select("name", "email", "aliases", "company"), PEOPLE_LIMIT, "people")]
     emails = people.select(F.lower("email").alias("address"), F.lit(True).alias("listed")).where(F.col("address").isNotNull()).distinct()
     address = F.lower(F.regexp_extract("sender", r"[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+", 0))
     slim = rows.select(
@@ -59,11 +59,9 @@ def messages(rows: DataFrame, people: DataFrame) -> DataFrame:
     )
     own = F.coalesce("dedup_key", F.concat(F.lit("\x1f"), F.col("id").cast("string")))
     slim = slim.groupBy(own.alias("k")).agg(F.min(F.struct("id", "ts", "parent", "first", "address", "typed", "visible")).alias("m")).select("m.*")
-    by_name = {p["name"]: p["email"].lower() for p in persons if p["name"] and p["email"]}
     typed = slim.where(F.col("typed").isNotNull()).select(F.col("typed").alias("value")).distinct()
-    found = candidate_table(typed, persons, {}).groupBy("value").agg(F.max_by("email", F.struct("score", "email")).alias("email"))
-    found = found.select(F.col("value").alias("typed"), F.lower("email").alias("by_spelling"))
-    slim = slim.join(found, "typed", "left") if by_name else slim.withColumn("by_spelling", F.lit(None).cast("string"))
+    found = likeliest(typed, people).select(F.col("value").alias("typed"), F.lower("email").alias("by_spelling"))
+    slim = slim.join(found, "typed", "left")
     slim = slim.withColumn("address", F.coalesce("address", "by_spelling")).join(F.broadcast(emails), "address", "left")
     return slim.select(
         "id",

@@ -279,6 +279,18 @@ def learn(cands: DataFrame, known: DataFrame, values: int) -> tuple[DataFrame, d
     return prior, p, values + 1.0
 
 
+def likeliest(values: DataFrame, people: DataFrame) -> DataFrame:
+    """``(value, email)`` of distinct values by the channel alone, all people and changes taken for equally
+    frequent; names of the table included. For sender fields, where no column of spellings is at hand."""
+    persons = [r.asDict() for r in bounded_rows(people.select("name", "email", "company"), PEOPLE_LIMIT, "people")]
+    kana = romaji([(p["name"], p["email"]) for p in persons])
+    labels = {label(p["company"], p["email"]) for p in persons if p["name"] and p["email"]}
+    cands = candidate_table(values.withColumn("n", F.lit(1).cast("bigint")), people, kana, labels)
+    prior = people.select("email", F.lit(0.0).alias("c")).limit(0)
+    s = _scored(cands, prior, dict.fromkeys(CHANGES, START) | {"nobody": NOBODY}, len(persons) + 1.0)
+    return s.groupBy("value").agg(F.max_by("email", F.struct("score", "email")).alias("email"))
+
+
 def attribute(df: DataFrame, people: DataFrame, *, id_col: str = "_id", fields: dict[str, str], address_cols: list[str], thread_col: str = "parents", group_col: str = "project", use_prior: bool = True) -> DataFrame:
     """``(id_col, field, pos, email)`` of each value that means somebody in another spelling.
 
