@@ -61,8 +61,8 @@ def explode_links(df: DataFrame, links_col: str, *, sep: str = r"[\n;]") -> Data
 
 
 def attachments(df: DataFrame, files: DataFrame, *, links_col: str, path_col: str, id_col: str) -> DataFrame:
-    """First file of each link by path; each (row, path) once."""
-    links = explode_links(df.select(id_col, links_col), links_col).dropDuplicates([id_col, "link"])
+    """First file of each link by path; each (row, path) once, at its first place."""
+    links = explode_links(df.select(id_col, links_col), links_col).groupBy(id_col, "link").agg(F.min("pos").alias("pos"))
     best = files.groupBy(F.col(path_col).alias("link")).agg(F.min(F.struct(*[c for c in files.columns if c != path_col])).alias("file"))
     return links.join(best, "link").select(id_col, "pos", "link", "file.*")
 

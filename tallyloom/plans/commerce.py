@@ -240,13 +240,6 @@ def _candidates(spark, d, lines, top):
     return matching.candidates(left, o.withColumnRenamed("o_orderkey", "cand"), on=["o_custkey"], left_id="line", right_id="cand", left_date="s", right_date="od", days=60, top=top)
 
 
-@query("select c_custkey k, 'no order' side from customer where c_custkey not in (select o_custkey from orders) union all select distinct o_custkey, 'no customer' from orders where o_custkey not in (select c_custkey from customer)")
-def orphan_report(spark, d):
-    c, o = table(spark, d, "customer"), table(spark, d, "orders")
-    a = c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").select(F.col("c_custkey").alias("k"), F.lit("no order").alias("side"))
-    return a.unionByName(o.join(c, c["c_custkey"] == o["o_custkey"], "left_anti").select(F.col("o_custkey").alias("k"), F.lit("no customer").alias("side")).distinct())
-
-
 @query()
 def tolerance_join(spark, d):
     """Every order and every line."""
@@ -542,13 +535,34 @@ def greedy_assign(spark, d):
     return matching.greedy_assign(li, by="g", left="l", right="r", score="score")
 
 
-@query()
+def _placed(spark, d):
+    """Lines with their place in the order; line numbers may stand twice."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
+    return table(spark, d, "lineitem").withColumn("pos", F.row_number().over(w))
+
+
+@query("""
+with recursive l as (select l_orderkey, l_linenumber, case when l_quantity > 47 then 'worksheet' when l_quantity < 5 then 'attachment' else 'body' end kind, l_suppkey % 3 party, month(l_shipdate)::int m, l_quantity, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate) rn from lineitem),
+s as (select distinct l_orderkey, '' kind, null::bigint party, null::int m, null::double l_quantity, 0::bigint rn, 0 no, '' md, null::bigint kp, null::int km, null::double amt, false w from l
+ union all select l.l_orderkey, l.kind, l.party, l.m, l.l_quantity, l.rn,
+  case when l.kind = 'attachment' then greatest(s.no, 1) when l.kind = 'body' and (s.md = 'worksheet' or (s.kp is not null and l.party = s.kp and (l.m = s.km or l.l_quantity = s.amt))) then s.no when s.w then s.no else s.no + 1 end,
+  case when l.kind = 'worksheet' then 'worksheet' when l.kind = 'attachment' then case when s.no = 0 then 'waiting' else s.md end when s.md = 'worksheet' or (s.kp is not null and l.party = s.kp and (l.m = s.km or l.l_quantity = s.amt)) then s.md else 'body' end,
+  case when l.kind = 'worksheet' then null when l.kind = 'attachment' then s.kp when s.md = 'worksheet' or (s.kp is not null and l.party = s.kp and (l.m = s.km or l.l_quantity = s.amt)) then coalesce(s.kp, l.party) else l.party end,
+  case when l.kind = 'worksheet' then null when l.kind = 'attachment' then s.km when s.md = 'worksheet' or (s.kp is not null and l.party = s.kp and (l.m = s.km or l.l_quantity = s.amt)) then coalesce(s.km, l.m) else l.m end,
+  case when l.kind = 'worksheet' then null when l.kind = 'attachment' then s.amt when s.md = 'worksheet' or (s.kp is not null and l.party = s.kp and (l.m = s.km or l.l_quantity = s.amt)) then coalesce(s.amt, l.l_quantity) else l.l_quantity end,
+  case when l.kind = 'attachment' then s.no = 0 or s.w else false end
+ from s join l on l.l_orderkey = s.l_orderkey and l.rn = s.rn + 1)
+select l_orderkey, rn pos, kind, party, m, l_quantity, no::int group_no from s where rn > 0""")
 def group_state_machine(spark, d):
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_quantity") > 47, "worksheet").when(F.col("l_quantity") < 5, "attachment").otherwise("body").alias("kind"), (F.col("l_suppkey") % 3).alias("party"), F.month("l_shipdate").alias("m"), "l_quantity")
-    return ordered.page_groups(li, file="l_orderkey", order="l_linenumber", kind="kind", party="party", month="m", total="l_quantity")
+    li = _placed(spark, d).select("l_orderkey", "pos", F.when(F.col("l_quantity") > 47, "worksheet").when(F.col("l_quantity") < 5, "attachment").otherwise("body").alias("kind"), (F.col("l_suppkey") % 3).alias("party"), F.month("l_shipdate").alias("m"), "l_quantity")
+    return ordered.page_groups(li, file="l_orderkey", order="pos", kind="kind", party="party", month="m", total="l_quantity")
 
 
-@query()
+@query("""
+with recursive l as (select l_orderkey, l_linenumber, l_quantity::bigint q, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate) rn from lineitem),
+s as (select l_orderkey, rn, q, false is_subtotal, q::bigint t, 1 n from l where rn = 1
+ union all select l.l_orderkey, l.rn, l.q, s.n >= 2 and s.t = l.q, case when s.n >= 2 and s.t = l.q then 0 else s.t + l.q end, case when s.n >= 2 and s.t = l.q then 0 else s.n + 1 end from s join l on l.l_orderkey = s.l_orderkey and l.rn = s.rn + 1)
+select l_orderkey, rn pos, q, is_subtotal from s""")
 def subtotal_pruning(spark, d):
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("bigint").alias("q"))
-    return ordered.drop_subtotals(li, by="l_orderkey", order="l_linenumber", amount="q")
+    li = _placed(spark, d).select("l_orderkey", "pos", F.col("l_quantity").cast("bigint").alias("q"))
+    return ordered.drop_subtotals(li, by="l_orderkey", order="pos", amount="q")

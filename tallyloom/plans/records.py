@@ -33,14 +33,6 @@ def event_rollup_compare(spark, d):
     return c.select("cls", "ym", "total", F.round("change", 6).alias("change"), "flag").orderBy(F.desc("total"), "cls", "ym").limit(50)
 
 
-@query("""
-with h as (select *, row_number() over (partition by source order by "timestamp" desc nulls last, _id) rn from raw where project in ('pjt_tax_north', 'tax_north') and (contains(lower(concat_ws(e' \\n', subject, content)), 'invoice') or contains(lower(concat_ws(e' \\n', subject, content)), 'voucher')))
-select _id, source from h where rn <= case source when 'slack' then 5 when 'gmail' then 3 else 2 end""")
-def search_keyword_topn(spark, d):
-    r = _raw(spark, d).where(predicates.source_filter(projects=["tax_north"]) & predicates.keyword_match(["subject", "content"], ["Invoice", "voucher"]))
-    return search.newest_per(r, "source", {"slack": 5, "gmail": 3, "meeting": 2, "drive": 2, "file": 2}).select("_id", "source")
-
-
 @query("""
 select _id, (select count(*) > 25 from raw where source = 'gmail' and "timestamp" >= timestamptz '2024-03-01 00:00:00+00' and "timestamp" <= timestamptz '2025-06-30 00:00:00+00') truncated from raw
 where source = 'gmail' and "timestamp" >= timestamptz '2024-03-01 00:00:00+00' and "timestamp" <= timestamptz '2025-06-30 00:00:00+00' order by "timestamp" desc nulls last, _id limit 25""")
@@ -49,13 +41,6 @@ def newest_in_range(spark, d):
     return search.with_truncation(r, 25).select("_id", "truncated")
 
 
-@query("""
-select _id from raw where contains(lower(concat_ws(' ', sender, to_addr, cc_bcc)), 'gnovak@brightwell.example') or contains(lower(name), 'gwen novak') or contains(lower(name), 'novak g.')""")
-def person_filter(spark, d):
-    m = predicates.person_match(["sender", "to_addr", "cc_bcc"], ["name"], "gnovak@brightwell.example", ["Gwen Novak", "Novak G.", "g"])
-    return _raw(spark, d).where(m).select("_id")
-
-
 @query("""
 with seeds as (select distinct parents from raw where source = 'gmail' and contains(lower(subject), 'invoice') and parents <> ''), g as (select * from raw where source = 'gmail'),
 big as (select parents from g where parents in (select parents from seeds) group by 1 having count(distinct _id) >= 2)
@@ -74,18 +59,6 @@ def chat_children(spark, d):
     return r.select(F.col("p._id").alias("parent_id"), F.col("c._id").alias("child_id"))
 
 
-@query("""
-with l as (select _id, unnest(links) link, generate_subscripts(links, 1) - 1 pos from raw where source <> 'slack'), f as (select distinct _id, trim(regexp_replace(link, '\\s+$', '')) link, pos from l),
-o as (select _id, link, min(pos) pos from f where link <> '' group by 1, 2), p as (select links[1] link, min(_id) file_id from raw where source in ('drive', 'file') group by 1)
-select o._id, o.pos::int pos, o.link, file_id from o join p using (link)""")
-def attachments_explode(spark, d):
-    r = _raw(spark, d)
-    files = r.where("source in ('drive', 'file')").select(F.get("links", F.lit(0)).alias("path"), F.col("_id").alias("file_id")).where("path is not null")
-    links = search.explode_links(r.where("source <> 'slack'").select("_id", "links"), "links").groupBy("_id", "link").agg(F.min("pos").alias("pos"))
-    best = files.groupBy(F.col("path").alias("link")).agg(F.min("file_id").alias("file_id"))
-    return links.join(best, "link").select("_id", "pos", "link", "file_id")
-
-
 @query("""
 select key, n_queries, body_len from (
  select 'https://' || lower(regexp_extract(u, '^[a-zA-Z]+://(?:www\\.)?([^/]+)', 1)) || regexp_replace(regexp_replace(regexp_replace(u, '[?#].*$', ''), '/+$', ''), '^[a-zA-Z]+://[^/]+', '') as key, count(distinct source) n_queries, max(length(coalesce(content, ''))) body_len
@@ -104,34 +77,6 @@ def month_chunks(spark, d):
     return c.select("project", "month", "chunk", "n", F.length("text").cast("bigint").alias("chars"))
 
 
-@query("""
-with s as (select email, lower(trim(k)) k from (select email, unnest(list_distinct(list_filter(list_concat([name, email], coalesce(aliases, [])), lambda x: x is not null))) k from people)),
-q as (select distinct name from raw where name is not null), h as (select q.name, min(s.email) e, count(distinct s.email) n from q join s on lower(trim(q.name)) = s.k group by 1)
-select q.name, case when n = 1 then e end email, case when n is null then 'none' when n = 1 then 'one' else 'ambiguous' end status from q left join h on q.name = h.name""")
-def resolve_people(spark, d):
-    return resolve.resolve_people(_raw(spark, d), table(spark, d, "people"), query="name")
-
-
-@query("""
-with p as (select email, unnest(list_distinct(list_filter(regexp_split_to_array(lower(name), '[\\s　._,\\-]+'), lambda x: x <> ''))) t from people where name not similar to '.*[a-z][A-Z].*'),
-q as (select distinct name from raw where name is not null and name not similar to '.*[a-z][A-Z].*'), qt as (select name, unnest(list_distinct(list_filter(regexp_split_to_array(lower(name), '[\\s　._,\\-]+'), lambda x: x <> ''))) t from q), nd as (select name, count(*) need from qt group by 1),
-h as (select qt.name, email, count(*) n from qt join p using (t) group by 1, 2), f as (select h.name, email from h join nd on h.name = nd.name and n = need)
-select name, min(email) email from f group by 1 having count(distinct email) = 1""")
-def resolve_by_tokens(spark, d):
-    camel = F.col("name").rlike("[a-z][A-Z]")
-    return resolve.by_all_tokens(_raw(spark, d).where(F.col("name").isNotNull() & ~camel), table(spark, d, "people").where(~camel), query="name")
-
-
-@query("""
-with c as (select distinct lower(company) company from people where company is not null), q as (select distinct split_part(subject, ' ', 1) w from raw where subject is not null), qq as (select w, lower(trim(w)) k from q),
-e as (select w, company from qq join c on k = company), n as (select distinct w, company from qq join c on list_contains(list_append(regexp_split_to_array(k, '[^a-z0-9-]+'), k), split_part(company, '.', 1)) where w not in (select w from e)),
-a as (select * from e union select * from n), h as (select w, min(company) m, count(distinct company) n from a group by 1)
-select q.w, case when n = 1 then m end company, case when n is null then 'none' when n = 1 then 'one' else 'ambiguous' end status from q left join h using (w)""")
-def resolve_company(spark, d):
-    q = _raw(spark, d).where(F.col("subject").isNotNull()).select(F.split_part("subject", F.lit(" "), F.lit(1)).alias("w")).distinct()
-    return resolve.resolve_company(q, table(spark, d, "people"), query="w")
-
-
 @query("""
 with d as (select _id, regexp_extract_all(lower(concat_ws(';', to_addr, cc_bcc)), '[a-z0-9._%+\\-]+@([a-z0-9\\-]+(?:\\.[a-z0-9\\-]+)+)', 1) ds from raw where source = 'gmail'),
 e as (select _id, unnest(ds) domain, generate_subscripts(ds, 1) rk from d), r as (select _id, domain, min(rk) + case when domain = 'quayside.example' then 1000000 else 0 end rk from e group by 1, 2),
@@ -197,13 +142,6 @@ def history_before_month(spark, d):
     return m.select("payee_code", "ym", F.col("s").cast("double").alias("total"), F.coalesce(F.sum("s").over(w), F.lit(0)).cast("double").alias("before"))
 
 
-@query("""
-with v as (select voucher_key, payee_code, ym, sum(amount) t from journal group by 1, 2, 3) select voucher_key, payee_code from v where (payee_code, ym, t) in (select (payee_code, ym, t) from v where payee_code is not null and ym is not null and t is not null group by payee_code, ym, t having min(voucher_key) <> max(voucher_key))""")
-def voucher_duplicates(spark, d):
-    v = table(spark, d, "journal").groupBy("voucher_key", "payee_code", "ym").agg(F.sum("amount").alias("t"))
-    return upsert.duplicates_elsewhere(v, ["payee_code", "ym", "t"], "voucher_key").select("voucher_key", "payee_code")
-
-
 @query("""
 select payee_code, regexp_replace(regexp_replace(lower(memo), '[\\s　]+', '', 'g'), '[0-9]+', '#', 'g') item, department, account, coalesce(sub, '0000') sub, segment, count(*) n, max(ym) last_ym from journal where memo is not null and department is not null and account is not null and segment is not null group by 1, 2, 3, 4, 5, 6""")
 def item_dictionary(spark, d):
@@ -327,13 +265,6 @@ def number_formats(spark, d):
     return j.select("voucher_key", "memo", F.col("amount").cast("bigint").alias("amount"), numbers.signed_text(F.col("amount")).alias("signed"), numbers.apply_change(F.col("amount"), absolute=nul, plus=nul, percent=nul, rate=F.lit(2).cast("decimal(3,0)")).alias("doubled"))
 
 
-@query("""
-select payee_code, spelling, lower(regexp_replace(regexp_replace(trim(spelling), '[(（\\[][^)）\\]]*[)）\\]]', '', 'g'), '[\\s　]+', '', 'g')) k from payee_alias where not regexp_matches(trim(spelling), '(様|さん|氏|殿|御中)$') and not regexp_matches(lower(trim(spelling)), '^(mr|mrs|ms|mx|dr)\\.?\\s')""")
-def person_keys(spark, d):
-    a = table(spark, d, "payee_alias").where(~F.trim("spelling").rlike(text.HONORIFICS))
-    return a.select("payee_code", "spelling", text.person_key(F.col("spelling")).alias("k"))
-
-
 @query("""
 with u as (select project p, lower(domain) dm from domain_map where project is not null and domain is not null group by 1, 2), n as (select distinct project from raw where project is not null)
 select n.project, count(dm) n_domains, count(dm) = 0 missing from n left join u on u.p = n.project group by 1""")
