@@ -32,6 +32,7 @@ import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -255,6 +256,8 @@ def find_personal(df: DataFrame, people: DataFrame, *, id_col: str = "_id", fiel
     return df.select(id_col, spoken.alias("_spoken"), *fields).mapInArrow(run, f"`{id_col}` {key}, field string, kind string, value string")
 
 
+#: Values whose surrogates a task keeps at hand.
+CACHED = 50_000
 # Syllables of surrogate names: a rule, not a list of names.
 _ONSETS, _VOWELS, _CODAS = "bdfgklmnprstvz", "aeiou", ["", "n", "r", "l", "s"]
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -304,6 +307,7 @@ def _word(d: bytes, like: str, salt: int = 0, kind: str = "") -> str:
     return word.upper() if like.isupper() and len(like) > 1 else word if like.islower() else word.capitalize()
 
 
+@lru_cache(maxsize=1024)
 def _initial(secret: str, letter: str) -> str:
     """The letter after ``letter`` on a keyed circle of its alphabet: no two letters meet and none stays."""
     alphabet = _CAPITALS if letter.isascii() else _CAPITALS_MARKED
@@ -311,6 +315,7 @@ def _initial(secret: str, letter: str) -> str:
     return order[(order.index(letter.upper()) + 1) % len(order)]
 
 
+@lru_cache(maxsize=CACHED)
 def _units(kind: str, value: str) -> list[tuple[int, int, str, str]]:
     """``(start, end, kind, key)`` of what is replaced as one: the parts of a name, else the whole value.
 
@@ -345,6 +350,7 @@ def _unit_surrogate(secret: str, unit: str, piece: str, salt: int) -> str:
     return _word(d, piece, salt, gender(piece))
 
 
+@lru_cache(maxsize=CACHED)
 def surrogate(secret: str, kind: str, value: str, salt: int = 0) -> str:
     """Another value of the same type, script and format; always the same for the same value."""
     return _with_salts(secret, kind, value, [salt] * len(_units(kind, value)))
@@ -388,9 +394,33 @@ def _format_surrogate(secret: str, kind: str, value: str, salt: int) -> str:
     return "".join(out)
 
 
-_SPANS = "array<struct<field: int, start: int, end: int, kind: string, value: string>>"
-_ARROW_SPANS = pa.list_(pa.struct([("field", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
 _PIECES = "kind string, key string, piece string"
+#: Places found in a row, and the units of their values: ``at`` is "span:unit".
+_FOUND = "_spans array<struct<field: int, start: int, end: int, kind: string, value: string>>, _units array<struct<at: string, kind: string, key: string, piece: string>>"
+
+
+def _found_arrays(found: list[list[tuple[int, int, int, str, str]]]) -> list[pa.Array]:
+    """The columns of :data:`_FOUND` for the places of each row."""
+    spans: tuple[list, ...] = ([], [], [], [], [])
+    units: tuple[list, ...] = ([], [], [], [])
+    span_ends, unit_ends = [0], [0]
+    for row in found:
+        for n, x in enumerate(row):
+            for c, v in zip(spans, x, strict=True):
+                c.append(v)
+            for u, (start, end, unit, key) in enumerate(_units(x[3], x[4])):
+                for c, v in zip(units, (f"{n}:{u}", unit, key, x[4][start:end]), strict=True):
+                    c.append(v)
+        span_ends.append(len(spans[0]))
+        unit_ends.append(len(units[0]))
+
+    def lists(columns: tuple[list, ...], names: list[str], types: list, ends: list[int]) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names))
+
+    return [
+        lists(spans, ["field", "start", "end", "kind", "value"], [pa.int32()] * 3 + [pa.string()] * 2, span_ends),
+        lists(units, ["at", "kind", "key", "piece"], [pa.string()] * 4, unit_ends),
+    ]
 
 
 def _salts(pieces: DataFrame, secret: str, rounds: int) -> DataFrame:
@@ -420,26 +450,16 @@ def _salts(pieces: DataFrame, secret: str, rounds: int) -> DataFrame:
 
 
 def _resolved(rows: DataFrame, secret: str, rounds: int) -> DataFrame:
-    """``rows`` (``_row``, ``_spans``, others) with ``_salts``, the map of "span:unit" to the salts above 0."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for row, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for n, x in enumerate(spans):
-                    for u, (start, end, unit, key) in enumerate(_units(x["kind"], x["value"])):
-                        for c, v in zip(out, (row, f"{n}:{u}", unit, key, x["value"][start:end]), strict=True):
-                            c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(c, pa.string()) for c in out[1:])], names=["_row", "at", "kind", "key", "piece"])
-
-    units = rows.select("_row", "_spans").where(F.size("_spans") > 0).mapInArrow(run, f"_row bigint, at string, {_PIECES}")
+    """``rows`` (``_row``, :data:`_FOUND`, others) with ``_salts``, the map of "span:unit" to the salts above 0."""
+    units = rows.select("_row", F.explode("_units").alias("u")).select("_row", "u.*")
     salts = _salts(units.select("kind", "key", "piece"), secret, rounds)
-    hit = units.join(salts, ["kind", "key"]).groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("at", "salt"))).alias("_salts"))
-    return rows.join(hit, "_row", "left")
+    hit = units.select("_row", "at", "kind", "key").join(salts, ["kind", "key"]).groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("at", "salt"))).alias("_salts"))
+    return rows.drop("_units").join(hit, "_row", "left")
 
 
 def _span_surrogate(secret: str, n: int, kind: str, value: str, salts: dict[str, int]) -> str:
-    return _with_salts(secret, kind, value, [salts.get(f"{n}:{u}", 0) for u in range(len(_units(kind, value)))])
+    chosen = [salts.get(f"{n}:{u}", 0) for u in range(len(_units(kind, value)))] if salts else None
+    return _with_salts(secret, kind, value, chosen) if chosen and any(chosen) else surrogate(secret, kind, value)
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
@@ -456,8 +476,14 @@ def surrogate_table(found: DataFrame, secret: str, rounds: int = 200) -> DataFra
     with a real unit of the kind, are hashed again with the next salt until none does; a
     part has one surrogate in all names. Spellings of one value (case aside) may share it.
     """
-    span = F.struct(F.lit(0).alias("field"), F.lit(0).alias("start"), F.length("value").alias("end"), "kind", "value")
-    rows = _resolved(_stored(found.select("kind", "value").distinct().select("kind", "value", F.array(span).alias("_spans")), "surrogates"), secret, rounds)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k, v = b.column(0).to_pylist(), b.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([*b.columns, *_found_arrays([[(0, 0, len(y), x, y)] for x, y in zip(k, v, strict=True)])], names=["kind", "value", "_spans", "_units"])
+
+    values = found.select("kind", "value").where(F.col("value").isNotNull()).distinct()
+    rows = _resolved(_stored(values.mapInArrow(place, f"kind string, value string, {_FOUND}"), "surrogates"), secret, rounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -474,12 +500,12 @@ def _with_surrogates(df: DataFrame, finder: Finder, secret: str, rounds: int, id
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             spoken = b.column(1).to_pylist()
-            spans: list[list] = [[] for _ in spoken]
+            found: list[list] = [[] for _ in spoken]
             for f in range(len(fields)):
                 for i, text in enumerate(b.column(2 + f).to_pylist()):
                     if text:
-                        spans[i] += [{"field": f, "start": s, "end": e, "kind": k, "value": text[s:e]} for s, e, k in finder.find(text, bool(spoken[i]) and f == 0)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(spans, _ARROW_SPANS)], names=[id_col, *fields, "_spans"])
+                        found[i] += [(f, s, e, k, text[s:e]) for s, e, k in finder.find(text, bool(spoken[i]) and f == 0)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], *_found_arrays(found)], names=[id_col, *fields, "_spans", "_units"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -487,13 +513,18 @@ def _with_surrogates(df: DataFrame, finder: Finder, secret: str, rounds: int, id
             cols = [c.to_pylist() for c in b.columns[1 : 1 + len(fields)]]
             for i, found in enumerate(spans):
                 chosen = dict(salts[i] or ())
-                for n in range(len(found) - 1, -1, -1):  # from the end, so that places stay
-                    x = found[n]
-                    text = cols[x["field"]][i]
-                    cols[x["field"]][i] = text[: x["start"]] + _span_surrogate(secret, n, x["kind"], x["value"], chosen) + text[x["end"] :]
+                pieces: list[list[str]] = [[] for _ in fields]
+                at = [0] * len(fields)
+                for n, x in enumerate(found):  # in the order of the text of each field
+                    f = x["field"]
+                    pieces[f] += [cols[f][i][at[f] : x["start"]], _span_surrogate(secret, n, x["kind"], x["value"], chosen)]
+                    at[f] = x["end"]
+                for f, p in enumerate(pieces):
+                    if p:
+                        cols[f][i] = "".join([*p, cols[f][i][at[f] :]])
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.string()) for c in cols)], names=[id_col, *fields])
 
-    rows = _stored(df.select(id_col, spoken.alias("_spoken"), *fields).mapInArrow(find, f"`{id_col}` {key}, {texts}, _spans {_SPANS}"), "redact")
+    rows = _stored(df.select(id_col, spoken.alias("_spoken"), *fields).mapInArrow(find, f"`{id_col}` {key}, {texts}, {_FOUND}"), "redact")
     return _resolved(rows, secret, rounds).select(id_col, *fields, "_spans", "_salts").mapInArrow(write, f"`{id_col}` {key}, {texts}")
 
 
