@@ -55,7 +55,7 @@ def grouped_lines(df: DataFrame, keys: list[str], *, order: str, amount: str, te
     texts = F.array_sort(F.collect_list(F.when(F.col(text).isNotNull(), F.struct(order, text))))
     known = F.min(F.when(F.col(first).isNotNull(), F.struct(order, first)))
     return df.groupBy(*keys).agg(
-        F.min(order).alias("first_seen"), F.sum(amount).alias("amount"), F.array_join(F.transform(texts, lambda x: x[text]), sep).alias("texts"), known[first].alias(first), F.count("*").alias("n_lines")
+        F.min(order).alias("first_seen"), F.sum(amount).alias("amount"), bounded(F.array_join(F.transform(texts, lambda x: x[text]), sep), "grouped_lines").alias("texts"), known[first].alias(first), F.count("*").alias("n_lines")
     )
 
 
@@ -97,14 +97,24 @@ def rates(df: DataFrame, flags: dict[str, Column], by: list[str] | None = None)
 def fold_bodies(docs: DataFrame, *, by: str, total: str, order: str, tolerance: int = 3) -> DataFrame:
     """Documents that count: one whose total is the sum of at least two others counts alone; copies
     of a total count once. Adds ``counts``."""
-    w = Window.partitionBy(by)
-    rest = F.sum(total).over(w) - F.col(total)
-    cover = (F.abs(rest - F.col(total)) <= tolerance) & (F.count("*").over(w) >= 3)
-    d = docs.withColumn("_cover", F.coalesce(cover, F.lit(False)))
-    d = d.withColumn("_first_cover", F.min(F.when(F.col("_cover"), F.col(order))).over(w))
-    d = d.withColumn("_copy", F.row_number().over(Window.partitionBy(by, total).orderBy(order)))
-    counts = F.when(F.col("_first_cover").isNotNull(), F.col(order) == F.col("_first_cover")).otherwise(F.col("_copy") == 1)
-    return d.withColumn("counts", counts).drop("_cover", "_first_cover", "_copy")
+    d = docs.withColumn("_k", F.xxhash64(F.col(by).isNull(), by))  # null keys are a group
+    sums = d.groupBy("_k").agg(F.sum(total).alias("_s"), F.count("*").alias("_n"))
+    rest = F.col("_s") - F.col(total)
+    d = d.join(sums, "_k").withColumn("_cover", F.coalesce((F.abs(rest - F.col(total)) <= tolerance) & (F.col("_n") >= 3), F.lit(False)))
+    covers = d.where("_cover").groupBy("_k").agg(F.min(order).alias("_first_cover"))
+    copies = d.groupBy("_k", F.coalesce(F.col(total).cast("string"), F.lit("")).alias("_t")).agg(F.min(order).alias("_first_copy"))
+    d = d.withColumn("_t", F.coalesce(F.col(total).cast("string"), F.lit(""))).join(covers, "_k", "left").join(copies, ["_k", "_t"])
+    counts = F.when(F.col("_first_cover").isNotNull(), F.col(order) == F.col("_first_cover")).otherwise(F.col(order) == F.col("_first_copy"))
+    return d.select(*docs.columns, counts.alias("counts"))
+
+
+#: Rows that one row of a result may be joined from; more is an error.
+MOST = 100_000
+
+
+def bounded(c: Column, what: str, most: int = MOST) -> Column:
+    """An aggregate that holds all rows of its group, or an error where there are too many."""
+    return F.when(F.count("*") <= most, c).otherwise(F.raise_error(F.lit(f"a group of {what} has more than {most} rows")))
 
 
 def fold_across(df: DataFrame, keys: list[str], *, order: Column, arrays: list[str], scalars: list[str]) -> DataFrame:
@@ -113,7 +123,7 @@ def fold_across(df: DataFrame, keys: list[str], *, order: Column, arrays: list[s
     first = F.min(F.struct("_o", *scalars))
 
     def in_order(a: str) -> Column:
-        return F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_o", F.col(a)))), lambda x: x[a])).alias(a)
+        return bounded(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_o", F.col(a)))), lambda x: x[a])), "fold_across").alias(a)
 
     joined = [in_order(a) for a in arrays]
     return d.groupBy(*keys).agg(first.alias("_f"), *joined, F.count("*").alias("n_folded")).select(*keys, *(F.col(f"_f.{s}").alias(s) for s in scalars), *arrays, "n_folded")
@@ -196,8 +206,8 @@ def merged_summaries(df: DataFrame, keys: list[str], *, order: str, lists: list[
     out = []
     for c in lists:
         rows = F.array_sort(F.collect_list(F.struct(order, F.coalesce(F.col(c), F.array().cast("array<string>")).alias("v"))))
-        out.append(F.array_distinct(F.flatten(F.transform(rows, lambda x: x["v"]))).alias(c))
+        out.append(bounded(F.array_distinct(F.flatten(F.transform(rows, lambda x: x["v"]))), "merged_summaries").alias(c))
     for c in texts:
         rows = F.array_sort(F.collect_list(F.when(F.trim(c) != "", F.struct(order, F.col(c).alias("v")))))
-        out.append(F.array_join(F.transform(rows, lambda x: x["v"]), sep).alias(c))
+        out.append(bounded(F.array_join(F.transform(rows, lambda x: x["v"]), sep), "merged_summaries").alias(c))
     return df.groupBy(*keys).agg(F.count("*").alias("n_batches"), *out)

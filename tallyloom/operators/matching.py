@@ -121,9 +121,10 @@ def choose_by_overlap(keys: DataFrame, sheets: DataFrame, *, key: str, sheet: st
     n_keys = k.count()
     hits = sheets.select(sheet, key).distinct().join(k, key).groupBy(sheet).agg(F.count("*").alias("hits"))
     rate = hits.withColumn("rate", F.try_divide(F.col("hits").cast("double"), F.lit(n_keys)))
-    w = Window.partitionBy(F.lit(1)).orderBy(F.desc("rate"), sheet)  # one row per sheet
-    ranked = rate.withColumn("rank", F.row_number().over(w)).withColumn("second", F.coalesce(F.lead("rate").over(w), F.lit(0.0)))
-    return ranked.select(sheet, "hits", "rate", ((F.col("rank") == 1) & (F.col("rate") >= least) & (F.col("rate") - F.col("second") >= margin)).alias("chosen"))
+    two = rate.orderBy(F.desc("rate"), sheet).limit(2)
+    lead = two.agg(F.min_by(sheet, F.struct(-F.col("rate"), sheet)).alias("_best"), F.when(F.count("*") > 1, F.min("rate")).otherwise(0.0).alias("_second"))
+    ranked = rate.join(F.broadcast(lead))  # one row
+    return ranked.select(sheet, "hits", "rate", ((F.col(sheet) == F.col("_best")) & (F.col("rate") >= least) & (F.col("rate") - F.col("_second") >= margin)).alias("chosen"))
 
 
 def bag_pairs(a: DataFrame, b: DataFrame, keys: list[str], order_a: list[str], order_b: list[str]) -> DataFrame:
