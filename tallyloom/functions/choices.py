@@ -95,7 +95,7 @@ def aliased(source: Column, fields: dict[str, tuple[list[str], str]]) -> list[Co
     for name, (keys, kind) in fields.items():
         c = F.coalesce(*(F.nullif(F.trim(F.try_element_at(source, F.lit(k))), F.lit("")) for k in keys))
         if kind == "array<string>":
-            items = F.filter(F.transform(F.split(c, r"[,、\n]"), F.trim), lambda x: x != "")
+            items = F.filter(F.transform(F.split(c, r"[,、\n]"), lambda x: F.trim(x)), lambda x: x != "")
             c = F.coalesce(items, F.array().cast(kind))
         elif kind != "string":
             c = F.regexp_replace(c, r"[,¥￥円\s]", "").try_cast(kind) if kind not in ("boolean", "date") else c.try_cast(kind)

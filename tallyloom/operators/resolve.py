@@ -28,7 +28,7 @@ def resolve_people(queries: DataFrame, people: DataFrame, *, query: str, variant
     Spellings meet by :func:`contains_pairs` on distinct texts.
     """
     spell = F.explode(F.col(variants)) if variants else F.col(query)
-    q = queries.where(F.col(query).isNotNull()).select(F.col(query).alias("_q"), F.trim(match_key(spell)).alias("_v")).distinct()
+    q = queries.where(F.col(query).isNotNull()).select(F.col(query).alias("_q"), spell.alias("_s")).select("_q", F.trim(match_key(F.col("_s"))).alias("_v")).distinct()
     asked = q.where(F.length("_v") > 0)
     aliases = F.array_join(F.coalesce("aliases", F.array().cast("array<string>")), "\n")
     pool = people.where(F.trim("email") != "").select(F.lower(F.trim("email")).alias("email"), match_key(F.concat_ws(" \n", "name", aliases, "email")).alias("_t")).distinct()
