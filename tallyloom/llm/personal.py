@@ -509,16 +509,22 @@ def _with_surrogates(df: DataFrame, finder: Finder, secret: str, rounds: int, id
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans, salts = b.column(1 + len(fields)).to_pylist(), b.column(2 + len(fields)).to_pylist()
+            spans, salts = b.column(1 + len(fields)), b.column(2 + len(fields)).to_pylist()
+            ends = spans.offsets.to_pylist()
+            first = ends[0]
+            at_field, start, end, kind, value = (c.to_pylist() for c in spans.flatten().flatten())
             cols = [c.to_pylist() for c in b.columns[1 : 1 + len(fields)]]
-            for i, found in enumerate(spans):
-                chosen = dict(salts[i] or ())
+            for i, (low, high) in enumerate(zip(ends, ends[1:], strict=False)):
+                if low == high:
+                    continue
+                chosen = dict(salts[i]) if salts[i] else {}
                 pieces: list[list[str]] = [[] for _ in fields]
                 at = [0] * len(fields)
-                for n, x in enumerate(found):  # in the order of the text of each field
-                    f = x["field"]
-                    pieces[f] += [cols[f][i][at[f] : x["start"]], _span_surrogate(secret, n, x["kind"], x["value"], chosen)]
-                    at[f] = x["end"]
+                for n, k in enumerate(range(low - first, high - first)):  # in the order of the text of each field
+                    f = at_field[k]
+                    new = _span_surrogate(secret, n, kind[k], value[k], chosen) if chosen else surrogate(secret, kind[k], value[k])
+                    pieces[f] += [cols[f][i][at[f] : start[k]], new]
+                    at[f] = end[k]
                 for f, p in enumerate(pieces):
                     if p:
                         cols[f][i] = "".join([*p, cols[f][i][at[f] :]])
