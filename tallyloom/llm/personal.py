@@ -74,12 +74,14 @@ _W = "[A-Za-zÀ-ÖØ-öø-ÿĀ-ž'’\\-]"
 _CAPS = re.compile(rf"(?<![A-Za-z0-9_@./\-À-ÿ])@?[A-ZÀ-ÖØ-Þ]{_W}*\.?(?:[ \u3000]{{1,2}}[A-ZÀ-ÖØ-Þ]{_W}*\.?)*|@[A-ZÀ-ÖØ-Þ]{_W}*(?: [A-ZÀ-ÖØ-Þ]{_W}*)?")
 _TITLE = re.compile(rf"(?<!\w)(?:Mr|Mrs|Ms|Mx|Dr|Prof)\.? ([A-ZÀ-ÖØ-Þ]{_W}+(?: [A-ZÀ-ÖØ-Þ]{_W}+)?)")
 _LABELS = re.compile(r"^(?:\[?(?:\d+:)?\d\d:\d\d(?:[.,]\d+)?\]?[ \t]+([^:：\n]{1,60}?)(?:[:：]| - )|<v ([^>\n]+)>|(.{1,60}?) \((?:\d+:)?\d\d:\d\d\)$|([^:：<>\n]{1,60}?)[:：])", re.M)
+_PART = re.compile(r"[^ \u3000]+")
 _STREET_WORD = re.compile(_SUFFIX + r"$")
 # Words that stand before a name at the beginning of a sentence or line.
 _BEFORE_NAMES = {"ask", "hi", "hello", "hey", "dear", "morning", "afternoon", "evening", "with", "from", "by", "cc", "thanks", "regards", "cheers", "owner", "contact", "re", "fwd", "aw"}
 _NO_SURNAME = {"the", "i", "a", "an", "is", "it", "we", "you", "they", "he", "she", "please", "could", "can", "did", "are", "in", "on", "at", "to", "and", "or", "of", "for", "my", "her", "his", "our", "about", "let", "ltd", "inc", "llc", "gmbh"}
 
 
+@lru_cache(maxsize=100_000)
 def fold(word: str) -> str:
     t = unicodedata.normalize("NFKC", word).casefold()
     return t.rstrip(".")
@@ -134,7 +136,7 @@ class Finder:
                 if f in given or f in surname:
                     yield at, at + len(run.rstrip("."))
                 continue
-            tokens = [(at + t.start(), t[0]) for t in re.finditer(r"[^ \u3000]+", run)]
+            tokens = [(at + t.start(), t[0]) for t in _PART.finditer(run)]
             k, n = 0, len(tokens)
             while k < n:
                 start, word = tokens[k]
@@ -206,8 +208,10 @@ class Finder:
                 spans.append((m.start(), m.end(), m.lastgroup))
                 at = m.end()
         for pieces, form in _ADDRESSES:
-            if any(p in text for p in pieces):
-                spans += [(m.start(), m.end(), "address") for m in form.finditer(text)]
+            for p in pieces:
+                if p in text:
+                    spans += [(m.start(), m.end(), "address") for m in form.finditer(text)]
+                    break
         spans += [(a, b, "name") for a, b in self.names(text, transcript)]
         if len(spans) < 2:
             return spans
