@@ -234,22 +234,22 @@ def search_phrases(spark, d):
 
 
 @query("""
-with f as (select _id, regexp_extract(links[1], '([^/]+)$', 1) n, length(coalesce(content, '')) s, "timestamp" t from raw where source in ('drive', 'file') and len(links) > 0), k as (select n, arg_min(s, _id) ks, min(_id) id0 from f where n <> '' group by 1),
+with f as (select _id, regexp_extract(regexp_replace(links[1], '\\s+$', ''), '([^/]+)$', 1) n, length(coalesce(content, '')) s, "timestamp" t from raw where source in ('drive', 'file') and len(links) > 0), k as (select n, arg_min(s, _id) ks, min(_id) id0 from f where n <> '' group by 1),
 j as (select f.*, case when f._id <> id0 then ks end ks from f join k using (n))
 select _id, case when ks is null then 'new' when s = ks then 'same' else 'version' end "action", case when ks is null or s = ks then n else regexp_replace(n, '\\.[A-Za-z0-9]{1,5}$', '') || '_' || strftime(t, '%Y%m%d') || regexp_extract(n, '(\\.[A-Za-z0-9]{1,5})$', 1) end as name from j""")
 def upload_versions(spark, d):
     """Files of equal name: the first is new, the others are the same or a version of it."""
-    f = _raw(spark, d).where("source in ('drive', 'file') and size(links) > 0").select("_id", F.regexp_extract(F.get("links", F.lit(0)), "([^/]+)$", 1).alias("n"), F.length(F.coalesce("content", F.lit(""))).alias("s"), F.col("timestamp").alias("t")).where("n <> ''")
+    f = _raw(spark, d).where("source in ('drive', 'file') and size(links) > 0").select("_id", F.regexp_extract(F.regexp_replace(F.get("links", F.lit(0)), r"\s+$", ""), "([^/]+)$", 1).alias("n"), F.length(F.coalesce("content", F.lit(""))).alias("s"), F.col("timestamp").alias("t")).where("n <> ''")
     k = f.groupBy("n").agg(F.min_by("s", "_id").alias("ks"), F.min("_id").alias("id0"))
     known = F.when(F.col("_id") != F.col("id0"), F.col("ks"))
     return f.join(k, "n").select("_id", choices.upload_action(F.col("s"), known, F.col("n"), F.col("t")).alias("u")).select("_id", "u.*")
 
 
 @query("""
-select _id, case when regexp_matches(n, '\\.(pdf|png|gif)$') then regexp_extract(n, '\\.(pdf|png|gif)$', 1) when regexp_matches(n, '\\.(jpg|jpeg)$') then 'jpeg' when regexp_matches(n, '\\.(xlsx|docx|pptx|zip)$') then 'zip' when regexp_matches(n, '\\.(txt|csv|md|json)$') then 'text' else 'unknown' end kind from (select _id, lower(coalesce(links[1], '')) n from raw where source in ('drive', 'file'))""")
+select _id, case when regexp_matches(n, '\\.(pdf|png|gif)$') then regexp_extract(n, '\\.(pdf|png|gif)$', 1) when regexp_matches(n, '\\.(jpg|jpeg)$') then 'jpeg' when regexp_matches(n, '\\.(xlsx|docx|pptx|zip)$') then 'zip' when regexp_matches(n, '\\.(txt|csv|md|json)$') then 'text' else 'unknown' end kind from (select _id, regexp_replace(lower(coalesce(links[1], '')), '\\s+$', '') n from raw where source in ('drive', 'file'))""")
 def file_kinds(spark, d):
     r = _raw(spark, d).where("source in ('drive', 'file')")
-    return r.select("_id", readers.file_kind(F.coalesce(F.get("links", F.lit(0)), F.lit("")), F.encode("content", "UTF-8")).alias("kind"))
+    return r.select("_id", readers.file_kind(F.regexp_replace(F.coalesce(F.get("links", F.lit(0)), F.lit("")), r"\s+$", ""), F.encode("content", "UTF-8")).alias("kind"))
 
 
 @query("""
