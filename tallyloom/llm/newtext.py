@@ -77,8 +77,8 @@ _LOWER = re.compile(r"(?<!\S)[a-zß-ÿ]{2,}(?!\S)")
 _SENTENCE = re.compile(r"[.?!。…！？:;][\"')\]]*\s*$")
 
 #: Mails that the weights are fitted on at most; longer ones than ``SAMPLE_LINES`` are labelled but not fitted on.
-SAMPLE, SAMPLE_LINES = 400, 60
-#: Rounds of self-training, steps of each fitting and its L2 penalty.
+SAMPLE, SAMPLE_LINES = 400, 40
+#: Rounds of self-training, steps of the first fitting (later ones go on from it with fewer) and the L2 penalty.
 ROUNDS, STEPS, PENALTY = 2, 50, 0.00001
 #: Signs from which a line can be told to stand in another mail.
 LEAST_SIGNS = 25
@@ -268,7 +268,7 @@ class LineModel:
             out += ["" if k == "blank" else LABELS[next(found)] for k in ks]
         return out
 
-    def fit(self, mails: list[tuple[list[tuple[int, ...]], list[int]]]) -> None:
+    def fit(self, mails: list[tuple[list[tuple[int, ...]], list[int]]], steps: int = STEPS) -> None:
         """Conditional likelihood with L2 over (features, labels) of mails, forward and backward for all at once."""
         mails = [m for m in mails if m[0]]
         if not mails:
@@ -292,7 +292,7 @@ class LineModel:
         true_moves = np.einsum("mta,mtb->ab", y[:, :-1], y[:, 1:] * there[:, 1:, None])
         params = [self.weights, self.moves, self.first]
         state = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
-        for step in range(1, STEPS + 1):
+        for step in range(1, steps + 1):
             e = (flat @ self.weights).reshape(count, longest, n)
             move = self.moves + shut
 
@@ -341,22 +341,21 @@ def labels(lines: list[str], repeated: set[int] = frozenset(), model: LineModel
 
 def self_trained(sample: list[tuple[str | None, list[int] | None]]) -> LineModel:
     """The model fitted on (text, lines from 0 that stand in an earlier mail)."""
-    first = model = LineModel()
-    mails = [(text.split("\n"), set(old or ())) for text, old in sample if text]
-    mails = [(lines, old) for lines, old in mails if len(lines) <= SAMPLE_LINES]
-    for _ in range(ROUNDS):
+    model = LineModel()
+    mails = []
+    for text, old in sample:
+        lines = text.split("\n") if text else []
+        if 0 < len(lines) <= SAMPLE_LINES:
+            proved = {i for i in old or () if i < len(lines) and kinds_of_text(lines[i])}
+            mails.append([(features(lines[at : at + len(ks)], ks, {i - at for i in old or ()}), [i + at for i, k in enumerate(ks) if k != "blank"], proved) for (ks, any_), at in parts(lines) if any_])
+    for r in range(ROUNDS):
         data = []
-        for lines, old in mails:
-            found = model.labels(lines, old)
-            if any(found[i] == "new" for i in old if i < len(found) and kinds_of_text(lines[i])):
-                continue  # the thread proves this labelling wrong
-            for (ks, any_), at in parts(lines):
-                if any_:
-                    part = lines[at : at + len(ks)]
-                    data.append((features(part, ks, {i - at for i in old}), [LABELS.index(x) for x in found[at : at + len(ks)] if x]))
-        model = LineModel()
-        model.weights, model.moves, model.first = first.weights.copy(), first.moves.copy(), first.first.copy()
-        model.fit(data)
+        for mail in mails:
+            found = [model.path(fs) for fs, _, _ in mail]
+            # a mail that the thread proves wrong is left out
+            if not any(label == 0 and i in proved for labels_, (_, at, proved) in zip(found, mail, strict=True) for label, i in zip(labels_, at, strict=True)):
+                data += [(fs, labels_) for labels_, (fs, _, _) in zip(found, mail, strict=True)]
+        model.fit(data, STEPS // (r + 1))
     return model
 
 
