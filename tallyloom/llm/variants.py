@@ -275,7 +275,7 @@ def learn(cands: DataFrame, known: DataFrame, values: int) -> tuple[DataFrame, d
         meant = n.get("all", 0.0)
         p = {c: (n.get(c, 0.0) + SMOOTH * START) / (meant + SMOOTH) for c in CHANGES}
         p["nobody"] = min(0.9, max(1e-4, (values - meant + SMOOTH * NOBODY) / (values + SMOOTH)))
-        prior = cut(known.select("email", "c").unionByName(post.select("email", F.col("w").alias("c"))).groupBy("email").agg(F.sum("c").alias("c")))
+        prior = known.select("email", "c").unionByName(post.select("email", F.col("w").alias("c"))).groupBy("email").agg(F.sum("c").alias("c"))
     return prior, p, values + 1.0
 
 
