@@ -88,3 +88,9 @@ def business_days(first: Column, last: Column, holidays: list[str] | None = None
     days = F.sequence(first, last, F.expr("interval 1 day"))
     off = F.array(*(F.lit(h).cast("date") for h in holidays or [])) if holidays else None
     return F.filter(days, lambda d: ~F.dayofweek(d).isin(1, 7) & (~F.array_contains(off, d) if off is not None else F.lit(True)))
+
+
+def era_text(d: Column) -> Column:
+    """A date in the present era as people write it; null before its first year."""
+    year = F.year(d) - ERAS["令和"]
+    return F.when(year >= 1, F.concat(F.lit("令和"), year.cast("string"), F.lit("年"), F.month(d).cast("string"), F.lit("月"), F.dayofmonth(d).cast("string"), F.lit("日")))

@@ -87,3 +87,11 @@ def best_band(low: Column, high: Column, bands: list[tuple[str, float, float]])
     for name, w in reversed(widths):
         out = F.when((w == most) & (w > 0), F.lit(name)).otherwise(out)
     return out
+
+
+def decade_of(label: Column, low: int = 20, high: int = 60) -> Column:
+    """``struct(decade, dropped)`` of an age label: the decade of its upper bound, or the label where that is out of range or missing."""
+    ages = F.regexp_extract_all(label, F.lit(r"(\d+)"), 1)
+    decade = F.floor(F.array_max(F.transform(ages, lambda x: x.try_cast("int"))) / 10) * 10
+    ok = F.coalesce((decade >= low) & (decade <= high), F.lit(False))
+    return F.struct(F.when(ok, decade).cast("int").alias("decade"), F.when(~ok, label).alias("dropped"))

@@ -78,16 +78,47 @@ def party_key(c: Column, variants: dict[str, str] | None = None) -> Column:
     return k
 
 
-def branch_key(c: Column, drop: tuple[str, ...] = ("支店", "営業所", "本店"), aliases: dict[str, str] | None = None) -> Column:
-    """Key of a branch: separators and the given words dropped, then aliases resolved."""
-    k = F.lower(F.regexp_replace(c, r"[\s\u3000・\-_()（）]+", ""))
-    for w in drop:
-        k = F.replace(k, F.lit(w), F.lit(""))
+# Characters of company names that are written in two ways, each with the form that stands for both.
+VARIANTS = {
+    "輛": "輌", "両": "輌", "濱": "浜", "邊": "辺", "邉": "辺", "齋": "斎", "齊": "斎", "斉": "斎", "﨑": "崎", "曾": "曽", "冨": "富", "廣": "広", "澤": "沢",
+    "瀨": "瀬", "龍": "竜", "嶋": "島", "髙": "高", "圓": "円", "國": "国", "學": "学", "眞": "真", "榮": "栄", "壽": "寿", "德": "徳", "籐": "藤", "檜": "桧",
+}
+# Legal forms that keys of payees and vendors are without.
+PAYEE_FORMS = r"株式会社|有限会社|合同会社|一般社団法人|公益社団法人|公益財団法人|\(株\)|\(有\)|\(同\)|㈱|㈲"
+VENDOR_NOISE = r"株式会社|有限会社|合同会社|\(株\)|（株）|\(有\)|（有）|㈱|㈲|支店|営業所|様|御中|・|[\s\u3000]"
+
+
+def payee_key(c: Column) -> Column:
+    """Key of a payee: NFKC, without blanks, legal forms and dots or hyphens, variant characters folded."""
+    k = F.regexp_replace(squash(nfkc(c)), f"{PAYEE_FORMS}|[・･\\-‐]", "")
+    return F.translate(k, "".join(VARIANTS), "".join(VARIANTS.values()))
+
+
+def vendor_key(c: Column) -> Column:
+    """Key of a vendor: without leading digits, legal forms, branch words, honorifics, dots, blanks and case."""
+    return F.lower(F.regexp_replace(F.regexp_replace(c, r"^\d+", ""), VENDOR_NOISE, ""))
+
+
+def branch_key(c: Column, drop: tuple[str, ...] = ("支店", "チーム", "営業"), aliases: dict[str, str] | None = None) -> Column:
+    """Key of a branch: NFKC, separators and the given words dropped, lower case, then aliases resolved."""
+    k = F.regexp_replace(nfkc(c), r"[ \u3000\t\r\n\-_./\\\\・]", "")
+    k = F.lower(F.regexp_replace(k, "|".join(drop), ""))
     for a, b in (aliases or {}).items():
         k = F.when(k == a, F.lit(b)).otherwise(k)
     return k
 
 
+def vehicle_key(c: Column) -> Column:
+    """Number of a vehicle: the last run of three or four digits, as four digits; null without one."""
+    runs = F.regexp_extract_all(squash(nfkc(c)), F.lit(r"(\d{3,4})"), 1)
+    return F.lpad(F.try_element_at(runs, F.lit(-1)), 4, "0")
+
+
+def file_identity(name: Column, url: Column) -> Column:
+    """One key for a file from any route: its name and its address without query."""
+    return F.concat_ws("\n", F.trim(name), canonical_url(F.trim(url)))
+
+
 def person_key(c: Column) -> Column:
     """Key of a person: no honorific, bracketed remark, case or blanks."""
     k = F.regexp_replace(F.trim(c), r"[(（\[][^)）\]]*[)）\]]", "")

@@ -211,3 +211,12 @@ def merged_summaries(df: DataFrame, keys: list[str], *, order: str, lists: list[
         rows = F.array_sort(F.collect_list(F.when(F.trim(c) != "", F.struct(order, F.col(c).alias("v")))))
         out.append(bounded(F.array_join(F.transform(rows, lambda x: x["v"]), sep), "merged_summaries").alias(c))
     return df.groupBy(*keys).agg(F.count("*").alias("n_batches"), *out)
+
+
+def gathered(df: DataFrame, by: list[str], fields: list[str]) -> DataFrame:
+    """The least non-blank value of each field in a group, and whether there was one, several or none: ``<field>_is``."""
+    aggs = []
+    for f in fields:
+        v = F.when(F.trim(f) != "", F.trim(f))
+        aggs += [F.min(v).alias(f), F.when(F.min(v).isNull(), "none").when(F.min(v) == F.max(v), "one").otherwise("several").alias(f"{f}_is")]
+    return df.groupBy(*by).agg(*aggs)

@@ -95,3 +95,18 @@ def extraction_score(records: DataFrame, covers: DataFrame, truth: DataFrame, *,
     c = covers.groupBy(by).agg(F.sum(total).alias("_t"), F.count("*").alias("_c"))
     j = r.join(found, by, "left").join(c, by, "left").withColumn("diff", F.col("_s") - F.col("_t"))
     return j.select(by, "n", "n_failed", F.coalesce("n_found", F.lit(0)).alias("n_found"), "diff", (F.abs("diff") <= F.greatest(F.col("_c") - 1, F.lit(0)) * unit).alias("within"))
+
+
+def voucher_issues(lines: DataFrame, vouchers: DataFrame, *, key: str, line: str, amount: str, total: str, codes: list[str], memo: str, reasons: tuple[str, ...] = ("値引", "相殺")) -> DataFrame:
+    """``(key, issue, line)`` of each fault: sum (the lines don't add up to a total that is not 0), zero (a line of 0),
+    a code that is empty (by its name), negative (without a reason in the memo). Nulls count as 0 and empty."""
+    a = F.coalesce(F.col(amount), F.lit(0))
+    blank = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == ""
+    told = F.lit(False)
+    for r in reasons:
+        told = told | F.coalesce(F.col(memo), F.lit("")).contains(r)
+    each = F.array_compact(F.array(F.when(a == 0, "zero"), *(F.when(blank(c), F.lit(c)) for c in codes), F.when((a < 0) & ~told, "negative")))
+    of_line = lines.select(key, F.explode(each).alias("issue"), F.col(line).alias("line"))
+    sums = lines.groupBy(key).agg(F.sum(a).alias("_s"))
+    off = vouchers.join(sums, key, "left").where((F.coalesce(total, F.lit(0)) != 0) & (F.coalesce("_s", F.lit(0)) != F.col(total)))
+    return of_line.unionByName(off.select(key, F.lit("sum").alias("issue"), F.lit(None).cast(lines.schema[line].dataType).alias("line")))

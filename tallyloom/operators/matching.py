@@ -93,17 +93,21 @@ def unique_on(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(once, keys, "left_semi")
 
 
-def staged_match(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, stages: list[tuple[str, list[str]]]) -> DataFrame:
-    """One-to-one match in stages: a stage joins rows whose key is unique on both sides among
-    those left over. ``(left_id, right_id, stage)``; unmatched rows have nulls and ``stage``
-    left_only or right_only.
+def staged_match(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, stages: list[tuple]) -> DataFrame:
+    """One-to-one match in stages: a stage (name, keys) joins rows whose key is unique on both
+    sides among those left over; a stage (name, keys, value) pairs groups of equal size by a
+    value that occurs once in each (:func:`pair_equal_groups`). ``(left_id, right_id, stage)``.
     """
     out = None
-    for name, keys in stages:
+    for name, keys, *value in stages:
         if out is not None:
             left = left.join(out.select(left_id), left_id, "left_anti")
             right = right.join(out.select(right_id), right_id, "left_anti")
-        hit = unique_on(left, keys).select(left_id, *keys).join(unique_on(right, keys).select(right_id, *keys), keys).select(left_id, right_id, F.lit(name).alias("stage"))
+        if value:
+            pairs = pair_equal_groups(left.dropna(subset=keys), right.dropna(subset=keys), keys=keys, left_id=left_id, right_id=right_id, value=value[0])
+        else:
+            pairs = unique_on(left, keys).select(left_id, *keys).join(unique_on(right, keys).select(right_id, *keys), keys)
+        hit = cut(pairs.select(left_id, right_id, F.lit(name).alias("stage")))
         out = hit if out is None else out.unionByName(hit)
     return out
 

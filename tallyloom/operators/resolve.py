@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import clean_participant, domains_in_order, emails, match_key, name_tokens
@@ -116,12 +116,13 @@ def mail_project(mails: DataFrame, domain_map: DataFrame, *, id_col: str, header
 
 
 def project_cascade(rows: DataFrame, projects: DataFrame, domain_map: DataFrame, *, id_col: str, topic: str, headers: list[str], own_domain: str, prefix: str = "pjt_") -> DataFrame:
-    """Project by exact topic, else by a project word in the topic, else by a participant's domain,
+    """Project by exact topic, else by a project whose name the topic holds, else by a participant's domain,
     else unclassified if all are of the own domain; ``how`` tells which."""
     names = projects.select("project").where(F.col("project").isNotNull()).distinct().withColumn("k", F.replace(F.lower(F.regexp_replace("project", f"^{prefix}", "")), F.lit("_"), F.lit(" ")))
     t = rows.select(id_col, F.lower(F.trim(topic)).alias("t"))
     exact = t.join(names, F.col("t") == F.col("k")).groupBy(id_col).agg(F.min("project").alias("exact"))
-    words = t.select(id_col, F.explode(F.array_distinct(_bigrams(F.col("t")))).alias("k")).join(names, "k").groupBy(id_col).agg(F.min("project").alias("word"))
+    held = contains_pairs(t, names, text="t", needle="k").join(names, "k").groupBy("t").agg(F.min("project").alias("word"))
+    words = t.join(held, "t").select(id_col, "word")
     dom = mail_project(rows, domain_map, id_col=id_col, headers=headers, own_domains=[own_domain]).where(F.col("domain") != own_domain).select(id_col, F.col("project").alias("dom"))
     inside = F.size(F.array_except(domains_in_order(*map(F.col, headers)), F.array(F.lit(own_domain)))) == 0
     j = rows.select(id_col, (inside & (F.size(domains_in_order(*map(F.col, headers))) > 0)).alias("inside")).join(exact, id_col, "left").join(words, id_col, "left").join(dom, id_col, "left")
@@ -129,11 +130,6 @@ def project_cascade(rows: DataFrame, projects: DataFrame, domain_map: DataFrame,
     return j.select(id_col, F.coalesce("exact", "word", "dom").alias("project"), how.alias("how"))
 
 
-def _bigrams(c: Column) -> Column:
-    w = F.split(c, r"[^\p{L}\p{N}]+")
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))
-
-
 def all_internal(headers: list[str], own_domain: str) -> Column:
     """There are participants and all share the own domain."""
     d = domains_in_order(*map(F.col, headers))
@@ -144,3 +140,19 @@ def participants(df: DataFrame, *, id_col: str, columns: list[str]) -> DataFrame
     """Distinct addresses of a row over several columns in order: ``(id, pos, email)``."""
     all_ = F.array_distinct(F.flatten(F.array(*(emails(F.col(c)) for c in columns))))
     return df.select(id_col, F.posexplode(all_).alias("pos", "email"))
+
+
+def merged_participants(entries: DataFrame, *, by: str, order: str, name: str, email: str, blocked: tuple[str, ...] = ()) -> DataFrame:
+    """Participants of several lists, each once by its name without case and blanks: ``(by, pos, name, unresolved)``.
+
+    ``order`` puts one list before the other. A name is the first spelling of its key, the
+    address where there is no name; it is unresolved if no entry of the key has an address.
+    """
+    n, e = F.trim(F.coalesce(name, F.lit(""))), F.trim(F.coalesce(email, F.lit("")))
+    shown = F.when(n != "", n).otherwise(e)
+    d = entries.select(by, order, shown.alias("_shown"), F.lower(F.regexp_replace(shown, r"[\s\u3000]+", "")).alias("_k"), ((n != "") & (e != "")).alias("_has")).where("_k <> ''")
+    if blocked:
+        d = d.where(~F.col("_k").isin(*blocked))
+    g = d.groupBy(by, "_k").agg(F.min_by("_shown", order).alias("name"), F.min(order).alias("_o"), F.max("_has").alias("_any"))
+    pos = F.row_number().over(Window.partitionBy(by).orderBy("_o", "_k"))
+    return g.select(by, pos.alias("pos"), "name", (~F.col("name").contains("@") & ~F.col("_any")).alias("unresolved"))

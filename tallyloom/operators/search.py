@@ -138,3 +138,22 @@ def sources_or_warning(readers: dict[str, object]) -> tuple[dict[str, DataFrame]
         except Exception as e:  # whatever a source raises is its warning
             warnings[name] = f"{type(e).__name__}: {str(e)[:200]}"
     return good, warnings
+
+
+def picked_files(df: DataFrame, *, by: list[str], name: str, base: Column, newness: str, kind: str, kinds: list[str], most: int = 3) -> DataFrame:
+    """Of each group the files to read: one for each base name, by the order of the kinds, newest first, ``most`` of them.
+
+    Kinds that are not listed are never taken. A base name goes to the first kind that has it.
+    """
+    rank = F.array_position(F.array(*map(F.lit, kinds)), F.col(kind))
+    d = df.withColumn("_r", rank).where("_r > 0").withColumn("_b", base)
+    one = d.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_r", F.desc(newness), name))).where("_n = 1")
+    top = one.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("_r", F.desc(newness), name))).where(F.col("place") <= most)
+    return top.drop("_r", "_b", "_n")
+
+
+def capped_threads(df: DataFrame, *, thread: str, time: str, id_col: str, threads: int = 15, rows: int = 30) -> DataFrame:
+    """The rows of the threads that moved last, ``threads`` of them, each with its first ``rows`` rows."""
+    last = df.where(F.col(thread) != "").groupBy(thread).agg(F.max(time).alias("_last")).orderBy(F.desc_nulls_last("_last"), thread).limit(threads)
+    kept = df.join(F.broadcast(last.select(thread)), thread, "left_semi")  # at most ``threads`` rows
+    return kept.withColumn("_n", F.row_number().over(Window.partitionBy(thread).orderBy(F.asc_nulls_last(time), id_col))).where(F.col("_n") <= rows).drop("_n")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import choices, dates, numbers, text
 from tallyloom.operators import aggregate, lookup, ordered, predicates
 from tallyloom.plans.registry import Registry
+from tallyloom.plans.rules import _NARROW, _WIDE
 from tallyloom.session import table
 from tallyloom.sources import paged, readers, writers
 from tallyloom.streaming import ingest
@@ -21,7 +22,7 @@ def _raw(spark, d):
 
 
 @query("""
-select _id, regexp_replace(name, '[\\s　]+', '', 'g') squashed, lower(trim(regexp_replace(name, '[\\s　]+', ' ', 'g'), ' ')) compared, replace(replace(replace(lower(regexp_replace(name, '[\\s　・\\-_()（）]+', '', 'g')), '支店', ''), '営業所', ''), '本店', '') branch,
+select _id, regexp_replace(name, '[\\s　]+', '', 'g') squashed, lower(trim(regexp_replace(name, '[\\s　]+', ' ', 'g'), ' ')) compared, lower(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(translate(name, '""" + _WIDE + """', '""" + _NARROW + """')), '[ 　\\t\\r\\n\\-_./\\\\・]', '', 'g'), '支店|チーム|営業', '', 'g'), '$', '')) branch,
  nullif(array_to_string(regexp_extract_all(translate(content, '０１２３４５６７８９', '0123456789'), '\\d+'), '-'), '') lot from raw where source <> 'meeting'""")
 def text_keys(spark, d):
     n, c = F.col("name"), F.col("content")

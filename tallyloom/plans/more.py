@@ -17,8 +17,7 @@ MONEY = "decimal(18,2)"
 
 @query("""
 with t as (select _id, lower(trim(subject)) t, sender, to_addr from raw where source in ('gmail', 'meeting')), n as (select distinct project, replace(lower(regexp_replace(project, '^pjt_', '')), '_', ' ') k from domain_map where project is not null),
-w as (select distinct _id, unnest(list_transform(range(1, greatest(len(ws), 2)), lambda i: ws[i] || coalesce(' ' || ws[i + 1], ''))) k from (select _id, regexp_split_to_array(t, '[^\\p{L}\\p{N}]+') ws from t where t is not null)),
-e as (select _id, min(project) p from t join n on t.t = n.k group by 1), wd as (select _id, min(project) p from w join n using (k) group by 1),
+e as (select _id, min(project) p from t join n on t.t = n.k group by 1), wd as (select _id, min(project) p from t join n on k <> '' and contains(t, k) group by 1),
 a as (select _id, unnest(regexp_extract_all(lower(concat_ws(';', sender, to_addr)), '[a-z0-9._%+\\-]+@([a-z0-9\\-]+(?:\\.[a-z0-9\\-]+)+)', 1)) d, generate_subscripts(regexp_extract_all(lower(concat_ws(';', sender, to_addr)), '[a-z0-9._%+\\-]+@([a-z0-9\\-]+(?:\\.[a-z0-9\\-]+)+)', 1), 1) r from t),
 m as (select lower(domain) d, min(project) project from domain_map where project is not null and domain is not null group by 1),
 x as (select _id, project p, d, row_number() over (partition by _id order by min(r) + case when d = 'quayside.example' then 1000000 else 0 end, project, d) rn from a join m using (d) group by _id, project, d), dm as (select _id, p from x where rn = 1 and d <> 'quayside.example'),

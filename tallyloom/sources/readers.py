@@ -202,3 +202,9 @@ def staged(spark: SparkSession, path: str, schema: str, *, key: str, order: str)
     """Records of an earlier stage kept as lines of JSON, the latest of each key."""
     r = spark.read.schema(schema).json(path).where(F.col(key).isNotNull())
     return r.groupBy(key).agg(F.max_by(F.struct(*[c for c in r.columns if c != key]), order).alias("_r")).select(key, "_r.*")
+
+
+def note_or_reason(path: Column, body: Column, most: int = 20_000) -> Column:
+    """``struct(text, truncated, reason)`` of a note: no path, missing, empty, or null where it was read."""
+    reason = F.when(F.coalesce(F.trim(path), F.lit("")) == "", "no path").when(body.isNull(), "missing").when(F.trim(body) == "", "empty")
+    return F.struct(F.when(reason.isNull(), F.substring(body, 1, most)).alias("text"), F.coalesce(F.length(body) > most, F.lit(False)).alias("truncated"), reason.alias("reason"))
