@@ -12,9 +12,9 @@ and keeps what ends in ``answered``. None of its transitions depends on the orde
 the messages between, so it runs as an aggregate with map-side combine.
 
 Scale: the texts are reduced to "visible or not" before the first shuffle. One
-conversation may hold a third of all rows: turns are numbered within hours of a
-conversation, with the number of turns before each hour from a table of counts, so no
-task sees a whole conversation. The table of people is small (checked); it meets the senders
+conversation may hold a third of all rows: turns are numbered within minutes of a
+conversation, with the number of turns before each minute from tables of counts by hour
+and by minute, so no task sees a whole conversation. The table of people is small (checked); it meets the senders
 by equality joins.
 
 Defined cases: of rows with one ``dedup_key`` the smallest id stands, rows with a null
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm.variants import likeliest
 from tallyloom.session import cut
 
-HOUR_US = 3_600_000_000
+MINUTE_US = 60_000_000
 VISIBLE = r"[^\p{Z}\p{Cc}\p{Cf}\s]"
 
 
@@ -93,12 +93,14 @@ def conversations(rows: DataFrame, people: DataFrame) -> DataFrame:
     """``(conv_id, turn, _id, role)`` of each message of each kept conversation."""
     m = cut(messages(rows, people).where(F.col("key").isNotNull()))
     kept = validate(m)
-    spoken = m.where(F.col("visible") & F.col("ts").isNotNull()).withColumn("hour", F.floor(F.col("ts") / HOUR_US))
-    hours = spoken.groupBy("key", "hour").agg(F.count("*").alias("n")).join(kept, "key")
-    before = Window.partitionBy("key").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
-    hours = hours.select("key", "hour", "conv_id", "opener", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    in_hour = Window.partitionBy("key", "hour").orderBy("ts", "id")
+    spoken = m.where(F.col("visible") & F.col("ts").isNotNull()).withColumn("minute", F.floor(F.col("ts") / MINUTE_US))
+    minutes = spoken.groupBy("key", "minute").agg(F.count("*").alias("n")).withColumn("hour", F.floor(F.col("minute") / 60))
+    hours = minutes.groupBy("key", "hour").agg(F.sum("n").alias("n")).join(kept, "key")
+    before = lambda by, order: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hours = hours.select("key", "hour", "conv_id", "opener", before(["key"], "hour").alias("before_hour"))
+    minutes = minutes.join(hours, ["key", "hour"]).select("key", "minute", "conv_id", "opener", (F.col("before_hour") + before(["key", "hour"], "minute")).alias("before"))
+    in_minute = Window.partitionBy("key", "minute").orderBy("ts", "id")
     role = F.when(F.col("who") == F.col("opener"), "opener").when(F.col("person"), "replier").otherwise("machine")
-    return spoken.join(hours, ["key", "hour"]).select(
-        "conv_id", (F.col("before") + F.row_number().over(in_hour)).cast("int").alias("turn"), F.col("id").alias("_id"), role.alias("role")
+    return spoken.join(minutes, ["key", "minute"]).select(
+        "conv_id", (F.col("before") + F.row_number().over(in_minute)).cast("int").alias("turn"), F.col("id").alias("_id"), role.alias("role")
     )
