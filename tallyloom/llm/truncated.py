@@ -163,7 +163,8 @@ def cut_tails(counted: DataFrame) -> DataFrame:
     whole = cut(counted.groupBy("unit").agg(F.sum(F.greatest("inner", F.lit(1))).alias("n"), F.max(F.col("inner") == 0).alias("last")))
     open_tails = cut(whole.where(F.col("last") & ~F.col("unit").rlike(_END)).select(F.col("unit").alias("tail"), F.col("n").alias("whole")))
     longer = _prefix_counts(open_tails, whole.select("unit", "n"))
-    pairs = _pair_counts(open_tails, whole.select("unit", "n"))
+    # tails without a blank are judged by their copies alone
+    pairs = _pair_counts(open_tails.where(F.col("tail").rlike(r"\s")), whole.select("unit", "n"))
     return open_tails.join(longer, "tail", "left").join(pairs, "tail", "left").na.fill(0, ["longer", "inside", "pair_on", "pair_end"])
 
 
