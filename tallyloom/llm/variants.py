@@ -235,7 +235,9 @@ def candidate_table(spellings: DataFrame, people: DataFrame, kana: dict[str, str
     met = look.join(form, "key").where(fits & (~short | F.coalesce(F.call_function("rlike", F.col("full"), pattern), F.lit(False))))
     met = met.select("value", "n", "signs", "email", F.concat("a_changes", "f_changes").alias("changes"))
     typed = lambda d: d.where((F.length("key") >= LEAST_TYPO) & ~short)
-    a = _deleted(typed(look)).withColumnsRenamed({"key": "a_key", "at": "a_at", "gone": "a_gone"})
+    # one edit changes a length by one at most, so longer keys meet nothing
+    longest = form.where("typo").agg(F.max(F.length("key"))).first()[0] or 0
+    a = _deleted(typed(look).where(F.length("key") <= longest + 1)).withColumnsRenamed({"key": "a_key", "at": "a_at", "gone": "a_gone"})
     b = _deleted(typed(form).where("typo")).select("d", "email", "f_changes", "label", F.col("key").alias("b_key"), F.col("at").alias("b_at"), F.col("gone").alias("b_gone"))
     # one sign changed at one place, left out or added, or two neighbours exchanged
     edit = (F.col("a_key") != F.col("b_key")) & ((F.col("a_at") == F.col("b_at")) | (F.col("a_at") * F.col("b_at") == 0) | ((F.abs(F.col("a_at") - F.col("b_at")) == 1) & (F.col("a_gone") == F.col("b_gone"))))
