@@ -46,7 +46,7 @@ def micros(text: Column) -> Column:
 def messages(rows: DataFrame, people: DataFrame) -> DataFrame:
     """Rows to ``(id, key, ts, first, who, person, visible)``, ingested twice or not at all once."""
     emails = people.select(F.lower("email").alias("address"), F.lit(True).alias("listed")).where(F.col("address").isNotNull()).distinct()
-    address = F.lower(F.regexp_extract("sender", r"[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+", 0))
+    address = F.lower(F.regexp_extract("sender", r"(?<![\w.\-])[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+", 0))
     slim = rows.select(
         F.col("_id").alias("id"),
         "dedup_key",

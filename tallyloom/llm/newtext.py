@@ -367,7 +367,7 @@ def kinds_of_text(line: str) -> bool:
 
 def old_lines(mails: DataFrame, *, id_col: str, text_col: str, thread_col: str, author_col: str, time_col: str) -> DataFrame:
     """``(id_col, old)``: lines (from 0) of a mail that stand in an earlier mail of its thread by another sender."""
-    author = F.lower(F.coalesce(F.nullif(F.regexp_extract(author_col, r"[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+", 0), F.lit("")), F.col(author_col), F.lit("")))
+    author = F.lower(F.coalesce(F.nullif(F.regexp_extract(author_col, r"(?<![\w.\-])[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+", 0), F.lit("")), F.col(author_col), F.lit("")))
     line = F.lower(F.regexp_replace("line", r"^[>|\s]+|\s+$", ""))
     lines = (
         mails.where((F.trim(thread_col) != "") & (F.col(text_col) != "") & F.col(time_col).isNotNull())

@@ -317,12 +317,12 @@ def attribute(df: DataFrame, people: DataFrame, *, id_col: str = "_id", fields:
     open_ = cut(values.join(rivals.where("rivals > 1").select("value"), "value", "left_semi").join(df.select(id_col, F.col(thread_col).alias("thread"), F.col(group_col).alias("grp")), id_col))
     rows = df.join(open_.select(id_col).distinct(), id_col, "left_semi")
     text = F.lower(F.concat_ws(" ", *address_cols))
-    found = F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"([\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+)"), 1)))
+    found = F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"((?<![\w.\-])[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+)"), 1)))
     in_row = rows.select(id_col, found.alias("lower")).join(F.broadcast(emails), "lower").select(id_col, "email")
     in_row = in_row.unionByName(known.join(open_.select(id_col).distinct(), id_col, "left_semi").select(id_col, "email")).distinct().withColumn("in_row", F.lit(IN_ROW))
     threads = open_.where(F.col("thread") != "").select("thread").distinct()
     in_thread = df.select(F.col(thread_col).alias("thread"), F.lower(F.concat_ws(" ", *address_cols)).alias("text")).join(threads, "thread", "left_semi")
-    in_thread = in_thread.select("thread", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+)"), 1))).alias("lower"))
+    in_thread = in_thread.select("thread", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"((?<![\w.\-])[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+)"), 1))).alias("lower"))
     in_thread = in_thread.join(F.broadcast(emails), "lower").select("thread", "email").distinct().withColumn("in_thread", F.lit(IN_THREAD))
     by_group = known.join(df.select(id_col, F.col(group_col).alias("grp")), id_col).groupBy("grp", "email").agg((F.log1p(F.count("*")) * PROJECT_WEIGHT).alias("in_group"))
     scored = (
