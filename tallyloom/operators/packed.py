@@ -57,7 +57,7 @@ _HARD = {"name": re.compile(r"[;|、／/\n\t]|,\s*,"), "address": re.compile(r"[
 #: What a cell must hold for more than one atom; the rest never reaches Python.
 _OPEN = {"name": r"[;,|、／/\n\t]|\s(&|and)\s", "address": r"[;,|、\n\t]|@.*\s.*@", "link": r"[\s,;|]"}
 _WHOLE_QUOTE = re.compile(r"\"[^\"]*\"|'[^'\n]*'")
-_ADDRESS = re.compile(r"[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+")
+_ADDRESS = re.compile(r"(?<![\w.\-])[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+")
 _HEAD = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*(?:://|/)")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 #: Joins the atoms and delimiters of a run to its key.
@@ -407,7 +407,7 @@ def all_values(df: DataFrame, *, id_col: str, fields: dict[str, str], only_packe
 
 def _values(entries: DataFrame) -> DataFrame:
     """Entries to values: addresses alone, the rest without quotes and brackets."""
-    address = r"[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+"
+    address = r"(?<![\w.\-])[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+"
     found = F.regexp_extract_all("entry", F.lit(f"({address})"), 1)
     # the address in its first spelling where it is written twice
     first = F.filter(found, lambda x, i: F.expr("true") if i is None else (F.array_position(F.transform(found, F.lower), F.lower(x)) == i + 1))
