@@ -10,6 +10,11 @@ alone count at once, those in lattices by their expected counts, over a few roun
 of expectation and maximisation. The most probable path through each distinct
 lattice gives the values.
 
+A value may span any number of atoms. The spans of a run are quadratic in its length, so
+those of more than ``MAX_JOIN`` atoms get an edge only if their value or shape stands alone
+somewhere or counts in some run; the others differ by terms that add up over the atoms, and
+running sums and maxima take them all in linear time.
+
 Scale: cells are cut in the executors, equal runs are counted with map-side combine
 before anything else, and only distinct open runs enter the lattice joins, in which
 16-byte digests stand for runs, values and shapes. Nothing
@@ -26,18 +31,26 @@ count once, a null id stays null. Other columns are ignored, whatever their name
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.session import cut
 
-#: Atoms that one value may span within a longer run; a whole run may be one value of any number of atoms.
+#: Atoms up to which every candidate value of a run has an edge of its own. A longer one has an edge only once it,
+#: or its shape, counts elsewhere; all others have the probability of a value never seen, summed in closed form.
 MAX_JOIN = 12
+#: Less is no count.
+LEAST = 1e-9
+#: Expected number of a long value in a run from which on it is known to the others: since the values that hold an
+#: atom share a probability of one, edges stay linear in the length of a run.
+LONG = 0.01
 #: Typical probability of a word, for values never seen.
 WORD = 0.01
 #: Count every shape has from the start; less for each atom beyond the second.
@@ -54,8 +67,10 @@ _CUT = {
     "link": re.compile(_QUOTED + r"|([\s,;|]+)"),
 }
 _HARD = {"name": re.compile(r"[;|、／/\n\t]|,\s*,"), "address": re.compile(r"[;|、\n\t]|,\s*,"), "link": re.compile(r"[\s|]|[,;]{2}")}
-#: What a cell must hold for more than one atom; the rest never reaches Python.
-_OPEN = {"name": r"[;,|、／/\n\t]|\s(&|and)\s", "address": r"[;,|、\n\t]|@.*\s.*@", "link": r"[\s,;|]"}
+# Blanks of Python's \s for the regular expressions of the JVM, whose \s is ASCII.
+_S = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: What a cell must hold for more than one atom or address; the rest never reaches Python.
+_OPEN = {"name": rf"[;,|、／/\n\t]|[{_S}](&|and)[{_S}]", "address": r"(?s)[;,|、\n\t]|@.*@", "link": rf"[{_S},;|]"}
 _WHOLE_QUOTE = re.compile(r"\"[^\"]*\"|'[^'\n]*'")
 _ADDRESS = re.compile(r"(?<![\w.\-])[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+")
 _HEAD = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*(?:://|/)")
@@ -149,7 +164,7 @@ def digest(text: str) -> bytes:
 
 
 def spans(run: list[str]) -> list[tuple[int, int]]:
-    """All candidate values of a run: (first atom, end atom)."""
+    """Candidate values of a run with an edge from the start: (first atom, end atom)."""
     n = (len(run) + 1) // 2
     return [(i, j) for i in range(n) for j in range(i + 1, min(n, i + MAX_JOIN) + 1)] + ([(0, n)] if n > MAX_JOIN else [])
 
@@ -179,41 +194,113 @@ def _score(edges: list[dict], total: tuple[float, float]) -> dict[int, list[tupl
     return by_end
 
 
-def best_path(edges: list[dict], total: tuple[float, float]) -> list[tuple[int, int]]:
+class _Long:
+    """Candidate values of more than ``MAX_JOIN`` atoms without evidence: those from i to j have the log
+    probability ``flat[i]`` or, for their shape's prior, ``base + slope[j] - slope[i]``, whichever adds more."""
+
+    def __init__(self, edges: list[dict], total: tuple[float, float], kind: str, n: int):
+        seen, once = total
+        one = {e["i"]: e for e in edges if e["j"] == e["i"] + 1}
+        rest = math.log(once) - math.log(seen + 1) - math.log(seen + once)
+        self.base = rest + math.log(SHAPE_PRIOR) - 2 * math.log(LONGER)
+        self.slope, self.flat = [0.0], []
+        link = kind == "link"
+        if link:  # a link is one word, and has the shape of its first atom
+            self.base += math.log(WORD)
+        for i in range(n):
+            self.slope.append(self.slope[-1] + math.log(LONGER) + (0.0 if link else math.log(WORD) * one[i]["words"]))
+            s = one[i]["s"] if link else 0.0
+            self.flat.append(rest + math.log(WORD) + math.log(s) if s else -math.inf)
+
+    def log_p(self, i: int, j: int) -> float:
+        return _add(self.base + self.slope[j] - self.slope[i], self.flat[i])
+
+
+def _add(a: float, b: float) -> float:
+    """Log of the sum of two numbers given by their logs."""
+    hi, lo = max(a, b), min(a, b)
+    return hi if lo == -math.inf else hi + math.log1p(math.exp(lo - hi))
+
+
+def best_path(edges: list[dict], total: tuple[float, float], kind: str = "name") -> list[tuple[int, int]]:
     """Viterbi: (first atom, end atom) of the most probable segmentation; ties go to fewer values."""
     by_end = _score(edges, total)
     n = max(by_end)
+    long = _Long(edges, total, kind, n) if n > MAX_JOIN else None
     best: list[tuple[float, int]] = [(0.0, 0)]
-    back: list = [None]
+    back: list[int] = [0]
+    sloped = flat = (-math.inf, 0, 0)  # best starts of long values: score without what the end adds, parts, atom
     for j in range(1, n + 1):
-        (score, parts), e = max((((best[i][0] + p, best[i][1] - 1), e) for i, p, e in by_end[j]), key=lambda x: x[0])
+        paths = [(best[i][0] + p, best[i][1] - 1, i) for i, p, _ in by_end[j]]
+        if j > MAX_JOIN:
+            i = j - MAX_JOIN - 1
+            sloped = max(sloped, (best[i][0] - long.slope[i], best[i][1], i), key=lambda x: x[:2])
+            flat = max(flat, (best[i][0] + long.flat[i], best[i][1], i), key=lambda x: x[:2])
+            paths += [(sloped[0] + long.base + long.slope[j], sloped[1] - 1, sloped[2]), (flat[0], flat[1] - 1, flat[2])]
+        score, parts, i = max(paths, key=lambda x: x[:2])
         best.append((score, parts))
-        back.append(e)
+        back.append(i)
     out, j = [], n
     while j:
-        out.append((back[j]["i"], j))
-        j = back[j]["i"]
+        out.append((back[j], j))
+        j = back[j]
     return out[::-1]
 
 
-def expected(edges: list[dict], total: tuple[float, float]) -> list[float]:
+def expected(edges: list[dict], total: tuple[float, float], kind: str = "name") -> list[float]:
     """Forward-backward: posterior probability of each candidate value, in the order of ``edges``."""
+    return posteriors(edges, total, kind)[0]
+
+
+def posteriors(edges: list[dict], total: tuple[float, float], kind: str, least: float = LONG) -> tuple[list[float], Iterator[tuple[int, int, float]]]:
+    """:func:`expected`, and (first atom, end atom, posterior) of the values without an edge above ``least``."""
     by_end = _score(edges, total)
     n = max(by_end)
+    long = _Long(edges, total, kind, n) if n > MAX_JOIN else None
     ahead, behind = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
 
-    def add(a: float, b: float) -> float:
-        hi, lo = max(a, b), min(a, b)
-        return hi if lo == -math.inf else hi + math.log1p(math.exp(lo - hi))
+    def beyond(i: int, j: int, p: float) -> float:
+        """What an edge adds to the sums of all long values, in which it is already taken for unseen."""
+        if j - i <= MAX_JOIN:
+            return p
+        u = long.log_p(i, j)
+        return p + math.log1p(-math.exp(u - p)) if u < p else -math.inf
 
+    steps = {j: [(i, beyond(i, j, p)) for i, p, _ in by_end[j]] for j in by_end}
+    sloped = flat = -math.inf
     for j in range(1, n + 1):
-        for i, p, _ in by_end[j]:
-            ahead[j] = add(ahead[j], ahead[i] + p)
+        for i, p in steps[j]:
+            ahead[j] = _add(ahead[j], ahead[i] + p)
+        if j > MAX_JOIN:
+            i = j - MAX_JOIN - 1
+            sloped, flat = _add(sloped, ahead[i] - long.slope[i]), _add(flat, ahead[i] + long.flat[i])
+            ahead[j] = _add(ahead[j], _add(sloped + long.base + long.slope[j], flat))
+    sloped = flat = -math.inf
     for j in range(n, 0, -1):
-        for i, p, _ in by_end[j]:
-            behind[i] = add(behind[i], behind[j] + p)
-    found = {id(e): math.exp(ahead[i] + p + behind[j] - ahead[n]) for j in by_end for i, p, e in by_end[j]}
-    return [found[id(e)] for e in edges]
+        if j + MAX_JOIN < n:
+            k = j + MAX_JOIN + 1
+            sloped, flat = _add(sloped, behind[k] + long.slope[k]), _add(flat, behind[k])
+            behind[j] = _add(behind[j], _add(sloped + long.base - long.slope[j], flat + long.flat[j]))
+        for i, p in steps[j]:
+            behind[i] = _add(behind[i], behind[j] + p)
+    found = {id(e): math.exp(min(0.0, ahead[i] + p + behind[j] - ahead[n])) for j in by_end for i, p, e in by_end[j]}
+
+    def others() -> Iterator[tuple[int, int, float]]:
+        if long is None:
+            return
+        known = {(e["i"], e["j"]) for e in edges}
+        slope, tail = np.array(long.slope), np.array(behind) - ahead[n]
+        top, top_flat = (np.maximum.accumulate(x[::-1])[::-1] for x in (slope + tail, tail))
+        for i in range(n - MAX_JOIN):
+            j0 = i + MAX_JOIN + 1
+            if max(long.base - slope[i] + top[j0], long.flat[i] + top_flat[j0]) + ahead[i] < math.log(least / 2):
+                continue
+            p = np.logaddexp(long.base + slope[j0:] - slope[i], long.flat[i]) + ahead[i] + tail[j0:]
+            for k in np.nonzero(p > math.log(least))[0].tolist():
+                if (i, j0 + k) not in known:
+                    yield i, j0 + k, math.exp(min(0.0, float(p[k])))
+
+    return [found[id(e)] for e in edges], others()
 
 
 def _parse(cells: DataFrame) -> DataFrame:
@@ -228,18 +315,36 @@ def _parse(cells: DataFrame) -> DataFrame:
     return cells.mapInArrow(run, "rid string, kind string, runs array<string>")
 
 
+def heads(start: str, kind: str) -> tuple[bytes, bytes]:
+    """Digests by which values of more than ``MAX_JOIN`` atoms are found: of the first signs, and of the first
+    words of the shape. ``start``: a value's first ``MAX_JOIN`` + 1 atoms at least."""
+    signs = " ".join(start.casefold().split()).lstrip("\"'<“ ")[: 2 * MAX_JOIN - 4]
+    return digest(signs), digest(" ".join(shape(start, kind).split()[:MAX_JOIN]))
+
+
 def _with_shape(values: DataFrame) -> DataFrame:
-    """Distinct values (kind, value, n) to (kind, key, shape, n); ``key`` and ``shape`` are digests."""
+    """Distinct values (kind, value, n) to (kind, key, shape, n, size, key_head, shape_head).
+
+    ``key`` and ``shape`` are digests. ``size``: atoms of a value that a run would cut into more than
+    ``MAX_JOIN``, with its :func:`heads`; else null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kinds, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([digest(key(t)) for t in texts], pa.binary()), pa.array([digest(shape(t, k)) for k, t in zip(kinds, texts, strict=True)], pa.binary()), b.column(2)],
-                names=["kind", "key", "shape", "n"],
-            )
-
-    return values.mapInArrow(run, "kind string, key binary, shape binary, n double")
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                long = [None, None, None]
+                if sum(map(t.count, (",", ";", "&", "and"))) >= MAX_JOIN:
+                    runs = atoms(bare(t), k)
+                    if len(runs) == 1 and len(runs[0]) > 2 * MAX_JOIN:
+                        long = [(len(runs[0]) + 1) // 2, *heads(bare(t), k)]
+                for c, x in zip(out, (digest(key(t)), digest(shape(t, k)), *long), strict=True):
+                    c.append(x)
+            types = (pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
+            keys, shapes, *rest = (pa.array(c, t) for c, t in zip(out, types, strict=True))
+            yield pa.RecordBatch.from_arrays([b.column(0), keys, shapes, b.column(2), *rest], names=["kind", "key", "shape", "n", "size", "key_head", "shape_head"])
+
+    return values.mapInArrow(run, "kind string, key binary, shape binary, n double, size int, key_head binary, shape_head binary")
 
 
 _EDGE = "kind string, run binary, n double, i int, j int, key binary, shape binary, words int, p double"
@@ -251,6 +356,12 @@ def _edge_batch(columns: tuple[list, ...]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _EDGE_TYPES, strict=True)], names=_EDGE_NAMES)
 
 
+def _counted(value: str, kind: str) -> tuple[bytes, bytes, int]:
+    """Digests of the key and the shape of a value, and its number of words."""
+    form = shape(value, kind)
+    return digest(key(value)), digest(form), len(form.replace(",", "").replace("&", "").split())
+
+
 def _edges(runs: DataFrame) -> DataFrame:
     """Distinct open runs (kind, run, text, n) to their candidate values, each with posterior 0."""
 
@@ -261,8 +372,7 @@ def _edges(runs: DataFrame) -> DataFrame:
                 run_ = text.split(_SEP)
                 for i, j in spans(run_):
                     v = span_text(run_, i, j)
-                    form = shape(v, k)
-                    for c, x in zip(out, (k, r, n, i, j, digest(key(v)), digest(form), len(form.replace(",", "").replace("&", "").split()), 0.0), strict=True):
+                    for c, x in zip(out, (k, r, n, i, j, *_counted(v, k), 0.0), strict=True):
                         c.append(x)
                 if len(out[0]) > 50_000:
                     yield _edge_batch(out)
@@ -302,28 +412,96 @@ def left_out(edges: list[dict], n: float) -> list[dict]:
         e["c"] = max(0.0, e["c"] - own_key[e["key"]] * n)
         e["s"] = max(0.0, e["s"] - own_shape[e["shape"]])
         # what is left of sums that cancel is no count
-        e["c"], e["s"] = (x if x > 1e-9 else 0.0 for x in (e["c"], e["s"]))
+        e["c"], e["s"] = (x if x > LEAST else 0.0 for x in (e["c"], e["s"]))
     return edges
 
 
+_WANTED = "array<struct<i:int,j:int,p:double,key:binary,shape:binary>>"
+
+
+def _long_edges(wanted: DataFrame, long_runs: DataFrame) -> DataFrame:
+    """Edges of the wanted spans (run, i, j, p, key, shape), each once; where a key or shape is given, only if it is the span's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: tuple[list, ...] = tuple([] for _ in _EDGE_NAMES)
+            for r in b.to_pylist():
+                run_ = r["text"].split(_SEP)
+                done = set()
+                for w in r["wanted"]:
+                    i, j = w["i"], w["j"]
+                    if (i, j) in done or 2 * j - 1 > len(run_):
+                        continue
+                    k, form, words = _counted(span_text(run_, i, j), r["kind"])
+                    if w["key"] in (None, k) and w["shape"] in (None, form):
+                        done.add((i, j))
+                        for c, x in zip(out, (r["kind"], r["run"], r["n"], i, j, k, form, words, w["p"]), strict=True):
+                            c.append(x)
+            yield _edge_batch(out)
+
+    each = wanted.groupBy("run").agg(F.collect_set(F.struct("i", "j", "p", "key", "shape")).cast(_WANTED).alias("wanted"))
+    return long_runs.join(each, "run").select("kind", "run", "n", "text", "wanted").mapInArrow(run, _EDGE)
+
+
+def _starts(long_runs: DataFrame) -> DataFrame:
+    """(kind, run, i, key_head, shape_head) of every atom at which a long value may begin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for k, r, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                run_ = text.split(_SEP)
+                for i in range((len(run_) + 1) // 2 - MAX_JOIN):
+                    for c, x in zip(out, (k, r, i, *heads(span_text(run_, i, i + MAX_JOIN + 1), k)), strict=True):
+                        c.append(x)
+            types = (pa.string(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["kind", "run", "i", "key_head", "shape_head"])
+
+    return long_runs.select("kind", "run", "text").mapInArrow(run, "kind string, run binary, i int, key_head binary, shape_head binary")
+
+
+def _spread(edges: DataFrame, long_runs: DataFrame, starts: DataFrame, alone: DataFrame) -> DataFrame:
+    """``edges`` and those of the long spans whose value or shape stands alone or counts in some run."""
+    size = (F.col("j") - F.col("i")).alias("size")
+    counts = edges.where((F.col("j") - F.col("i") > MAX_JOIN) & (F.col("p") * F.greatest("n", F.lit(1.0)) > LONG))
+    known = counts.join(starts, ["kind", "run", "i"]).select("kind", "key", "shape", size, "key_head", "shape_head")
+    known = known.unionByName(alone.where("size is not null").select(*known.columns))
+    none = F.lit(None).cast("binary")
+    by_key = starts.join(known.select("kind", "key_head", "key", "size").distinct(), ["kind", "key_head"]).withColumn("shape", none)
+    # the shape of a link is that of its first atom, whatever its length
+    by_shape = starts.join(known.where("kind <> 'link'").select("kind", "shape_head", "shape", "size").distinct(), ["kind", "shape_head"]).withColumn("key", none)
+    wanted = [x.select("run", "i", (F.col("i") + F.col("size")).alias("j"), F.lit(0.0).alias("p"), "key", "shape") for x in (by_key, by_shape)]
+    wanted = wanted[0].unionByName(wanted[1]).join(edges.where((F.col("j") - F.col("i")) > MAX_JOIN).select("run", "i", "j"), ["run", "i", "j"], "left_anti")
+    return edges.unionByName(_long_edges(wanted, long_runs))
+
+
 def segment_runs(open_runs: DataFrame, alone: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Distinct open runs (kind, run, text, n) to (run, parts array<string>); ``run`` is a digest of kind and text.
 
-    ``alone``: values that stand alone, (kind, key, shape, n).
+    ``alone``: values that stand alone, from :func:`_with_shape`.
     """
     edges = cut(_edges(open_runs))
     alone = cut(alone)
+    has_long = not edges.where(F.col("j") - F.col("i") > MAX_JOIN).isEmpty()
+    if has_long:
+        long_runs = cut(open_runs.where(F.size(F.split("text", _SEP)) > 2 * MAX_JOIN))
+        starts = cut(_starts(long_runs))
+        edges = cut(_spread(edges, long_runs, starts, alone))
     once = F.sum(F.when(F.col("n") == 1, 1.0).otherwise(0.0))
     totals = {r["kind"]: (r["n"], r["once"] + 1) for r in alone.groupBy("kind").agg(F.sum("n").alias("n"), once.alias("once")).collect()}
     shapes = cut(alone.groupBy("kind", "shape").agg(F.sum("n").alias("n")))
-    alone = alone.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    # only what is sought
+    sought = alone.join(edges.select("kind", "key"), ["kind", "key"], "left_semi") if not has_long else alone
+    counted = cut(sought.groupBy("kind", "key").agg(F.sum("n").alias("n")))
 
     def e_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: tuple[list, ...] = tuple([] for _ in _EDGE_NAMES)
             for r in b.to_pylist():
-                for e, p in zip(r["edges"], expected(left_out(r["edges"], r["n"]), totals.get(r["kind"], (0.0, 1.0))), strict=True):
-                    for c, x in zip(out, (r["kind"], r["run"], r["n"], e["i"], e["j"], e["key"], e["shape"], e["words"], p), strict=True):
+                found, others = posteriors(left_out(r["edges"], r["n"]), totals.get(r["kind"], (0.0, 1.0)), r["kind"], LONG / max(r["n"], 1.0))
+                new = ((i, j, None, None, None, p) for i, j, p in others)
+                for values in itertools.chain(((e["i"], e["j"], e["key"], e["shape"], e["words"], p) for e, p in zip(r["edges"], found, strict=True)), new):
+                    for c, x in zip(out, (r["kind"], r["run"], r["n"], *values), strict=True):
                         c.append(x)
             yield _edge_batch(out)
 
@@ -332,12 +510,15 @@ def segment_runs(open_runs: DataFrame, alone: DataFrame, rounds: int = ROUNDS) -
             parts = []
             for r in b.to_pylist():
                 run = r["text"].split(_SEP)
-                parts.append([span_text(run, i, j) for i, j in best_path(left_out(r["edges"], r["n"]), totals.get(r["kind"], (0.0, 1.0)))])
+                parts.append([span_text(run, i, j) for i, j in best_path(left_out(r["edges"], r["n"]), totals.get(r["kind"], (0.0, 1.0)), r["kind"])])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(parts, pa.list_(pa.string()))], names=["run", "parts"])
 
     for _ in range(rounds):
-        edges = cut(_lattices(edges, alone, shapes).mapInArrow(e_step, _EDGE))
-    paths = _lattices(edges, alone, shapes).join(open_runs.select("run", "text"), "run")
+        edges = cut(_lattices(edges, counted, shapes).mapInArrow(e_step, _EDGE))
+        if has_long:
+            new = _long_edges(edges.where("key is null"), long_runs)
+            edges = cut(_spread(cut(edges.where("key is not null").unionByName(new)), long_runs, starts, alone))
+    paths = _lattices(edges, counted, shapes).join(open_runs.select("run", "text"), "run")
     return paths.select("run", "kind", "edges", "text", "n").mapInArrow(decode, "run binary, parts array<string>")
 
 
@@ -374,12 +555,8 @@ def all_values(df: DataFrame, *, id_col: str, fields: dict[str, str], only_packe
     has_open = F.instr("run", _SEP) > 0
     digested = F.unhex(F.md5(F.concat_ws(_SEP, "kind", "run")))
     distinct_runs = runs.groupBy("kind", "run").agg(F.count("*").cast("double").alias("n"))
-    plain = cells.where(~is_open & ~((F.col("kind") == "address") & F.col("cell").contains("@")))
-    # a link is rarely written twice: only its head is counted, as the shape
-    value = F.when(F.col("kind") == "link", F.regexp_extract("cell", r"^\W*([A-Za-z][A-Za-z0-9+.\-]*(://|/))?", 0)).otherwise(F.trim("cell"))
-    alone = plain.groupBy("kind", value.alias("run")).agg(F.count("*").cast("double").alias("n"))
-    short = F.when(F.col("kind") == "link", F.regexp_extract("run", r"^\W*([A-Za-z][A-Za-z0-9+.\-]*(://|/))?", 0)).otherwise(F.col("run"))
-    alone = _with_shape(alone.unionByName(distinct_runs.where(~has_open)).groupBy("kind", short.alias("run")).agg(F.sum("n").alias("n")))
+    alone = cells.where(~is_open).groupBy("kind", F.trim("cell").alias("run")).agg(F.count("*").cast("double").alias("n"))
+    alone = _with_shape(alone.unionByName(distinct_runs.where(~has_open)).groupBy("kind", "run").agg(F.sum("n").alias("n")))
     parts = segment_runs(distinct_runs.where(has_open).select("kind", digested.alias("run"), F.col("run").alias("text"), "n"), alone)
     closed = runs.where(~has_open).select("rid", "kind", "at", F.array("run").alias("parts"))
     opened = runs.where(has_open).withColumn("text", F.col("run")).withColumn("run", digested).join(parts, "run", "left").withColumn("run", F.col("text")).select("rid", "kind", "at", F.coalesce("parts", F.array("run")).alias("parts"))

@@ -90,3 +90,67 @@ def test_long_open_runs(spark):
     df = spark.createDataFrame([*_learn(), (1, None, ", ".join(names), None, None), (2, None, "&".join(["x"] * 9000), None, None)], SCHEMA)
     got = [r["value"] for r in packed.packed_values(df, id_col="_id", fields={"name": "name"}).where("_id < 10").orderBy("pos").collect()]
     assert got == names
+
+
+def test_long_values_without_edges_equal_brute_force(monkeypatch):
+    monkeypatch.setattr(packed, "MAX_JOIN", 2)
+    total = (50.0, 5.0)
+    for kind, run in (("name", ["A B", ", ", "c", ", ", "D E", " & ", "F", ", ", "g h", ", ", "I"]), ("link", ["http://a/1", ",", "2", ",", "3", ";", "x/4", ",", "5", ",", "6"])):
+
+        def edge(i, j, known=True, kind=kind, run=run):
+            v = packed.span_text(run, i, j)
+            s = 0.7 * (len(packed.span_text(run, i, i + 1)) % 3) if kind == "link" else 0.4 * ((i + j) % 3) * known
+            return {"i": i, "j": j, "words": packed._counted(v, kind)[2], "c": (len(v) % 4) / 9 if known else 0.0, "s": s}
+
+        n = (len(run) + 1) // 2
+        short = {*packed.spans(run), (1, 5)}
+        edges = [edge(*x) for x in sorted(short)]
+        full = edges + [edge(i, j, False) for i in range(n) for j in range(i + 1, n + 1) if (i, j) not in short]
+        p = {(e["i"], e["j"]): math.exp(x) for by in packed._score(full, total).values() for i, x, e in by}
+        at = [[0, *(i + 1 for i, c in enumerate(cuts) if c), n] for cuts in itertools.product([0, 1], repeat=n - 1)]
+        weight = {tuple(zip(a, a[1:], strict=False)): 0.0 for a in at}
+        weight = {path: math.prod(p[s] for s in path) for path in weight}
+        z = sum(weight.values())
+        true = {s: sum(w for path, w in weight.items() if s in path) / z for s in p}
+        assert packed.best_path(edges, total, kind) == list(max(weight, key=lambda k: (weight[k], -len(k))))
+        found, others = packed.posteriors(edges, total, kind, 1e-300)
+        got = {(e["i"], e["j"]): x for e, x in zip(edges, found, strict=True)} | {(i, j): x for i, j, x in others}
+        assert got.keys() == true.keys() and all(math.isclose(got[s], true[s], rel_tol=1e-6) for s in true)
+        # the best path may have a long value without an edge
+        for e in edges:
+            e["c"], e["s"] = (1e6 if (e["i"], e["j"]) in {(0, 1), (5, 6)} else 0.0), 0.0
+        assert packed.best_path([e for e in edges if (e["i"], e["j"]) != (1, 5)], (5e6, 5.0), kind) == [(0, 1), (1, 5), (5, 6)]
+
+
+def test_values_of_more_atoms_than_edges(spark):
+    names = "Adams Baker Cole Dunn Evans Frost Grant Hayes Irwin Jones Keane Lewis Moore North Olsen".split()
+    firm, other = (", ".join(x[:-1]) + f" & {x[-1]} LLP" for x in (names, [n + "by" for n in names]))
+    rows = [(i, None, f'"{firm}"; Anna Hill', None, None) for i in range(10)]
+    rows += [(100, None, f"{firm}, Robert Stone", None, None), (101, None, f"Anna Hill, {firm.upper()}, Robert Stone", None, None), (102, None, f"Berta Lake, {other}, Carl Wood", None, None)]
+    got = {}
+    for r in packed.packed_values(spark.createDataFrame(_learn() + rows, SCHEMA), id_col="_id", fields={"name": "name"}).where("_id between 100 and 102").orderBy("_id", "pos").collect():
+        got.setdefault(r["_id"], []).append(r["value"])
+    assert got == {100: [firm, "Robert Stone"], 101: ["Anna Hill", firm.upper(), "Robert Stone"], 102: ["Berta Lake", other, "Carl Wood"]}
+
+
+def test_long_values_are_found_by_their_start():
+    starts = {packed.heads(x, "name") for x in ("“" + ", ".join("ABCDEFGHIJKLM"), ", ".join("abcdefghijklmnop"))}
+    assert len({key for key, _ in starts}) == 1
+
+
+def test_every_cell_that_python_cuts_is_cut(spark):
+    rows = [
+        (1, "<a@x.test><b@x.test>", "Anna Hill　and　Carl Wood", "a@x.test　b@x.test", ["https://a.test/1　https://a.test/2"]),
+        (2, "a@x.test\x85b@x.test", "Anna Hill\xa0&\xa0Carl Wood", "a@x.test", ["https://a.test/1"]),
+    ]
+    got = {}
+    for r in packed.packed_values(spark.createDataFrame(_learn() + rows, SCHEMA), id_col="_id", fields=KINDS).where("_id < 10").orderBy("_id", "field", "pos").collect():
+        got.setdefault((r["_id"], r["field"]), []).append(r["value"])
+    two, people = ["a@x.test", "b@x.test"], ["Anna Hill", "Carl Wood"]
+    assert got == {(1, "sender"): two, (1, "name"): people, (1, "cc_bcc"): two, (1, "links"): ["https://a.test/1", "https://a.test/2"], (2, "sender"): two, (2, "name"): people}
+
+
+def test_links_and_addresses_that_stand_alone_count(spark):
+    rows = [(i, f"Lift {'AB'[i % 2]} <{'ab'[i % 2]}@x.test>", None, None, [f"notes/{'ab'[i % 2]}.md"]) for i in range(100, 140)] + [(1, None, None, None, ["notes/a.md,notes/b.md"])]
+    got = [tuple(r) for r in packed.packed_values(spark.createDataFrame(rows, SCHEMA), id_col="_id", fields=KINDS).collect()]
+    assert sorted(got) == [(1, "links", 1, "notes/a.md"), (1, "links", 2, "notes/b.md")]
